@@ -1,4 +1,4 @@
-"""Sales partitioned by day and region."""
+"""Sales partitioned by date and region."""
 
 from __future__ import annotations
 
@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 PARTITIONS = ["date_partition", "region"]
 
 
-def with_partitions(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame) -> DataFrame:
+def with_partitions(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame, period: str = "day") -> DataFrame:
+    """The fact with ``full_date``, ``region`` and ``date_partition`` (first day of the period)."""
     return (
         fact.join(dim_date.select("date_key", F.col("date").alias("full_date")), "date_key")
         .join(dim_store.select("store_key", "region"), "store_key")
-        .withColumn("date_partition", F.date_format("full_date", "yyyy-MM-dd"))
+        .withColumn("date_partition", F.date_format(F.date_trunc(period, "full_date"), "yyyy-MM-dd"))
     )
 
 
-def write_partitioned(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame, path: str) -> None:
+def write_partitioned(
+    fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame, path: str, period: str = "day"
+) -> None:
     """Write the layout; a re-run replaces only the partitions it touches.
 
-    The rebalance hint groups each partition's rows into few files and lets
-    adaptive execution split a day or region that holds most of the rows.
+    ``period`` is day by default; month suits data with few rows per day. The
+    rebalance hint groups each partition's rows into few files and lets adaptive
+    execution split a partition that holds most of the rows.
     """
-    rows = with_partitions(fact, dim_date, dim_store).hint("rebalance", *PARTITIONS)
+    rows = with_partitions(fact, dim_date, dim_store, period).hint("rebalance", *PARTITIONS)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -36,7 +40,9 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_day(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """One day: only its folder is listed and scanned."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/date_partition={day}")
-    return rows.where(F.col("date_partition") == F.lit(day).cast("date"))
+def read_day(spark: SparkSession, path: str, day: str, period: str = "day") -> DataFrame:
+    """One day: only the folder of its period is listed and scanned."""
+    first = f"{day[:8]}01" if period == "month" else day
+    rows = spark.read.option("basePath", path).parquet(f"{path}/date_partition={first}")
+    in_folder = rows.where(F.col("date_partition") == F.lit(first).cast("date"))
+    return in_folder.where(F.col("full_date") == F.lit(day).cast("date"))

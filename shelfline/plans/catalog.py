@@ -20,7 +20,7 @@ from shelfline.operators import (
 )
 from shelfline.plans import kpi
 from shelfline.plans.warehouse import Warehouse, open_warehouse
-from shelfline.session import fresh_path
+from shelfline.session import fresh_path, stash
 from shelfline.sources import readers, tables as T, writers
 from shelfline.streaming import orders as live
 
@@ -238,11 +238,11 @@ def fact_shipments(w):
 
 @_query
 def partition_prune_sum(w):
-    """Revenue of one day read through the partitioned layout."""
+    """Revenue of one day read through the layout; by month, as a day has few rows here."""
     day = "1998-03-25"
     path = fresh_path(w.spark, "sales-by-day")
-    layout.write_partitioned(w["fact_sales"], w["dim_date"], w["dim_store"], path)
-    return layout.read_day(w.spark, path, day).agg(
+    layout.write_partitioned(w["fact_sales"], w["dim_date"], w["dim_store"], path, "month")
+    return layout.read_day(w.spark, path, day, "month").agg(
         F.lit(day).cast("date").alias("day"),
         X.sum_money("revenue").alias("total_revenue"),
         F.count("sale_id").alias("transaction_count"),
@@ -444,7 +444,8 @@ def _scores(w):
     for name in DRIFT_BATCHES:
         one = drift.score_new_columns(_batch(w, name), TRANSACTIONS, name)
         out = one if out is None else out.unionByName(one)
-    return out
+    # A row per new column: written once, as decisions, queue and log all read it.
+    return stash(out, "drift-scores")
 
 
 def _governed(w):
