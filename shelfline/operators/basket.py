@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
+from shelfline.session import stash
 
 
 def basket_items(sales: DataFrame, basket: str, product: str) -> DataFrame:
@@ -49,10 +50,12 @@ def pair_support(items: DataFrame, min_support: int, large_basket: int, salts: i
       others and adds no pairs there.
     """
     sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("n_items"))
-    large = items.join(sizes.where(F.col("n_items") > large_basket).select("basket"), "basket", "left_semi")
-    small = items.join(sizes.where(F.col("n_items") <= large_basket).select("basket"), "basket", "left_semi")
+    oversized = stash(sizes.where(F.col("n_items") > large_basket).select("basket"), "large-baskets")
+    if oversized.isEmpty():
+        return _pair_counts(items, 1).where(F.col("n") >= min_support).withColumnRenamed("n", "co_occurrence_count")
 
-    counted = _pair_counts(small, 1)
+    large = stash(items.join(oversized, "basket", "left_semi"), "large-basket-items")
+    counted = stash(_pair_counts(items.join(oversized, "basket", "left_anti"), 1), "pairs")
     in_large_a = large.select("basket", F.col("product").alias("product_a"))
     in_large_b = large.select("basket", F.col("product").alias("product_b"))
     extra = (
@@ -85,7 +88,8 @@ def product_pairs(
     limit: int | None = None,
 ) -> DataFrame:
     """product_a, product_b, co_occurrence_count, confidence of a -> b, lift."""
-    items = basket_items(sales, basket, product)
+    # Written once: support, basket sizes and the self-join all read it.
+    items = stash(basket_items(sales, basket, product), "basket-items")
     frequent = frequent_items(items, min_support)
     pairs = pair_support(frequent.select("basket", "product"), min_support, large_basket, salts)
     support = items.groupBy("product").agg(F.count(F.lit(1)).alias("n"))

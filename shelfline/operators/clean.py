@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shelfline.functions import exprs as X
 from shelfline.operators.rows import keep_first
+from shelfline.session import stash
 
 CRITICAL = ["transaction_id", "product_id", "store_id"]
 SIGMAS = 3
@@ -66,12 +67,17 @@ def flag_anomalies(cleaned: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
 
 
 def clean(df: DataFrame, as_of: Column, order_by: Sequence[Column]) -> DataFrame:
-    return flag_anomalies(clean_rows(df, as_of, order_by))
+    """All seven steps. Steps 1 to 6 are written once: step 7 reads their rows twice."""
+    return flag_anomalies(stash(clean_rows(df, as_of, order_by), "cleaned"))
 
 
 def report(df: DataFrame, as_of: Column, order_by: Sequence[Column]) -> DataFrame:
-    """One row with the count of every step, rows removed and retention in percent."""
-    rows = _prepared(df, order_by)
+    """One row with the count of every step, rows removed and retention in percent.
+
+    The deduplicated rows are written once, narrowed to what the counts need.
+    """
+    needed = ["date", "quantity", "price", "_no_discount", "_bad_critical", "_bad_quantity"]
+    rows = stash(_prepared(df, order_by).select(*needed), "clean-report")
     critical, quantity = F.col("_bad_critical"), F.col("_bad_quantity")
     late = _late(as_of)
 
@@ -88,7 +94,8 @@ def report(df: DataFrame, as_of: Column, order_by: Sequence[Column]) -> DataFram
         n(~critical & ~quantity & ~late).alias("final_rows"),
     )
     initial = df.agg(F.count(F.lit(1))).scalar()
-    anomalies = clean(df, as_of, order_by).agg(F.count(F.when(F.col("is_anomaly"), 1))).scalar()
+    kept = rows.where(~critical & ~quantity & ~late).withColumn("price", F.abs("price"))
+    anomalies = flag_anomalies(kept).agg(F.count(F.when(F.col("is_anomaly"), 1))).scalar()
     counted = steps.select("*", initial.alias("initial_rows"), anomalies.alias("anomalies_flagged"))
     return counted.select(
         "initial_rows",

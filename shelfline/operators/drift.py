@@ -72,11 +72,13 @@ def score_new_columns(df: DataFrame, schema: TableSchema | None, table: str | No
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
         F.count("value").alias("n_distinct"),
     )
-    first_values = Window.partitionBy("column_name").orderBy("value")
+    first_values = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value"))
+    # The first values per column; collecting them skips NULL. Reading n here, and
+    # filtering after the window only, keeps the counting step the same in both
+    # branches, so Spark runs it once.
     samples = (
-        per_value.where("value is not null")
-        .withColumn("_rn", F.row_number().over(first_values))
-        .where(F.col("_rn") <= N_SAMPLES)
+        per_value.withColumn("_rn", F.row_number().over(first_values))
+        .where((F.col("_rn") <= N_SAMPLES) & (F.col("n") > 0))
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     )
@@ -94,7 +96,7 @@ def score_new_columns(df: DataFrame, schema: TableSchema | None, table: str | No
         "data_type",
         null_ratio.alias("null_ratio"),
         distinct_ratio.alias("distinct_ratio"),
-        F.coalesce(F.least(score, F.lit(1.0)), F.lit(0.0)).alias("confidence"),
+        F.when(F.col("n_rows") > 0, F.least(score, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
 

@@ -15,23 +15,24 @@ from shelfline.session import fresh_path, stash
 REASON = "quarantine_reason"
 
 
-def _reasons(df: DataFrame, schema: TableSchema) -> Column:
-    """Array of reasons why a row cannot be taken, sorted; empty for a valid row."""
-    found = []
-    for name in sorted(set(schema.required)):
+def _reasons(df: DataFrame, schema: TableSchema) -> list[Column]:
+    """One text per possible reason, NULL where it does not apply, in order of the text."""
+    found = {}
+    for name in set(schema.required):
         if name not in df.columns:
-            found.append(F.lit(f"missing_required_column:{name}"))
+            text = f"missing_required_column:{name}"
+            found[text] = F.lit(text)
         else:
-            found.append(F.when(F.col(f"`{name}`").isNull(), F.lit(f"missing_required_value:{name}")))
-    if not found:
-        return F.array().cast("array<string>")
-    return F.array_sort(F.array_compact(F.array_distinct(F.array(*found))))
+            text = f"missing_required_value:{name}"
+            found[text] = F.when(F.col(f"`{name}`").isNull(), F.lit(text))
+    return [found[text] for text in sorted(found)]
 
 
 def with_reasons(df: DataFrame, schema: TableSchema) -> DataFrame:
-    """The rows with a ``quarantine_reason`` column, NULL for valid rows."""
+    """The rows with a ``quarantine_reason`` column (joined by ';'), NULL for valid rows."""
     reasons = _reasons(df, schema)
-    return df.withColumn(REASON, F.when(F.size(reasons) > 0, F.concat_ws(";", reasons)))
+    text = F.nullif(F.concat_ws(";", *reasons), F.lit("")) if reasons else F.lit(None).cast("string")
+    return df.withColumn(REASON, text)
 
 
 def validate_split(df: DataFrame, schema: TableSchema) -> tuple[DataFrame, DataFrame]:

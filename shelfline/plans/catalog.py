@@ -415,7 +415,7 @@ def _incoming(w, extra=()):
         "flag_b": F.col("l_linestatus"),
         "flag_c": F.when(F.col("l_returnflag") != "A", F.col("o_orderstatus")),
     }
-    return w.raw("order_lines").select(
+    return w["order_lines"].select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("store_id"),
@@ -587,9 +587,15 @@ def quarantine_alert(w):
 
 
 # --- features, forecast, models -----------------------------------------------------------------
+@_query
+def pair_sales(w):
+    """Units per product group, region and day: the input of features and forecast."""
+    return w.raw("pair_sales")
+
+
 @_query
 def stock_features(w):
-    daily = w.raw("pair_sales")
+    daily = w["pair_sales"]
     return features.stock_features(daily, T.pair_stock(daily), T.pair_categories(daily))
 
 

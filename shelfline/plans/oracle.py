@@ -441,6 +441,7 @@ _STATEMENTS = {
         UNION ALL SELECT 4, 'data_quality_score', retention_pct FROM report)""",
     "retention_filter": "SELECT * FROM rejected WHERE \"timestamp\" >= TIMESTAMP '2024-01-11'",
     "quarantine_alert": """SELECT count(*) AS issue_count, count(*) > 100 AS is_high FROM rejected WHERE "timestamp" >= TIMESTAMP '2024-01-30 23:00:00'""",
+    "pair_sales": "SELECT * FROM pair_sales",
     "stock_features": "SELECT * FROM features",
     "stock_labels": """SELECT *, CAST(current_stock < avg_sales_7d AS INTEGER) AS risk, greatest(avg_sales_7d * 2 - current_stock, 0.0::DOUBLE) AS reorder_qty FROM features""",
     "trailing_sales": "SELECT * FROM trail7",

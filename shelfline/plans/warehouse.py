@@ -49,6 +49,7 @@ class Warehouse:
 
 
 _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "order_lines": lambda w: w.raw("order_lines"),
     "transactions_clean": lambda w: clean.clean_rows(w.raw("transactions"), w.as_of, T.transaction_order()),
     "dim_date": lambda w: dims.dim_date_covering(w.source("orders"), "o_orderdate"),
     "dim_customer": lambda w: dims.dim_customer(w.raw("customers"), w.as_of),

@@ -25,8 +25,23 @@ STREAM_AS_OF = "2024-01-31 00:00:00"
 # --------------------------------------------------------------------------
 
 
+# Tables that carry the bulk of the work.
+LARGE = {"lineitem", "events"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer tasks than the session has cores.
+
+    A small file is one task whatever the cluster; data of any size has far more
+    tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in LARGE else rows
 
 
 def as_of(text: str = AS_OF):
