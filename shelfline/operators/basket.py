@@ -11,7 +11,8 @@ from shelfline.session import stash
 
 def basket_items(sales: DataFrame, basket: str, product: str) -> DataFrame:
     """Distinct (basket, product)."""
-    return sales.select(F.col(basket).alias("basket"), F.col(product).alias("product")).dropna().distinct()
+    named = sales.select(F.col(basket).alias("basket"), F.col(product).alias("product"))
+    return named.where(F.col("basket").isNotNull() & F.col("product").isNotNull()).distinct()
 
 
 def frequent_items(items: DataFrame, min_support: int) -> DataFrame:

@@ -18,7 +18,10 @@ def fact_sales(
     transactions: DataFrame, dim_customer: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame
 ) -> DataFrame:
     """One row per cleaned sales line with all keys resolved; money stays exact."""
-    t = transactions.dropna(subset=["customer_id", "product_id", "store_id", "date"])
+    # Plain null tests, not dropna: these reach the Parquet scan as pushed filters.
+    t = transactions
+    for name in ("customer_id", "product_id", "store_id", "date"):
+        t = t.where(F.col(name).isNotNull())
     discount = F.coalesce(X.money("discount"), F.lit(0).cast(S.MONEY))
     t = t.select(
         F.col("transaction_id").alias("sale_id"),
@@ -50,8 +53,9 @@ def resolve_inventory(inventory: DataFrame, dim_product: DataFrame, dim_store: D
 def fact_inventory(
     inventory: DataFrame, dim_product: DataFrame, dim_store: DataFrame, reorder_point: int = S.DEFAULT_REORDER_POINT
 ) -> DataFrame:
-    resolved = resolve_inventory(inventory, dim_product, dim_store).dropna(subset=["product_key", "store_key"])
-    return resolved.select(
+    resolved = resolve_inventory(inventory, dim_product, dim_store)
+    known = resolved.where(F.col("product_key").isNotNull() & F.col("store_key").isNotNull())
+    return known.select(
         F.lit(None).cast("long").alias("inventory_id"),
         X.date_key("date").alias("date_key"),
         "product_key",

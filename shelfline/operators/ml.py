@@ -122,6 +122,13 @@ def recent_predictions(log: DataFrame, limit: int = 50) -> DataFrame:
     return top_k(log.select("timestamp", "store_id", "product_id", "risk_level", "ml_confidence"), order, limit)
 
 
+def recent_alerts(log: DataFrame, limit: int = 5) -> DataFrame:
+    """Newest High and Critical predictions."""
+    columns = ["product_id", "store_id", "risk_level", "ml_confidence", "optimal_reorder_qty", "timestamp"]
+    order = [F.desc_nulls_last("timestamp"), F.asc_nulls_last("product_id"), F.asc_nulls_last("store_id")]
+    return top_k(log.where(F.col("risk_level") >= 2).select(*columns), order, limit)
+
+
 def decision_feed(log: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
     """Predictions as proposed actions; High and Critical ones wait for a person."""
     feed = log.select(

@@ -648,6 +648,11 @@ def recent_predictions(w):
     return ml.recent_predictions(w["reasoning_log"])
 
 
+@_query
+def recent_alerts(w):
+    return ml.recent_alerts(w["reasoning_log"])
+
+
 @_query
 def decision_feed(w):
     return ml.decision_feed(w["reasoning_log"], T.as_of(LATER))
@@ -706,6 +711,18 @@ def live_day_metrics(w):
     return live.day_metrics(T.live_orders(w.source("events")), F.lit("2024-01-30").cast("date"))
 
 
+@_query
+def live_totals(w):
+    return live.live_totals(T.live_orders(w.source("events")), F.lit("2024-01-30").cast("date"))
+
+
+@_query
+def order_age(w):
+    """How long ago each live order came in, as a label."""
+    orders = T.live_orders(w.source("events"))
+    return orders.select("order_id", X.age_label("timestamp", T.as_of(T.STREAM_AS_OF)).alias("age"))
+
+
 @_query
 def stream_recent_orders(w):
     return live.run_recent(T.live_orders(_events(w)), "recent-orders", 50)

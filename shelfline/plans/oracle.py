@@ -462,6 +462,11 @@ _STATEMENTS = {
     "live_day_metrics": """SELECT count(*) AS orders_today, coalesce(CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE), 0) AS revenue_today,
         coalesce(CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) / count(*), 0) AS avg_order_value, count(DISTINCT customer_id) AS unique_customers
         FROM live WHERE CAST("timestamp" AS DATE) = DATE '2024-01-30'""",
+    "live_totals": """SELECT count(*) AS total_orders,
+        coalesce(CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) FILTER (CAST("timestamp" AS DATE) = DATE '2024-01-30') AS DOUBLE), 0) AS revenue_today FROM live""",
+    "order_age": """SELECT order_id, CASE WHEN s // 60 < 60 THEN CAST(s // 60 AS VARCHAR) || 'm ago' WHEN s // 3600 < 24 THEN CAST(s // 3600 AS VARCHAR) || 'h ago'
+        ELSE CAST(s // 86400 AS VARCHAR) || 'd ago' END AS age
+        FROM (SELECT order_id, CAST(floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - "timestamp")) AS BIGINT) AS s FROM live)""",
     "stream_recent_orders": 'SELECT * FROM live ORDER BY "timestamp" DESC, order_id DESC LIMIT 50',
     "recent_orders": 'SELECT * FROM live ORDER BY "timestamp" DESC, order_id DESC LIMIT 10',
     "stream_alerts_by_rule": "SELECT * FROM alerts",

@@ -57,3 +57,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, path: str | None = None) -> bool:
+    """Delete a stashed path, or all that this application stashed; frames over it become unusable."""
+    own = f"{shared_dir(spark)}/shelfline/{spark.sparkContext.applicationId}"
+    target = path or own
+    if not (target + "/").startswith(own + "/"):
+        raise ValueError(f"not written by this application: {target}")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return bool(hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True))

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 
 from shelfline import schemas as S
-from shelfline.session import fresh_path, shared_dir, stash
+from shelfline.session import fresh_path, release, shared_dir, stash
 from shelfline.sources import readers, writers
 
 
@@ -65,3 +65,11 @@ def test_work_folder_comes_from_the_session(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
     kept = stash(spark.range(5), "x")
     assert kept.count() == 5 and shared_dir(spark) in kept.inputFiles()[0]
+
+
+def test_release_deletes_only_own_paths(spark):
+    path = fresh_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert readers.path_exists(spark, path) and release(spark, path) and not readers.path_exists(spark, path)
+    with pytest.raises(ValueError):
+        release(spark, shared_dir(spark))
