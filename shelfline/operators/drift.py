@@ -58,12 +58,9 @@ def score_new_columns(df: DataFrame, schema: TableSchema | None, table: str | No
     if not names:
         return spark.createDataFrame([], SCORE_SCHEMA)
     fields = {f.name: f for f in df.schema.fields if f.name in names}
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("column_name"), _as_text(fields[n]).alias("value")) for n in names]
-    )
+    texts = df.select(*[_as_text(fields[n]).alias(n) for n in names])
     per_value = (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.*")
+        texts.unpivot([], [F.col(f"`{n}`") for n in names], "column_name", "value")
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -18,9 +18,9 @@ from shelfline.functions import exprs as X
 from shelfline.operators import (
     access, basket, clean, dims, drift, facts, features, forecast, ingest, layout, ml, runlog, scd2,
 )
-from shelfline.plans import kpi
+from shelfline.plans import batches, kpi
 from shelfline.plans.warehouse import Warehouse, open_warehouse
-from shelfline.session import fresh_path, stash
+from shelfline.session import fresh_path
 from shelfline.sources import readers, tables as T, writers
 from shelfline.streaming import orders as live
 
@@ -405,51 +405,9 @@ def ingest_run_counts(w):
 
 
 # --- drift --------------------------------------------------------------------------------
-TRANSACTIONS = S.DRIFT_REGISTRY["transactions"]
-
-
-def _incoming(w, extra=()):
-    """A batch of order lines with further columns the registry does not know."""
-    made = {
-        "flag_a": F.col("l_returnflag"),
-        "flag_b": F.col("l_linestatus"),
-        "flag_c": F.when(F.col("l_returnflag") != "A", F.col("o_orderstatus")),
-    }
-    return w["order_lines"].select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("store_id"),
-        F.col("o_orderdate").alias("timestamp"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("o_orderpriority").alias("payment_method"),
-        *[made.get(c, F.col(c)).alias(c) for c in extra],
-    )
-
-
-DRIFT_BATCHES = {
-    "clear": ["l_tax", "l_shipdate"],
-    "mixed": ["l_tax", "l_shipdate", "l_returnflag", "o_totalprice"],
-    "many": ["l_tax", "l_shipdate", "o_totalprice", "l_discount"],
-    "noisy": ["l_returnflag", "l_linestatus", "o_orderstatus", "flag_a", "flag_b", "flag_c"],
-}
-
-
-def _batch(w, name):
-    return _incoming(w, DRIFT_BATCHES[name])
-
-
-def _scores(w):
-    out = None
-    for name in DRIFT_BATCHES:
-        one = drift.score_new_columns(_batch(w, name), TRANSACTIONS, name)
-        out = one if out is None else out.unionByName(one)
-    # A row per new column: written once, as decisions, queue and log all read it.
-    return stash(out, "drift-scores")
-
-
 def _governed(w):
-    scores = _scores(w)
+    """Scores, decisions, approval queue and change log over the batches."""
+    scores = w["drift_scores"]
     decisions = drift.decide(scores)
     requests = drift.queue(scores, decisions, w.as_of)
     return scores, decisions, requests, drift.change_log(scores, decisions, requests, w.as_of)
@@ -457,21 +415,22 @@ def _governed(w):
 
 @_query
 def drift_confidence(w):
-    return _scores(w).withColumn("sample_values", F.concat_ws("|", "sample_values"))
+    return batches.scores(w["order_lines"]).withColumn("sample_values", F.concat_ws("|", "sample_values"))
 
 
 @_query
 def drift_decision(w):
-    return drift.decide(_scores(w))
+    return drift.decide(batches.scores(w["order_lines"]))
 
 
 @_query
 def drift_verdict(w):
-    known = drift.verdict(_incoming(w), TRANSACTIONS, "known")
-    broken = drift.verdict(_incoming(w).drop("price", "store_id"), TRANSACTIONS, "broken")
+    lines = w["order_lines"]
+    known = drift.verdict(batches.incoming(lines), batches.REGISTERED, "known")
+    broken = drift.verdict(batches.incoming(lines).drop("price", "store_id"), batches.REGISTERED, "broken")
     out = known.unionByName(broken)
-    for name in DRIFT_BATCHES:
-        out = out.unionByName(drift.verdict(_batch(w, name), TRANSACTIONS, name))
+    for name, extra in batches.BATCHES.items():
+        out = out.unionByName(drift.verdict(batches.incoming(lines, extra), batches.REGISTERED, name))
     return out
 
 

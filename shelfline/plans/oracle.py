@@ -6,7 +6,8 @@ tables once; each statement below is put behind it.
 
 from __future__ import annotations
 
-from shelfline.plans.catalog import DRIFT_BATCHES, LATER
+from shelfline.plans.batches import BATCHES
+from shelfline.plans.catalog import LATER
 
 _BASE = """
 WITH cities AS (
@@ -247,7 +248,7 @@ _DRIFT_SOURCE = {
 
 def _drift_cte() -> str:
     parts = []
-    for batch, columns in DRIFT_BATCHES.items():
+    for batch, columns in BATCHES.items():
         for c in columns:
             kind = _DRIFT_TYPES[c]
             parts.append(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
 from shelfline.operators import clean, dims, facts, features, forecast, ml
+from shelfline.plans import batches
 from shelfline.session import stash
 from shelfline.sources import tables as T
 
@@ -50,6 +51,7 @@ class Warehouse:
 
 _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "order_lines": lambda w: w.raw("order_lines"),
+    "drift_scores": lambda w: batches.scores(w["order_lines"]),
     "transactions_clean": lambda w: clean.clean_rows(w.raw("transactions"), w.as_of, T.transaction_order()),
     "dim_date": lambda w: dims.dim_date_covering(w.source("orders"), "o_orderdate"),
     "dim_customer": lambda w: dims.dim_customer(w.raw("customers"), w.as_of),
