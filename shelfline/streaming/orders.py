@@ -85,7 +85,7 @@ def dedup(orders: DataFrame, delay: str) -> DataFrame:
 
 
 def daily_metrics(orders: DataFrame, delay: str) -> DataFrame:
-    """Orders, revenue, mean order and approximate customers per day."""
+    """Orders, revenue, mean order and approximate customers per day (UTC days, in a UTC session)."""
     amount = X.money("price") * F.col("quantity")
     return (
         orders.withWatermark("timestamp", delay)
