@@ -69,8 +69,8 @@ def kpi_top_products(w):
 
 
 @_query
-def top5_products(w):
-    return kpi.top5_products(w["fact_sales"], w["dim_product"])
+def best_five_products(w):
+    return kpi.best_five_products(w["fact_sales"], w["dim_product"])
 
 
 @_query

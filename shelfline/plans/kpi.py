@@ -195,7 +195,7 @@ def top_products(fact: DataFrame, dim_product: DataFrame, k: int = 10) -> DataFr
     ).orderBy("revenue_rank")
 
 
-def top5_products(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
+def best_five_products(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
     """Five best product names by revenue."""
     per_key = _first_sums(fact, "product_key").join(
         dim_product.select("product_key", F.col("name").alias("product_name")), "product_key"

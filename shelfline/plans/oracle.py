@@ -320,7 +320,7 @@ _STATEMENTS = {
         round(CAST(sum(revenue) AS DOUBLE) * 100.0 / CAST(sum(sum(revenue)) OVER () AS DOUBLE) * 100) / 100 AS revenue_share_pct,
         CAST(row_number() OVER (ORDER BY sum(revenue) DESC, product_id) AS INTEGER) AS revenue_rank
         FROM fact JOIN dim_product USING (product_key) GROUP BY product_id, name, category, brand, price ORDER BY revenue_rank LIMIT 10""",
-    "top5_products": """SELECT name AS product_name, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM fact JOIN dim_product USING (product_key)
+    "best_five_products": """SELECT name AS product_name, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM fact JOIN dim_product USING (product_key)
         GROUP BY name ORDER BY total_revenue DESC, product_name LIMIT 5""",
     "kpi_turnover": _MOVEMENT,
     "kpi_stockout_top20": _MOVEMENT + " ORDER BY avg_daily_sales DESC, product_id LIMIT 20",
