@@ -54,7 +54,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches, column: int, limit: int = 8 << 20):
+def slices(batches, column: int, limit: int = 2 << 20):
     """Record batches cut into pieces of about ``limit`` bytes of the text in ``column`` (at least one row each)."""
     for batch in batches:
         sizes = batch.column(column).cast(pa.large_binary())
