@@ -106,6 +106,21 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def span_hashes_blockwise(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of short spans anywhere in ``data``, with running sums over one block at a time."""
+    out = np.empty(len(starts), np.uint64)
+    order = np.argsort(starts, kind="stable") if len(starts) and (np.diff(starts) < 0).any() else np.arange(len(starts))
+    ordered = starts[order]
+    at = 0
+    while at < len(order):
+        base = ordered[at]
+        stop = int(np.searchsorted(ordered, base + BLOCK, "left"))
+        own = order[at:stop]
+        out[own] = span_hashes(prefix_sums(data[base : ends[own].max()]), starts[own] - base, ends[own] - base)
+        at = stop
+    return out
+
+
 def byte_classes(kind: str) -> np.ndarray:
     """Lookup of 256 bytes: 0 separates, other values are the byte with A-Z lower-cased.
 
