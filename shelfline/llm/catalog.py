@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import decontaminate, minhash, mixing, quality, secret_scan, suffix_dedup, url_filter
+from shelfline.llm import ann, decontaminate, minhash, mixing, pii, quality, secret_scan, suffix_dedup, url_filter
 from shelfline.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,12 +42,22 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_query
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_every(table(spark, sf_dir, "embeddings"), 20)
+
+
 @_query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
