@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1 << 21  # bytes of text that are hashed at once
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -19,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(columns: list[str]) -> Column:
+    """All of ``columns`` in one struct named ``row``, so that no name can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+
+
+def schema_of(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:
+    """A schema of some columns of ``df`` and further ones."""
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns] + [T.StructField(c, kind) for c, kind in more.items()])
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

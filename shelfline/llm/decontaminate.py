@@ -198,14 +198,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a verbatim match, with all their columns."""
-    state = docs.select(F.struct(*docs.columns).alias("row"), "text").select(
-        "row", "text", F.lit(False).alias("hit")
-    )
-    row_type = state.schema["row"].dataType.simpleString()
+    state = docs.select(common.whole_row(docs.columns), "text", F.lit(False).alias("hit"))
     for block in test_blocks(benchmark, block_bytes):
         tests = compile_tests(block, window)
         if tests["keys"]:
-            state = state.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(tests)), f"row {row_type}, text string, hit boolean")
+            state = state.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(tests)), common.schema_of(state, "row", "text", "hit"))
     return state.where(~F.col("hit")).select("row.*")
 
 

@@ -293,10 +293,9 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns."""
-    kept = classes(docs, threshold).where("keep").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("node").alias("__node")).distinct()
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th"))
-    joined = marked.join(kept, same)
-    # rows that repeat a kept one: the join has brought them together, one of them stays (wordless ones are no class)
-    turn = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(1)))
-    return joined.withColumn("__turn", turn).where((F.col("__turn") == 1) | F.col("__node").isNull()).select(*docs.columns)
+    kept = classes(docs, threshold).where("keep").select(F.col("doc_id").alias("id"), "th", "node").distinct()
+    rows = docs.select(common.whole_row(docs.columns), F.xxhash64("text").alias("text_hash"))
+    joined = rows.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
+    # rows that repeat a kept one stand next to it after the join; one stays, but wordless ones are no class
+    turn = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
+    return joined.withColumn("turn", turn).where((F.col("turn") == 1) | F.col("node").isNull()).select("row.*")

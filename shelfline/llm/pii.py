@@ -233,8 +233,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all their columns and sanitised ``text``."""
     spans = judged(docs).select(F.col("doc_id").alias("j_id"), F.col("th").alias("j_th"), "base", "terms").where((F.size("base") > 0) | F.col("terms").isNotNull()).distinct()
-    rest = [c for c in docs.columns if c != "text"]
-    state = docs.select(F.struct(*rest).alias("row"), "text").withColumn("th", F.xxhash64("text"))
+    state = docs.select(common.whole_row([c for c in docs.columns if c != "text"]), "text", F.xxhash64("text").alias("th"))
     joined = state.join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("j_id")) & (F.col("th") == F.col("j_th")), "left").select("row", "text", "base", "terms")
-    done = joined.mapInArrow(_apply, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    done = joined.mapInArrow(_apply, common.schema_of(joined, "row", "text"))
     return done.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

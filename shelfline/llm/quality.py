@@ -180,7 +180,7 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
     small = {k: np.asarray(v, np.float32) if k != "w0" else v for k, v in model.items()}
     shared = docs.sparkSession.sparkContext.broadcast(small)
     cut = float(np.log(threshold / (1 - threshold)))
-    state = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    state = docs.select(common.whole_row(docs.columns), "text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -188,4 +188,4 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
             good = raw_score(model, *vectors(batch.column(1))) >= cut
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good, pa.bool_()))
 
-    return state.mapInArrow(kept, f"row {state.schema['row'].dataType.simpleString()}").select("row.*")
+    return state.mapInArrow(kept, common.schema_of(state, "row")).select("row.*")

@@ -230,9 +230,8 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clean(docs: DataFrame) -> DataFrame:
     """All documents with their columns; secrets are masked in ``text``, and ``n_chars``, if there, follows."""
-    state = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    kind = state.schema["row"].dataType.simpleString()
-    done = state.mapInArrow(_redacted, f"row {kind}, text string")
+    state = docs.select(common.whole_row([c for c in docs.columns if c != "text"]), "text")
+    done = state.mapInArrow(_redacted, common.schema_of(state, "row", "text"))
     length = F.length(F.coalesce("text", F.lit(""))).cast("long")
     own = {"text": F.col("text"), "n_chars": F.when(F.col("row.n_chars").isNotNull(), length) if "n_chars" in docs.columns else None}
     return done.select(*(own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns))
