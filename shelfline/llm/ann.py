@@ -227,7 +227,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
     spark = embeddings.sparkSession
     rows = usable(embeddings)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r.v for r in chosen], np.float64).reshape(len(chosen), -1)
+    x = np.array([r.v for r in chosen], np.float64) if chosen else np.zeros((0, 1))
     router, probes = learn(x, min(k, max(len(chosen) - 1, 1))) if len(chosen) else ({"w": np.zeros((1, 1)), "b": np.zeros(1)}, 1)
     placed = rows.mapInArrow(_place_rows(spark.sparkContext.broadcast((router,))), "vec_id long, v array<double>, part int")
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part

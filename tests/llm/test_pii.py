@@ -44,7 +44,7 @@ def rows():
     for i in range(40):
         out.append((i, " ".join(FILL[(i + j) % len(FILL)] for j in range(15))))
     for i in range(3):  # Zanzibarian is only ever seen with this address, in different contexts
-        out.append((100 + i, f"{FILL[i]} {FILL[i + 3]} Zanzibarian writes jane.roe@mail.example.com about {FILL[i + 5]}"))
+        out.append((100 + i, f"{FILL[i]} {FILL[i + 3]} Zanzibarian lorem jane.roe@mail.example.com ipsum {FILL[i + 5]}"))
     out += [(200, "plain lorem 10.1.2.3 ipsum"), (200, "plain lorem 10.1.2.3 ipsum"), (None, "call +1 (988) 555-2485 dolor"), (300, None), (301, "")]
     return out
 
