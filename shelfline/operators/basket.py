@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shelfline.functions import exprs as X
 from shelfline.session import stash
 
+# Left items of one basket in one task.
+SHARE = 500
+
 
 def basket_items(sales: DataFrame, basket: str, product: str) -> DataFrame:
     """Distinct (basket, product)."""
@@ -21,78 +24,39 @@ def frequent_items(items: DataFrame, min_support: int) -> DataFrame:
     return items.join(support.where(F.col("n_baskets") >= min_support), "product")
 
 
-def _pair_counts(items: DataFrame, salts: int) -> DataFrame:
-    """Occurrences of each ordered pair a < b over the given baskets.
+def pair_support(items: DataFrame, min_support: int = 1, share: int = SHARE) -> DataFrame:
+    """Exact co-occurrence counts of pairs a < b with at least ``min_support`` baskets.
 
-    The left side of the self-join is spread over ``salts`` tasks per basket, and
-    pairs are counted map-side as they are produced.
+    Every basket is dealt to one salt per ``share`` items: the left side of the
+    self-join goes to one of them by product, the right side to all, so no task
+    holds more than ``share`` left items of one basket, and an ordinary basket has
+    one salt. Pairs are counted map-side as they are produced.
     """
-    left = items.select(
-        "basket", F.col("product").alias("product_a"), F.pmod(F.xxhash64("product"), F.lit(salts)).cast("int").alias("salt")
-    )
-    right = items.select("basket", F.col("product").alias("product_b"))
-    if salts > 1:
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    else:
-        right = right.withColumn("salt", F.lit(0))
+    sizes = items.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("salts"))
+    dealt = items.join(sizes, "basket")
+    left = dealt.select("basket", F.col("product").alias("product_a"), F.pmod(F.xxhash64("product"), F.col("salts")).cast("int").alias("salt"))
+    right = dealt.select("basket", F.col("product").alias("product_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["basket", "salt"]).where("product_a < product_b")
-    return pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("n"))
-
-
-def pair_support(items: DataFrame, min_support: int, large_basket: int, salts: int) -> DataFrame:
-    """Exact co-occurrence counts of pairs with at least ``min_support`` baskets.
-
-    Ordinary baskets are self-joined; their work is at most ``large_basket``
-    squared each. Larger baskets are not: a pair in them is counted through
-
-    * membership, for pairs that some ordinary basket already holds, and
-    * a self-join over products shared by ``min_support`` or more large baskets,
-      for pairs that only large baskets hold. One huge basket shares nothing with
-      others and adds no pairs there.
-    """
-    sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("n_items"))
-    oversized = stash(sizes.where(F.col("n_items") > large_basket).select("basket"), "large-baskets")
-    if oversized.isEmpty():
-        return _pair_counts(items, 1).where(F.col("n") >= min_support).withColumnRenamed("n", "co_occurrence_count")
-
-    large = stash(items.join(oversized, "basket", "left_semi"), "large-basket-items")
-    counted = stash(_pair_counts(items.join(oversized, "basket", "left_anti"), 1), "pairs")
-    in_large_a = large.select("basket", F.col("product").alias("product_a"))
-    in_large_b = large.select("basket", F.col("product").alias("product_b"))
-    extra = (
-        counted.select("product_a", "product_b")
-        .join(in_large_a, "product_a")
-        .join(in_large_b, ["basket", "product_b"])
-        .groupBy("product_a", "product_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    shared = large.groupBy("product").agg(F.count(F.lit(1)).alias("n_large")).where(F.col("n_large") >= min_support)
-    only_large = _pair_counts(large.join(shared.select("product"), "product", "left_semi"), salts).join(
-        counted.select("product_a", "product_b"), ["product_a", "product_b"], "left_anti"
-    )
-    total = (
-        counted.unionByName(extra)
-        .unionByName(only_large)
-        .groupBy("product_a", "product_b")
-        .agg(F.sum("n").alias("co_occurrence_count"))
-    )
-    return total.where(F.col("co_occurrence_count") >= min_support)
+    counted = pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_occurrence_count"))
+    return counted.where(F.col("co_occurrence_count") >= min_support)
 
 
 def product_pairs(
     sales: DataFrame,
     basket: str,
     product: str,
-    min_support: int = 2,
-    large_basket: int = 1000,
-    salts: int = 32,
+    min_support: int = 1,
+    share: int = SHARE,
     limit: int | None = None,
 ) -> DataFrame:
-    """product_a, product_b, co_occurrence_count, confidence of a -> b, lift."""
+    """product_a, product_b, co_occurrence_count, confidence of a -> b, lift.
+
+    All pairs of all baskets; ``min_support`` and ``limit`` cut the report on request.
+    """
     # Written once: support, basket sizes and the self-join all read it.
     items = stash(basket_items(sales, basket, product), "basket-items")
-    frequent = frequent_items(items, min_support)
-    pairs = pair_support(frequent.select("basket", "product"), min_support, large_basket, salts)
+    frequent = stash(frequent_items(items, min_support).select("basket", "product"), "basket-frequent") if min_support > 1 else items
+    pairs = pair_support(frequent, min_support, share)
     support = items.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     baskets = items.agg(F.countDistinct("basket")).scalar()
     joined = pairs.join(support.select(F.col("product").alias("product_a"), F.col("n").alias("n_a")), "product_a").join(

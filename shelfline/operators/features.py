@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shelfline.functions import exprs as X
-from shelfline.operators.rows import dense_keys, keep_first
+from shelfline.operators.rows import keep_first
 
 PAIR = ["product_id", "store_id"]
 FEATURES = ["current_stock", "avg_sales_7d", "stddev_sales_7d", "category_encoded"]
@@ -37,6 +39,35 @@ def trailing_sales(daily: DataFrame, days: int = DAYS) -> DataFrame:
     )
 
 
+def trailing_at(daily: DataFrame, as_of: Column, days: int = DAYS) -> DataFrame:
+    """Mean and deviation per pair over the ``days`` days up to ``as_of``; pairs without a sale in them are absent."""
+    units = F.col("units").cast("long")
+    recent = daily.where((F.col("date") <= as_of) & (F.col("date") > F.date_sub(as_of, days)))
+    sums = recent.groupBy(*PAIR).agg(F.sum(units).alias("_sum"), F.sum(units * units).alias("_sumsq"))
+    variance = X.ratio(F.lit(days) * F.col("_sumsq") - F.col("_sum") * F.col("_sum"), F.lit(days * (days - 1)))
+    return sums.select(*PAIR, (X.dbl("_sum") / days).alias("avg_sales_7d"), F.round(F.sqrt(variance), 6).alias("stddev_sales_7d"))
+
+
+def daily_units(fact_sales: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """Units per product, store and day of the fact, by business id."""
+    keyed = fact_sales.groupBy("product_key", "store_key", "date_key").agg(F.sum(F.col("quantity").cast("bigint")).alias("units"))
+    return _named(keyed, dim_product, dim_store, dim_date).groupBy(*PAIR, "date").agg(F.sum("units").alias("units"))
+
+
+def stock_counts(fact_inventory: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """Stock counts by business id and date."""
+    rows = fact_inventory.select("product_key", "store_key", "date_key", "stock_level")
+    return _named(rows, dim_product, dim_store, dim_date).select(*PAIR, "date", "stock_level")
+
+
+def _named(rows: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame) -> DataFrame:
+    return (
+        rows.join(dim_product.select("product_key", "product_id"), "product_key")
+        .join(dim_store.select("store_key", "store_id"), "store_key")
+        .join(dim_date.select("date_key", "date"), "date_key")
+    )
+
+
 def latest_stock(stock: DataFrame) -> DataFrame:
     """Newest stock count per pair."""
     newest = keep_first(stock, PAIR, [F.desc_nulls_last("date"), F.desc_nulls_last("stock_level")])
@@ -46,25 +77,32 @@ def latest_stock(stock: DataFrame) -> DataFrame:
 def category_codes(categories: DataFrame) -> DataFrame:
     """(category, category_encoded): 0, 1, 2, ... in alphabetical order."""
     distinct = categories.select("category").dropna().distinct()
-    return dense_keys(distinct, ["category"], "category_encoded", -1).withColumn(
-        "category_encoded", F.col("category_encoded").cast("int")
-    )
+    # One row per category reaches this window.
+    place = F.row_number().over(Window.orderBy("category"))
+    return distinct.withColumn("category_encoded", (place - 1).cast("int"))
+
+
+def _described(pairs: DataFrame, trailing: DataFrame, categories: DataFrame, keys: Sequence[str]) -> DataFrame:
+    coded = categories.join(category_codes(categories), "category").select("product_id", "category_encoded")
+    sold = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_sales_7d", "stddev_sales_7d")]
+    return pairs.join(trailing, list(keys), "left").join(coded, "product_id").select(*keys, "current_stock", *sold, "category_encoded")
 
 
-def stock_features(daily: DataFrame, stock: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row per pair: newest stock, trailing sales on the pair's last sales day, category code.
+def stock_features(daily: DataFrame, stock: DataFrame, categories: DataFrame, as_of: Column, days: int = DAYS) -> DataFrame:
+    """One row per stocked pair: newest stock, sales over the days up to ``as_of`` (0 for idle pairs), category code.
 
     daily: product_id, store_id, date, units (one row per pair and day);
     stock: product_id, store_id, date, stock_level; categories: product_id, category.
     """
-    trailing = keep_first(trailing_sales(daily), PAIR, [F.desc_nulls_last("date")])
-    coded = categories.join(category_codes(categories), "category").select("product_id", "category_encoded")
-    return (
-        latest_stock(stock)
-        .join(trailing.drop("date"), PAIR)
-        .join(coded, "product_id")
-        .select(*PAIR, *FEATURES)
-    )
+    return _described(latest_stock(stock), trailing_at(daily, as_of, days), categories, PAIR)
+
+
+def history_features(daily: DataFrame, stock: DataFrame, categories: DataFrame, days: int = DAYS) -> DataFrame:
+    """The same features on every day with a stock count: what the models learn from."""
+    key = [*PAIR, "date"]
+    counted = keep_first(stock, key, [F.desc_nulls_last("stock_level")])
+    counted = counted.select(*key, F.col("stock_level").cast("double").alias("current_stock"))
+    return _described(counted, trailing_sales(daily, days), categories, key)
 
 
 def with_labels(features: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ def weekday_profile(daily: DataFrame, as_of: Column, weeks: int = WEEKS) -> Data
     return sums.select(*PAIR, "weekday", (X.dbl("_sum") / weeks).alias("mean"), spread.alias("variance"))
 
 
-def daily_forecast(daily: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z) -> DataFrame:
-    """One row per pair and each of the next seven days; a weekday without history forecasts 0."""
+def daily_forecast(daily: DataFrame, pairs: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z) -> DataFrame:
+    """One row for each of ``pairs`` and of the next seven days; a weekday or pair without history forecasts 0."""
     profile = weekday_profile(daily, as_of, weeks)
-    pairs = profile.select(*PAIR).distinct()
+    pairs = pairs.select(*PAIR).distinct()
     days = F.sequence(F.date_add(as_of, 1), F.date_add(as_of, HORIZON))
     grid = pairs.withColumn("forecast_date", F.explode(days)).withColumn("weekday", F.dayofweek("forecast_date"))
     joined = grid.join(profile, [*PAIR, "weekday"], "left")
@@ -45,9 +45,9 @@ def daily_forecast(daily: DataFrame, as_of: Column, weeks: int = WEEKS, z: float
 
 
 def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z) -> DataFrame:
-    """One row per pair: units over the next seven days, bounds and days until the stock is gone.
+    """One row per stocked pair: units over the next seven days, bounds and days until the stock is gone.
 
-    stock: product_id, store_id, current_stock. Each weekday occurs once in seven
+    stock: product_id, store_id, current_stock. An idle pair forecasts 0. Each weekday occurs once in seven
     days, so the total is the sum of the weekday means.
     """
     # Exact six-digit decimals keep the sums independent of row order.
@@ -55,8 +55,10 @@ def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: in
         F.sum(F.col("mean").cast("decimal(24,6)")).cast("double").alias("_mean"),
         F.sum(F.col("variance").cast("decimal(28,6)")).cast("double").alias("_variance"),
     )
+    known = stock.select(*PAIR, "current_stock").join(total, PAIR, "left")
+    known = known.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_mean", "_variance")})
     margin = z * F.sqrt("_variance")
-    return total.join(stock.select(*PAIR, "current_stock"), PAIR).select(
+    return known.select(
         *PAIR,
         "current_stock",
         F.round("_mean", 6).alias("forecast_7d"),

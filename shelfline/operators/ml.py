@@ -16,8 +16,12 @@ from shelfline.functions import exprs as X
 from shelfline.operators.features import FEATURES, PAIR, with_labels
 from shelfline.operators.rows import keep_first, top_k
 
-N_TREES = 50
+# Trees and depth of the forest, rounds and depth of the boosting.
+N_TREES, DEPTH = 50, 12
+ROUNDS, ROUND_DEPTH = 100, 3
 SEED = 42
+# Both models are fitted on at most so many labelled rows; scores cover all pairs.
+MAX_TRAINING_ROWS = 20_000
 
 
 class Models(NamedTuple):
@@ -25,20 +29,45 @@ class Models(NamedTuple):
     regressor: PipelineModel
 
 
-def fit(features: DataFrame, trees: int = N_TREES, seed: int = SEED) -> Models:
-    """Train both models on all pairs; labels come from ``with_labels``."""
-    binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
+def training_rows(features: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """Labelled rows for ``fit``: those with the smallest hashes, at most ``limit``."""
     rows = with_labels(features).dropna(subset=FEATURES)
+    key = [c for c in ("product_id", "store_id", "date") if c in features.columns]
+    return rows.orderBy(F.xxhash64(*key), *key).limit(limit)
+
+
+def held_out(features: DataFrame) -> Column:
+    """True for a fifth of all rows, by hash of their key."""
+    key = [c for c in ("product_id", "store_id", "date") if c in features.columns]
+    return F.pmod(F.xxhash64(F.lit("held out"), *key), F.lit(5)) == 0
+
+
+def fit(rows: DataFrame, trees: int = N_TREES, depth: int = DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, seed: int = SEED) -> Models:
+    """Train both models on labelled rows (``training_rows``)."""
+    binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
     rows = rows.select(*FEATURES, X.dbl("risk").alias("risk", metadata=binary), X.dbl("reorder_qty").alias("reorder_qty"))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(labelCol="risk", featuresCol="features", numTrees=trees, seed=seed)
-    boosting = GBTRegressor(labelCol="reorder_qty", featuresCol="features", seed=seed)
+    forest = RandomForestClassifier(labelCol="risk", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    boosting = GBTRegressor(labelCol="reorder_qty", featuresCol="features", maxIter=rounds, maxDepth=round_depth, seed=seed)
     return Models(
         Pipeline(stages=[vector, forest]).fit(rows),
         Pipeline(stages=[vector, boosting]).fit(rows),
     )
 
 
+def quality(models: Models, features: DataFrame) -> DataFrame:
+    """One row: accuracy of the classifier, R2 of the regressor and the rows they were measured on."""
+    rows = with_labels(features).dropna(subset=FEATURES)
+    risk = models.classifier.transform(rows).select("risk", F.col("prediction").alias("guess"), "reorder_qty", *FEATURES)
+    both = models.regressor.transform(risk)
+    error, value = F.col("reorder_qty") - F.col("prediction"), F.col("reorder_qty")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.avg((F.col("risk") == F.col("guess")).cast("int")).alias("accuracy"),
+        (1 - F.sum(error * error) / (F.sum(value * value) - F.sum(value) * F.sum(value) / F.count(F.lit(1)))).alias("r2"),
+    )
+
+
 def score(models: Models, features: DataFrame) -> DataFrame:
     """Probability, risk level, confidence in percent and whole reorder units for every pair."""
     rows = features.dropna(subset=FEATURES)

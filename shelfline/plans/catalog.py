@@ -69,8 +69,8 @@ def kpi_top_products(w):
 
 
 @_query
-def best_five_products(w):
-    return kpi.best_five_products(w["fact_sales"], w["dim_product"])
+def top5_products(w):
+    return kpi.top5_products(w["fact_sales"], w["dim_product"])
 
 
 @_query
@@ -236,24 +236,48 @@ def fact_shipments(w):
     return facts.fact_shipments(w.raw("shipments"), w["fact_sales"])
 
 
+DAY, WEEK_START = "1998-03-25", "1998-03-19"
+
+
+def _sums(rows):
+    return rows.agg(X.sum_money("revenue").alias("total_revenue"), F.count("sale_id").alias("transaction_count"))
+
+
 @_query
 def partition_prune_sum(w):
-    """Revenue of one day read through the layout; by month, as a day has few rows here."""
-    day = "1998-03-25"
-    path = fresh_path(w.spark, "sales-by-day")
-    layout.write_partitioned(w["fact_sales"], w["dim_date"], w["dim_store"], path, "month")
-    return layout.read_day(w.spark, path, day, "month").agg(
-        F.lit(day).cast("date").alias("day"),
-        X.sum_money("revenue").alias("total_revenue"),
-        F.count("sale_id").alias("transaction_count"),
-    )
+    """Revenue of one day read through the daily layout."""
+    return _sums(layout.read_day(w.spark, w.layout("day"), DAY)).select(F.lit(DAY).cast("date").alias("day"), "*")
+
+
+@_query
+def partition_week_sum(w):
+    """Revenue of seven days read through the daily layout."""
+    return _sums(layout.read_days(w.spark, w.layout("day"), WEEK_START, DAY))
+
+
+@_query
+def partition_region_sum(w):
+    """Revenue of one region by month, from the region's folders of the monthly layout."""
+    rows = layout.read_region(w.spark, w.layout("month"), "West")
+    return _sums(rows.groupBy(F.trunc("full_date", "month").alias("month")))
+
+
+@_query
+def partition_full_sum(w):
+    """Everything, read through the monthly layout."""
+    return _sums(layout.read_partitioned(w.spark, w.layout("month")))
+
+
+@_query
+def partition_missing_day_sum(w):
+    """A day without sales: no folder, and sums of nothing."""
+    return _sums(layout.read_day(w.spark, w.layout("day"), "2030-01-01"))
 
 
 @_query
 def full_scan_day_sum(w):
     """The same sum from the unpartitioned fact."""
-    day = w["fact_sales"].where("date_key = 19980325")
-    return day.agg(X.sum_money("revenue").alias("total_revenue"), F.count("sale_id").alias("transaction_count"))
+    return _sums(w["fact_sales"].where("date_key = 19980325"))
 
 
 # --- access ------------------------------------------------------------------------------
@@ -548,14 +572,19 @@ def quarantine_alert(w):
 # --- features, forecast, models -----------------------------------------------------------------
 @_query
 def pair_sales(w):
-    """Units per product group, region and day: the input of features and forecast."""
-    return w.raw("pair_sales")
+    """Units per product, store and day: the input of features and forecast."""
+    return features.daily_units(w["fact_sales"], w["dim_product"], w["dim_store"], w["dim_date"])
 
 
 @_query
 def stock_features(w):
-    daily = w["pair_sales"]
-    return features.stock_features(daily, T.pair_stock(daily), T.pair_categories(daily))
+    return features.stock_features(w["pair_sales"], w["pair_stock"], w.categories(), w.forecast_day())
+
+
+@_query
+def history_features(w):
+    """Features on every day with a stock count: the rows that the models learn from."""
+    return features.history_features(w["pair_sales"], w["pair_stock"], w.categories())
 
 
 @_query
@@ -575,13 +604,28 @@ def demand_forecast_7d(w):
 
 @_query
 def demand_forecast_daily(w):
-    return forecast.daily_forecast(w["pair_sales"], w.forecast_day())
+    return forecast.daily_forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
 
 
 @_query
 def stockout_scores(w):
-    """Train both models on all pairs and score all pairs."""
-    return ml.score(ml.fit(w["stock_features"]), w["stock_features"])
+    """Scores of all stocked pairs by the trained models."""
+    return ml.score(w.models(), w["stock_features"])
+
+
+@_query
+def model_checks(w):
+    """What must hold of the scores, and whether both models do well on rows they were not fitted on."""
+    scores, history = w["stock_scores"], w["history_features"]
+    measured = ml.quality(w.models(), history.where(ml.held_out(history)))
+    outside = ~F.col("risk_probability").between(0, 1) | ~F.col("ml_confidence").between(0, 100)
+    checks = scores.agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count(F.when(F.col("risk_level").isNull() | F.col("recommended_reorder").isNull(), 1)).alias("n_null"),
+        F.count(F.when(outside, 1)).alias("n_out_of_range"),
+    )
+    good = measured.select((F.col("accuracy") > 0.85).alias("accuracy_above_85_pct"), (F.col("r2") > 0.7).alias("r2_above_0_7"))
+    return checks.join(good, F.lit(True))  # one row each
 
 
 @_query
@@ -596,10 +640,7 @@ def reasoning_log(w):
 
 @_query
 def high_risk_latest(w):
-    log = w["reasoning_log"]
-    product = log.select("product_id").distinct().withColumn("name", F.concat(F.lit("All of "), "product_id"))
-    store = log.select("store_id").distinct().withColumn("store_name", F.col("store_id"))
-    return ml.high_risk(log, product, store)
+    return ml.high_risk(w["reasoning_log"], w["dim_product"], w["dim_store"])
 
 
 @_query
@@ -617,6 +658,58 @@ def decision_feed(w):
     return ml.decision_feed(w["reasoning_log"], T.as_of(LATER))
 
 
+# The same reports over scores by a plain rule, which another engine can follow.
+SAFETY_STOCK = 20
+
+
+def _rule_scores(w):
+    """Scores by rule: two days' expected demand and the safety stock, against what is there."""
+    need = F.col("avg_sales_7d") * 2 + SAFETY_STOCK
+    p = need / (need + F.col("current_stock"))
+    return w["stock_features"].select(
+        *features.PAIR,
+        *features.FEATURES,
+        p.alias("risk_probability"),
+        X.risk_level(p).alias("risk_level"),
+        X.round2(p * 100).alias("ml_confidence"),
+        F.greatest(need - F.col("current_stock"), F.lit(0.0)).cast("int").alias("recommended_reorder"),
+    )
+
+
+def _rule_log(w):
+    return ml.reasoning_log(_rule_scores(w), w["demand_forecast"], w.as_of)
+
+
+@_query
+def risk_ranking_by_rule(w):
+    return ml.risk_ranking(_rule_scores(w))
+
+
+@_query
+def reasoning_log_by_rule(w):
+    return _rule_log(w)
+
+
+@_query
+def high_risk_by_rule(w):
+    return ml.high_risk(_rule_log(w), w["dim_product"], w["dim_store"])
+
+
+@_query
+def recent_predictions_by_rule(w):
+    return ml.recent_predictions(_rule_log(w))
+
+
+@_query
+def recent_alerts_by_rule(w):
+    return ml.recent_alerts(_rule_log(w))
+
+
+@_query
+def decision_feed_by_rule(w):
+    return ml.decision_feed(_rule_log(w), T.as_of(LATER))
+
+
 # --- live orders ---------------------------------------------------------------------------------
 DELAY = "1 day"
 
@@ -634,19 +727,6 @@ def _local(df):
     return df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-def _rule_scores(w):
-    """Scores by a plain rule instead of a model: expected two-day demand against stock."""
-    f = w["stock_features"]
-    p = X.ratio(F.col("avg_sales_7d") * 2, F.col("avg_sales_7d") * 2 + F.col("current_stock"))
-    return f.select(
-        "product_id",
-        "store_id",
-        X.risk_level(p).alias("risk_level"),
-        X.round2(p * 100).alias("ml_confidence"),
-        F.greatest(F.col("avg_sales_7d") * 2 - F.col("current_stock"), F.lit(0.0)).cast("int").alias("recommended_reorder"),
-    )
-
-
 @_query
 def stream_order_ingest(w):
     return live.run_append(T.live_orders(_events(w)), "live-orders")

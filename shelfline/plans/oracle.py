@@ -94,15 +94,16 @@ fact_ship AS (
                CAST(o_orderdate AS DATE) + 1 AS ship, 1 + (l_orderkey * 7 + l_linenumber) % 10 AS days FROM lines) s
   JOIN fact ON sale_id = s.transaction_id),
 pair_sales AS (
-  SELECT p_brand AS product_id, r_name AS store_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units
-  FROM lines JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  SELECT product_id, store_id, date, CAST(sum(quantity) AS BIGINT) AS units
+  FROM fact JOIN dim_product USING (product_key) JOIN dim_store USING (store_key) JOIN dim_date USING (date_key)
   GROUP BY ALL),
 pair_stock AS (
-  SELECT product_id, store_id, date,
-         CAST((length(product_id) * 13 + ascii(right(product_id, 1)) * 7 + length(store_id) * 5
-               + date_diff('day', DATE '1970-01-01', date)) % 100 AS INTEGER) AS stock_level
-  FROM pair_sales),
+  SELECT product_id, store_id, date, max(stock_level) AS stock_level
+  FROM fact_inv JOIN dim_product USING (product_key) JOIN dim_store USING (store_key) JOIN dim_date USING (date_key)
+  GROUP BY ALL),
+last_day AS (SELECT max(date) AS d FROM pair_sales),
+codes AS (
+  SELECT product_id, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS category_encoded FROM dim_product),
 trail7 AS (
   SELECT product_id, store_id, date, CAST(s AS DOUBLE) / 7 AS avg_sales_7d,
          round(sqrt(CAST(7 * q - s * s AS DOUBLE) / 42), 6) AS stddev_sales_7d
@@ -112,35 +113,48 @@ trail7 AS (
         WINDOW w AS (PARTITION BY product_id, store_id ORDER BY date_diff('day', DATE '1970-01-01', date)
                      RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))),
 features AS (
-  SELECT product_id, store_id, current_stock, avg_sales_7d, stddev_sales_7d, category_encoded
+  SELECT product_id, store_id, current_stock, coalesce(CAST(s AS DOUBLE) / 7, 0) AS avg_sales_7d,
+         coalesce(round(sqrt(CAST(7 * q - s * s AS DOUBLE) / 42), 6), 0) AS stddev_sales_7d, category_encoded
   FROM (SELECT product_id, store_id, CAST(stock_level AS DOUBLE) AS current_stock FROM pair_stock
         QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY date DESC) = 1)
-  JOIN (SELECT * EXCLUDE (date) FROM trail7
-        QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY date DESC) = 1) USING (product_id, store_id)
-  JOIN (SELECT product_id, CAST(dense_rank() OVER (ORDER BY left(product_id, 7)) - 1 AS INTEGER) AS category_encoded
-        FROM (SELECT DISTINCT product_id FROM pair_sales)) USING (product_id)),
+  LEFT JOIN (SELECT product_id, store_id, CAST(sum(units) AS BIGINT) AS s, CAST(sum(units * units) AS BIGINT) AS q
+             FROM pair_sales, last_day WHERE date <= d AND date > d - 7 GROUP BY ALL) USING (product_id, store_id)
+  JOIN codes USING (product_id)),
 profile AS (
   SELECT product_id, store_id, dayofweek(date) AS weekday, CAST(sum(units) AS DOUBLE) / 8 AS mean,
          CAST(8 * sum(units * units) - sum(units) * sum(units) AS DOUBLE) / 56 AS variance
-  FROM pair_sales, (SELECT max(date) AS d FROM pair_sales)
+  FROM pair_sales, last_day
   WHERE date <= d AND date > d - 56
   GROUP BY ALL),
+forecast7 AS (
+  SELECT product_id, store_id, current_stock, round(m, 6) AS forecast_7d, round(greatest(m - 1.96::DOUBLE * sqrt(v), 0.0::DOUBLE), 6) AS lower_bound,
+         round(m + 1.96::DOUBLE * sqrt(v), 6) AS upper_bound, round(current_stock * 7 / nullif(m, 0), 6) AS days_remaining
+  FROM (SELECT product_id, store_id, current_stock, coalesce(m, 0) AS m, coalesce(v, 0) AS v FROM features
+        LEFT JOIN (SELECT product_id, store_id, CAST(sum(CAST(mean AS DECIMAL(24,6))) AS DOUBLE) AS m, CAST(sum(CAST(variance AS DECIMAL(28,6))) AS DOUBLE) AS v
+                   FROM profile GROUP BY ALL) USING (product_id, store_id))),
 live AS (
   SELECT event_id AS order_id, ts AS "timestamp",
-         'Brand#' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 25 + 1 AS VARCHAR) AS product_id,
-         (['AFRICA','AMERICA','ASIA','EUROPE','MIDDLE EAST'])[CAST(user_id % 5 AS INTEGER) + 1] AS store_id,
+         'P' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR) AS product_id,
+         'S' || CAST(user_id % 10 AS VARCHAR) AS store_id,
          CAST(user_id % 3 + 1 AS INTEGER) AS quantity, value AS price, 'C' || CAST(user_id AS VARCHAR) AS customer_id
   FROM events WHERE event_type = 'purchase'),
 rejected AS (
   SELECT ts AS "timestamp", 'transactions' AS table_name, value, event_id FROM events WHERE event_type = 'error'),
 rules AS (
-  SELECT product_id, store_id, current_stock, avg_sales_7d, avg_sales_7d * 2 / nullif(avg_sales_7d * 2 + current_stock, 0) AS p FROM features),
+  SELECT *, avg_sales_7d * 2 + 20 AS need, (avg_sales_7d * 2 + 20) / (avg_sales_7d * 2 + 20 + current_stock) AS p FROM features),
 rule_scores AS (
-  SELECT product_id, store_id,
+  SELECT product_id, store_id, current_stock, avg_sales_7d, stddev_sales_7d, p,
          CASE WHEN p > 0.8 THEN 'Critical' WHEN p > 0.6 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END AS risk_level,
+         CAST(CASE WHEN p > 0.8 THEN 3 WHEN p > 0.6 THEN 2 WHEN p > 0.4 THEN 1 ELSE 0 END AS INTEGER) AS risk_rank,
          round(p * 100 * 100) / 100 AS confidence,
-         CAST(trunc(greatest(avg_sales_7d * 2 - current_stock, 0)) AS INTEGER) AS recommended_reorder
+         CAST(trunc(greatest(need - current_stock, 0)) AS INTEGER) AS recommended_reorder
   FROM rules),
+rule_log AS (
+  SELECT TIMESTAMP '2002-01-01' AS "timestamp", store_id, product_id, r.current_stock, avg_sales_7d,
+         stddev_sales_7d / nullif(avg_sales_7d, 0) AS demand_volatility_cv, forecast_7d AS prophet_7d_forecast, upper_bound AS prophet_upper_bound,
+         lower_bound AS prophet_lower_bound, days_remaining AS days_remaining_forecast, risk_rank AS risk_level, p AS ml_confidence,
+         recommended_reorder AS optimal_reorder_qty
+  FROM rule_scores r LEFT JOIN forecast7 USING (product_id, store_id)),
 alerts AS (
   SELECT order_id, "timestamp", product_id, store_id, risk_level, confidence, recommended_reorder
   FROM live JOIN rule_scores USING (product_id, store_id) WHERE risk_level IN ('High', 'Critical')),
@@ -320,7 +334,7 @@ _STATEMENTS = {
         round(CAST(sum(revenue) AS DOUBLE) * 100.0 / CAST(sum(sum(revenue)) OVER () AS DOUBLE) * 100) / 100 AS revenue_share_pct,
         CAST(row_number() OVER (ORDER BY sum(revenue) DESC, product_id) AS INTEGER) AS revenue_rank
         FROM fact JOIN dim_product USING (product_key) GROUP BY product_id, name, category, brand, price ORDER BY revenue_rank LIMIT 10""",
-    "best_five_products": """SELECT name AS product_name, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM fact JOIN dim_product USING (product_key)
+    "top5_products": """SELECT name AS product_name, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM fact JOIN dim_product USING (product_key)
         GROUP BY name ORDER BY total_revenue DESC, product_name LIMIT 5""",
     "kpi_turnover": _MOVEMENT,
     "kpi_stockout_top20": _MOVEMENT + " ORDER BY avg_daily_sales DESC, product_id LIMIT 20",
@@ -367,7 +381,7 @@ _STATEMENTS = {
         FROM value_city ORDER BY total_revenue DESC, city LIMIT 6""",
     "product_pairs": """SELECT product_a, product_b, n AS co_occurrence_count, CAST(n AS DOUBLE) / a.c AS confidence,
         CAST(n AS DOUBLE) * CAST((SELECT count(DISTINCT o) FROM items) AS DOUBLE) / (CAST(a.c AS DOUBLE) * CAST(b.c AS DOUBLE)) AS lift
-        FROM (SELECT x.p AS product_a, y.p AS product_b, count(*) AS n FROM items x JOIN items y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 2)
+        FROM (SELECT x.p AS product_a, y.p AS product_b, count(*) AS n FROM items x JOIN items y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2)
         JOIN (SELECT p, count(*) AS c FROM items GROUP BY p) a ON a.p = product_a JOIN (SELECT p, count(*) AS c FROM items GROUP BY p) b ON b.p = product_b""",
     "top_combos_recent": _COMBOS.format(first="(SELECT max(date_key) - 30 FROM fact)"),
     "top_combos_recent_true_days": _COMBOS.format(
@@ -395,6 +409,11 @@ _STATEMENTS = {
     "inventory_pairs": "SELECT DISTINCT product_id, store_id FROM fact_inv JOIN dim_product USING (product_key) JOIN dim_store USING (store_key)",
     "fact_shipments": "SELECT * FROM fact_ship",
     "partition_prune_sum": "SELECT DATE '1998-03-25' AS day, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key = 19980325",
+    "partition_week_sum": "SELECT CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key BETWEEN 19980319 AND 19980325",
+    "partition_region_sum": """SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count
+        FROM fact JOIN dim_date USING (date_key) JOIN dim_store USING (store_key) WHERE region = 'West' GROUP BY 1""",
+    "partition_full_sum": "SELECT CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact",
+    "partition_missing_day_sum": "SELECT CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key = 20300101",
     "full_scan_day_sum": "SELECT CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key = 19980325",
     "view_analyst": _ANALYST,
     "view_store_manager": _ANALYST + " WHERE store_key = 1",
@@ -446,15 +465,27 @@ _STATEMENTS = {
     "stock_features": "SELECT * FROM features",
     "stock_labels": """SELECT *, CAST(current_stock < avg_sales_7d AS INTEGER) AS risk, greatest(avg_sales_7d * 2 - current_stock, 0.0::DOUBLE) AS reorder_qty FROM features""",
     "trailing_sales": "SELECT * FROM trail7",
-    "demand_forecast_7d": """SELECT product_id, store_id, current_stock, round(m, 6) AS forecast_7d, round(greatest(m - 1.96::DOUBLE * sqrt(v), 0.0::DOUBLE), 6) AS lower_bound,
-        round(m + 1.96::DOUBLE * sqrt(v), 6) AS upper_bound, round(current_stock * 7 / nullif(m, 0), 6) AS days_remaining
-        FROM (SELECT product_id, store_id, CAST(sum(CAST(mean AS DECIMAL(24,6))) AS DOUBLE) AS m, CAST(sum(CAST(variance AS DECIMAL(28,6))) AS DOUBLE) AS v FROM profile GROUP BY ALL)
-        JOIN features USING (product_id, store_id)""",
+    "history_features": """SELECT product_id, store_id, s.date, CAST(stock_level AS DOUBLE) AS current_stock, coalesce(avg_sales_7d, 0) AS avg_sales_7d,
+        coalesce(stddev_sales_7d, 0) AS stddev_sales_7d, category_encoded FROM pair_stock s LEFT JOIN trail7 USING (product_id, store_id, date) JOIN codes USING (product_id)""",
+    "model_checks": """SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_out_of_range, TRUE AS accuracy_above_85_pct, TRUE AS r2_above_0_7 FROM features""",
+    "risk_ranking_by_rule": """SELECT product_id, store_id, risk_level, round(confidence, 1) AS confidence_pct, recommended_reorder, risk_rank FROM rule_scores""",
+    "reasoning_log_by_rule": "SELECT * FROM rule_log",
+    "high_risk_by_rule": """SELECT store_id, product_id, name AS product_name, store_name, current_stock, prophet_7d_forecast, days_remaining_forecast, risk_level,
+        ml_confidence, optimal_reorder_qty FROM rule_log JOIN dim_product USING (product_id) JOIN dim_store USING (store_id) WHERE risk_level >= 2
+        ORDER BY days_remaining_forecast NULLS LAST, product_id, store_id LIMIT 20""",
+    "recent_predictions_by_rule": """SELECT "timestamp", store_id, product_id, risk_level, ml_confidence FROM rule_log ORDER BY "timestamp" DESC, product_id, store_id LIMIT 50""",
+    "recent_alerts_by_rule": """SELECT product_id, store_id, risk_level, ml_confidence, optimal_reorder_qty, "timestamp" FROM rule_log WHERE risk_level >= 2
+        ORDER BY "timestamp" DESC, product_id, store_id LIMIT 5""",
+    "decision_feed_by_rule": """SELECT '20020101000000-' || product_id || '-' || store_id AS decision_id, "timestamp", 'Stockout Risk' AS decision_type,
+        'Product ' || product_id || ' at Store ' || store_id AS entity, 'Reorder ' || CAST(optimal_reorder_qty AS VARCHAR) || ' units' AS action,
+        ml_confidence AS confidence, 'Risk Level: ' || CAST(risk_level AS VARCHAR) AS impact,
+        CASE WHEN risk_level >= 2 THEN 'pending' ELSE 'executed' END AS status, '31d ago' AS age FROM rule_log ORDER BY "timestamp" DESC, decision_id LIMIT 20""",
+    "demand_forecast_7d": "SELECT * FROM forecast7",
     "demand_forecast_daily": """SELECT product_id, store_id, forecast_date, round(coalesce(mean, 0), 6) AS forecast,
         round(greatest(coalesce(mean, 0) - 1.96::DOUBLE * sqrt(coalesce(variance, 0)), 0.0::DOUBLE), 6) AS lower_bound,
         round(coalesce(mean, 0) + 1.96::DOUBLE * sqrt(coalesce(variance, 0)), 6) AS upper_bound
         FROM (SELECT product_id, store_id, CAST(d + i AS DATE) AS forecast_date, dayofweek(CAST(d + i AS DATE)) AS weekday
-              FROM (SELECT DISTINCT product_id, store_id FROM profile), (SELECT max(date) AS d FROM pair_sales), (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS i))
+              FROM features, last_day, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS i))
         LEFT JOIN profile USING (product_id, store_id, weekday)""",
     "stream_order_ingest": "SELECT * FROM live",
     "stream_dedup_orders": "SELECT * FROM live",

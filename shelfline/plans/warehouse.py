@@ -11,10 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.functions import exprs as X
-from shelfline.operators import clean, dims, facts, features, forecast, ml
+from shelfline.operators import clean, dims, facts, features, forecast, layout, ml
 from shelfline.plans import batches
-from shelfline.session import stash
+from shelfline.session import fresh_path, stash
 from shelfline.sources import tables as T
 
 _OPEN: dict[tuple[str, str], "Warehouse"] = {}
@@ -28,6 +27,8 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = T.as_of()
         self._built: dict[str, DataFrame] = {}
+        self._layouts: dict[str, str] = {}
+        self._models: ml.Models | None = None
 
     def raw(self, name: str) -> DataFrame:
         """One of the retail inputs of ``sources.tables``, not written."""
@@ -49,6 +50,25 @@ class Warehouse:
         return self["pair_sales"].agg(F.max("date")).scalar()
 
 
+    def layout(self, period: str) -> str:
+        """Folder of the sales by date (day or month) and region, written once."""
+        if period not in self._layouts:
+            path = fresh_path(self.spark, f"sales-by-{period}")
+            layout.write_partitioned(self["fact_sales"], self["dim_date"], self["dim_store"], path, period)
+            self._layouts[period] = path
+        return self._layouts[period]
+
+    def categories(self) -> DataFrame:
+        return self["dim_product"].select("product_id", "category")
+
+    def models(self) -> ml.Models:
+        """Both models, fitted once per warehouse on history rows that ``ml.held_out`` leaves."""
+        if self._models is None:
+            history = self["history_features"]
+            self._models = ml.fit(ml.training_rows(history.where(~ml.held_out(history))))
+        return self._models
+
+
 _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "order_lines": lambda w: w.raw("order_lines"),
     "drift_scores": lambda w: batches.scores(w["order_lines"]),
@@ -62,12 +82,12 @@ _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
     ),
     "fact_inventory": lambda w: facts.fact_inventory(w.raw("inventory"), w["dim_product"], w["dim_store"]),
     "fact_shipments": lambda w: facts.fact_shipments(w.raw("shipments"), w["fact_sales"]),
-    "pair_sales": lambda w: w.raw("pair_sales"),
-    "stock_features": lambda w: features.stock_features(
-        w["pair_sales"], T.pair_stock(w["pair_sales"]), T.pair_categories(w["pair_sales"])
-    ),
+    "pair_sales": lambda w: features.daily_units(w["fact_sales"], w["dim_product"], w["dim_store"], w["dim_date"]),
+    "pair_stock": lambda w: features.stock_counts(w["fact_inventory"], w["dim_product"], w["dim_store"], w["dim_date"]),
+    "stock_features": lambda w: features.stock_features(w["pair_sales"], w["pair_stock"], w.categories(), w.forecast_day()),
+    "history_features": lambda w: features.history_features(w["pair_sales"], w["pair_stock"], w.categories()),
     "demand_forecast": lambda w: forecast.weekly_forecast(w["pair_sales"], w["stock_features"], w.forecast_day()),
-    "stock_scores": lambda w: ml.score(ml.fit(w["stock_features"]), w["stock_features"]),
+    "stock_scores": lambda w: ml.score(w.models(), w["stock_features"]),
     "reasoning_log": lambda w: ml.reasoning_log(w["stock_scores"], w["demand_forecast"], w.as_of),
 }
 
@@ -78,12 +98,3 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     if key not in _OPEN:
         _OPEN[key] = Warehouse(spark, sf_dir)
     return _OPEN[key]
-
-
-def build_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Build the star schema anew and return its tables."""
-    return Warehouse(spark, sf_dir).star()
-
-
-def edge(df: DataFrame) -> DataFrame:
-    return X.edge(df)

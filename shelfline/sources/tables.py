@@ -25,23 +25,8 @@ STREAM_AS_OF = "2024-01-31 00:00:00"
 # --------------------------------------------------------------------------
 
 
-# Tables that carry the bulk of the work.
-LARGE = {"lineitem", "events"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a scan has fewer tasks than the session has cores.
-
-    A small file is one task whatever the cluster; data of any size has far more
-    tasks than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in LARGE else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_of(text: str = AS_OF):
@@ -166,47 +151,14 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pair_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units per brand (as product), region (as store) and day: dense enough for trailing windows."""
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    lines = order_lines(spark, sf_dir).select("l_partkey", "l_suppkey", F.to_date("o_orderdate").alias("date"), "l_quantity")
-    # Sum per key and day before the joins: a product with a third of all lines
-    # then weighs no more than its number of stores and days.
-    daily = lines.groupBy("l_partkey", "l_suppkey", "date").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
-    places = (
-        s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "r_name")
-    )
-    return (
-        daily.join(p.select("p_partkey", "p_brand"), daily.l_partkey == p.p_partkey)
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.col("p_brand").alias("product_id"), F.col("r_name").alias("store_id"), "date")
-        .agg(F.sum("units").alias("units"))
-    )
-
-
-def pair_stock(sales: DataFrame) -> DataFrame:
-    """Stock counts for the pairs in ``pair_sales``, one per day with a sale."""
-    mix = F.length("product_id") * 13 + F.ascii(F.right("product_id", F.lit(1))) * 7 + F.length("store_id") * 5
-    return sales.select(
-        "product_id", "store_id", "date", ((mix + F.unix_date("date")) % 100).cast("int").alias("stock_level")
-    )
-
-
-def pair_categories(sales: DataFrame) -> DataFrame:
-    """Category of a brand: its leading digit family, e.g. Brand#1 for Brand#17."""
-    return sales.select("product_id").distinct().withColumn("category", F.left("product_id", F.lit(7)))
-
-
 def live_orders(events: DataFrame) -> DataFrame:
     """Purchase events as live orders; works on a batch or a streaming frame."""
     k = F.get_json_object("props", "$.k").cast("int")
-    regions = F.array(*[F.lit(r) for r in ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]])
     return events.where("event_type = 'purchase'").select(
         F.col("event_id").alias("order_id"),
         F.col("ts").alias("timestamp"),
-        F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")).alias("product_id"),
-        F.element_at(regions, (F.col("user_id") % 5 + 1).cast("int")).alias("store_id"),
+        F.concat(F.lit("P"), k.cast("string")).alias("product_id"),
+        F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("store_id"),
         (F.col("user_id") % 3 + 1).cast("int").alias("quantity"),
         F.col("value").alias("price"),
         F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("customer_id"),
