@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 from shelfline.functions import exprs as X
 from shelfline.operators.rows import dense_keys, top_k
-from shelfline.schemas import DRIFT_REGISTRY, TableSchema
+from shelfline.schemas import TableSchema
 
 # --- fixed values ---------------------------------------------------------
 THRESHOLD = 0.75
@@ -120,8 +120,11 @@ def decide(scores: DataFrame, threshold: float = THRESHOLD, max_low: int = MAX_L
     )
 
 
-def verdict(df: DataFrame, schema: TableSchema | None, table: str | None = None) -> DataFrame:
-    """(table_name, status, action, reason): what to do with the incoming batch."""
+def verdict(df: DataFrame, schema: TableSchema | None, table: str | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(table_name, status, action, reason): what to do with the incoming batch.
+
+    ``scores`` are those of its new columns, if they are known already.
+    """
     spark = df.sparkSession
     table = table or (schema.name if schema else "")
     columns = "table_name string, status string, action string, reason string"
@@ -132,7 +135,8 @@ def verdict(df: DataFrame, schema: TableSchema | None, table: str | None = None)
     if not new_columns(df, schema):
         return spark.createDataFrame([(table, "approved", "process", "")], columns)
     auto = F.col("action") == "auto_approve"
-    return decide(score_new_columns(df, schema, table)).select(
+    known = score_new_columns(df, schema, table) if scores is None else scores
+    return decide(known).select(
         "table_name",
         F.when(auto, F.lit("approved")).otherwise(F.lit("pending_approval")).alias("status"),
         F.when(auto, F.lit("process")).otherwise(F.lit("hold")).alias("action"),
@@ -232,7 +236,3 @@ def expand_changes(requests: DataFrame) -> DataFrame:
     return requests.select("queue_id", "table_name", F.explode(F.from_json("decision_json", item)).alias("change")).select(
         "queue_id", "table_name", "change.column_name", "change.confidence", "change.data_type"
     )
-
-
-def schema_for(table: str) -> TableSchema | None:
-    return DRIFT_REGISTRY.get(table)

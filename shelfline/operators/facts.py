@@ -93,13 +93,6 @@ def fact_shipments(shipments: DataFrame, fact_sales: DataFrame, on_time_days: in
     )
 
 
-def empty_external_events(spark) -> DataFrame:
-    """Declared table without a producer."""
-    return spark.createDataFrame(
-        [], "event_id bigint, event_name string, event_date date, region string, demand_impact double"
-    )
-
-
 def last_days(fact: DataFrame, days: int, true_days: bool = False) -> DataFrame:
     """Rows of the last days before the newest one.
 

@@ -37,26 +37,21 @@ def write_partitioned(
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """The whole layout; the folders' dates are read as dates."""
+    """The whole layout. Its folders are listed here, once for all reads of the frame."""
     return spark.read.parquet(path)
 
 
-def read_days(spark: SparkSession, path: str, first: str, last: str, period: str = "day") -> DataFrame:
-    """The rows from ``first`` to ``last``, both included; Spark prunes the folders of other periods.
+def on_days(rows: DataFrame, first: str, last: str, period: str = "day") -> DataFrame:
+    """The rows from ``first`` to ``last``, both included; Spark scans the folders of these periods only.
 
     Days without sales have no folder and so no rows.
     """
-    rows = read_partitioned(spark, path)
     begin, end = F.lit(first).cast("date"), F.lit(last).cast("date")
     oldest = F.lit(f"{first[:8]}01" if period == "month" else first).cast("date")
     in_folders = rows.where(F.col("date_partition").between(oldest, end))
     return in_folders.where(F.col("full_date").between(begin, end))
 
 
-def read_day(spark: SparkSession, path: str, day: str, period: str = "day") -> DataFrame:
-    return read_days(spark, path, day, day, period)
-
-
-def read_region(spark: SparkSession, path: str, region: str) -> DataFrame:
+def in_region(rows: DataFrame, region: str) -> DataFrame:
     """All days of one region, from its folders only."""
-    return read_partitioned(spark, path).where(F.col("region") == region)
+    return rows.where(F.col("region") == region)

@@ -12,6 +12,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from shelfline import schemas as S
 from shelfline.functions import exprs as X
@@ -246,32 +247,32 @@ def _sums(rows):
 @_query
 def partition_prune_sum(w):
     """Revenue of one day read through the daily layout."""
-    return _sums(layout.read_day(w.spark, w.layout("day"), DAY)).select(F.lit(DAY).cast("date").alias("day"), "*")
+    return _sums(layout.on_days(w.layout("day"), DAY, DAY)).select(F.lit(DAY).cast("date").alias("day"), "*")
 
 
 @_query
 def partition_week_sum(w):
     """Revenue of seven days read through the daily layout."""
-    return _sums(layout.read_days(w.spark, w.layout("day"), WEEK_START, DAY))
+    return _sums(layout.on_days(w.layout("day"), WEEK_START, DAY))
 
 
 @_query
 def partition_region_sum(w):
     """Revenue of one region by month, from the region's folders of the monthly layout."""
-    rows = layout.read_region(w.spark, w.layout("month"), "West")
+    rows = layout.in_region(w.layout("month"), "West")
     return _sums(rows.groupBy(F.trunc("full_date", "month").alias("month")))
 
 
 @_query
 def partition_full_sum(w):
     """Everything, read through the monthly layout."""
-    return _sums(layout.read_partitioned(w.spark, w.layout("month")))
+    return _sums(w.layout("month"))
 
 
 @_query
 def partition_missing_day_sum(w):
     """A day without sales: no folder, and sums of nothing."""
-    return _sums(layout.read_day(w.spark, w.layout("day"), "2030-01-01"))
+    return _sums(layout.on_days(w.layout("day"), "2030-01-01", "2030-01-01"))
 
 
 @_query
@@ -428,6 +429,25 @@ def ingest_run_counts(w):
     return counts
 
 
+@_query
+def ingest_read_back(w):
+    """What the ingest sinks hold: the valid rows and the quarantined ones, read from their files."""
+    path = fresh_path(w.spark, "transactions-csv")
+    raw = w.raw("transactions").select(*S.raw_schema("transactions").names)
+    raw.write.option("header", True).option("nullValue", "NA").csv(path)
+    _, folder = ingest.scratch_run(
+        w.spark, "transactions", path, STAMP, registry={"transactions": STRICT_TRANSACTIONS}, file_schema=S.raw_schema("transactions")
+    )
+    valid = readers.read_latest_snapshot(w.spark, f"{folder}/transactions_2*.parquet")
+    marked = types.StructType([*S.raw_schema("transactions").fields, types.StructField(ingest.REASON, types.StringType())])
+    rejected = readers.read_csv(w.spark, f"{folder}/*quarantine*", marked)
+
+    def content(rows, sink, reason):
+        return rows.groupBy(reason.alias(ingest.REASON)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").alias("units")).withColumn("sink", F.lit(sink))
+
+    return content(valid, "valid", F.lit(None).cast("string")).unionByName(content(rejected, "quarantine", F.col(ingest.REASON)))
+
+
 # --- drift --------------------------------------------------------------------------------
 def _governed(w):
     """Scores, decisions, approval queue and change log over the batches."""
@@ -439,12 +459,12 @@ def _governed(w):
 
 @_query
 def drift_confidence(w):
-    return batches.scores(w["order_lines"]).withColumn("sample_values", F.concat_ws("|", "sample_values"))
+    return w["drift_scores"].withColumn("sample_values", F.concat_ws("|", "sample_values"))
 
 
 @_query
 def drift_decision(w):
-    return drift.decide(batches.scores(w["order_lines"]))
+    return drift.decide(w["drift_scores"])
 
 
 @_query
@@ -454,13 +474,14 @@ def drift_verdict(w):
     broken = drift.verdict(batches.incoming(lines).drop("price", "store_id"), batches.REGISTERED, "broken")
     out = known.unionByName(broken)
     for name, extra in batches.BATCHES.items():
-        out = out.unionByName(drift.verdict(batches.incoming(lines, extra), batches.REGISTERED, name))
+        scores = w["drift_scores"].where(F.col("table_name") == name)
+        out = out.unionByName(drift.verdict(batches.incoming(lines, extra), batches.REGISTERED, name, scores))
     return out
 
 
 @_query
 def drift_log(w):
-    return _governed(w)[3].drop("sample_data")
+    return _governed(w)[3]
 
 
 @_query
@@ -486,7 +507,7 @@ def approval_log(w):
     """The change log after the 'noisy' request was rejected."""
     _, _, requests, log = _governed(w)
     picked = requests.where("table_name = 'noisy'")
-    return drift.resolve(requests, log, picked, "rejected", "admin", T.as_of(LATER))[1].drop("sample_data")
+    return drift.resolve(requests, log, picked, "rejected", "admin", T.as_of(LATER))[1]
 
 
 @_query
@@ -510,6 +531,15 @@ def clean_report(w):
     return clean.report(w.raw("transactions"), w.as_of, T.transaction_order())
 
 
+@_query
+def clean_text_dates(w):
+    """Cleaning of rows whose dates are text; what is no date is dropped like a late one."""
+    order = F.split_part("transaction_id", F.lit("-"), F.lit(1)).cast("long")
+    text = F.when(order % 400 == 1, F.lit("some day")).otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    rows = clean.clean_rows(w.raw("transactions").withColumn("date", text), w.as_of, T.transaction_order())
+    return rows.select("transaction_id", "date")
+
+
 @_query
 def anomaly_flags(w):
     """Anomalies over the prices times quantities of cleaned rows, which have a long tail."""
@@ -555,7 +585,7 @@ def run_success_rate(w):
 
 @_query
 def run_metrics(w):
-    return runlog.metrics(clean.report(w.raw("transactions"), w.as_of, T.transaction_order()), 1, w.as_of)
+    return runlog.metrics(w["clean_report"], 1, w.as_of)
 
 
 @_query
@@ -737,12 +767,18 @@ def stream_dedup_orders(w):
     """Every order arrives twice and is kept once."""
     orders = _orders(w)
     twice = orders.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return _local(live.run_append(live.dedup(twice, DELAY), "dedup-orders"))
+    return _local(live.run_dedup(twice, "dedup-orders"))
 
 
 @_query
 def stream_daily_metrics(w):
-    return live.run_updates(live.daily_metrics(_orders(w), DELAY), "daily-metrics", ["day"]).drop("approx_customers")
+    return live.run_daily_metrics(_orders(w), "daily-metrics")
+
+
+@_query
+def stream_daily_view(w):
+    """The running view of the same days, by watermark and update mode."""
+    return live.run_updates(live.daily_metrics(_orders(w), DELAY), "daily-view", ["day"]).drop("approx_customers")
 
 
 @_query
@@ -791,4 +827,4 @@ def stream_messages(w):
 @_query
 def stream_quarantine_rate(w):
     log = live.event_time(T.quarantine_events(_events(w)))
-    return live.run_updates(live.quarantine_rate(log, DELAY, threshold=3), "quarantine-rate", ["window_start"])
+    return live.run_quarantine_rate(log, "quarantine-rate", threshold=3)

@@ -3,8 +3,10 @@
 Each report sums the fact per foreign key first (partial sums before the
 shuffle), joins the dimension to that small result, and sums again to the report
 level. A hot customer, product or store thus costs one row per task, and
-distinct counts become plain counts of keys. Totals used for shares are scalar
-subqueries; unpartitioned windows occur only over months.
+distinct counts become plain counts of keys. Every report scans the fact once.
+Totals for shares are windows over the few rows of the report itself (cities,
+months), or come from per-product sums that are written once; unpartitioned
+windows occur over such few rows only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from shelfline import schemas as S
 from shelfline.functions import exprs as X
 from shelfline.operators.facts import last_days
 from shelfline.operators.rows import top_k
+from shelfline.session import stash
 
 
 def _first_sums(fact: DataFrame, *keys: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -95,6 +98,7 @@ def _per_month(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
         .groupBy("year", "month")
         .agg(
             _revenue().alias("monthly_revenue"),
+            F.sum("_rev").alias("_total"),
             _n().alias("transaction_count"),
             _mean_revenue().alias("avg_transaction_value"),
             _units().alias("total_units_sold"),
@@ -123,8 +127,7 @@ def monthly_revenue(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 def seasonal_demand(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     months = _per_month(fact, dim_date)
-    keyed = fact.join(dim_date.select("date_key"), "date_key", "left_semi")
-    total = keyed.agg(X.dbl(X.sum_money("revenue"))).scalar()
+    total = X.dbl(F.sum("_total").over(Window.partitionBy()))
     return months.select(
         "year",
         "month",
@@ -150,7 +153,7 @@ def city_sales(fact: DataFrame, dim_store: DataFrame) -> DataFrame:
         _mean_revenue().alias("avg_transaction_value"),
         _units().alias("total_units_sold"),
     )
-    total = per_store.agg(X.dbl(F.sum("_rev"))).scalar()
+    total = X.dbl(F.sum("_total").over(Window.partitionBy()))  # over one row per city
     return cities.select(
         "city",
         "region",
@@ -164,7 +167,10 @@ def city_sales(fact: DataFrame, dim_store: DataFrame) -> DataFrame:
 
 
 def top_products(fact: DataFrame, dim_product: DataFrame, k: int = 10) -> DataFrame:
-    """Best products by revenue; shares are of all sales, not of the top rows."""
+    """Best products by revenue; shares are of all sales, not of the top rows.
+
+    Writes the sums per product when called: the total and the top rows both read them.
+    """
     per_key = _first_sums(fact, "product_key").join(
         dim_product.select("product_key", "product_id", F.col("name").alias("product_name"), "category", "brand", "price"),
         "product_key",
@@ -176,7 +182,8 @@ def top_products(fact: DataFrame, dim_product: DataFrame, k: int = 10) -> DataFr
         _n().alias("transaction_count"),
         _mean_revenue().alias("avg_revenue_per_transaction"),
     )
-    total = per_key.agg(X.dbl(F.sum("_rev"))).scalar()
+    grouped = stash(grouped, "product-sums")
+    total = grouped.agg(X.dbl(F.sum("_total"))).scalar()
     best = top_k(grouped, [F.desc_nulls_last("_total"), F.asc_nulls_last("product_id")], k)
     # At most k rows reach this window.
     rank = Window.orderBy(F.desc_nulls_last("_total"), F.asc_nulls_last("product_id"))
@@ -388,12 +395,27 @@ def customer_value(
 # --- headline numbers and chart data -------------------------------------------
 def summary(fact: DataFrame) -> DataFrame:
     """Five headline metrics as rows, from one scan."""
-    one = fact.agg(
-        X.sum_money("revenue").alias("revenue"),
-        F.count("sale_id").alias("sales"),
-        F.countDistinct("customer_key").alias("customers"),
-        F.countDistinct("product_key").alias("products"),
-        F.countDistinct("store_key").alias("stores"),
+    # Each sale gives one row per kind of key; map-side sums shrink them to the distinct keys at once.
+    no_money = F.lit(None).cast("decimal(18,4)")
+    keys = [
+        F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), money.alias("revenue"), sale.alias("sale_id"))
+        for kind, key, money, sale in (
+            ("customer", "customer_key", X.money("revenue"), F.col("sale_id")),
+            ("product", "product_key", no_money, F.lit(None).cast("string")),
+            ("store", "store_key", no_money, F.lit(None).cast("string")),
+        )
+    ]
+    per_key = fact.select(F.inline(F.array(*keys))).groupBy("kind", "key").agg(F.sum("revenue").alias("_rev"), F.count("sale_id").alias("_n"))
+
+    def known(kind: str) -> Column:
+        return F.count(F.when(F.col("kind") == kind, F.col("key")))
+
+    one = per_key.agg(
+        F.sum("_rev").alias("revenue"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("sales"),
+        known("customer").alias("customers"),
+        known("product").alias("products"),
+        known("store").alias("stores"),
     )
 
     def row(metric: str, column: str, text: Column) -> Column:
@@ -419,8 +441,12 @@ def dashboard_cards(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame,
         F.coalesce(F.max(F.when(F.col("_pos") == 1, F.col("revenue"))), F.lit(0.0)).alias("last_revenue"),
         F.coalesce(F.max(F.when(F.col("_pos") == 2, F.col("revenue"))), F.lit(0.0)).alias("prev_revenue"),
     )
-    cities = city_sales(fact, dim_store)
-    people = customer_value_by_city(fact, dim_customer)
+    # Stores and customers with sales come from one pass over the fact: both read the same exchange.
+    pairs = fact.select("store_key", "customer_key").distinct()
+    stores = pairs.select("store_key").distinct().join(dim_store.select("store_key", "city", "region"), "store_key")
+    per_city = stores.groupBy("city", "region").agg(F.count("store_key").alias("active_stores"))
+    places = per_city.agg(F.struct(F.count(F.lit(1)).alias("cities"), F.coalesce(F.sum("active_stores"), F.lit(0)).alias("stores"))).scalar()
+    people = pairs.select("customer_key").distinct().join(dim_customer.select("customer_key"), "customer_key")
     trend = (F.col("last_revenue") - F.col("prev_revenue")) / F.nullif(F.col("prev_revenue"), F.lit(0.0)) * 100
     return time.select(
         "total_revenue",
@@ -428,9 +454,9 @@ def dashboard_cards(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame,
         "last_revenue",
         "prev_revenue",
         F.when(F.col("prev_revenue") > 0, trend).otherwise(F.lit(0.0)).alias("revenue_trend_pct"),
-        cities.agg(F.count(F.lit(1))).scalar().alias("total_cities"),
-        cities.agg(F.coalesce(F.sum("active_stores"), F.lit(0))).scalar().alias("total_stores"),
-        people.agg(F.coalesce(F.sum("customer_count"), F.lit(0))).scalar().alias("total_customers"),
+        places["cities"].alias("total_cities"),
+        places["stores"].alias("total_stores"),
+        people.agg(F.count("customer_key")).scalar().alias("total_customers"),
     )
 
 
@@ -454,7 +480,7 @@ def revenue_chart(fact: DataFrame, dim_date: DataFrame, days: int = 30, shown: i
 def city_chart(fact: DataFrame, dim_store: DataFrame, shown: int = 8) -> DataFrame:
     """Best cities with their share of the best one."""
     cities = city_sales(fact, dim_store)
-    best = cities.agg(F.max("total_revenue")).scalar()
+    best = F.max("total_revenue").over(Window.partitionBy())  # over one row per city
     rows = cities.select("city", "region", "total_revenue", (X.ratio("total_revenue", best) * 100).alias("pct_of_max"))
     return top_k(rows, [F.desc_nulls_last("total_revenue"), F.asc_nulls_last("city")], shown)
 

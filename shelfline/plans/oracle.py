@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from shelfline.plans.batches import BATCHES
 from shelfline.plans.catalog import LATER
+from shelfline.sources.tables import CITIES
 
 _BASE = """
 WITH cities AS (
   SELECT n_nationkey, n_regionkey,
          CASE WHEN n_nationkey >= 20 THEN n_name ELSE
-           (['Mumbai','Delhi','Bangalore','Pune','Hyderabad','Chennai','Kolkata','Ahmedabad','Jaipur','Surat'])[CAST(n_nationkey % 10 AS INTEGER) + 1]
+           ([__CITIES__])[CAST(n_nationkey % 10 AS INTEGER) + 1]
          END AS city
   FROM nation),
 customers AS (
@@ -290,9 +291,9 @@ requests AS (
   FROM decisions WHERE action <> 'auto_approve'),
 log AS (
   SELECT row_number() OVER (ORDER BY table_name, column_name) AS change_id, table_name, 'new_column' AS change_type, column_name,
-         '' AS old_value, data_type AS new_value, confidence AS confidence_score, d.action AS status, TIMESTAMP '2002-01-01' AS detected_at,
-         CAST(NULL AS TIMESTAMP) AS approved_at, CAST(NULL AS VARCHAR) AS approved_by, CAST(0 AS INTEGER) AS affected_rows, queue_id
-  FROM scores JOIN decisions d USING (table_name) LEFT JOIN requests USING (table_name))
+         '' AS old_value, scores.data_type AS new_value, confidence AS confidence_score, d.action AS status, TIMESTAMP '2002-01-01' AS detected_at,
+         CAST(NULL AS TIMESTAMP) AS approved_at, CAST(NULL AS VARCHAR) AS approved_by, CAST(0 AS INTEGER) AS affected_rows, to_json(samples)::VARCHAR AS sample_data, queue_id
+  FROM scores JOIN counted USING (table_name, column_name) JOIN decisions d USING (table_name) LEFT JOIN requests USING (table_name))
 """
     )
 
@@ -319,6 +320,11 @@ _COMBOS = """SELECT product_id, store_id, CAST(sum(revenue) AS DOUBLE) AS total_
 _MOVEMENT = """SELECT product_id, product_name, category, price, total_sold, total_revenue, days_sold, first_sale_date, last_sale_date, avg_daily_sales,
   sales_span_days, sales_span_true_days, movement_category, projected_monthly_sales, projected_annual_sales FROM movement"""
 
+_BASE = _BASE.replace("__CITIES__", ", ".join(f"'{c}'" for c in CITIES))
+
+_LIVE_DAYS = """SELECT CAST("timestamp" AS DATE) AS day, count(*) AS orders, CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) AS revenue,
+    CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) / count(*) AS avg_order_value{more} FROM live GROUP BY 1"""
+
 _STATEMENTS = {
     "kpi_daily_revenue": """SELECT date, year, month, day, CASE WHEN is_weekend THEN 'Weekend' ELSE 'Weekday' END AS day_type,
         CASE WHEN is_holiday THEN 'Holiday' ELSE 'Regular' END AS holiday_type, festival_name, CAST(sum(revenue) AS DOUBLE) AS daily_revenue,
@@ -443,6 +449,9 @@ _STATEMENTS = {
         count(*) AS n_rows FROM (SELECT {_REASON} AS r FROM raw) GROUP BY 1""",
     "ingest_run_counts": f"""SELECT 'transactions' AS table_name, count(*) AS total_rows, count(*) FILTER (r IS NULL) AS valid_rows, count(r) AS quarantined_rows
         FROM (SELECT {_REASON} AS r FROM raw)""",
+    "ingest_read_back": f"""SELECT CASE WHEN r IS NULL THEN 'valid' ELSE 'quarantine' END AS sink, r AS quarantine_reason, count(*) AS n_rows, CAST(sum(quantity) AS BIGINT) AS units
+        FROM (SELECT quantity, {_REASON} AS r FROM raw) GROUP BY ALL""",
+    "clean_text_dates": "SELECT transaction_id, date FROM cleaned WHERE CAST(split_part(transaction_id, '-', 1) AS BIGINT) % 400 <> 1",
     "clean_transactions": _RAW + ", is_anomaly FROM flagged",
     "clean_report": "SELECT * FROM report",
     "anomaly_flags": """SELECT transaction_id, CAST(amount AS DOUBLE) AS price, TRUE AS is_anomaly FROM (SELECT *, CAST(price * quantity AS DECIMAL(18,4)) AS amount FROM cleaned)
@@ -489,8 +498,8 @@ _STATEMENTS = {
         LEFT JOIN profile USING (product_id, store_id, weekday)""",
     "stream_order_ingest": "SELECT * FROM live",
     "stream_dedup_orders": "SELECT * FROM live",
-    "stream_daily_metrics": """SELECT CAST("timestamp" AS DATE) AS day, count(*) AS orders, CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) AS revenue,
-        CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) / count(*) AS avg_order_value FROM live GROUP BY 1""",
+    "stream_daily_metrics": _LIVE_DAYS.format(more=", count(DISTINCT customer_id) AS unique_customers"),
+    "stream_daily_view": _LIVE_DAYS.format(more=""),
     "live_day_metrics": """SELECT count(*) AS orders_today, coalesce(CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE), 0) AS revenue_today,
         coalesce(CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) / count(*), 0) AS avg_order_value, count(DISTINCT customer_id) AS unique_customers
         FROM live WHERE CAST("timestamp" AS DATE) = DATE '2024-01-30'""",

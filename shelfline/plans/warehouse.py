@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import clean, dims, facts, features, forecast, layout, ml
 from shelfline.plans import batches
-from shelfline.session import fresh_path, stash
+from shelfline.session import ON_RELEASE, fresh_path, stash
 from shelfline.sources import tables as T
 
 _OPEN: dict[tuple[str, str], "Warehouse"] = {}
@@ -27,19 +27,20 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = T.as_of()
         self._built: dict[str, DataFrame] = {}
-        self._layouts: dict[str, str] = {}
+        self._layouts: dict[str, DataFrame] = {}
         self._models: ml.Models | None = None
 
     def raw(self, name: str) -> DataFrame:
-        """One of the retail inputs of ``sources.tables``, not written."""
-        return getattr(T, name)(self.spark, self.sf_dir)
+        """One of the retail inputs of ``sources.tables``, not written; order lines are joined once for all."""
+        shared = {"lines": self["order_lines"]} if name in ("transactions", "inventory", "shipments") else {}
+        return getattr(T, name)(self.spark, self.sf_dir, **shared)
 
     def source(self, name: str) -> DataFrame:
         return T.table(self.spark, self.sf_dir, name)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            self._built[name] = stash(_BUILD[name](self), name)
+            self._built[name] = stash(_BUILD[name](self), name, keep=True)
         return self._built[name]
 
     def star(self) -> dict[str, DataFrame]:
@@ -50,12 +51,12 @@ class Warehouse:
         return self["pair_sales"].agg(F.max("date")).scalar()
 
 
-    def layout(self, period: str) -> str:
-        """Folder of the sales by date (day or month) and region, written once."""
+    def layout(self, period: str) -> DataFrame:
+        """The sales by date (day or month) and region, written and listed once."""
         if period not in self._layouts:
-            path = fresh_path(self.spark, f"sales-by-{period}")
+            path = fresh_path(self.spark, f"sales-by-{period}", keep=True)
             layout.write_partitioned(self["fact_sales"], self["dim_date"], self["dim_store"], path, period)
-            self._layouts[period] = path
+            self._layouts[period] = layout.read_partitioned(self.spark, path)
         return self._layouts[period]
 
     def categories(self) -> DataFrame:
@@ -70,9 +71,10 @@ class Warehouse:
 
 
 _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
-    "order_lines": lambda w: w.raw("order_lines"),
+    "order_lines": lambda w: T.order_lines(w.spark, w.sf_dir),
     "drift_scores": lambda w: batches.scores(w["order_lines"]),
     "transactions_clean": lambda w: clean.clean_rows(w.raw("transactions"), w.as_of, T.transaction_order()),
+    "clean_report": lambda w: clean.report(w.raw("transactions"), w.as_of, T.transaction_order()),
     "dim_date": lambda w: dims.dim_date_covering(w.source("orders"), "o_orderdate"),
     "dim_customer": lambda w: dims.dim_customer(w.raw("customers"), w.as_of),
     "dim_product": lambda w: dims.dim_product(w.raw("products")),
@@ -98,3 +100,11 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     if key not in _OPEN:
         _OPEN[key] = Warehouse(spark, sf_dir)
     return _OPEN[key]
+
+
+def _forget(spark: SparkSession) -> None:
+    for key in [k for k in _OPEN if k[0] == spark.sparkContext.applicationId]:
+        del _OPEN[key]
+
+
+ON_RELEASE.append(_forget)

@@ -45,44 +45,18 @@ RISK_ORDINAL = {"Low": 0, "Medium": 1, "High": 2, "Critical": 3}
 DEFAULT_REORDER_POINT = 20
 # Text that a CSV reader should take for a missing value.
 NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a", "#N/A"]
-# --------------------------------------------------------------------------
-
-
-def _struct(spec: str) -> T.StructType:
-    """``"name:type, name:type"`` to a StructType with nullable fields."""
-    pairs = (item.split(":") for item in spec.replace("\n", " ").split(","))
-    return T.StructType([T.StructField(n.strip(), T._parse_datatype_string(t.strip())) for n, t in pairs])
-
-
 # Raw CSV inputs. Ids and phones stay text: type sniffing would turn 007 into 7.
+# The header of the inventory file names the columns in another order than the
+# data has them, so its schema is applied by position.
 RAW_SPECS = {
-    "stores": "store_id:string, store_name:string, city:string, opened_date:date",
-    "customers": """customer_id:string, name:string, email:string, phone:string, city:string,
-                    age:int, registration_date:date""",
-    "products": "product_id:string, product_name:string, category:string, base_price:double, cost_price:double",
-    "transactions": """transaction_id:string, date:timestamp_ntz, store_id:string, customer_id:string,
-                       product_id:string, quantity:int, price:double, payment_method:string""",
-    # The header of this file names the columns in another order than the data has
-    # them, so the schema is applied by position.
-    "inventory": "store_id:string, product_id:string, date:date, stock_level:int",
-    "shipments": """shipment_id:string, transaction_id:string, ship_date:timestamp_ntz,
-                    delivery_date:timestamp_ntz, status:string, courier:string""",
-    "web_clickstream": """session_id:string, timestamp:timestamp_ntz, event_type:string,
-                          product_id:string, user_id:string, device:string""",
+    "stores": "store_id string, store_name string, city string, opened_date date",
+    "customers": "customer_id string, name string, email string, phone string, city string, age int, registration_date date",
+    "products": "product_id string, product_name string, category string, base_price double, cost_price double",
+    "transactions": "transaction_id string, date timestamp_ntz, store_id string, customer_id string, product_id string, quantity int, price double, payment_method string",
+    "inventory": "store_id string, product_id string, date date, stock_level int",
+    "shipments": "shipment_id string, transaction_id string, ship_date timestamp_ntz, delivery_date timestamp_ntz, status string, courier string",
+    "web_clickstream": "session_id string, timestamp timestamp_ntz, event_type string, product_id string, user_id string, device string",
 }
-
-
-def raw_schema(table: str) -> T.StructType:
-    return _struct(RAW_SPECS[table])
-
-
-STREAM_ORDER_SPEC = "order_id:bigint, timestamp:timestamp_ntz, product_id:string, store_id:string, quantity:int, price:double"
-
-
-def stream_order_schema() -> T.StructType:
-    return _struct(STREAM_ORDER_SPEC)
-
-
 # Warehouse contract: columns every consumer relies on.
 WAREHOUSE_CONTRACT = {
     "fact_sales": ["sale_id", "date_key", "customer_key", "product_key", "store_key", "quantity", "revenue"],
@@ -91,6 +65,18 @@ WAREHOUSE_CONTRACT = {
     "dim_store": [],
     "dim_date": [],
 }
+# Columns that drift governance knows: (required, optional). Other tables are accepted as they are.
+DRIFT_COLUMNS = {
+    "transactions": (
+        ["transaction_id", "product_id", "store_id", "timestamp", "quantity", "price"],
+        ["discount", "payment_method", "customer_id"],
+    )
+}
+# --------------------------------------------------------------------------
+
+
+def raw_schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(RAW_SPECS[table])
 
 
 @dataclass(frozen=True)
@@ -106,14 +92,7 @@ class TableSchema:
         return self.required + self.optional
 
 
-# Registry for drift governance; tables without an entry are accepted as they are.
-DRIFT_REGISTRY = {
-    "transactions": TableSchema(
-        "transactions",
-        required=["transaction_id", "product_id", "store_id", "timestamp", "quantity", "price"],
-        optional=["discount", "payment_method", "customer_id"],
-    )
-}
+DRIFT_REGISTRY = {name: TableSchema(name, required, optional) for name, (required, optional) in DRIFT_COLUMNS.items()}
 
 # Registry for batch ingest: by default nothing is required, every row is valid.
 INGEST_REGISTRY = {name: TableSchema(name) for name in RAW_SPECS}

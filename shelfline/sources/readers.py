@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +71,3 @@ def register(df: DataFrame, view: str) -> DataFrame:
     """Make a frame usable from SQL under a name."""
     df.createOrReplaceTempView(view)
     return df.sparkSession.table(view)
-
-
-def missing_inputs(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    return [p for p in paths if not path_exists(spark, p)]

@@ -1,7 +1,7 @@
 """The given order tables seen as retail input tables.
 
 Every function derives one raw retail table from the Parquet files in ``sf_dir``.
-Data defects (negative prices, missing ids, future dates, ...) are put in by key
+``lines`` takes order lines that are joined already. Data defects (negative prices, missing ids, future dates, ...) are put in by key
 arithmetic, so that cleaning and validation have something to find in any data
 size, and so that the same rows can be derived by another engine.
 """
@@ -15,8 +15,8 @@ from shelfline.functions import exprs as X
 
 # --- fixed values ---------------------------------------------------------
 CITIES = [
-    "Mumbai", "Delhi", "Bangalore", "Pune", "Hyderabad",
-    "Chennai", "Kolkata", "Ahmedabad", "Jaipur", "Surat",
+    "Mumbai", "Delhi", "Bangalore", "Chennai", "Kolkata",
+    "Pune", "Hyderabad", "Ahmedabad", "Jaipur", "Surat",
 ]
 # Nations from this key on keep their own name as city (region and tier unknown).
 FIRST_UNMAPPED_NATION = 20
@@ -86,11 +86,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Raw sales lines with defects; ``transaction_id`` repeats in the source itself."""
     order = F.col("l_orderkey")
     price, discount = X.money("l_extendedprice"), F.col("l_discount")
-    return order_lines(spark, sf_dir).select(
+    return (order_lines(spark, sf_dir) if lines is None else lines).select(
         F.concat(order.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
         F.when(order % 300 == 11, F.col("o_orderdate") + F.expr("INTERVAL '3650' DAY"))
         .otherwise(F.col("o_orderdate"))
@@ -114,14 +114,14 @@ def transaction_order():
     return [F.col(c).asc_nulls_last() for c in TRANSACTION_ORDER]
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """A stock count for each store, product and day with a sale; some products are unknown."""
     part, day = F.col("l_partkey"), F.to_date("o_orderdate")
     product = F.when(part % 211 == 5, F.concat(F.lit("X"), part.cast("string"))).otherwise(
         F.concat(F.lit("P"), part.cast("string"))
     )
     return (
-        order_lines(spark, sf_dir)
+        (order_lines(spark, sf_dir) if lines is None else lines)
         .select("l_suppkey", "l_partkey", day.alias("day"))
         .distinct()
         .select(
@@ -133,13 +133,13 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipments(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """One shipment per sales line: shipped the next day, 1 to 10 days on the road."""
     days = F.lit(1) + (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10
     shipped = F.date_add(F.to_date("o_orderdate"), 1)
     order, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
     return (
-        order_lines(spark, sf_dir)
+        (order_lines(spark, sf_dir) if lines is None else lines)
         .select("l_orderkey", "l_linenumber", "o_orderdate")
         .distinct()
         .select(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from shelfline.functions import exprs as X
 from shelfline.operators.rows import keep_first, salted_join, top_k
 from shelfline.session import fresh_path
+from shelfline.sources import readers
 
 
 # --- sources and sinks ----------------------------------------------------------
@@ -44,7 +45,14 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return _written(spark, stream.schema, f"{folder}/rows")
+
+
+def _written(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    """What a stream wrote; no rows if no batch ran."""
+    if not readers.path_exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
 
 
 def run_batches(
@@ -74,18 +82,21 @@ def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame
     """
     folder = run_batches(stream, label, _write_batch, "update")
     schema = T.StructType(stream.schema.fields + [T.StructField("batch_id", T.LongType())])
-    versions = stream.sparkSession.read.schema(schema).option("basePath", folder).parquet(folder)
+    versions = _written(stream.sparkSession, schema, folder)
     return keep_first(versions, keys, [F.desc("batch_id")]).drop("batch_id")
 
 
 # --- transformations ---------------------------------------------------------------
 def dedup(orders: DataFrame, delay: str) -> DataFrame:
-    """One row per order id; repeats further apart than ``delay`` are outside the guarantee."""
+    """One row per order id while rows keep within ``delay``: later ones are dropped (``run_dedup`` drops none)."""
     return orders.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["order_id"])
 
 
 def daily_metrics(orders: DataFrame, delay: str) -> DataFrame:
-    """Orders, revenue, mean order and approximate customers per day (UTC days, in a UTC session)."""
+    """Orders, revenue, mean order and approximate customers per day (UTC days, in a UTC session).
+
+    A running view: rows later than ``delay`` are dropped, which ``run_daily_metrics`` avoids.
+    """
     amount = X.money("price") * F.col("quantity")
     return (
         orders.withWatermark("timestamp", delay)
@@ -105,6 +116,50 @@ def daily_metrics(orders: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def metrics_by_day(orders: DataFrame) -> DataFrame:
+    """The same per day of an order table, with exact customers."""
+    amount = X.money("price") * F.col("quantity")
+    # One row per day and customer first, so that distinct customers are a count of rows.
+    each = orders.groupBy(F.to_date("timestamp").alias("day"), "customer_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_revenue"))
+    return each.groupBy("day").agg(
+        F.sum("_n").alias("orders"),
+        X.dbl(F.sum("_revenue")).alias("revenue"),
+        X.ratio(F.sum("_revenue"), F.sum("_n")).alias("avg_order_value"),
+        F.count("customer_id").alias("unique_customers"),
+    )
+
+
+def run_daily_metrics(stream: DataFrame, label: str) -> DataFrame:
+    """Write the orders of a stream, then sum the complete table: no order is too late to count."""
+    return metrics_by_day(run_append(stream, label))
+
+
+def run_dedup(stream: DataFrame, label: str) -> DataFrame:
+    """One row per order id over all micro-batches, however far apart the repeats are.
+
+    A batch writes the ids that no earlier batch wrote into its own folder, so a repeated
+    batch gives the same folder again.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def add(rows: DataFrame, batch_id: int, folder: str) -> None:
+        fresh = keep_first(rows, ["order_id"], [F.asc_nulls_last(c) for c in rows.columns])
+        if batch_id > 0:
+            before = _written(rows.sparkSession, T.StructType([schema["order_id"], T.StructField("batch_id", T.LongType())]), folder)
+            fresh = fresh.join(before.where(F.col("batch_id") < batch_id).select("order_id"), "order_id", "left_anti").select(*rows.columns)
+        _write_batch(fresh, batch_id, folder)
+
+    folder = run_batches(stream, label, add)
+    return _written(spark, T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())]), folder).drop("batch_id")
+
+
+def run_quarantine_rate(stream: DataFrame, label: str, minutes: int = 30, threshold: int = 100) -> DataFrame:
+    """Windows of the complete written log, whatever order its rows came in."""
+    log = run_append(stream, label)
+    counts = log.groupBy(F.window("timestamp", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("issue_count"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "issue_count", (F.col("issue_count") > threshold).alias("is_high"))
+
+
 def day_metrics(orders: DataFrame, day: Column) -> DataFrame:
     """The same numbers for one day of the order table, with exact customers; zeros for an empty day."""
     amount = X.money("price") * F.col("quantity")
@@ -151,7 +206,7 @@ def run_recent(stream: DataFrame, label: str, k: int = 50) -> DataFrame:
 
     folder = run_batches(stream, label, keep)
     kept = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    versions = spark.read.schema(kept).option("basePath", folder).parquet(folder)
+    versions = _written(spark, kept, folder)
     last = versions.agg(F.max("batch_id")).scalar()
     return recent(versions.where(F.col("batch_id") == last).drop("batch_id"), k)
 
@@ -199,7 +254,10 @@ def messages(orders: DataFrame, scores: DataFrame, salts: int = 16) -> DataFrame
 
 
 def quarantine_rate(log: DataFrame, delay: str, minutes: int = 30, threshold: int = 100) -> DataFrame:
-    """Half-hour windows with their number of quarantined rows and whether that is too many."""
+    """Half-hour windows with their number of quarantined rows and whether that is too many.
+
+    A running view: rows later than ``delay`` are dropped, which ``run_quarantine_rate`` avoids.
+    """
     return (
         log.withWatermark("timestamp", delay)
         .groupBy(F.window("timestamp", f"{minutes} minutes").alias("w"))

@@ -23,7 +23,7 @@ def verdict(df, schema=T, table=None):
 def test_known_columns_pass(normal):
     assert verdict(normal) == ("approved", "process")
     assert verdict(normal.withColumn("payment_method", F.lit("UPI"))) == ("approved", "process")
-    assert verdict(normal.withColumn("anything", F.lit(1)), drift.schema_for("stores"), "stores") == ("approved", "process")
+    assert verdict(normal.withColumn("anything", F.lit(1)), S.DRIFT_REGISTRY.get("stores"), "stores") == ("approved", "process")
 
 
 def test_missing_required_column_is_rejected(normal):

@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline.functions import exprs as X
 from shelfline.operators import access, dims, facts, features, layout
 from shelfline.plans import kpi
-from shelfline.session import fresh_path
+from shelfline.session import fresh_path, stash
 
 NOW = "2024-06-01 00:00:00"
 
@@ -155,7 +156,6 @@ def test_inventory(star, spark):
     assert rows(fact, "date_key", "product_key", "store_key", "stock_level", "reorder_point", "inventory_id") == [(20240102, 1, 1, 5, 20, None)]
     assert rows(facts.inventory_load_counts(raw, star["dim_product"], star["dim_store"])) == [(3, 1, 2)]
     assert rows(features.stocked_pairs(fact, star["dim_product"], star["dim_store"])) == [("p1", "s1")]
-    assert facts.empty_external_events(spark).count() == 0
 
 
 def test_views(star):
@@ -186,7 +186,7 @@ def test_layout_prunes_and_reruns(star, spark):
     path = fresh_path(spark, "layout")
     args = (star["dim_date"], star["dim_store"], path)
     layout.write_partitioned(star["fact_sales"], *args)
-    day = layout.read_day(spark, path, "2024-02-29")
+    day = layout.on_days(layout.read_partitioned(spark, path), "2024-02-29", "2024-02-29")
     assert rows(X.edge(day), "sale_id", "revenue", "region") == [("3-1", 150.0, "West")]
     everything = layout.read_partitioned(spark, path)
     assert everything.count() == 4
@@ -200,4 +200,33 @@ def test_layout_prunes_and_reruns(star, spark):
     assert again.count() == 4 and again.where("sale_id = '3-1'").first()["quantity"] == 1
     month = fresh_path(spark, "layout")
     layout.write_partitioned(star["fact_sales"], star["dim_date"], star["dim_store"], month, "month")
-    assert rows(layout.read_day(spark, month, "2024-02-01", "month"), "sale_id") == [("2-1",)]
+    monthly = layout.read_partitioned(spark, month)
+    assert rows(layout.on_days(monthly, "2024-02-01", "2024-02-01", "month"), "sale_id") == [("2-1",)]
+    # days and regions without sales have no folder and give no rows
+    everything, day = again, layout.on_days(again, "2024-02-29", "2024-02-29")
+    assert layout.on_days(everything, "2030-01-01", "2030-01-07").count() == 0
+    assert layout.in_region(everything, "Nowhere").count() == 0
+    west = layout.in_region(everything, "West")
+    assert west.count() == everything.where("region = 'West'").count() > 0
+    for pruned in (day, west, layout.on_days(everything, "2024-02-01", "2024-02-07"), layout.on_days(monthly, "2024-02-03", "2024-03-02", "month")):
+        assert re.search(r"PartitionFilters: \[isnotnull\((date_partition|region)", pruned._jdf.queryExecution().executedPlan().toString())
+
+
+def test_reports_scan_the_fact_once(star, spark):
+    """In final adaptive plans; two scans at most for the cards."""
+    fact = stash(star["fact_sales"], "scan-test")
+    folder = fact.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    reports = {
+        "city": (kpi.city_sales(fact, star["dim_store"]), 1),
+        "season": (kpi.seasonal_demand(fact, star["dim_date"]), 1),
+        "summary": (kpi.summary(fact), 1),
+        "chart": (kpi.city_chart(fact, star["dim_store"]), 1),
+        "top": (kpi.top_products(fact, star["dim_product"]), 0),  # reads the written sums
+        "cards": (kpi.dashboard_cards(fact, star["dim_date"], star["dim_store"], star["dim_customer"]), 2),
+    }
+    for name, (report, most) in reports.items():
+        report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        scans = [line for line in plan.splitlines() if "FileScan" in line and folder in line]
+        assert len(scans) <= most, (name, len(scans), plan)
+        assert name != "summary" or "Expand" not in plan

@@ -27,8 +27,15 @@ def test_trailing_window_counts_empty_days(spark):
 def test_features_and_labels(spark):
     stock = spark.createDataFrame([("p1", "s1", D0, 50), ("p1", "s1", D0 + timedelta(days=9), 2)], "product_id string, store_id string, date date, stock_level int")
     categories = spark.createDataFrame([("p1", "toys"), ("p2", "food")], "product_id string, category string")
-    f = features.stock_features(daily(spark, {0: 7, 7: 21}), stock, categories)
+    d = daily(spark, {0: 7, 7: 21})
+    f = features.stock_features(d, stock, categories, F.lit(D0 + timedelta(days=7)))
     assert rows(f, "current_stock", "avg_sales_7d", "category_encoded") == [(2.0, 3.0, 1)]
+    # an idle pair and one that never sold stay, with mean 0
+    more = stock.union(spark.createDataFrame([("p2", "s9", D0, 4)], stock.schema))
+    idle = features.stock_features(d, more, categories, F.lit(D0 + timedelta(days=200)))
+    assert rows(idle, "product_id", "current_stock", "avg_sales_7d", "stddev_sales_7d") == [("p1", 2.0, 0.0, 0.0), ("p2", 4.0, 0.0, 0.0)]
+    history = features.history_features(d, more, categories)
+    assert rows(history, "product_id", "date", "avg_sales_7d") == [("p1", D0, 1.0), ("p1", D0 + timedelta(days=9), 0.0), ("p2", D0, 0.0)]
     assert rows(features.with_labels(f), "risk", "reorder_qty") == [(1, 4.0)]
     assert rows(features.with_labels(f.withColumn("current_stock", F.lit(9.0))), "risk", "reorder_qty") == [(0, 0.0)]
 
@@ -38,7 +45,7 @@ def test_forecast_by_weekday(spark):
     units[1] = 16                                 # one Tuesday 16
     d = daily(spark, units)
     as_of = F.lit(D0 + timedelta(days=55))
-    days = {r["forecast_date"]: r for r in forecast.daily_forecast(d, as_of).collect()}
+    days = {r["forecast_date"]: r for r in forecast.daily_forecast(d, d, as_of).collect()}
     assert len(days) == 7
     assert days[D0 + timedelta(days=56)]["forecast"] == 8.0 and days[D0 + timedelta(days=56)]["lower_bound"] == 8.0
     assert days[D0 + timedelta(days=57)]["forecast"] == 2.0 and days[D0 + timedelta(days=57)]["lower_bound"] == 0.0
@@ -47,6 +54,10 @@ def test_forecast_by_weekday(spark):
     week = forecast.weekly_forecast(d, stock, as_of).first()
     assert week["forecast_7d"] == 10.0 and week["days_remaining"] == 3.5
     assert week["lower_bound"] <= 10.0 <= week["upper_bound"]
+    other = spark.createDataFrame([("p2", "s1", 5.0)], stock.schema)  # stocked, idle for all eight weeks
+    idle = forecast.weekly_forecast(d, other, as_of).first()
+    assert (idle["forecast_7d"], idle["upper_bound"], idle["days_remaining"]) == (0.0, 0.0, None)
+    assert [r["forecast"] for r in forecast.daily_forecast(d, other, as_of).collect()] == [0.0] * 7
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +66,7 @@ def scored(spark):
         F.concat(F.lit("p"), F.col("id").cast("string")).alias("product_id"), F.lit("s1").alias("store_id"),
         (F.col("id") % 40).cast("double").alias("current_stock"), ((F.col("id") * 7) % 30).cast("double").alias("avg_sales_7d"),
         (F.col("id") % 5).cast("double").alias("stddev_sales_7d"), (F.col("id") % 3).cast("int").alias("category_encoded"))
-    return f, ml.score(ml.fit(f, trees=20), f)
+    return f, ml.score(ml.fit(ml.training_rows(f), trees=20, rounds=30), f)
 
 
 def test_models_learn_the_rule(scored):
@@ -70,10 +81,18 @@ def test_models_learn_the_rule(scored):
     assert all(0 <= r["ml_confidence"] <= 100 for r in joined)
 
 
+def test_quality_on_rows_that_were_held_out(scored):
+    f, _ = scored
+    models = ml.fit(ml.training_rows(f.where(~ml.held_out(f)), limit=150), trees=20, rounds=60)
+    got = ml.quality(models, f.where(ml.held_out(f))).first()
+    assert 0 < got["n_rows"] < 80 and got["accuracy"] > 0.75 and got["r2"] > 0.6
+    assert ml.training_rows(f, limit=20).count() == 20
+
+
 def test_one_class_only_still_scores(spark, scored):
     f, _ = scored
     safe = f.withColumn("current_stock", F.lit(1000.0))
-    assert ml.score(ml.fit(safe, trees=3), safe).where("risk_level = 'Low'").count() == 200
+    assert ml.score(ml.fit(ml.training_rows(safe), trees=3, rounds=3), safe).where("risk_level = 'Low'").count() == 200
 
 
 def test_ranking_feed_and_high_risk(spark, scored):

@@ -4,7 +4,8 @@ import pytest
 from conftest import rows
 
 from shelfline import schemas as S
-from shelfline.session import fresh_path, release, shared_dir, stash
+from shelfline.session import fresh_path, release, scratch, shared_dir, stash
+from shelfline.plans import catalog
 from shelfline.sources import readers, writers
 
 
@@ -43,7 +44,6 @@ def test_csv_before_parquet_before_error(spark):
     assert readers.read_csv_or_parquet(spark, f"{folder}/x.csv", f"{folder}/x.parquet").first()[0] == "p"
     spark.createDataFrame([("c",)], "a string").write.option("header", True).csv(f"{folder}/x.csv")
     assert readers.read_csv_or_parquet(spark, f"{folder}/x.csv", f"{folder}/x.parquet").first()[0] == "c"
-    assert readers.missing_inputs(spark, [f"{folder}/x.csv", f"{folder}/y.csv"]) == [f"{folder}/y.csv"]
 
 
 def test_rebuild_and_append(spark):
@@ -61,13 +61,28 @@ def test_row_counts_and_views(spark):
 
 
 def test_work_folder_comes_from_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (named.rstrip("/") if named else shared_dir(spark))
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == named.rstrip("/")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
     kept = stash(spark.range(5), "x")
     assert kept.count() == 5 and shared_dir(spark) in kept.inputFiles()[0]
 
 
+def test_scratch_leaves_only_what_is_kept(spark):
+    with scratch(spark):
+        gone, kept = stash(spark.range(5), "gone"), stash(spark.range(5), "kept", keep=True)
+        assert gone.count() == kept.count() == 5
+        paths = [df.inputFiles()[0].rsplit("/", 1)[0] for df in (gone, kept)]
+    assert [readers.path_exists(spark, p) for p in paths] == [False, True]
+
+
+def test_a_query_works_again_after_release(spark, sf_dir):
+    query = catalog.queries()["store_counts_by_region"]
+    first = rows(query(spark, sf_dir))
+    assert release(spark)
+    assert rows(query(spark, sf_dir)) == first
+
+
 def test_release_deletes_only_own_paths(spark):
     path = fresh_path(spark, "x")
     spark.range(3).write.parquet(path)

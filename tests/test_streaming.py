@@ -53,6 +53,39 @@ def test_daily_metrics_equal_batch_over_several_batches(spark, folder, table):
     assert tuple(empty) == (0, 0.0, 0.0, 0)
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """The same orders in files that are days out of time order, some orders in two files."""
+    path = fresh_path(spark, "stream-late")
+    start = datetime(2024, 1, 1)
+    for part in (2, 0, 1):
+        ids = [*range(part * 40, part * 40 + 40), *range(90, 95)]
+        data = [(i, start + timedelta(hours=i), "p1", "s1", i % 3 + 1, 1.25 * i, f"c{i % 7}") for i in ids]
+        spark.createDataFrame(data, SPEC).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_late_rows_are_not_lost(spark, shuffled):
+    table = spark.read.parquet(shuffled)
+    once = live.run_dedup(live.event_time(stream(spark, shuffled)), "t")
+    assert sorted(r["order_id"] for r in once.collect()) == list(range(120))
+    got = live.run_daily_metrics(live.event_time(stream(spark, shuffled)), "t")
+    day = F.to_date("timestamp").alias("day")
+    want = table.groupBy(day).agg(F.count("*").alias("orders"), F.sum(F.col("price") * F.col("quantity")).alias("revenue"), F.countDistinct("customer_id").alias("unique_customers"))
+    assert rows(got, "day", "orders", "revenue", "unique_customers") == rows(want)
+    rate = live.run_quarantine_rate(live.event_time(stream(spark, shuffled)), "t", minutes=1440, threshold=2)
+    assert sum(r["issue_count"] for r in rate.collect()) == table.count()
+
+
+def test_a_folder_without_files_gives_no_rows(spark, tmp_path):
+    empty = live.event_time(live.read_stream(spark, str(tmp_path), spark.createDataFrame([], SPEC).schema))
+    assert live.run_append(empty, "t").count() == 0
+    assert live.run_updates(live.daily_metrics(empty, "1 day"), "t", ["day"]).count() == 0
+    assert live.run_recent(empty, "t").count() == 0
+    assert live.run_dedup(empty, "t").count() == 0
+    assert live.run_daily_metrics(empty, "t").count() == 0
+
+
 def test_recent_orders_survive_batches(spark, folder, table):
     got = [r["order_id"] for r in live.run_recent(stream(spark, folder), "t", 50).collect()]
     assert got == [r["order_id"] for r in live.recent(table, 50).collect()] == list(range(119, 69, -1))
