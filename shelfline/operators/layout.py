@@ -1,4 +1,4 @@
-"""Sales partitioned by date and region."""
+"""Rows partitioned by date and region."""
 
 from __future__ import annotations
 
@@ -8,27 +8,25 @@ from pyspark.sql import functions as F
 PARTITIONS = ["date_partition", "region"]
 
 
-def with_partitions(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame, period: str = "day") -> DataFrame:
-    """The fact with ``full_date``, ``region`` and ``date_partition`` (first day of the period)."""
-    return (
-        fact.join(dim_date.select("date_key", F.col("date").alias("full_date")), "date_key")
-        .join(dim_store.select("store_key", "region"), "store_key")
-        .withColumn("date_partition", F.date_format(F.date_trunc(period, "full_date"), "yyyy-MM-dd"))
+def dated_sales(fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame) -> DataFrame:
+    """The fact with ``full_date`` and ``region``."""
+    return fact.join(dim_date.select("date_key", F.col("date").alias("full_date")), "date_key").join(
+        dim_store.select("store_key", "region"), "store_key"
     )
 
 
-def write_partitioned(
-    fact: DataFrame, dim_date: DataFrame, dim_store: DataFrame, path: str, period: str = "day"
-) -> None:
-    """Write the layout; a re-run replaces only the partitions it touches.
+def write_partitioned(rows: DataFrame, path: str, period: str = "day") -> None:
+    """Write rows with ``full_date`` and ``region`` by period and region; a re-run replaces only the partitions it touches.
 
     ``period`` is day by default; month suits data with few rows per day. The
     rebalance hint groups each partition's rows into few files and lets adaptive
     execution split a partition that holds most of the rows.
     """
-    rows = with_partitions(fact, dim_date, dim_store, period).hint("rebalance", *PARTITIONS)
+    first = F.date_format(F.date_trunc(period, "full_date"), "yyyy-MM-dd")
     (
-        rows.write.mode("overwrite")
+        rows.withColumn("date_partition", first)
+        .hint("rebalance", *PARTITIONS)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .partitionBy(*PARTITIONS)

@@ -246,33 +246,49 @@ def _sums(rows):
 
 @_query
 def partition_prune_sum(w):
-    """Revenue of one day read through the daily layout."""
-    return _sums(layout.on_days(w.layout("day"), DAY, DAY)).select(F.lit(DAY).cast("date").alias("day"), "*")
+    """Revenue of one day, from the folders of its month."""
+    return _sums(layout.on_days(w.layout("sales"), DAY, DAY, "month")).select(F.lit(DAY).cast("date").alias("day"), "*")
 
 
 @_query
 def partition_week_sum(w):
-    """Revenue of seven days read through the daily layout."""
-    return _sums(layout.on_days(w.layout("day"), WEEK_START, DAY))
+    """Revenue of seven days."""
+    return _sums(layout.on_days(w.layout("sales"), WEEK_START, DAY, "month"))
 
 
 @_query
 def partition_region_sum(w):
-    """Revenue of one region by month, from the region's folders of the monthly layout."""
-    rows = layout.in_region(w.layout("month"), "West")
+    """Revenue of one region by month, from the region's folders."""
+    rows = layout.in_region(w.layout("sales"), "West")
     return _sums(rows.groupBy(F.trunc("full_date", "month").alias("month")))
 
 
 @_query
 def partition_full_sum(w):
-    """Everything, read through the monthly layout."""
-    return _sums(w.layout("month"))
+    """Everything, read through the layout."""
+    return _sums(w.layout("sales"))
 
 
 @_query
 def partition_missing_day_sum(w):
     """A day without sales: no folder, and sums of nothing."""
-    return _sums(layout.on_days(w.layout("day"), "2030-01-01", "2030-01-01"))
+    return _sums(layout.on_days(w.layout("sales"), "2030-01-01", "2030-01-01", "month"))
+
+
+def _live_sums(rows):
+    amount = X.money("price") * F.col("quantity")
+    return rows.groupBy("region").agg(X.dbl(F.sum(amount)).alias("revenue"), F.count("order_id").alias("orders"))
+
+
+@_query
+def partition_live_day_sum(w):
+    """Live orders of one day by region, from the day's folders of the daily layout."""
+    return _live_sums(layout.on_days(w.layout("orders"), "2024-01-20", "2024-01-20"))
+
+
+@_query
+def partition_live_week_sum(w):
+    return _live_sums(layout.on_days(w.layout("orders"), "2024-01-14", "2024-01-20"))
 
 
 @_query

@@ -415,6 +415,10 @@ _STATEMENTS = {
     "inventory_pairs": "SELECT DISTINCT product_id, store_id FROM fact_inv JOIN dim_product USING (product_key) JOIN dim_store USING (store_key)",
     "fact_shipments": "SELECT * FROM fact_ship",
     "partition_prune_sum": "SELECT DATE '1998-03-25' AS day, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key = 19980325",
+    "partition_live_day_sum": """SELECT region, CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) AS revenue, count(order_id) AS orders
+        FROM live JOIN dim_store USING (store_id) WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-20' AND DATE '2024-01-20' GROUP BY region""",
+    "partition_live_week_sum": """SELECT region, CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) AS revenue, count(order_id) AS orders
+        FROM live JOIN dim_store USING (store_id) WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-14' AND DATE '2024-01-20' GROUP BY region""",
     "partition_week_sum": "SELECT CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count FROM fact WHERE date_key BETWEEN 19980319 AND 19980325",
     "partition_region_sum": """SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count
         FROM fact JOIN dim_date USING (date_key) JOIN dim_store USING (store_key) WHERE region = 'West' GROUP BY 1""",

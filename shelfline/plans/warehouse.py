@@ -51,13 +51,17 @@ class Warehouse:
         return self["pair_sales"].agg(F.max("date")).scalar()
 
 
-    def layout(self, period: str) -> DataFrame:
-        """The sales by date (day or month) and region, written and listed once."""
-        if period not in self._layouts:
-            path = fresh_path(self.spark, f"sales-by-{period}", keep=True)
-            layout.write_partitioned(self["fact_sales"], self["dim_date"], self["dim_store"], path, period)
-            self._layouts[period] = layout.read_partitioned(self.spark, path)
-        return self._layouts[period]
+    def layout(self, name: str) -> DataFrame:
+        """``sales`` by month or live ``orders`` by day, and region; written and listed once."""
+        if name not in self._layouts:
+            path = fresh_path(self.spark, f"layout-{name}", keep=True)
+            if name == "sales":  # a few rows a day: by day they would be more files than rows deserve
+                layout.write_partitioned(layout.dated_sales(self["fact_sales"], self["dim_date"], self["dim_store"]), path, "month")
+            else:
+                orders = T.live_orders(self.source("events")).withColumn("full_date", F.to_date("timestamp"))
+                layout.write_partitioned(orders.join(self["dim_store"].select("store_id", "region"), "store_id"), path)
+            self._layouts[name] = layout.read_partitioned(self.spark, path)
+        return self._layouts[name]
 
     def categories(self) -> DataFrame:
         return self["dim_product"].select("product_id", "category")

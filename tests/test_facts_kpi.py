@@ -184,22 +184,22 @@ def test_contract(star, spark):
 
 def test_layout_prunes_and_reruns(star, spark):
     path = fresh_path(spark, "layout")
-    args = (star["dim_date"], star["dim_store"], path)
-    layout.write_partitioned(star["fact_sales"], *args)
+    dated = layout.dated_sales(star["fact_sales"], star["dim_date"], star["dim_store"])
+    layout.write_partitioned(dated, path)
     day = layout.on_days(layout.read_partitioned(spark, path), "2024-02-29", "2024-02-29")
     assert rows(X.edge(day), "sale_id", "revenue", "region") == [("3-1", 150.0, "West")]
     everything = layout.read_partitioned(spark, path)
     assert everything.count() == 4
     pruned = everything.where("date_partition = date'2024-02-29' and region = 'West'")
     assert "PartitionFilters: [isnotnull(date_partition" in pruned._jdf.queryExecution().executedPlan().toString()
-    layout.write_partitioned(star["fact_sales"], *args)
+    layout.write_partitioned(dated, path)
     assert layout.read_partitioned(spark, path).count() == 4
-    changed = star["fact_sales"].where("sale_id = '3-1'").withColumn("quantity", F.lit(1))
-    layout.write_partitioned(changed, *args)
+    changed = dated.where("sale_id = '3-1'").withColumn("quantity", F.lit(1))
+    layout.write_partitioned(changed, path)
     again = layout.read_partitioned(spark, path)
     assert again.count() == 4 and again.where("sale_id = '3-1'").first()["quantity"] == 1
     month = fresh_path(spark, "layout")
-    layout.write_partitioned(star["fact_sales"], star["dim_date"], star["dim_store"], month, "month")
+    layout.write_partitioned(dated, month, "month")
     monthly = layout.read_partitioned(spark, month)
     assert rows(layout.on_days(monthly, "2024-02-01", "2024-02-01", "month"), "sale_id") == [("2-1",)]
     # days and regions without sales have no folder and give no rows
