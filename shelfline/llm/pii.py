@@ -172,10 +172,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_counter(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosures(near: DataFrame, counts: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of all pairs with enough support."""
+def supported(near: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, both): the pairs seen in at least ``support`` different contexts."""
     seen = near.select("entity", "term", "context").distinct()
-    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    return seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+
+
+def disclosures(joint: DataFrame, near: DataFrame, counts: DataFrame) -> DataFrame:
+    """(entity, term, disclosure) of the supported pairs."""
     mentions = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
     total = counts.where("term is null").agg(F.max("n").alias("total"))
     known = counts.where("term is not null")
@@ -190,8 +194,9 @@ def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALIS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = stash(rows.mapInArrow(_scan, _FOUND), "pii-found")
     near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
-    counts = stash(term_counts(docs, near.select("term").distinct()), "pii-counts")
-    strong = disclosures(near, counts, support).where(F.col("disclosure") >= threshold)
+    joint = stash(supported(near, support), "pii-joint")
+    counts = stash(term_counts(docs, joint.select("term").distinct()), "pii-counts")
+    strong = disclosures(joint, near, counts).where(F.col("disclosure") >= threshold)
     own = near.join(strong, ["entity", "term"]).groupBy("doc_id", "th", "start", "finish", "digits").agg(F.max("disclosure").alias("disclosure"))
     own = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "finish", "digits", "disclosure"))).alias("terms"))
     own = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("th", "own_th")
