@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1 << 21  # bytes of text that are hashed at once
+BLOCK = 1 << 20  # bytes of text that are hashed at once
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +66,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches, column: int, limit: int = 2 << 20):
+def row_text(batch: pa.RecordBatch) -> pa.Array:
+    """The text inside a ``row`` column, which comes first."""
+    return batch.column(0).field("text")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int | Callable, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut into pieces of about ``limit`` bytes of the text in ``column`` (at least one row each)."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.large_binary())
+        text = column(batch) if callable(column) else batch.column(column)
+        sizes = text.cast(pa.large_binary())
         offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
         at = 0
         while at < batch.num_rows:
@@ -91,29 +98,43 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK + 4096)
-        for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+def kept() -> dict:
+    """A dictionary of the Python process. Functions reach workers by value, so a global of
+    this module would be made anew for each task and stay until the garbage collector comes."""
+    return sys.__dict__.setdefault("_shelfline_kept", {})
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, at least ``n`` of them, and the value of each byte."""
+    tables = kept().get("powers")
+    if tables is None or len(tables[0]) < n:
+        made = []
+        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+            steps = np.full(max(n, BLOCK + 4096), base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-        _POWERS["values"] = _byte_values()
-    return _POWERS["up"], _POWERS["down"]
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        tables = (*made, _byte_values())
+        if n <= 4 * BLOCK:  # larger ones, for a very long word, do not stay
+            kept()["powers"] = tables
+    return tables
+
+
+def byte_values() -> np.ndarray:
+    return _powers(1)[2]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running sums of a polynomial hash modulo 2**64; entry i covers the bytes before i."""
-    up, _ = _powers(len(data) + 1)
+    up, _, values = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_POWERS["values"][data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end), equal for equal bytes wherever they stand."""
-    _, down = _powers(len(sums))
+    _, down, _ = _powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -198,11 +198,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a verbatim match, with all their columns."""
-    state = docs.select(common.whole_row(docs.columns), "text", F.lit(False).alias("hit"))
+    state = docs.select(common.whole_row(docs.columns), F.lit(False).alias("hit"))
     for block in test_blocks(benchmark, block_bytes):
         tests = compile_tests(block, window)
         if tests["keys"]:
-            state = state.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(tests)), common.schema_of(state, "row", "text", "hit"))
+            state = state.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(tests)), common.schema_of(state, "row", "hit"))
     return state.where(~F.col("hit")).select("row.*")
 
 
@@ -210,13 +210,13 @@ def _flag(tests_of) -> object:
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = tests_of.value
         classes, vocabulary = common.byte_classes("alnum"), tests["vocabulary"]
-        for batch in common.slices(batches, 1):
-            hashes, offsets = common.words(*common.flat(batch.column(1)), classes)
+        for batch in common.slices(batches, common.row_text):
+            hashes, offsets = common.words(*common.flat(common.row_text(batch)), classes)
             place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
             ids = np.where(vocabulary[place] == hashes, place + 1, 0)
             at, _ = shard_matches(np.insert(ids, offsets[1:], 0), tests)
-            hit = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            hit = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             hit[np.searchsorted(offsets[:-1] + np.arange(batch.num_rows), at, "right") - 1] = True
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], names=["row", "text", "hit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.bool_())], names=["row", "hit"])
 
     return flag

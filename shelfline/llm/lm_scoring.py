@@ -29,6 +29,8 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ NOISE = 10
 STEPS = 150
 END = np.uint64(1)  # stands for the end among token hashes
 _CHUNK_BYTES = 24 << 20
-_MESSAGE = "bucket int, chunk int, kind string, blob binary, token long, n long, v long"
+_MESSAGE = "bucket int, chunk int, kind string, blob binary, n long, v long"
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +58,9 @@ def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "kind", "blob", "token", "n", "v"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "kind", "blob", "n", "v"])
 
 
 def _ask(buckets: int) -> object:
@@ -70,11 +72,27 @@ def _ask(buckets: int) -> object:
         counts = np.bincount(place[np.repeat(training, np.diff(at))], minlength=len(distinct))
         bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         bounds = common.group_bounds(bucket)
-        return _messages([(int(bucket[i]), key[0].as_py(), "ask", common.pack(np.diff(distinct[i:j], prepend=np.uint64(0)), counts[i:j].astype(np.uint32)), None, None, None) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j > i])
+        return _messages([(int(bucket[i]), key[0].as_py(), "ask", common.pack(np.diff(distinct[i:j], prepend=np.uint64(0)), counts[i:j].astype(np.uint32)), None, None) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j > i])
 
     return ask
 
 
+def _most_frequent(tokens: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` tokens of the largest counts, and always the end."""
+    top = np.lexsort((tokens, -counts, tokens != END))[:size]
+    top = top[counts[top] > 0]
+    return tokens[top], counts[top]
+
+
+def _merge_top(vocabulary: int) -> object:
+    def merge(key: tuple, tops: pa.Table) -> pa.Table:
+        parts = [common.unpack(b.as_py()) for b in tops["blob"]]
+        best = _most_frequent(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), vocabulary)
+        return pa.Table.from_arrays([pa.array([common.pack(*best)], pa.binary())], names=["blob"])
+
+    return merge
+
+
 def _answer(vocabulary: int) -> object:
     def answer(key: tuple, asked: pa.Table) -> pa.Table:
         """Of one bucket: total counts for every chunk, the sums, and the most frequent tokens."""
@@ -85,11 +103,9 @@ def _answer(vocabulary: int) -> object:
         totals = np.bincount(place, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
         rows, at = [], 0
         for chunk, mine in zip(chunks, own, strict=True):
-            rows.append((None, chunk, "count", common.pack(np.diff(mine, prepend=np.uint64(0)), totals[place[at : at + len(mine)]]), None, None, None))
+            rows.append((None, chunk, "count", common.pack(np.diff(mine, prepend=np.uint64(0)), totals[place[at : at + len(mine)]]), None, None))
             at += len(mine)
-        rows.append((None, None, "sums", None, None, int(totals.sum()), int((totals > 0).sum())))
-        top = np.lexsort((distinct, -totals))[:vocabulary]
-        rows += [(None, None, "top", None, int(t), int(n), None) for t, n in zip(distinct[top].view(np.int64), totals[top], strict=True) if n > 0]
+        rows.append((key[0].as_py(), None, "top", common.pack(*_most_frequent(distinct, totals, vocabulary)), int(totals.sum()), int((totals > 0).sum())))
         return _messages(rows)
 
     return answer
@@ -197,15 +213,13 @@ def _score(shared) -> object:
     return score
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
 def _cached_table(model: dict[str, np.ndarray]) -> np.ndarray:
     """The log-probabilities of a broadcast model, computed once per Python worker."""
-    if id(model) not in _TABLES:
-        _TABLES.clear()
-        _TABLES[id(model)] = log_probabilities(model)
-    return _TABLES[id(model)]
+    name, table = common.kept().get("lm", (None, None))
+    if name != model["name"]:
+        table = log_probabilities(model)
+        common.kept()["lm"] = (model["name"], table)
+    return table
 
 
 def report(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -218,15 +232,19 @@ def report(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     texts = rows.groupBy("chunk")
 
     asked = texts.applyInArrow(_ask(chunks), _MESSAGE)
-    answers = stash(asked.groupBy("bucket").applyInArrow(_answer(vocabulary), _MESSAGE).drop("bucket"), "lm-counts")
-    n, v = (x or 0 for x in answers.where("kind = 'sums'").agg(F.sum("n"), F.sum("v")).first())
-    is_end = F.col("token") == int(END)
-    top = answers.where("kind = 'top'").orderBy(F.when(is_end, 0).otherwise(1), F.desc("n"), "token").limit(vocabulary - 1).select("token", "n").collect()
-    words = np.array([r.token for r in top if r.token != int(END)], np.int64).view(np.uint64)
-    words = np.concatenate([np.array([END], np.uint64), words])
+    answers = stash(asked.groupBy("bucket").applyInArrow(_answer(vocabulary - 1), _MESSAGE), "lm-counts")
+    tops = answers.where("kind = 'top'")
+    n, v = (x or 0 for x in tops.agg(F.sum("n"), F.sum("v")).first())
+    # the buckets' lists meet in about as many groups as each has members, and the groups' lists here
+    group = F.pmod(F.col("bucket"), F.lit(math.isqrt(chunks) + 1))
+    merged = tops.select(group.alias("part"), "blob").groupBy("part").applyInArrow(_merge_top(vocabulary - 1), "blob binary").collect()
+    lists = [common.unpack(bytes(r.blob)) for r in merged]
+    joined = lambda i, kind: np.concatenate([x[i] for x in lists]) if lists else np.zeros(0, kind)
+    top, top_counts = _most_frequent(joined(0, np.uint64), joined(1, np.int64), vocabulary - 1)
+    words = np.concatenate([np.array([END], np.uint64), top[top != END]])
     by = np.argsort(words)
     words, order, size = words[by], by + 1, len(by) + 1
-    n_rare, v_rare = n - sum(r.n for r in top), v - len(top)
+    n_rare, v_rare = n - int(top_counts.sum()), v - len(top)
 
     shared = spark.sparkContext.broadcast((words, order, size))
     found = rows.where(~F.col("held_out")).select("text").mapInArrow(_pairs(shared), "block int, blob binary")
@@ -234,7 +252,7 @@ def report(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     for row in found.groupBy("block").applyInArrow(_add_pairs, "block int, blob binary").toLocalIterator():
         codes, number = common.unpack(bytes(row.blob))
         counts[codes] = number
-    model = train(counts.reshape(size, size))
+    model = train(counts.reshape(size, size)) | {"name": uuid.uuid4().hex}
     shared = spark.sparkContext.broadcast((words, order, model, n, v, n_rare, v_rare))
     totals = answers.where("kind = 'count'").select("chunk", "blob").groupBy("chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

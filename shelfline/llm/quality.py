@@ -180,12 +180,12 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
     small = {k: np.asarray(v, np.float32) if k != "w0" else v for k, v in model.items()}
     shared = docs.sparkSession.sparkContext.broadcast(small)
     cut = float(np.log(threshold / (1 - threshold)))
-    state = docs.select(common.whole_row(docs.columns), "text")
+    state = docs.select(common.whole_row(docs.columns))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in common.slices(batches, 1, 2 << 20):
-            good = raw_score(model, *vectors(batch.column(1))) >= cut
+        for batch in common.slices(batches, common.row_text, 2 << 20):
+            good = raw_score(model, *vectors(common.row_text(batch))) >= cut
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good, pa.bool_()))
 
     return state.mapInArrow(kept, common.schema_of(state, "row")).select("row.*")
