@@ -181,9 +181,9 @@ def supported(near: DataFrame, support: int = SUPPORT) -> DataFrame:
 def disclosures(joint: DataFrame, near: DataFrame, counts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the supported pairs."""
     mentions = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
-    total = counts.where("term is null").agg(F.max("n").alias("total"))
+    total = counts.where("term is null").agg(F.max("n")).scalar()
     known = counts.where("term is not null")
-    pairs = joint.join(known, "term").join(mentions, "entity").join(F.broadcast(total), F.lit(True))  # one row
+    pairs = joint.join(known, "term").join(mentions, "entity").withColumn("total", total)
     pmi = F.log2(F.col("both") * F.col("total") / (F.greatest("n", "both") * F.col("mentions")))
     content = F.log2(F.greatest(F.col("total") / F.col("mentions"), F.lit(2.0)))
     return pairs.select("entity", "term", (pmi / content).alias("disclosure"))
