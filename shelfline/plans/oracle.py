@@ -6,8 +6,11 @@ tables once; each statement below is put behind it.
 
 from __future__ import annotations
 
+import re
+
+from shelfline import schemas as S
 from shelfline.plans.batches import BATCHES
-from shelfline.plans.catalog import LATER
+from shelfline.plans.catalog import FREQUENCY_STEPS, LATER, VALUE_STEPS
 from shelfline.sources.tables import CITIES
 
 _BASE = """
@@ -65,10 +68,7 @@ dim_product AS (
   FROM (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS p_id, * FROM part)),
 dim_store AS (
   SELECT row_number() OVER (ORDER BY store_id) AS store_key, store_id, store_name, city,
-         CASE WHEN upper(trim(city)) IN ('MUMBAI','PUNE','AHMEDABAD','SURAT') THEN 'West'
-              WHEN upper(trim(city)) IN ('DELHI','JAIPUR') THEN 'North'
-              WHEN upper(trim(city)) IN ('BANGALORE','CHENNAI','HYDERABAD') THEN 'South'
-              WHEN upper(trim(city)) = 'KOLKATA' THEN 'East' ELSE 'Unknown' END AS region
+         __REGION__ AS region
   FROM (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS store_id, s_name AS store_name, city
         FROM supplier JOIN cities ON s_nationkey = n_nationkey)),
 fact AS (
@@ -145,7 +145,7 @@ rules AS (
   SELECT *, avg_sales_7d * 2 + 20 AS need, (avg_sales_7d * 2 + 20) / (avg_sales_7d * 2 + 20 + current_stock) AS p FROM features),
 rule_scores AS (
   SELECT product_id, store_id, current_stock, avg_sales_7d, stddev_sales_7d, p,
-         CASE WHEN p > 0.8 THEN 'Critical' WHEN p > 0.6 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END AS risk_level,
+         __RISK__ AS risk_level,
          CAST(CASE WHEN p > 0.8 THEN 3 WHEN p > 0.6 THEN 2 WHEN p > 0.4 THEN 1 ELSE 0 END AS INTEGER) AS risk_rank,
          round(p * 100 * 100) / 100 AS confidence,
          CAST(trunc(greatest(need - current_stock, 0)) AS INTEGER) AS recommended_reorder
@@ -185,17 +185,14 @@ city AS (
          round(CAST(sum(revenue) AS DOUBLE) * 100.0 / CAST((SELECT sum(revenue) FROM fact) AS DOUBLE) * 100) / 100 AS revenue_share_pct
   FROM fact JOIN dim_store USING (store_key) GROUP BY city, region),
 value_city AS (
-  SELECT city, CASE WHEN city IN ('Mumbai','Delhi','Bangalore') THEN 'Metro'
-                    WHEN city IN ('Pune','Hyderabad','Chennai') THEN 'Tier-1' ELSE 'Tier-2' END AS city_tier,
+  SELECT city, __TIER__ AS city_tier,
          count(DISTINCT customer_key) AS customer_count, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
          CAST(sum(revenue) AS DOUBLE) / count(revenue) AS avg_clv, count(sale_id) AS total_transactions,
          CAST(sum(revenue) AS DOUBLE) / count(revenue) AS avg_transaction_value,
          CAST(max(date_key) - min(date_key) AS INTEGER) AS customer_lifespan_days,
          CAST(date_diff('day', strptime(CAST(min(date_key) AS VARCHAR), '%Y%m%d'), strptime(CAST(max(date_key) AS VARCHAR), '%Y%m%d')) AS INTEGER) AS customer_lifespan_true_days,
-         CASE WHEN count(sale_id) <= 1 THEN 'One-time' WHEN count(sale_id) <= 5 THEN 'Occasional'
-              WHEN count(sale_id) <= 15 THEN 'Regular' ELSE 'Loyal' END AS purchase_frequency_segment,
-         CASE WHEN sum(revenue) < 1000 THEN 'Low Value' WHEN sum(revenue) < 5000 THEN 'Medium Value'
-              WHEN sum(revenue) < 20000 THEN 'High Value' ELSE 'Premium' END AS value_segment
+         __FREQUENCY__ AS purchase_frequency_segment,
+         __VALUE__ AS value_segment
   FROM fact JOIN dim_customer USING (customer_key) GROUP BY city),
 days30 AS (
   SELECT date, CAST(sum(revenue) AS DOUBLE) AS revenue FROM fact JOIN dim_date USING (date_key)
@@ -209,7 +206,7 @@ turnover AS (
 movement AS (
   SELECT *, CAST(last_sale_date - first_sale_date AS INTEGER) AS sales_span_days,
          CAST(date_diff('day', strptime(CAST(first_sale_date AS VARCHAR), '%Y%m%d'), strptime(CAST(last_sale_date AS VARCHAR), '%Y%m%d')) AS INTEGER) AS sales_span_true_days,
-         CASE WHEN avg_daily_sales > 10 THEN 'Fast Moving' WHEN avg_daily_sales > 2 THEN 'Medium Moving' ELSE 'Slow Moving' END AS movement_category,
+         __MOVEMENT__ AS movement_category,
          round(avg_daily_sales * 30 * 100) / 100 AS projected_monthly_sales,
          round(avg_daily_sales * 365 * 100) / 100 AS projected_annual_sales
   FROM turnover),
@@ -320,8 +317,6 @@ _COMBOS = """SELECT product_id, store_id, CAST(sum(revenue) AS DOUBLE) AS total_
 _MOVEMENT = """SELECT product_id, product_name, category, price, total_sold, total_revenue, days_sold, first_sale_date, last_sale_date, avg_daily_sales,
   sales_span_days, sales_span_true_days, movement_category, projected_monthly_sales, projected_annual_sales FROM movement"""
 
-_BASE = _BASE.replace("__CITIES__", ", ".join(f"'{c}'" for c in CITIES))
-
 _LIVE_DAYS = """SELECT CAST("timestamp" AS DATE) AS day, count(*) AS orders, CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) AS revenue,
     CAST(sum(CAST(price AS DECIMAL(18,4)) * quantity) AS DOUBLE) / count(*) AS avg_order_value{more} FROM live GROUP BY 1"""
 
@@ -349,8 +344,7 @@ _STATEMENTS = {
         median(delivery_time) AS median_delivery_days,
         round(CAST(count(*) FILTER (on_time_flag) AS DOUBLE) * 100.0 / count(*) * 100) / 100 AS on_time_pct
         FROM fact_ship JOIN dim_date USING (date_key) GROUP BY 1""",
-    "kpi_seasonal": """SELECT year, month, month_name, CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month IN (3, 4, 5) THEN 'Spring'
-        WHEN month IN (6, 7, 8) THEN 'Summer' ELSE 'Monsoon' END AS season, monthly_revenue, transaction_count, avg_transaction_value, total_units_sold,
+    "kpi_seasonal": """SELECT year, month, month_name, __SEASON__ AS season, monthly_revenue, transaction_count, avg_transaction_value, total_units_sold,
         round(monthly_revenue * 100.0 / (SELECT CAST(sum(revenue) AS DOUBLE) FROM fact) * 100) / 100 AS revenue_share_pct, prev_month_revenue,
         round((monthly_revenue - prev_month_revenue) * 100.0 / nullif(prev_month_revenue, 0) * 100) / 100 AS month_over_month_growth_pct FROM monthly""",
     "kpi_new_vs_returning": """SELECT date, count(DISTINCT customer_key) AS total_customers,
@@ -363,8 +357,8 @@ _STATEMENTS = {
     "kpi_customer_value": """SELECT customer_id, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS total_transactions,
         CAST(sum(revenue) AS DOUBLE) / count(revenue) AS avg_transaction_value, CAST(max(date_key) - min(date_key) AS INTEGER) AS customer_lifespan_days,
         CAST(date_diff('day', strptime(CAST(min(date_key) AS VARCHAR), '%Y%m%d'), strptime(CAST(max(date_key) AS VARCHAR), '%Y%m%d')) AS INTEGER) AS customer_lifespan_true_days,
-        CASE WHEN count(sale_id) <= 1 THEN 'One-time' WHEN count(sale_id) <= 20 THEN 'Occasional' WHEN count(sale_id) <= 30 THEN 'Regular' ELSE 'Loyal' END AS purchase_frequency_segment,
-        CASE WHEN sum(revenue) < 20000000 THEN 'Low Value' WHEN sum(revenue) < 40000000 THEN 'Medium Value' WHEN sum(revenue) < 60000000 THEN 'High Value' ELSE 'Premium' END AS value_segment
+        __FREQUENCY_WIDE__ AS purchase_frequency_segment,
+        __VALUE_WIDE__ AS value_segment
         FROM fact JOIN dim_customer USING (customer_key) GROUP BY customer_id""",
     "kpi_summary": """SELECT 'Total Revenue' AS metric, CAST(sum(revenue) AS DOUBLE) AS value, '₹' || CAST(CAST(round(sum(revenue), 2) AS DECIMAL(38,2)) AS VARCHAR) AS formatted_value FROM fact
         UNION ALL SELECT 'Total Transactions', CAST(count(sale_id) AS DOUBLE), CAST(count(sale_id) AS VARCHAR) FROM fact
@@ -541,8 +535,35 @@ _DRIFT_STATEMENTS = {
 _ITEMS = ", items AS (SELECT DISTINCT split_part(transaction_id, '-', 1) AS o, product_id AS p FROM cleaned) "
 
 
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+def _members(column: str, groups: dict, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} IN ({_listed(v)}) THEN '{k}'" for k, v in groups.items()) + f" ELSE '{default}' END"
+
+
+def _steps(column: str, sign: str, ladder: list, rest: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} {sign} {bound} THEN '{label}'" for bound, label in ladder) + f" ELSE '{rest}' END"
+
+
+# Labels come from the fixed values that the queries use.
+_LABELS = {
+    "__CITIES__": _listed(CITIES),
+    "__REGION__": _members("upper(trim(city))", S.REGION_CITIES, S.UNKNOWN_REGION),
+    "__TIER__": _members("city", S.TIER_CITIES, S.DEFAULT_TIER),
+    "__SEASON__": _members("month", S.SEASON_MONTHS, S.DEFAULT_SEASON),
+    "__RISK__": _steps("p", ">", S.RISK_LADDER, S.RISK_BOTTOM),
+    "__MOVEMENT__": _steps("avg_daily_sales", ">", S.MOVEMENT_LADDER, S.MOVEMENT_BOTTOM),
+    "__FREQUENCY__": _steps("count(sale_id)", "<=", S.FREQUENCY_LADDER, S.FREQUENCY_TOP),
+    "__FREQUENCY_WIDE__": _steps("count(sale_id)", "<=", FREQUENCY_STEPS, S.FREQUENCY_TOP),
+    "__VALUE__": _steps("sum(revenue)", "<", S.VALUE_LADDER, S.VALUE_TOP),
+    "__VALUE_WIDE__": _steps("sum(revenue)", "<", VALUE_STEPS, S.VALUE_TOP),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _BASE + (_ITEMS if name == "product_pairs" else "") + sql for name, sql in _STATEMENTS.items()}
     drift_base = _BASE + _drift_cte()
     out.update({name: drift_base + sql for name, sql in _DRIFT_STATEMENTS.items()})
-    return out
+    return {name: re.sub("|".join(_LABELS), lambda m: _LABELS[m[0]], sql) for name, sql in out.items()}
