@@ -12,11 +12,13 @@ dart of the lowest rank; if one stays empty the rank limit doubles. Two sets agr
 coordinate with the probability of their weighted Jaccard similarity.
 
 Joining. Documents with equal shingle sets are one node. Signatures are cut into bands;
-nodes that share a band key meet in a star around a leader drawn by hash, never in all
-pairs. Pairs that length and one-bit sketches allow are checked exactly on shingle sets
-and give links, and linked nodes form classes. Where a band key still has nodes outside
-its leader's class, just those are joined with all others of the key, with the same
-filters and exact check, so that no link between classes is lost.
+nodes that share a band key meet in a star around its leader, the node of the least hash,
+never in all pairs. Pairs that length and one-bit sketches allow are checked exactly on
+shingle sets and give links, and linked nodes form classes. Band keys that still hold
+nodes of several classes get a second look, which loses no link between classes: their
+shingle sets are dealt to tasks in pairs of blocks of ``BLOCK_NODES``, and an inverted index there
+finds every similar pair of nodes of different classes. Only links that join classes leave a
+task, so their number is bounded by that of its nodes.
 
 Result: one row per document with ``class_id``, the smallest id of its class, and
 ``keep``, true for one row of each class. Null, empty and wordless texts are classes of
@@ -48,6 +50,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 MAX_BITS = 38
+BLOCK_NODES = 1_024
+GROUP_NODES = 2_000  # nodes, of as many band keys as it takes, in one task of the second look
 _FIRST_RANK = 0.25
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -159,7 +163,7 @@ _SIGNED = "doc_id long, th long, node long, n int, s1 long, s2 long, bands binar
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, 2, 2 << 20):
+    for batch in common.slices(batches, 2, 1 << 20):
         sets = shingle_sets(batch.column(2))
         bounds = np.cumsum([0, *map(len, sets)])
         elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -209,7 +213,7 @@ def _similar(threshold: float):
 
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, 1, 2 << 20):
+    for batch in common.slices(batches, 1, 1 << 20):
         sets = [common.pack(np.unique(s.astype(np.uint32))) for s in shingle_sets(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -221,6 +225,62 @@ def links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_similar(threshold), "a long, b long")
 
 
+def _second_look(met: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between nodes of different classes that share a band key."""
+    spark = met.sparkSession
+    rows = met.select("key", F.col("own.node").alias("node")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rows = stash(rows, "minhash-placed")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks")).where("least != most")
+    rows = rows.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", other).select("key", "node", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = stash(dealt, "minhash-dealt")
+    tasks = max(common.parallelism(spark), math.ceil(dealt.count() / GROUP_NODES))
+    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)).alias("task")
+    return dealt.join(sets, "node").select(task, "key", "low", "high", "node", "root", "shingles").groupBy("task").applyInArrow(_joining_links(threshold), "a long, b long")
+
+
+def _joining_links(threshold: float):
+    def joining(key: tuple, rows: pa.Table) -> pa.Table:
+        band, low, high, node, root = (common.ints(rows[c], 0) for c in ("key", "low", "high", "node", "root"))
+        blobs = rows["shingles"].combine_chunks() if rows.num_rows else []
+        order = np.lexsort((node, high, low, band))
+        change = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        links = []
+        for own in np.split(order, change) if len(order) else []:
+            if len(np.unique(root[own])) > 1:
+                links += cross_links([common.unpack(blobs[int(i)].as_py())[0] for i in own], node[own], root[own], threshold)
+        return pa.Table.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return joining
+
+
+def cross_links(sets: list[np.ndarray], node: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Similar pairs of nodes that join classes, until no similar pair is left between two classes.
+
+    Only nodes outside the largest class need to look: every such pair has one.
+    """
+    _, group = np.unique(root, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(term, kind="stable")
+    posting = owner[by]
+    starts = np.searchsorted(term[by], np.arange(term.max() + 2))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    links = []
+    for x in np.flatnonzero(group != np.bincount(group).argmax()):
+        terms = term[bounds[x] : bounds[x + 1]]
+        run, place = common.runs(starts[terms + 1] - starts[terms])
+        both = np.bincount(posting[starts[terms][run] + place], minlength=len(sets))
+        alike = np.flatnonzero((both >= threshold * (sizes[x] + sizes - both) - 1e-9) & (group != group[x]))
+        for y in alike:
+            if group[y] != group[x]:
+                links.append((int(node[x]), int(node[y])))
+                group[group == group[y]] = group[x]
+    return links
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for all nodes of the links; the root is the smallest node of the component.
 
@@ -250,7 +310,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "minhash-nodes",
     )
     keyed = nodes.select("node", "bands", "n", "s1", "s2").mapInArrow(_keys, "key long, node long, n int, s1 long, s2 long")
-    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n", "s1", "s2"))
+    drawn = F.min(F.struct(F.xxhash64("node").alias("draw"), "node", "n", "s1", "s2"))
     leaders = keyed.groupBy("key").agg(F.count("*").alias("members"), drawn.alias("leader")).where("members > 1").select("key", "leader")
     met = stash(keyed.join(leaders, "key").select("key", F.struct("node", "n", "s1", "s2").alias("own"), "leader"), "minhash-met")
 
@@ -262,18 +322,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = stash(links(stars, sets, threshold), "minhash-links")
     roots = components(edges, "minhash")
 
-    # nodes that are not in the class of a leader they met: against all others of that key
-    named = roots.select(F.col("node").alias("x"), F.col("root").alias("own_root"))
-    placed = met.join(named, F.col("own.node") == F.col("x"), "left").select("key", "own", "leader", F.coalesce("own_root", "own.node").alias("own_root"))
-    named = roots.select(F.col("node").alias("x"), F.col("root").alias("leader_root"))
-    placed = placed.join(named, F.col("leader.node") == F.col("x"), "left").select("key", "own", "own_root", F.coalesce("leader_root", "leader.node").alias("leader_root"))
-    placed = stash(placed, "minhash-placed")
-    stray = placed.where("own_root != leader_root").select("key", F.col("own").alias("stray"), F.col("own_root").alias("stray_root"))
-    crossing = stray.join(placed, "key").where((F.col("own_root") != F.col("stray_root")) & _plausible("own", "stray", threshold))
-    lower, upper = F.least("own.node", "stray.node"), F.greatest("own.node", "stray.node")
-    crossing = crossing.select(lower.alias("a"), upper.alias("b")).distinct().join(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stash(links(crossing.join(tried, ["a", "b"], "left_anti"), sets, threshold), "minhash-more-links")
+    more = stash(_second_look(met, roots, sets, threshold), "minhash-more-links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more), "minhash-all")
 

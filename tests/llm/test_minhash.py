@@ -113,3 +113,36 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 32), (32, 31)], "a long, b long")
     roots = {r.node: r.root for r in minhash.components(edges, "test").collect()}
     assert {roots[i] for i in range(21)} == {0} and {roots[i] for i in (30, 31, 32, 40)} == {30}
+
+
+def test_cross_links_join_what_is_similar():
+    draw = np.random.default_rng(6)
+    base = draw.permutation(1000)[:100]
+    sets = [np.sort(np.where(draw.random(100) < p, draw.integers(1000, 10**6, 100), base)).astype(np.uint32) for p in np.linspace(0, 0.25, 40)]
+    sets = [np.unique(s) for s in sets]
+    node = np.arange(40) * 3
+    similar = [(i, j) for i in range(40) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+
+    def joined(pairs):
+        group = np.arange(40)
+        for a, b in pairs:
+            group[group == group[b]] = group[a]
+        return [list(group).index(g) for g in group]
+
+    links = minhash.cross_links(sets, node, np.arange(40), 0.8)
+    assert joined([(a // 3, b // 3) for a, b in links]) == joined(similar)
+    assert len(links) < 40
+
+
+def test_blocks_of_a_large_key(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 7)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        near = list(base)
+        for _ in range(draw.randrange(1, 6)):
+            near[draw.randrange(100)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    got = minhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)[0]
