@@ -71,7 +71,7 @@ def row_text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(0).field("text")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int | Callable, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int | Callable, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut into pieces of about ``limit`` bytes of the text in ``column`` (at least one row each)."""
     for batch in batches:
         text = column(batch) if callable(column) else batch.column(column)

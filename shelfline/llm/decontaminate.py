@@ -57,11 +57,24 @@ def compile_tests(items: list[tuple[str, str]], window: int = WINDOW) -> dict:
         for j in range(len(own) - size + 1 if size else 0):
             owners.setdefault(own[j : j + size].tobytes(), []).append((i, j))
     keys = sorted(owners)
+    sizes = np.array([len(k) // 4 for k in keys], np.int64)
+    width = max(1, len(vocabulary).bit_length())
+    lead = max(1, min(63 // width, window))
+    leads: dict[int, set[int]] = {}
+    for key, size in zip(keys, np.minimum(sizes, lead), strict=True):
+        value = 0
+        for x in np.frombuffer(key, ">u4", size):
+            value = (value << width) | int(x)
+        leads.setdefault(int(size), set()).add(value)
+    ends = [k + b"\xff" * (4 * window - len(k)) for k in keys]
     return {
+        "width": width,
+        "leads": {size: np.array(sorted(own), np.int64) for size, own in leads.items()},  # first words of all windows, in one number
+        "range": (np.array(keys, f"S{4 * window}"), np.array(ends, f"S{4 * window}")),
         "names": [name for name, _ in items],
         "vocabulary": vocabulary,
         "keys": keys,
-        "sizes": np.array([len(k) // 4 for k in keys], np.int64),
+        "sizes": sizes,
         "owners": [np.array(owners[k], np.int64) for k in keys],
         "window": window,
     }
@@ -73,22 +86,12 @@ def shard_matches(ids: np.ndarray, tests: dict) -> tuple[np.ndarray, np.ndarray]
     ``ids`` holds test word ids, 0 for other words and between documents. Only suffixes
     whose first words start some test window enter the array; the others cannot match.
     """
-    width = max(1, int(len(tests["vocabulary"])).bit_length())
-    lead = max(1, min(63 // width, tests["window"]))
     ahead = np.concatenate([ids, np.zeros(tests["window"], np.int64)])
-    sizes, keys = tests["sizes"], tests["keys"]
     keep = np.zeros(len(ids), bool)
-    for size in np.unique(np.minimum(sizes, lead)):
+    for size, wanted in tests["leads"].items():
         code = np.zeros(len(ids), np.int64)
         for t in range(size):
-            code = (code << width) | ahead[t : t + len(ids)]
-        wanted = set()
-        for k in (keys[i] for i in np.flatnonzero(np.minimum(sizes, lead) == size)):
-            value = 0
-            for x in np.frombuffer(k, ">u4", size):
-                value = (value << width) | int(x)
-            wanted.add(value)
-        wanted = np.array(sorted(wanted), np.int64)
+            code = (code << tests["width"]) | ahead[t : t + len(ids)]
         place = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
         keep |= wanted[place] == code
     starts = np.flatnonzero(keep)
@@ -98,9 +101,7 @@ def shard_matches(ids: np.ndarray, tests: dict) -> tuple[np.ndarray, np.ndarray]
     prefix = np.ascontiguousarray(prefix).view(f"S{4 * tests['window']}").ravel()
     array = np.argsort(prefix, kind="stable")  # the shard's suffix array
     ordered = prefix[array]
-    low = np.searchsorted(ordered, np.array(keys, ordered.dtype), "left")
-    above = [k + b"\xff" * (4 * tests["window"] - len(k)) for k in keys]
-    high = np.searchsorted(ordered, np.array(above, ordered.dtype), "right")
+    low, high = (np.searchsorted(ordered, edge, side) for edge, side in zip(tests["range"], ("left", "right"), strict=True))
     which, inside = common.runs(high - low)
     return starts[array[low[which] + inside]], which
 

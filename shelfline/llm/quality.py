@@ -140,7 +140,7 @@ def fit(columns: np.ndarray, weights: np.ndarray, bounds: np.ndarray, y: np.ndar
 
 
 def _to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, 1, 2 << 20):
+    for batch in common.slices(batches, 1, 1 << 20):
         columns, weights, bounds = vectors(batch.column(1))
         cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), cut(columns, np.int32), cut(weights, np.float32), batch.column(2)], names=["doc_id", "columns", "weights", "y"])
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in common.slices(batches, 1, 2 << 20):
+        for batch in common.slices(batches, 1, 1 << 20):
             p = 1 / (1 + np.exp(-np.clip(raw_score(model, *vectors(batch.column(1))), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p.astype(np.float64), pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -184,7 +184,7 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in common.slices(batches, common.row_text, 2 << 20):
+        for batch in common.slices(batches, common.row_text, 1 << 20):
             good = raw_score(model, *vectors(common.row_text(batch))) >= cut
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good, pa.bool_()))
 
