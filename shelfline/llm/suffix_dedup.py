@@ -55,8 +55,7 @@ _SEGMENT = 1 << 20
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the 32 bytes from each position, by doubling."""
-    common._powers(1)
-    h = common._POWERS["values"][data]
+    h = common.byte_values()[data]
     step, factor = 1, 0x9E3779B97F4A7C15
     while step < GRAM:
         h = h[:-step] * np.uint64(factor) + h[step:]
@@ -155,11 +154,11 @@ def _rows(parts: list[tuple[int, int, str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array(kind, pa.string()), pa.array(blob, pa.binary())], names=["bucket", "chunk", "kind", "blob"])
 
 
-def _by_chunk(bucket: int, kind: str, chunks: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, str, bytes]]:
-    """Rows addressed to text chunks."""
+def _by_chunk(buckets: int, kind: str, chunks: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, str, bytes]]:
+    """Rows addressed to text chunks; on their way they pass through some bucket, spread evenly by chunk."""
     order = np.argsort(chunks, kind="stable")
     bounds = common.group_bounds(chunks[order])
-    return [(bucket, int(chunks[order[i]]), kind, common.pack(*(c[order[i:j]] for c in columns))) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [(int(chunks[order[i]]) % buckets, int(chunks[order[i]]), kind, common.pack(*(c[order[i:j]] for c in columns))) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +201,7 @@ def _suffixes(shared) -> object:
             parts = []
             if repeated.any():  # known to be candidates here already
                 own = order[repeated]
-                parts += _by_chunk(int(batch.num_rows) % max(1, len(cuts) + 1), "c", chunks[row[own]], ids[row[own]], at[own], back[own], ahead[own])
+                parts += _by_chunk(len(cuts) + 1, "c", chunks[row[own]], ids[row[own]], at[own], back[own], ahead[own])
             sent = order[lead]
             bucket = np.searchsorted(cuts, token[sent], "right")
             mark = repeated[lead].astype(np.uint8)
@@ -231,7 +230,7 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
         tied = np.bincount(group)[group] > 1
         own = order[tied]
         own = own[mark[own] == 0]
-        out += _by_chunk(0, "c", chunks[own], ids[own], at[own], back[own], ahead[own])
+        out += _by_chunk(1, "c", chunks[own], ids[own], at[own], back[own], ahead[own])
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -283,7 +282,7 @@ def _windows(shared) -> object:
         parts = []
         if known.any():
             r = row[known]
-            parts.append((int(chunk) % max(1, len(cuts) + 1), int(chunk), "w", common.pack(ids[r], th[r], start[known] - offsets[r], last[known] - offsets[r])))
+            parts.append((int(chunk) % (len(cuts) + 1), int(chunk), "w", common.pack(ids[r], th[r], start[known] - offsets[r], last[known] - offsets[r])))
         s = np.flatnonzero(lead)
         bucket = np.searchsorted(cuts, tokens(data, start[s] + back[s])[:, 0], "right")
         order = np.argsort(bucket, kind="stable")
@@ -353,7 +352,7 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
             cut[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
             begin = np.flatnonzero(cut)
             end = np.append(begin[1:], len(again)) - 1
-            out += _by_chunk(0, "w", chunks[p[begin]], ids[p[begin]], th[p[begin]], start[begin], start[end])
+            out += _by_chunk(1, "w", chunks[p[begin]], ids[p[begin]], th[p[begin]], start[begin], start[end])
     return pa.Table.from_batches([_rows(out)])
 
 
