@@ -7,10 +7,11 @@ around a mention are then judged by how much they reveal of it, estimated on the
     PMI(entity; term) = log2 p(term, entity) / (p(term) p(entity)),   IC(entity) = -log2 p(entity),
 
 with p(term) from all words of all texts and joint counts from the mentions' contexts (``AROUND``
-words to either side). Disclosure is PMI / IC: 1 if a term occurs with the entity only, so that
+words to either side). All counts are of occurrences, copies included: a joint one is a word that stands
+near some mention of the entity. Disclosure is PMI / IC: 1 if a term occurs with the entity only, so that
 reading it is reading the entity. Terms at or above ``GENERALISE`` are replaced by their kind of word,
 those at or above ``REMOVE`` taken out. At least ``SUPPORT`` different contexts must support a pair;
-equal contexts (copies) count as one. Where nothing is protected, nothing is touched.
+there, and only there, equal contexts (copies) count as one. Where nothing is protected, nothing is touched.
 
 Positions are code points. Null and empty texts hold nothing. Rows are known by id and text:
 equal rows get equal spans, a null id is an id. An empty table gives an empty result.
@@ -99,9 +100,12 @@ def entity(text: str, span: Span) -> str:
     return f"{kind}:{value.translate(_LOWER) if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int, int]]:
-    """(entity, context, term, start, end, digits only) of the words around each mention; the first three are hashes."""
-    out = []
+def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """(entity, context, term, start, end, digits only, new, first) of the words around each mention; the first three are hashes.
+
+    ``new`` is 1 once for a word however many mentions of the entity are near, ``first`` is 1 once for a mention.
+    """
+    out, known = [], set()
     taken = [(a, b) for _, a, b in spans]
     for span in spans:
         _, a, b = span
@@ -115,18 +119,20 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int
         column = pa.array([w.encode() for w in words], pa.large_binary())
         hashes, _ = common.words(*common.flat(column), common.byte_classes("alnum"))
         name, context = (int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in (entity(text, span), " ".join(words)))
-        out += [(name, context, int(h), m.start(), m.end(), int(w.isdecimal())) for h, m, w in zip(hashes.view(np.int64), near, words, strict=True)]
+        new = [int((name, m.start()) not in known) for m in near]
+        known.update((name, m.start()) for m in near)
+        out += [(name, context, int(h), m.start(), m.end(), int(w.isdecimal()), n, int(m is near[0])) for h, m, w, n in zip(hashes.view(np.int64), near, words, new, strict=True)]
     return out
 
 
 _SPAN = "struct<start:int,kind:int,finish:int>"
-_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,start:int,finish:int,digits:int>>"
+_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,start:int,finish:int,digits:int,new:int,first:int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("finish", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("finish", pa.int32()), ("digits", pa.int32())]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("finish", pa.int32()), ("digits", pa.int32()), ("new", pa.int32()), ("first", pa.int32())]))
     for batch in common.slices(batches, 2):
         counts, hashes, bases, around = [[], [], [], []], [], [], []
         for data in batch.column(2).cast(pa.binary()).to_pylist():
@@ -136,7 +142,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(sum(k == kind for k, _, _ in base))
             hashes.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())
             bases.append([{"start": a, "kind": KINDS.index(k), "finish": b} for k, a, b in base])
-            around.append([dict(zip(("entity", "context", "term", "start", "finish", "digits"), x, strict=True)) for x in contexts(text, base)] if base else [])
+            around.append([dict(zip(("entity", "context", "term", "start", "finish", "digits", "new", "first"), x, strict=True)) for x in contexts(text, base)] if base else [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(bases, span), pa.array(around, near)], names=names)
 
 
@@ -173,18 +179,19 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def supported(near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, both): the pairs seen in at least ``support`` different contexts."""
-    seen = near.select("entity", "term", "context").distinct()
-    return seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    """(entity, term, both): occurrences of the term near the entity, of the pairs seen in at least ``support`` different contexts."""
+    seen = near.groupBy("entity", "term", "context").agg(F.sum("new").alias("new"))
+    pairs = seen.groupBy("entity", "term").agg(F.sum("new").alias("both"), F.count("*").alias("contexts"))
+    return pairs.where(F.col("contexts") >= support).drop("contexts")
 
 
 def disclosures(joint: DataFrame, near: DataFrame, counts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the supported pairs."""
-    mentions = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
+    mentions = near.groupBy("entity").agg(F.sum("first").alias("mentions"))
     total = counts.where("term is null").agg(F.max("n")).scalar()
     known = counts.where("term is not null")
     pairs = joint.join(known, "term").join(mentions, "entity").withColumn("total", total)
-    pmi = F.log2(F.col("both") * F.col("total") / (F.greatest("n", "both") * F.col("mentions")))
+    pmi = F.log2(F.col("both") / F.greatest("n", "both") * (F.col("total") / F.col("mentions")))
     content = F.log2(F.greatest(F.col("total") / F.col("mentions"), F.lit(2.0)))
     return pairs.select("entity", "term", (pmi / content).alias("disclosure"))
 

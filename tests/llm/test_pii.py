@@ -77,6 +77,24 @@ def test_copies_are_no_evidence(spark):
     assert all(r.spans == "email:20:45" for r in pii.report(df).collect())
 
 
+def test_copies_hide_nothing(spark):
+    texts = [f"{FILL[i]} {FILL[i + 3]} Zanzibarian lorem jane.roe@mail.example.com ipsum {FILL[i + 5]}" for i in range(2)]
+    every = [text for _, text in rows()[:40]] + texts * 60  # two contexts, each in 60 copies
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    for i, text in enumerate(every):
+        at = text.find("Zanzibarian")
+        assert (f"term:{at}:{at + 11}" in got[i].split(",")) == (i >= 40)
+        assert i >= 40 or got[i] == ""
+    assert not any("Zanzibarian" in r.text for r in pii.sanitise(df).collect())
+
+
+def test_repeats_near_one_mention(spark):
+    text = "jane.roe@mail.example.com name jane.roe@mail.example.com"
+    near = pii.contexts(text, pii.find(text))
+    assert sum(x[6] for x in near) == 1 and sum(x[7] for x in near) == 2  # one word near two mentions
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(df).count() == 0 and pii.sanitise(df).count() == 0
