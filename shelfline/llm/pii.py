@@ -13,6 +13,10 @@ reading it is reading the entity. Terms at or above ``GENERALISE`` are replaced
 those at or above ``REMOVE`` taken out. At least ``SUPPORT`` different contexts must support a pair;
 there, and only there, equal contexts (copies) count as one. Where nothing is protected, nothing is touched.
 
+Pairs come from the contexts of mentions, but a term that reveals an entity does so wherever it stands:
+a second pass over all texts spans every occurrence outside the direct identifiers. Words that meet an
+entity only outside all of its contexts are not paired with it.
+
 Positions are code points. Null and empty texts hold nothing. Rows are known by id and text:
 equal rows get equal spans, a null id is an id. An empty table gives an empty result.
 Other columns are not read (``sanitise`` passes them on).
@@ -22,7 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,19 +105,64 @@ def entity(text: str, span: Span) -> str:
     return f"{kind}:{value.translate(_LOWER) if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
+def apart(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a stretch [start, end) touches none of the spans."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_right(ends, start)
+        return at == len(ends) or starts[at] >= end
+
+    return free
+
+
+def _before(text: str, a: int, free: Callable[[int, int], bool]) -> list[re.Match]:
+    """The ``AROUND`` free words before ``a``, whole ones: the stretch that is read grows until it holds them."""
+    size = 400
+    while True:
+        low = max(0, a - size)
+        found = list(WORD.finditer(text, low, a))
+        if low and found and found[0].start() == low:  # may be a fragment
+            del found[0]
+        if found and found[-1].end() == a and WORD.match(text, a):  # goes on inside the mention
+            del found[-1]
+        found = [m for m in found if free(m.start(), m.end())]
+        if low == 0 or len(found) >= AROUND:
+            return found[-AROUND:]
+        size *= 2
+
+
+def _after(text: str, b: int, free: Callable[[int, int], bool]) -> list[re.Match]:
+    size = 400
+    while True:
+        high = min(len(text), b + size)
+        found = list(WORD.finditer(text, b, high))
+        if high < len(text) and found and found[-1].end() == high:
+            del found[-1]
+        if found and found[0].start() == b and WORD.match(text, b - 1):
+            del found[0]
+        found = [m for m in found if free(m.start(), m.end())]
+        if high == len(text) or len(found) >= AROUND:
+            return found[:AROUND]
+        size *= 2
+
+
 def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """(entity, context, term, start, end, digits only, new, first) of the words around each mention; the first three are hashes.
 
     ``new`` is 1 once for a word however many mentions of the entity are near, ``first`` is 1 once for a mention.
     """
     out, known = [], set()
-    taken = [(a, b) for _, a, b in spans]
+    free = apart(spans)
     for span in spans:
         _, a, b = span
-        left = list(WORD.finditer(text, max(0, a - 400), a))[-2 * AROUND :]
-        right = list(WORD.finditer(text, b, min(len(text), b + 400)))[: 2 * AROUND]
-        free = lambda m: not any(m.start() < y and x < m.end() for x, y in taken)
-        near = [m for m in left if free(m)][-AROUND:] + [m for m in right if free(m)][:AROUND]
+        near = _before(text, a, free) + _after(text, b, free)
         if not near:
             continue
         words = [m[0].translate(_LOWER) for m in near]
@@ -126,13 +176,13 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int
 
 
 _SPAN = "struct<start:int,kind:int,finish:int>"
-_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,start:int,finish:int,digits:int,new:int,first:int>>"
+_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,new:int,first:int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("finish", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("finish", pa.int32()), ("digits", pa.int32()), ("new", pa.int32()), ("first", pa.int32())]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("new", pa.int32()), ("first", pa.int32())]))
     for batch in common.slices(batches, 2):
         counts, hashes, bases, around = [[], [], [], []], [], [], []
         for data in batch.column(2).cast(pa.binary()).to_pylist():
@@ -142,10 +192,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(sum(k == kind for k, _, _ in base))
             hashes.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())
             bases.append([{"start": a, "kind": KINDS.index(k), "finish": b} for k, a, b in base])
-            around.append([dict(zip(("entity", "context", "term", "start", "finish", "digits", "new", "first"), x, strict=True)) for x in contexts(text, base)] if base else [])
+            around.append([dict(zip(("entity", "context", "term", "new", "first"), (*x[:3], *x[6:]), strict=True)) for x in contexts(text, base)] if base else [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(bases, span), pa.array(around, near)], names=names)
 
 
+def _inside(allowed: np.ndarray, signed: np.ndarray) -> np.ndarray:
+    bit = np.mod(signed, FILTER_BITS)
+    return (allowed[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _counter(shared) -> object:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed, classes, total = shared.value, common.byte_classes("alnum"), 0
@@ -153,31 +208,69 @@ def _counter(shared) -> object:
             hashes, _ = common.words(*common.flat(batch.column(0)), classes)
             total += len(hashes)
             signed = hashes.view(np.int64)
-            bit = np.mod(signed, FILTER_BITS)
-            inside = (allowed[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            terms, n = np.unique(signed[inside == 1], return_counts=True)
+            terms, n = np.unique(signed[_inside(allowed, signed)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["term", "n"])
 
     return counted
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences ``n`` of each of ``terms`` among all words; the row of a null term counts all words.
-
-    Tasks count only words that pass a bitmap of the wanted terms. The bitmap has a fixed size whatever
-    the number of terms, so it may be broadcast; a full one only thins less.
-    """
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """A bitmap of ``terms``. It has a fixed size whatever their number, so it may be broadcast; a full one only thins less."""
     place = F.pmod(F.col("term"), F.lit(FILTER_BITS))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     words = terms.select(F.floor(place / 64).alias("slot"), one.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words.toLocalIterator():
         bitmap[row.slot] = row.bits
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    return bitmap.view(np.uint64)
+
+
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences ``n`` of each of ``terms`` among all words; the row of a null term counts all words.
+
+    Tasks count only words that pass a bitmap of the wanted terms.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
     return docs.select("text").mapInArrow(_counter(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _spotter(shared) -> object:
+    def spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed, classes = shared.value, common.byte_classes("alnum")
+        for batch in common.slices(batches, 2, 2 << 20):
+            hashes, at = common.words(*common.flat(batch.column(2)), classes)
+            signed = hashes.view(np.int64)
+            hits = np.flatnonzero(_inside(allowed, signed))
+            rows = np.searchsorted(at, hits, "right") - 1
+            bounds = common.group_bounds(rows)
+            out: list[list] = [[], [], [], [], []]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                r, wanted = int(rows[i]), iter(hits[i:j].tolist())
+                text = batch.column(2)[r].as_py()
+                free = apart(find(text) if may_hold(text.encode()) else [])
+                word = next(wanted)
+                for k, m in enumerate(WORD.finditer(text), int(at[r])):
+                    if k < word:
+                        continue
+                    if free(m.start(), m.end()):
+                        for column, value in zip(out, (r, int(signed[k]), m.start(), m.end(), int(m[0].isdecimal())), strict=True):
+                            column.append(value)
+                    if (word := next(wanted, None)) is None:
+                        break
+            own = pa.array(out[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(out[1], pa.int64()), *(pa.array(c, pa.int32()) for c in out[2:])], names=["doc_id", "th", "term", "start", "finish", "digits"])
+
+    return spotted
+
+
+def occurrences(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """(doc_id, th, start, finish, digits, disclosure) of every word of the texts that is a strong term."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(strong))
+    words = rows.select("doc_id", "th", "text").mapInArrow(_spotter(shared), "doc_id long, th long, term long, start int, finish int, digits int")
+    return words.join(strong, "term").drop("term")
+
+
 def supported(near: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(entity, term, both): occurrences of the term near the entity, of the pairs seen in at least ``support`` different contexts."""
     seen = near.groupBy("entity", "term", "context").agg(F.sum("new").alias("new"))
@@ -200,11 +293,12 @@ def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALIS
     """One row per document row: counts, base spans, and ``terms``, the spans that reveal an entity with their disclosure."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = stash(rows.mapInArrow(_scan, _FOUND), "pii-found")
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
+    near = found.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
     joint = stash(supported(near, support), "pii-joint")
     counts = stash(term_counts(docs, joint.select("term").distinct()), "pii-counts")
     strong = disclosures(joint, near, counts).where(F.col("disclosure") >= threshold)
-    own = near.join(strong, ["entity", "term"]).groupBy("doc_id", "th", "start", "finish", "digits").agg(F.max("disclosure").alias("disclosure"))
+    strong = stash(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-strong")
+    own = occurrences(rows, strong).distinct()  # equal rows have equal words
     own = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "finish", "digits", "disclosure"))).alias("terms"))
     own = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("th", "own_th")
     same = found["doc_id"].eqNullSafe(own["own_id"]) & (found["th"] == own["own_th"])

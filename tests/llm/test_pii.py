@@ -79,16 +79,40 @@ def test_copies_are_no_evidence(spark):
 
 def test_copies_hide_nothing(spark):
     texts = [f"{FILL[i]} {FILL[i + 3]} Zanzibarian lorem jane.roe@mail.example.com ipsum {FILL[i + 5]}" for i in range(2)]
-    every = [text for _, text in rows()[:40]] + texts * 60  # two contexts, each in 60 copies
+    plain = [text for _, text in rows()[:40]] * 10  # so many that no word of them is mostly beside the address
+    every = plain + texts * 60  # two contexts, each in 60 copies
     df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.report(df).collect()}
     for i, text in enumerate(every):
         at = text.find("Zanzibarian")
-        assert (f"term:{at}:{at + 11}" in got[i].split(",")) == (i >= 40)
-        assert i >= 40 or got[i] == ""
+        assert (f"term:{at}:{at + 11}" in got[i].split(",")) == (i >= len(plain))
+        assert i >= len(plain) or got[i] == ""
     assert not any("Zanzibarian" in r.text for r in pii.sanitise(df).collect())
 
 
+def test_terms_away_from_the_mention(spark):
+    texts = [f"{FILL[i]} {FILL[i + 3]} Zanzibarian lorem jane.roe@mail.example.com ipsum {FILL[i + 5]}" for i in range(3)]
+    texts[0] += " " + " ".join(FILL) + " yours zanzibarian"  # 20 words away
+    texts.append("dolor ZANZIBARIAN sit")  # no mention in the text
+    every = [" ".join(FILL[(i + j) % len(FILL)] for j in range(15)) for i in range(400)] + texts
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    for i, text in enumerate(every):
+        places = [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zanzibarian", text)]
+        assert [s for s in got[i].split(",") if s.startswith("term") and s in places] == places
+    assert not any("zanzibarian" in r.text.lower() for r in pii.sanitise(df).collect())
+
+
+def test_contexts_are_of_whole_words():
+    long = "日" * 700
+    text = f"x {long} a@b.cd {long} y"
+    near = pii.contexts(text, pii.find(text))
+    assert [text[x[3] : x[4]] for x in near] == ["x", long, long, "y"]
+    text = "w " * 500 + "é1.2.3.4 " + "v" * 390 + " " + "u" * 500 + " t"  # é1 is one word, cut by the address
+    near = pii.contexts(text, pii.find(text))
+    assert [text[x[3] : x[4]] for x in near] == ["w"] * 8 + ["v" * 390, "u" * 500, "t"]
+
+
 def test_repeats_near_one_mention(spark):
     text = "jane.roe@mail.example.com name jane.roe@mail.example.com"
     near = pii.contexts(text, pii.find(text))
