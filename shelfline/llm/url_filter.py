@@ -7,9 +7,10 @@ its host and all subdomains if the path starts with the rule's; the longest rule
 URLs that a rule decides are the labelled ones. The trees are fitted on at most
 ``SAMPLE`` of them, chosen by a hash of the URL, from lexical features (lengths, depth,
 digit ratio, entropy, parameter counts, statistics of the host's suffix and of the
-path's first part); they decide the rest by probability. Suffix statistics are
-smoothed shares of blocked URLs among all labelled rows, grouped before anything is
-collected, the ``SUFFIXES`` most frequent ones being kept and all others pooled.
+path's first part); they decide the rest by probability. Suffix and head statistics are
+smoothed shares of blocked URLs among all labelled rows, for every value on its own: a written
+table of grouped counts is joined to the pages. The ``HOT`` values that most pages
+have are joined by broadcast, so that no shuffle meets a frequent value.
 
 Without labelled rows, or with one class only, the share of that class decides (0.5:
 allow). Equal URLs get equal verdicts. Empty tables give an empty result. Other columns
@@ -25,9 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.session import stash
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SAMPLE = 20_000
-SUFFIXES = 4_096
+HOT = 4_096
 FEATURES = ("length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "upper_ratio", "entropy", "n_params", "query_length", "hyphens", "escapes", "has_fragment", "suffix_share", "head_share")
 
 
@@ -69,8 +72,8 @@ def _entropy(text: str) -> float:
     return float(-(counts * np.log2(counts)).sum())
 
 
-def lexical(rows: pd.DataFrame, shares: dict[str, dict[str, float]]) -> np.ndarray:
-    """Feature matrix of (url, host, path, suffix, head)."""
+def lexical(rows: pd.DataFrame) -> np.ndarray:
+    """Feature matrix of (url, host, path, suffix_share, head_share)."""
     url, host, path = rows["url"].fillna(""), rows["host"], rows["path"]
     size = url.str.len().clip(lower=1)
     query = url.str.extract(r"^[^?#]*\?([^#]*)", expand=False).fillna("")
@@ -78,7 +81,7 @@ def lexical(rows: pd.DataFrame, shares: dict[str, dict[str, float]]) -> np.ndarr
     columns = [
         url.str.len(), host.str.len(), path.str.len(), host.str.count(r"\.") + 1, path.str.count("/"), url.str.count(r"[0-9]") / size, url.str.count(r"[A-Z]") / size,
         url.map(distinct), query.str.count("[^&]+"), query.str.len(), url.str.count("-"), url.str.count("%[0-9A-Fa-f]{2}"), url.str.contains("#", regex=False).astype(float),
-        rows["suffix"].map(shares["suffix"]).fillna(shares["other"]["suffix"]), rows["head"].map(shares["head"]).fillna(shares["other"]["head"]),
+        rows["suffix_share"], rows["head_share"],
     ]
     return np.column_stack([np.asarray(c, np.float64) for c in columns]) if len(rows) else np.zeros((0, len(FEATURES)))
 
@@ -137,14 +140,20 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 # --- the operator ------------------------------------------------------------------------------------------------------
 
 
-def shares(labelled: DataFrame, key: str, prior: float, keep: int = SUFFIXES) -> tuple[dict[str, float], float]:
-    """Smoothed shares of blocked URLs of the ``keep`` most frequent values of ``key``; the share of all others together."""
-    counts = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b"))
-    top = counts.orderBy(F.desc("n"), key).limit(keep).collect()
-    n, b = counts.agg(F.sum("n"), F.sum("b")).first()
-    n, b = (n or 0) - sum(r.n for r in top), (b or 0) - sum(r.b for r in top)
-    smooth = lambda b, n: (b + 20 * prior) / (n + 20)
-    return {r[key]: smooth(r.b, r.n) for r in top}, smooth(b, n)
+def shares(parts: DataFrame, key: str, prior: float) -> DataFrame:
+    """(``key``, pages, share): for every value its pages and the smoothed share of blocked URLs among its labelled rows."""
+    blocked = F.col("by_rule") == "block"
+    counts = parts.groupBy(key).agg(F.count("*").alias("pages"), F.count("by_rule").alias("n"), F.count(F.when(blocked, 1)).alias("b"))
+    share = (F.col("b") + F.lit(20 * prior)) / (F.col("n") + 20)
+    return stash(counts.select(key, "pages", share.alias("share")), f"url-{key}")
+
+
+def with_share(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` with the share of their value of ``key``; ``spread`` deals rows of hot values over the shuffle, where they match nothing."""
+    top = table.orderBy(F.desc("pages"), key).limit(hot).select(key, F.col("share").alias("hot_share"))
+    rest = table.select(key, F.lit(-1).cast("long").alias("place"), F.col("share").alias("own_share"))
+    rows = rows.join(F.broadcast(top), key, "left").withColumn("place", F.when(F.col("hot_share").isNull(), -1).otherwise(F.col("spread")))
+    return rows.join(rest, [key, "place"], "left").withColumn(f"{key}_share", F.coalesce("hot_share", "own_share")).drop("hot_share", "own_share", "place")
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -156,24 +165,31 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     labelled = parts.where(F.col("rule").isNotNull()).withColumn("blocked", F.col("by_rule") == "block")
     rate = labelled.agg(F.avg(F.col("blocked").cast("double"))).first()[0]
     rate = 0.5 if rate is None else rate
-    (by_suffix, other_suffix), (by_head, other_head) = shares(labelled, "suffix", rate), shares(labelled, "head", rate)
-    known = {"suffix": by_suffix, "head": by_head, "other": {"suffix": other_suffix, "head": other_head}}
-    columns = ["url", "host", "path", "suffix", "head", "blocked"]
-    chosen = labelled.select(*columns).orderBy(F.xxhash64("url"), "url").limit(sample)
+    tables = {key: shares(parts, key, rate) for key in ("suffix", "head")}
+
+    def known(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("spread", F.monotonically_increasing_id())
+        for key, table in tables.items():
+            rows = with_share(rows, table, key)
+        return rows
+
+    columns = ["url", "host", "path", "suffix_share", "head_share", "blocked"]
+    chosen = labelled.select("url", "host", "path", "suffix", "head", "blocked").orderBy(F.xxhash64("url"), "url").limit(sample)
+    chosen = known(chosen).select(*columns).orderBy(F.xxhash64("url"), "url")
     rows = pd.DataFrame([tuple(r) for r in chosen.collect()], columns=columns)
-    model = fit_trees(lexical(rows, known), rows["blocked"].astype(float).to_numpy())
-    shared = spark.sparkContext.broadcast((model, known))
+    model = fit_trees(lexical(rows), rows["blocked"].astype(float).to_numpy())
+    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value
+        model = shared.value
         for batch in batches:
             yield pd.DataFrame(
                 {
                     "page_id": batch["page_id"].astype("Int64"), "host": batch["host"], "path": batch["path"], "rule": batch["rule"], "by_rule": batch["by_rule"],
-                    "block_score": predict(model, lexical(batch, known)),
+                    "block_score": predict(model, lexical(batch)),
                 }
             )
 
-    scored = parts.mapInPandas(score, "page_id long, host string, path string, rule string, by_rule string, block_score double")
+    scored = known(parts).mapInPandas(score, "page_id long, host string, path string, rule string, by_rule string, block_score double")
     verdict = F.coalesce("by_rule", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")

@@ -63,3 +63,15 @@ def test_without_labelled_rows(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "http://a.net/es/x"), (2, "http://b.org/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in url_filter.judge(one).collect()} == {1: "block", 2: "block"}
+
+
+def test_every_value_keeps_its_share(spark):
+    rows = [(f"d{i}.com", None if i % 3 else "allow") for i in range(4300)] + [(f"n{i}.net", "block") for i in range(50)] + [("d1.com", "allow")] * 5 + [("", None)] * 20
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "spread long, suffix string, by_rule string")
+    table = url_filter.shares(df, "suffix", 0.25)
+    for hot in (2, url_filter.HOT):
+        got = {r.spread: r.suffix_share for r in url_filter.with_share(df, table, "suffix", hot).collect()}
+        assert len(got) == len(rows)
+        for k, (suffix, verdict) in enumerate(rows):
+            n, b = (5 if suffix == "d1.com" else int(verdict is not None)), int(verdict == "block")
+            assert got[k] == pytest.approx((b + 5) / (n + 20))
