@@ -4,11 +4,11 @@ r"""Approximate nearest neighbours by learned partitions of a neighbour graph.
    nearest neighbours is split into balanced parts: vertices move to the part where most
    of their neighbours are, none taking more than its share.
 2. A small softmax classifier learns to tell a vector's part, so that it can place any vector.
-   Held-out sample rows, searched in the sample by brute force, tell how many of a query's most
+   Held-out sample rows, which neither parts nor classifier were fitted on, searched in the sample by brute force, tell how many of a query's most
    probable parts must be probed for ``RECALL`` of the true neighbours.
 3. Every row is placed in its most probable part. A query goes to its most probable parts, at least
    so many that they hold enough rows. Parts are cut into blocks by hash, so a part (or a
-   third of all rows in one) is never one task; in each block products of matrices in double
+   third of all rows in one) is never one task, and so are the queries that probe a part; for each pair of blocks products of matrices in double
    precision give the best rows for each query, and a window merges the blocks' lists.
 
 Nearness is the inner product in double precision, ties go to the smaller ``vec_id``, and a query
@@ -35,6 +35,7 @@ NEIGHBOURS = 10
 PART_ROWS = 256  # sample rows in a part
 RECALL = 0.97  # aimed at on held-out rows
 BLOCK_ROWS = 4_096
+QUERY_ROWS = 16_384  # queries in a block
 
 
 # --- learning on the sample ------------------------------------------------------------------------------------------------
@@ -120,14 +121,19 @@ def ranked(router: dict, x: np.ndarray) -> np.ndarray:
     return np.argsort(-(unit(x) @ router["w"] + router["b"]), axis=1, kind="stable")
 
 
+def held_out(n: int) -> np.ndarray:
+    """Of ``n`` sample rows those that only set the number of probes; a quarter at most."""
+    return np.arange(0, n, max(4, n // HELD_OUT))
+
+
 def learn(sample: np.ndarray, neighbours: int) -> tuple[dict, int]:
     """(router, number of parts to probe) from sampled vectors."""
     parts = max(1, len(sample) // PART_ROWS)
-    x = unit(sample)
+    queries = held_out(len(sample))
+    x = unit(np.delete(sample, queries, axis=0)) if parts > 1 else unit(sample)
     router = fit_router(x, balanced_parts(x, neighbour_graph(x), parts), parts) if parts > 1 else {"w": np.zeros((x.shape[1], 1)), "b": np.zeros(1)}
     if parts == 1:
         return router, 1
-    queries = np.arange(0, len(sample), max(1, len(sample) // HELD_OUT))
     places = ranked(router, sample)
     where = places[:, 0]
     s = sample[queries] @ sample.T
@@ -222,7 +228,12 @@ def _search(k: int) -> object:
     return search
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def _block_count(sizes: np.ndarray, rows: int) -> Column:
+    """The number of blocks of about ``rows`` rows that a part is cut into."""
+    return F.element_at(F.array(*(F.lit(int(max(1, -(-n // rows)))) for n in sizes)), F.col("part") + 1)
+
+
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for every row that ``is_query`` (of vec_id) picks."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
@@ -235,11 +246,13 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
     shared = spark.sparkContext.broadcast((router, probes, sizes, k + 1))
     asked = rows.where(is_query).mapInArrow(_route(shared), "query_id long, q array<double>, part int")
 
-    blocks = [int(max(1, -(-n // BLOCK_ROWS))) for n in sizes]
-    of_part = F.element_at(F.array(*(F.lit(b) for b in blocks)), F.col("part") + 1)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_part).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of_part - 1)))
-    found = placed.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    probing = {r.part: r.n for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part
+    of_rows = _block_count(sizes, BLOCK_ROWS)
+    of_queries = _block_count(np.array([probing.get(p, 0) for p in range(len(sizes))], np.int64), query_rows)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int")).withColumn("asking", F.explode(F.sequence(F.lit(0), of_queries - 1)))
+    asked = asked.withColumn("asking", F.pmod(F.xxhash64("query_id", "q"), of_queries).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of_rows - 1)))
+    pair = ["part", "block", "asking"]
+    found = placed.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

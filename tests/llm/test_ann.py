@@ -67,3 +67,30 @@ def test_parts_are_balanced():
     x = ann.unit(draw.normal(size=(1000, 8)))
     own = ann.balanced_parts(x, ann.neighbour_graph(x), 8)
     assert np.bincount(own, minlength=8).max() <= np.ceil(1.1 * 1000 / 8)
+
+
+def test_queries_are_cut_into_blocks(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = lambda rows: sorted(map(tuple, ann.nearest(df, F.lit(True), 5, query_rows=rows).collect()))
+    whole, search = found(1 << 20), ann._search
+
+    def bounded(k):
+        inner = search(k)
+
+        def run(key, rows, queries):
+            assert queries.num_rows < 100
+            return inner(key, rows, queries)
+
+        return run
+
+    monkeypatch.setattr(ann, "_search", bounded)
+    assert found(40) == whole and len(whole) == 1500
+
+
+def test_held_out_rows_are_not_fitted(monkeypatch):
+    x = np.random.default_rng(4).normal(size=(1024, 8))
+    fitted, fit = [], ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda rows, *more: fitted.append(len(rows)) or fit(rows, *more))
+    ann.learn(x, 10)
+    assert fitted == [1024 - 256]
