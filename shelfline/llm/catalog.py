@@ -1,4 +1,4 @@
-"""Registered queries of the ten corpus operators and of the pipeline; DuckDB statements where SQL can express them."""
+"""Registered queries of the corpus operators and of the pipeline; DuckDB statements where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfline.llm import ann, decontaminate, lm_scoring, minhash, mixing, pii, quality, secret_scan, suffix_dedup, url_filter
+from shelfline.llm import (
+    ann,
+    conversation_trie,
+    decontaminate,
+    filter_audit,
+    license_scan,
+    lm_scoring,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    url_filter,
+)
 from shelfline.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +88,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -100,5 +129,55 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 """
 
 
+_OP12 = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+mark AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+fail AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS f
+         FROM doc LEFT JOIN mark USING (doc_id)),
+mask AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fail GROUP BY part, f),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(l, b)),
+perm AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM letter a, letter b, letter c, letter d, letter e
+         WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+step AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before FROM perm, range(1, 6) AS t(k)),
+told AS (SELECT part, filter_order, step, own,
+                sum(CASE WHEN (f & (before | own)) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN (f & before) = 0 AND (f & own) > 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN (f & before) > 0 AND (f & own) > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN (f & before) = 0 AND (f & own) > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN (f & before) = 0 AND (f & own) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+         FROM mask, step GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""
+
+_OP13 = """
+WITH turn AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % 100 AS family,
+                xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 6 AS h
+         FROM (SELECT DISTINCT conv_id FROM turn)),
+built AS (SELECT conv.conv_id, 0 AS own, p, role, text FROM conv JOIN turn ON turn.conv_id = family AND p < h
+          UNION ALL SELECT conv_id, 1, p, role, text FROM conv JOIN turn USING (conv_id) WHERE p >= h),
+path AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY own, p) AS turns FROM built GROUP BY conv_id),
+prefix AS (SELECT conv_id, 0 AS d, sha256('') AS k, 0 AS chars, turns IS NULL AS ends FROM conv LEFT JOIN path USING (conv_id)
+           UNION ALL SELECT conv_id, d, sha256(CAST(to_json(turns[1:d]) AS VARCHAR)), length(turns[d].t), d = len(turns) FROM path, range(1, len(turns) + 1) AS t(d)),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ended
+         FROM prefix GROUP BY d, k),
+child AS (SELECT up.d, up.k, count(*) AS n_children FROM node JOIN prefix AS up ON up.conv_id = node.conv_id AND up.d = node.d - 1 GROUP BY up.d, up.k),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, k)),
+below AS (SELECT up.d, up.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * f.chars) AS saved_tokens
+          FROM full_node AS f JOIN prefix AS up ON up.conv_id = f.conv_id AND up.d <= f.d GROUP BY up.d, up.k),
+parent AS (SELECT f.d, f.k, p.conv_id AS parent_conv_id FROM full_node AS f JOIN prefix AS up ON up.conv_id = f.conv_id AND up.d = f.d - 1 JOIN node AS p ON p.d = up.d AND p.k = up.k)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ended, '')) AS ends_sha256
+FROM full_node JOIN below USING (d, k) LEFT JOIN parent USING (d, k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4}
+    return {"op4_decontamination": _OP4, "op12_filter_audit": _OP12, "op13_conversation_trie": _OP13}
