@@ -232,6 +232,8 @@ def roll_up(nodes: DataFrame, paths: DataFrame, values: list[str], height: int =
     nodes: ``KEY``, ``conv_id`` of a member, ``values``; paths: ``conv_id`` and ``KEY`` of at
     least those members' prefixes.
     """
+    if height < 2:
+        raise ValueError("a band needs a height of two or more")
     deepest = nodes.agg(F.max("depth")).first()[0]
     band = F.floor(F.col("depth") / height).alias("band")
     above = paths.select(F.col("conv_id").alias("member"), band, F.col("depth").alias("up"), F.col("k1").alias("u1"), F.col("k2").alias("u2"))
