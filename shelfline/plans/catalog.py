@@ -17,11 +17,11 @@ from pyspark.sql import types
 from shelfline import schemas as S
 from shelfline.functions import exprs as X
 from shelfline.operators import (
-    access, basket, clean, dims, drift, facts, features, forecast, ingest, layout, ml, runlog, scd2,
+    access, basket, clean, dims, drift, facts, features, forecast, history, ingest, layout, ml, registry, runlog, scd2,
 )
 from shelfline.plans import batches, kpi
 from shelfline.plans.warehouse import Warehouse, open_warehouse
-from shelfline.session import fresh_path
+from shelfline.session import fresh_path, stash
 from shelfline.sources import readers, tables as T, writers
 from shelfline.streaming import orders as live
 
@@ -119,6 +119,43 @@ def kpi_summary(w):
     return kpi.summary(w["fact_sales"])
 
 
+# The same reports from sums that three loads kept up to date, one of them taking sales back.
+def _sums_by(w, name):
+    kept, loads = w.maintained()
+    return kept.sums(w.spark, name, loads)
+
+
+@_query
+def maintained_daily_revenue(w):
+    return kpi.daily_revenue(_sums_by(w, "by_day"), w["dim_date"])
+
+
+@_query
+def maintained_monthly_revenue(w):
+    return kpi.monthly_revenue(_sums_by(w, "by_day"), w["dim_date"])
+
+
+@_query
+def maintained_seasonal(w):
+    return kpi.seasonal_demand(_sums_by(w, "by_day"), w["dim_date"])
+
+
+@_query
+def maintained_city_sales(w):
+    return kpi.city_sales(_sums_by(w, "by_store"), w["dim_store"])
+
+
+@_query
+def maintained_top_products(w):
+    return kpi.top_products(_sums_by(w, "by_product"), w["dim_product"])
+
+
+@_query
+def maintained_summary(w):
+    kept, loads = w.maintained()
+    return kpi.summary_of(kept.members(w.spark, loads))
+
+
 @_query
 def dashboard_cards(w):
     return kpi.dashboard_cards(w["fact_sales"], w["dim_date"], w["dim_store"], w["dim_customer"])
@@ -209,6 +246,40 @@ def scd2_checks(w):
     return scd2.checks(scd2.apply(w["dim_customer"], w.raw("customer_snapshot"), T.as_of(LATER)))
 
 
+MUCH_LATER = "2002-03-01 00:00:00"
+
+
+def _later_customers(w):
+    """A third extract: a fifth of the customers is missing, and some have moved to Surat."""
+    rows = w.raw("customers").where(F.substring("customer_id", -1, 1) != "0")
+    return rows.withColumn("city", F.when(F.substring("customer_id", -1, 1).isin("3", "7"), F.lit("Surat")).otherwise(F.col("city")))
+
+
+@_query
+def scd2_any_order(w):
+    """History of three snapshots that arrive newest first; the first one lacks customers with a negative balance."""
+    kept = history.History(w.spark, fresh_path(w.spark, "history"))
+    kept.apply(_later_customers(w), datetime.fromisoformat(MUCH_LATER))
+    kept.apply(w.raw("customers").where("balance >= 0"), datetime.fromisoformat(T.AS_OF))
+    kept.apply(w.raw("customer_snapshot"), datetime.fromisoformat(LATER))
+    return kept.table().drop("customer_key")
+
+
+@_query
+def key_registry(w):
+    """Keys over two loads: those of the first survive, late customers get new ones."""
+    customers = w.raw("customers").select("customer_id", "balance")
+    ids = types.StructType([customers.schema["customer_id"]])
+    keys = registry.KeyRegistry(w.spark, fresh_path(w.spark, "keys"), ids, "customer_key")
+    first = stash(keys.assign(customers.where("balance >= 0")).select("customer_id", F.col("customer_key").alias("first_key")), "first-keys")
+    both = keys.assign(customers).join(first, "customer_id", "left")
+    top = first.agg(F.max("first_key")).scalar()
+    return both.agg(
+        F.count(F.lit(1)).alias("n_customers"), F.countDistinct("customer_key").alias("n_keys"),
+        F.count(F.when(F.col("first_key") != F.col("customer_key"), 1)).alias("n_changed"), F.count(F.when(F.col("customer_key") > top, 1)).alias("n_late"),
+    )
+
+
 # --- facts and layout -------------------------------------------------------------------
 @_query
 def fact_sales(w):

@@ -25,6 +25,9 @@ from shelfline.session import stash
 
 
 def _first_sums(fact: DataFrame, *keys: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Sums per key of the fact, or of sums that are kept up to date (``operators.increments``)."""
+    if "_rev" in fact.columns:
+        return fact.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("_rev", "_n_rev", "_n", "_units")))
     return fact.groupBy(*keys).agg(
         X.sum_money("revenue").alias("_rev"),
         F.count("revenue").alias("_n_rev"),
@@ -405,7 +408,11 @@ def summary(fact: DataFrame) -> DataFrame:
             ("store", "store_key", no_money, F.lit(None).cast("string")),
         )
     ]
-    per_key = fact.select(F.inline(F.array(*keys))).groupBy("kind", "key").agg(F.sum("revenue").alias("_rev"), F.count("sale_id").alias("_n"))
+    return summary_of(fact.select(F.inline(F.array(*keys))).groupBy("kind", "key").agg(F.sum("revenue").alias("_rev"), F.count("sale_id").alias("_n")))
+
+
+def summary_of(per_key: DataFrame) -> DataFrame:
+    """The headline metrics from one row per ``kind`` (customer, product, store) and ``key``; sums of customers only."""
 
     def known(kind: str) -> Column:
         return F.count(F.when(F.col("kind") == kind, F.col("key")))

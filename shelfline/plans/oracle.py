@@ -10,8 +10,8 @@ import re
 
 from shelfline import schemas as S
 from shelfline.plans.batches import BATCHES
-from shelfline.plans.catalog import FREQUENCY_STEPS, LATER, VALUE_STEPS
-from shelfline.sources.tables import CITIES
+from shelfline.plans.catalog import FREQUENCY_STEPS, LATER, MUCH_LATER, VALUE_STEPS
+from shelfline.sources.tables import AS_OF, CITIES
 
 _BASE = """
 WITH cities AS (
@@ -562,6 +562,23 @@ _LABELS = {
 }
 
 
+_STATEMENTS |= {
+    # Sums that are kept up to date give the reports of a full scan.
+    **{f"maintained_{name}": _STATEMENTS[f"kpi_{name}"] for name in ("daily_revenue", "monthly_revenue", "seasonal", "city_sales", "top_products", "summary")},
+    "scd2_any_order": f"""SELECT customer_id, name, email, phone, city, seen AS valid_from, lead(seen) OVER w AS valid_to, lead(seen) OVER w IS NULL AS is_current,
+        CAST(row_number() OVER w AS INTEGER) AS version
+        FROM (SELECT *, lag(coalesce(city, '')) OVER (PARTITION BY customer_id ORDER BY seen) AS was FROM (
+          SELECT customer_id, name, email, phone, city, TIMESTAMP '{AS_OF}' AS seen FROM customers WHERE balance >= 0
+          UNION ALL SELECT *, TIMESTAMP '{LATER}' FROM moved
+          UNION ALL SELECT customer_id, name, email, phone, CASE WHEN right(customer_id, 1) IN ('3', '7') THEN 'Surat' ELSE city END, TIMESTAMP '{MUCH_LATER}'
+          FROM customers WHERE right(customer_id, 1) <> '0'))
+        WHERE was IS NULL OR was <> coalesce(city, '')
+        WINDOW w AS (PARTITION BY customer_id ORDER BY seen)""",
+    "key_registry": """SELECT count(*) AS n_customers, count(DISTINCT customer_id) AS n_keys, CAST(0 AS BIGINT) AS n_changed,
+        count(*) FILTER (balance < 0) AS n_late FROM customers""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _BASE + (_ITEMS if name == "product_pairs" else "") + sql for name, sql in _STATEMENTS.items()}
     drift_base = _BASE + _drift_cte()

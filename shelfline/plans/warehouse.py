@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.operators import clean, dims, facts, features, forecast, layout, ml
+from shelfline.functions import exprs as X
+from shelfline.operators import clean, dims, facts, features, forecast, increments, layout, ml
 from shelfline.plans import batches
 from shelfline.session import ON_RELEASE, fresh_path, stash
 from shelfline.sources import tables as T
@@ -29,6 +30,7 @@ class Warehouse:
         self._built: dict[str, DataFrame] = {}
         self._layouts: dict[str, DataFrame] = {}
         self._models: ml.Models | None = None
+        self._maintained: increments.Maintained | None = None
 
     def raw(self, name: str) -> DataFrame:
         """One of the retail inputs of ``sources.tables``, not written; order lines are joined once for all."""
@@ -50,6 +52,19 @@ class Warehouse:
         """Last day with sales, as a literal for plans that need one."""
         return self["pair_sales"].agg(F.max("date")).scalar()
 
+    def maintained(self) -> tuple[increments.Maintained, int]:
+        """Report sums after three loads: all but the last month and some wrong sales, the last month, the wrong sales taken back."""
+        if self._maintained is None:
+            fact = self["fact_sales"]
+            first = X.date_key(F.date_sub(X.key_to_date(fact.agg(F.max("date_key")).scalar()), 30))
+            unknown = {key: F.lit(-1).cast(fact.schema[key].dataType) for key in ("customer_key", "product_key", "store_key")}
+            wrong = fact.where(F.col("product_key") % 7 == 3).withColumns({"sale_id": F.concat("sale_id", F.lit("-x")), **unknown})
+            kept = increments.Maintained(fresh_path(self.spark, "maintained", keep=True), fan=2)
+            kept.apply(0, fact.where(F.col("date_key") < first).unionByName(wrong))
+            kept.apply(1, fact.where(F.col("date_key") >= first))
+            kept.apply(2, fact.limit(0), wrong)
+            self._maintained = kept
+        return self._maintained, 3
 
     def layout(self, name: str) -> DataFrame:
         """``sales`` by month or live ``orders`` by day, and region; written and listed once."""

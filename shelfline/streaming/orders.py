@@ -17,6 +17,7 @@ from shelfline.functions import exprs as X
 from shelfline.operators.rows import keep_first, salted_join, top_k
 from shelfline.session import fresh_path
 from shelfline.sources import readers
+from shelfline.streaming.partials import disk_state, run_partials
 
 
 # --- sources and sinks ----------------------------------------------------------
@@ -56,9 +57,16 @@ def _written(spark: SparkSession, schema: T.StructType, folder: str) -> DataFram
 
 
 def run_batches(
-    stream: DataFrame, label: str, write: Callable[[DataFrame, int, str], None], output_mode: str = "append"
+    stream: DataFrame,
+    label: str,
+    write: Callable[[DataFrame, int, str], None],
+    output_mode: str = "append",
+    watch: Callable[[dict], None] | None = None,
 ) -> str:
-    """Hand every micro-batch to ``write(rows, batch_id, folder)``; returns the folder of the results."""
+    """Hand every micro-batch to ``write(rows, batch_id, folder)``; returns the folder of the results.
+
+    ``watch`` gets, per batch, the state rows that were ``updated`` and that there are in ``total``.
+    """
     folder = fresh_path(stream.sparkSession, label)
     query = (
         stream.writeStream.foreachBatch(lambda rows, batch_id: write(rows, batch_id, f"{folder}/rows"))
@@ -68,6 +76,9 @@ def run_batches(
         .start()
     )
     query.awaitTermination()
+    for progress in query.recentProgress if watch else ():
+        if progress.numInputRows:
+            watch({"updated": sum(s.numRowsUpdated for s in progress.stateOperators), "total": sum(s.numRowsTotal for s in progress.stateOperators)})
     return f"{folder}/rows"
 
 
@@ -120,7 +131,11 @@ def metrics_by_day(orders: DataFrame) -> DataFrame:
     """The same per day of an order table, with exact customers."""
     amount = X.money("price") * F.col("quantity")
     # One row per day and customer first, so that distinct customers are a count of rows.
-    each = orders.groupBy(F.to_date("timestamp").alias("day"), "customer_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_revenue"))
+    return _days(orders.groupBy(F.to_date("timestamp").alias("day"), "customer_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_revenue")))
+
+
+def _days(each: DataFrame) -> DataFrame:
+    """Day rows from sums per day and customer."""
     return each.groupBy("day").agg(
         F.sum("_n").alias("orders"),
         X.dbl(F.sum("_revenue")).alias("revenue"),
@@ -130,34 +145,40 @@ def metrics_by_day(orders: DataFrame) -> DataFrame:
 
 
 def run_daily_metrics(stream: DataFrame, label: str) -> DataFrame:
-    """Write the orders of a stream, then sum the complete table: no order is too late to count."""
-    return metrics_by_day(run_append(stream, label))
+    """``metrics_by_day`` of a stream. A batch adds its sums per day and customer; no order is too late to count."""
+    amount = X.money("price") * F.col("quantity")
+    source = stream.select(F.to_date("timestamp").alias("day"), "customer_id", F.lit(1).alias("_n"), amount.alias("_revenue"))
+    partials, batches = run_partials(source, fresh_path(stream.sparkSession, label), ["day", "customer_id"])
+    return _days(partials.state(stream.sparkSession, batches))
 
 
-def run_dedup(stream: DataFrame, label: str) -> DataFrame:
+def run_dedup(stream: DataFrame, label: str, watch: Callable[[dict], None] | None = None) -> DataFrame:
     """One row per order id over all micro-batches, however far apart the repeats are.
 
-    A batch writes the ids that no earlier batch wrote into its own folder, so a repeated
-    batch gives the same folder again.
+    Keyed state on disk holds the row kept of each id: the smallest one (nulls last) of the first batch
+    that had the id, by the time of the batch, which a repeated batch has again. A
+    batch looks up its own ids only and writes those that are new into its own folder.
     """
     spark, schema = stream.sparkSession, stream.schema
+    rank = [field for c in stream.columns for field in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = F.min(F.struct("_at", *rank)).alias("_first")
+    state = stream.withColumn("_at", F.current_timestamp()).groupBy(F.col("order_id").alias("_id")).agg(first, F.max("_at").alias("_last"))
 
     def add(rows: DataFrame, batch_id: int, folder: str) -> None:
-        fresh = keep_first(rows, ["order_id"], [F.asc_nulls_last(c) for c in rows.columns])
-        if batch_id > 0:
-            before = _written(rows.sparkSession, T.StructType([schema["order_id"], T.StructField("batch_id", T.LongType())]), folder)
-            fresh = fresh.join(before.where(F.col("batch_id") < batch_id).select("order_id"), "order_id", "left_anti").select(*rows.columns)
-        _write_batch(fresh, batch_id, folder)
+        new = rows.where(F.col("_first._at") == F.col("_last"))
+        _write_batch(new.select(*(F.col("_first")[c].alias(c) for c in schema.names)), batch_id, folder)
 
-    folder = run_batches(stream, label, add)
+    with disk_state(spark):
+        folder = run_batches(state, label, add, "update", watch)
     return _written(spark, T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())]), folder).drop("batch_id")
 
 
 def run_quarantine_rate(stream: DataFrame, label: str, minutes: int = 30, threshold: int = 100) -> DataFrame:
-    """Windows of the complete written log, whatever order its rows came in."""
-    log = run_append(stream, label)
-    counts = log.groupBy(F.window("timestamp", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("issue_count"))
-    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "issue_count", (F.col("issue_count") > threshold).alias("is_high"))
+    """Windows of a log, whatever order its rows come in; a batch adds its counts per window."""
+    source = stream.select(F.window("timestamp", f"{minutes} minutes")["start"].alias("start"), F.lit(1).alias("issue_count"))
+    partials, batches = run_partials(source, fresh_path(stream.sparkSession, label), ["start"])
+    counts = partials.state(stream.sparkSession, batches)
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("window_start"), "issue_count", (F.col("issue_count") > threshold).alias("is_high"))
 
 
 def day_metrics(orders: DataFrame, day: Column) -> DataFrame:
