@@ -12,6 +12,11 @@ smoothed shares of blocked URLs among all labelled rows, for every value on its
 table of grouped counts is joined to the pages. The ``HOT`` values that most pages
 have are joined by broadcast, so that no shuffle meets a frequent value.
 
+A row that trains the trees must not see its own label through a share: its shares leave out
+its fold, one of ``FOLDS`` by a hash of the URL. And pages without a rule mostly have a suffix that no labelled row
+has, so each share is hidden from half of the training rows (it is the overall share there, as
+for an unknown value): the trees learn what the other features say without it. Rows that a rule decides are not scored.
+
 Without labelled rows, or with one class only, the share of that class decides (0.5:
 allow). Equal URLs get equal verdicts. Empty tables give an empty result. Other columns
 are not read.
@@ -31,6 +36,7 @@ from shelfline.session import stash
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SAMPLE = 20_000
 HOT = 4_096
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "upper_ratio", "entropy", "n_params", "query_length", "hyphens", "escapes", "has_fragment", "suffix_share", "head_share")
 
 
@@ -140,56 +146,74 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 # --- the operator ------------------------------------------------------------------------------------------------------
 
 
+def url_fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def shares(parts: DataFrame, key: str, prior: float) -> DataFrame:
-    """(``key``, pages, share): for every value its pages and the smoothed share of blocked URLs among its labelled rows."""
-    blocked = F.col("by_rule") == "block"
-    counts = parts.groupBy(key).agg(F.count("*").alias("pages"), F.count("by_rule").alias("n"), F.count(F.when(blocked, 1)).alias("b"))
-    share = (F.col("b") + F.lit(20 * prior)) / (F.col("n") + 20)
-    return stash(counts.select(key, "pages", share.alias("share")), f"url-{key}")
+    """(``key``, pages, share, others): for every value its pages, the smoothed share of blocked URLs among its labelled rows, and that share without each fold.
+
+    parts: ``key``, ``by_rule``, ``fold``.
+    """
+    labelled, blocked = F.col("by_rule").isNotNull(), F.col("by_rule") == "block"
+    folds = [(F.count(F.when(labelled & (F.col("fold") == k), 1)).alias(f"n{k}"), F.count(F.when(blocked & (F.col("fold") == k), 1)).alias(f"b{k}")) for k in range(FOLDS)]
+    counts = parts.groupBy(key).agg(F.count("*").alias("pages"), F.count("by_rule").alias("n"), F.count(F.when(blocked, 1)).alias("b"), *(c for pair in folds for c in pair))
+
+    def share(b: Column, n: Column) -> Column:
+        return (b + F.lit(20 * prior)) / (n + 20)
+
+    others = F.array(*(share(F.col("b") - F.col(f"b{k}"), F.col("n") - F.col(f"n{k}")) for k in range(FOLDS)))
+    return stash(counts.select(key, "pages", share(F.col("b"), F.col("n")).alias("share"), others.alias("others")), f"url-{key}")
+
 
+def with_share(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT, own_fold: bool = True) -> DataFrame:
+    """``rows`` with the share of their value of ``key``, or with the share without their ``fold``.
 
-def with_share(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT) -> DataFrame:
-    """``rows`` with the share of their value of ``key``; ``spread`` deals rows of hot values over the shuffle, where they match nothing."""
+    ``spread`` deals rows of hot values over the shuffle, where they match nothing.
+    """
+    table = table.select(key, "pages", (F.col("share") if own_fold else F.col("others")).alias("share"))
     top = table.orderBy(F.desc("pages"), key).limit(hot).select(key, F.col("share").alias("hot_share"))
     rest = table.select(key, F.lit(-1).cast("long").alias("place"), F.col("share").alias("own_share"))
     rows = rows.join(F.broadcast(top), key, "left").withColumn("place", F.when(F.col("hot_share").isNull(), -1).otherwise(F.col("spread")))
-    return rows.join(rest, [key, "place"], "left").withColumn(f"{key}_share", F.coalesce("hot_share", "own_share")).drop("hot_share", "own_share", "place")
+    rows = rows.join(rest, [key, "place"], "left").withColumn(f"{key}_share", F.coalesce("hot_share", "own_share")).drop("hot_share", "own_share", "place")
+    return rows if own_fold else rows.withColumn(f"{key}_share", F.col(f"{key}_share")[F.col("fold")])
+
+
+def training_rows(labelled: DataFrame, tables: dict[str, DataFrame], rate: float, sample: int = SAMPLE) -> pd.DataFrame:
+    """At most ``sample`` labelled rows with shares that do not know them, half of the shares hidden."""
+    columns = ["url", "host", "path", "suffix_share", "head_share", "blocked"]
+    order = [F.xxhash64("url"), F.col("url"), F.col("blocked")]
+    chosen = labelled.select("url", "host", "path", "suffix", "head", "blocked", "fold").orderBy(*order).limit(sample).withColumn("spread", F.monotonically_increasing_id())
+    for key, table in tables.items():
+        chosen = with_share(chosen, table, key, own_fold=False)
+        hidden = F.pmod(F.xxhash64(F.lit(key), "url"), F.lit(2)) == 0
+        chosen = chosen.withColumn(f"{key}_share", F.when(hidden, F.lit(rate)).otherwise(F.col(f"{key}_share")))
+    return pd.DataFrame([tuple(r) for r in chosen.select(*columns).orderBy(*order).collect()], columns=columns)
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``block_score``, the trees' probability, of every page."""
+    """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``block_score``, the trees' probability where no rule decides, of every page."""
     spark = pages.sparkSession
     parts = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    parts = parts.select("*", rule.alias("rule"), verdict.alias("by_rule"), suffix(F.col("host")).alias("suffix"), head(F.col("path")).alias("head"))
+    parts = parts.select("*", rule.alias("rule"), verdict.alias("by_rule"), suffix(F.col("host")).alias("suffix"), head(F.col("path")).alias("head"), url_fold(F.col("url")).alias("fold"))
     labelled = parts.where(F.col("rule").isNotNull()).withColumn("blocked", F.col("by_rule") == "block")
     rate = labelled.agg(F.avg(F.col("blocked").cast("double"))).first()[0]
     rate = 0.5 if rate is None else rate
     tables = {key: shares(parts, key, rate) for key in ("suffix", "head")}
-
-    def known(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("spread", F.monotonically_increasing_id())
-        for key, table in tables.items():
-            rows = with_share(rows, table, key)
-        return rows
-
-    columns = ["url", "host", "path", "suffix_share", "head_share", "blocked"]
-    chosen = labelled.select("url", "host", "path", "suffix", "head", "blocked").orderBy(F.xxhash64("url"), "url").limit(sample)
-    chosen = known(chosen).select(*columns).orderBy(F.xxhash64("url"), "url")
-    rows = pd.DataFrame([tuple(r) for r in chosen.collect()], columns=columns)
+    rows = training_rows(labelled, tables, rate, sample)
     model = fit_trees(lexical(rows), rows["blocked"].astype(float).to_numpy())
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "page_id": batch["page_id"].astype("Int64"), "host": batch["host"], "path": batch["path"], "rule": batch["rule"], "by_rule": batch["by_rule"],
-                    "block_score": predict(model, lexical(batch)),
-                }
-            )
-
-    scored = known(parts).mapInPandas(score, "page_id long, host string, path string, rule string, by_rule string, block_score double")
-    verdict = F.coalesce("by_rule", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "host": batch["host"], "path": batch["path"], "block_score": predict(model, lexical(batch))})
+
+    open_rows = parts.where(F.col("rule").isNull()).withColumn("spread", F.monotonically_increasing_id())
+    for key, table in tables.items():
+        open_rows = with_share(open_rows, table, key)
+    scored = open_rows.select("page_id", "url", "host", "path", "suffix_share", "head_share").mapInPandas(score, "page_id long, host string, path string, block_score double")
+    scored = scored.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("block_score") > 0.5, "block").otherwise("allow").alias("verdict"), "block_score")
+    decided = labelled.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    return decided.unionByName(scored)

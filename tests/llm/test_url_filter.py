@@ -26,7 +26,9 @@ URLS = [
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    more = [f"http://m{i % 7}.site{i}.net/{'es' if i % 2 else 'fr'}/{i}?utm=1" for i in range(150)] + [f"https://s{i}.shop.com/de/{i}" for i in range(150)]
+    # Scheme, length and parameters are dealt alike to both classes: only suffix and head tell them apart.
+    more = [f"http{'s' * (i % 3 > 0)}://m{i % 7}.site{i}.net/{'es' if i % 2 else 'fr'}/{i}{'?utm=1' * (i % 5 < 2)}" for i in range(150)]
+    more += [f"http{'s' * (i % 3 > 0)}://m{i % 7}.site{i}.com/de/{i}{'?utm=1' * (i % 5 < 2)}" for i in range(150)]
     unknown = [f"http://x{i}.place.org/{'es' if i % 2 else 'de'}/{i}" for i in range(40)]
     rows = [(k, u, "h", "clash") for k, u in enumerate([*URLS, *more, *unknown, URLS[0]])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
@@ -67,7 +69,7 @@ def test_without_labelled_rows(spark):
 
 def test_every_value_keeps_its_share(spark):
     rows = [(f"d{i}.com", None if i % 3 else "allow") for i in range(4300)] + [(f"n{i}.net", "block") for i in range(50)] + [("d1.com", "allow")] * 5 + [("", None)] * 20
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "spread long, suffix string, by_rule string")
+    df = spark.createDataFrame([(k, k % 5, *r) for k, r in enumerate(rows)], "spread long, fold int, suffix string, by_rule string")
     table = url_filter.shares(df, "suffix", 0.25)
     for hot in (2, url_filter.HOT):
         got = {r.spread: r.suffix_share for r in url_filter.with_share(df, table, "suffix", hot).collect()}
@@ -75,3 +77,50 @@ def test_every_value_keeps_its_share(spark):
         for k, (suffix, verdict) in enumerate(rows):
             n, b = (5 if suffix == "d1.com" else int(verdict is not None)), int(verdict == "block")
             assert got[k] == pytest.approx((b + 5) / (n + 20))
+
+
+def test_a_training_row_does_not_see_its_label(spark):
+    """The share without a row's fold counts the labelled rows of its value in all other folds."""
+    draw = np.random.default_rng(3)
+    rows = [(k, int(draw.integers(5)), f"s{k % 4}.net", str(draw.choice(["allow", "block"])) if draw.random() < 0.8 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "spread long, fold int, suffix string, by_rule string")
+    table = url_filter.shares(df, "suffix", 0.5)
+    got = {r.spread: r.suffix_share for r in url_filter.with_share(df, table, "suffix", 2, own_fold=False).collect()}
+    for k, fold, suffix, _ in rows:
+        other = [v for _, f, s, v in rows if s == suffix and f != fold and v]
+        assert got[k] == pytest.approx((other.count("block") + 10) / (len(other) + 20))
+
+
+def auc(scores, truth):
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(1, len(scores) + 1)
+    for value in np.unique(scores):
+        ranks[scores == value] = ranks[scores == value].mean()
+    good = truth.sum()
+    return (ranks[truth].sum() - good * (good + 1) / 2) / (good * (len(truth) - good))
+
+
+def test_lexical_signal_on_suffixes_without_a_label(spark):
+    """Blocked hosts have long URLs with digits and parameters; pages of unknown hosts are told apart by these alone."""
+    draw = np.random.default_rng(8)
+
+    def url(bad, name):
+        depth = int(draw.integers(2, 6)) if bad else int(draw.integers(1, 4))
+        parts = [("".join(draw.choice(list("0123456789ab"), 9)) if bad and draw.random() < 0.7 else "".join(draw.choice(list("abcdefgh"), int(draw.integers(3, 8))))) for _ in range(depth)]
+        query = "?" + "&".join(f"k{j}={draw.integers(10**6)}" for j in range(int(draw.integers(1, 5)))) if draw.random() < (0.8 if bad else 0.2) else ""
+        return f"https://{name}/{'/'.join(parts)}{query}"
+
+    rules = [("block", "evil.net", "/"), ("allow", "good.net", "/")]
+    rows = [(k, url(k % 2 == 0, f"h{k % 30 + 10}.{'evil' if k % 2 == 0 else 'good'}.net")) for k in range(3000)]
+    truth = {10_000 + k: k % 2 == 0 for k in range(600)}
+    rows += [(k, url(bad, f"h{k % 30 + 10}.o{k % 40 + 10}x.net")) for k, bad in truth.items()]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    ids = sorted(truth)
+    assert auc(np.array([got[k].block_score for k in ids]), np.array([truth[k] for k in ids])) > 0.9
+    assert {got[k].verdict for k in ids} == {"allow", "block"}
+    assert all(got[k].block_score is None for k in range(3000))
+    share = {True: [], False: []}
+    for k in ids:
+        share[truth[k]].append(got[k].verdict == "block")
+    assert np.mean(share[True]) > 0.8 and np.mean(share[False]) < 0.2
