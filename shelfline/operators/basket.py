@@ -10,6 +10,8 @@ from shelfline.session import stash
 
 # Left items of one basket in one task.
 SHARE = 500
+# Baskets that are looked up instead of paired, at most.
+MOST_LARGE = 10_000
 
 
 def basket_items(sales: DataFrame, basket: str, product: str) -> DataFrame:
@@ -41,6 +43,32 @@ def pair_support(items: DataFrame, min_support: int = 1, share: int = SHARE) ->
     return counted.where(F.col("co_occurrence_count") >= min_support)
 
 
+def frequent_pairs(items: DataFrame, min_support: int, share: int = SHARE) -> DataFrame:
+    """Exact counts of pairs a < b in at least ``min_support`` baskets, without making all pairs of the largest baskets.
+
+    Two passes over two parts of the baskets. Fewer than ``min_support`` baskets, the largest ones, cannot make
+    a pair frequent by themselves, so a frequent pair is in another basket, and in as many of them as
+    the support exceeds the large ones. The first pass counts pairs of the other baskets and
+    keeps these candidates; the second looks candidates up in the large baskets. A basket
+    of n items then costs the candidates it holds, not n * n / 2 pairs. Writes the candidates when called.
+    """
+    sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("n_items"))
+    large = sizes.where(F.col("n_items") > share).orderBy(F.desc("n_items"), "basket").limit(min(max(min_support - 1, 0), MOST_LARGE)).select("basket")
+    large = stash(large, "large-baskets")
+    left_out = large.count()  # fewer than min_support
+    if left_out == 0:
+        return pair_support(items, min_support, share)
+    # At most MOST_LARGE rows.
+    rest, inside = items.join(F.broadcast(large), "basket", "left_anti"), items.join(F.broadcast(large), "basket")
+    candidates = stash(pair_support(rest, min_support - left_out, share), "pair-candidates")
+    first = inside.select("basket", F.col("product").alias("product_a"))
+    second = inside.select("basket", F.col("product").alias("product_b"))
+    more = candidates.select("product_a", "product_b").join(first, "product_a").join(second, ["basket", "product_b"])
+    more = more.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_occurrence_count"))
+    both = candidates.unionByName(more).groupBy("product_a", "product_b").agg(F.sum("co_occurrence_count").alias("co_occurrence_count"))
+    return both.where(F.col("co_occurrence_count") >= min_support)
+
+
 def product_pairs(
     sales: DataFrame,
     basket: str,
@@ -55,8 +83,10 @@ def product_pairs(
     """
     # Written once: support, basket sizes and the self-join all read it.
     items = stash(basket_items(sales, basket, product), "basket-items")
-    frequent = stash(frequent_items(items, min_support).select("basket", "product"), "basket-frequent") if min_support > 1 else items
-    pairs = pair_support(frequent, min_support, share)
+    if min_support > 1:
+        pairs = frequent_pairs(stash(frequent_items(items, min_support).select("basket", "product"), "basket-frequent"), min_support, share)
+    else:
+        pairs = pair_support(items, min_support, share)
     support = items.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     baskets = items.agg(F.countDistinct("basket")).scalar()
     joined = pairs.join(support.select(F.col("product").alias("product_a"), F.col("n").alias("n_a")), "product_a").join(

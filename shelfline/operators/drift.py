@@ -98,6 +98,40 @@ def score_new_columns(df: DataFrame, schema: TableSchema | None, table: str | No
     )
 
 
+def sketched_scores(df: DataFrame, schema: TableSchema | None, table: str | None = None, error: float = 0.01, sigmas: int = 6) -> DataFrame:
+    """(table_name, column_name, data_type, null_ratio, confidence, counted) of every new column, from one scan.
+
+    Confidence needs to know only on which side of 1 % and 99 % the distinct values are. Mergeable
+    sketches (HyperLogLog with the given relative standard ``error``) say so for all columns at
+    once; columns whose bound of ``sigmas`` standard errors holds a limit are counted exactly (``counted``), and
+    only these. Runs when called; the result has one row per column.
+    """
+    spark = df.sparkSession
+    table = table or (schema.name if schema else "")
+    names = new_columns(df, schema)
+    spec = "table_name string, column_name string, data_type string, null_ratio double, confidence double, counted boolean"
+    if not names:
+        return spark.createDataFrame([], spec)
+    fields = {f.name: f for f in df.schema.fields if f.name in names}
+    texts = df.select(*[_as_text(fields[n]).alias(f"c{i}") for i, n in enumerate(names)])
+    one = texts.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"c{i}").alias(f"v{i}") for i in range(len(names))],
+        *[F.approx_count_distinct(f"c{i}", error).alias(f"d{i}") for i in range(len(names))],
+    ).first()
+    n, limits = one["n"], (0.01, 0.99)
+    near = [i for i in range(len(names)) if n and any(abs(one[f"d{i}"] - t * n) <= max(sigmas * error * one[f"d{i}"], 1.0) for t in limits)]
+    exact = texts.agg(*[F.countDistinct(f"c{i}").alias(f"d{i}") for i in near]).first() if near else None
+    out = []
+    for i, name in enumerate(names):
+        kind = fields[name].dataType
+        empty = (n - one[f"v{i}"]) / n if n else None
+        ratio = (exact if i in near else one)[f"d{i}"] / n if n else 0.0
+        score = (1.0 - empty) * 0.3 + (0.3 if limits[0] < ratio < limits[1] else 0.1) + (0.2 if isinstance(kind, T.StringType) else 0.4) if n else 0.0
+        out.append((table, name, kind.simpleString(), empty, min(score, 1.0), i in near))
+    return spark.createDataFrame(out, spec)
+
+
 def decide(scores: DataFrame, threshold: float = THRESHOLD, max_low: int = MAX_LOW, max_auto: int = MAX_AUTO) -> DataFrame:
     """(table_name, action, reason, n_changes) per table that has changes."""
     low = F.col("n_low")

@@ -63,3 +63,26 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: i
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def hot_keys(left: DataFrame, keys: Sequence[str], share: int) -> DataFrame:
+    """(``keys``, _salts) of the keys with more than ``share`` rows: fewer than rows / ``share``."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+
+
+def repeated(right: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``right`` once per salt for hot keys, and once with salt 0 for all others."""
+    marked = right.join(F.broadcast(hot), list(keys), "left")
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], share: int = 100_000) -> DataFrame:
+    """Inner join of a batch that spreads only its hot keys, each over one salt per ``share`` rows; reads ``left`` twice.
+
+    The hot keys that are broadcast are fewer than rows / ``share``.
+    """
+    hot = hot_keys(left, keys, share)
+    salted = left.join(F.broadcast(hot), list(keys), "left")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")).drop("_salts")
+    return salted.join(repeated(right, hot, keys), [*keys, "_salt"]).drop("_salt")

@@ -39,10 +39,14 @@ def incoming(order_lines: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def scores(order_lines: DataFrame) -> DataFrame:
-    """Scores of the new columns of every batch; a column of several batches is counted once."""
-    columns = sorted({c for extra in BATCHES.values() for c in extra})
+def of_batches(once: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``columns``, once for every batch that has the column."""
     batches = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for c in columns for x in (c, [b for b, extra in BATCHES.items() if c in extra])))
-    once = drift.score_new_columns(incoming(order_lines, columns), REGISTERED)
     rest = [c for c in once.columns if c != "table_name"]
     return once.select(F.explode(F.element_at(batches, F.col("column_name"))).alias("table_name"), *rest)
+
+
+def scores(order_lines: DataFrame) -> DataFrame:
+    """Scores of the new columns of every batch; a column of several batches is counted once."""
+    columns = sorted({c for extra in BATCHES.values() for c in extra})
+    return of_batches(drift.score_new_columns(incoming(order_lines, columns), REGISTERED), columns)

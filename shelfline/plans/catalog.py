@@ -17,7 +17,7 @@ from pyspark.sql import types
 from shelfline import schemas as S
 from shelfline.functions import exprs as X
 from shelfline.operators import (
-    access, basket, clean, dims, drift, facts, features, forecast, history, ingest, layout, ml, registry, runlog, scd2,
+    access, basket, clean, dims, drift, facts, features, forecast, history, ingest, layout, ml, registry, runlog, scd2, trend,
 )
 from shelfline.plans import batches, kpi
 from shelfline.plans.warehouse import Warehouse, open_warehouse
@@ -176,11 +176,20 @@ def chart_customers(w):
     return kpi.customer_chart(w["fact_sales"], w["dim_customer"])
 
 
+def _order_items(w):
+    # order id of the sale = the part of the sale id before the line number
+    return w["transactions_clean"].select(F.split_part("transaction_id", F.lit("-"), F.lit(1)).alias("order_id"), "product_id")
+
+
 @_query
 def product_pairs(w):
-    # order id of the sale = the part of the sale id before the line number
-    lines = w["transactions_clean"].select(F.split_part("transaction_id", F.lit("-"), F.lit(1)).alias("order_id"), "product_id")
-    return basket.product_pairs(lines, "order_id", "product_id")
+    return basket.product_pairs(_order_items(w), "order_id", "product_id")
+
+
+@_query
+def frequent_product_pairs(w):
+    """Pairs in at least two orders."""
+    return basket.product_pairs(_order_items(w), "order_id", "product_id", 2)
 
 
 @_query
@@ -549,6 +558,14 @@ def drift_confidence(w):
     return w["drift_scores"].withColumn("sample_values", F.concat_ws("|", "sample_values"))
 
 
+@_query
+def drift_confidence_sketched(w):
+    """Confidence of every new column of the batches, from sketches in one scan."""
+    columns = sorted({c for extra in batches.BATCHES.values() for c in extra})
+    scores = drift.sketched_scores(batches.incoming(w["order_lines"], columns), batches.REGISTERED)
+    return batches.of_batches(scores, columns).drop("counted")
+
+
 @_query
 def drift_decision(w):
     return drift.decide(w["drift_scores"])
@@ -724,6 +741,12 @@ def demand_forecast_daily(w):
     return forecast.daily_forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
 
 
+@_query
+def demand_forecast_trend(w):
+    """Next seven days of every stocked pair by weekday levels and a trend."""
+    return trend.forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
+
+
 @_query
 def stockout_scores(w):
     """Scores of all stocked pairs by the trained models."""
@@ -898,17 +921,17 @@ def recent_orders(w):
 @_query
 def stream_alerts(w):
     """Alerts from the trained models."""
-    return live.run_append(live.alerts(T.live_orders(_events(w)), w["stock_scores"]), "alerts")
+    return live.run_alerts(T.live_orders(_events(w)), w["stock_scores"], "alerts")
 
 
 @_query
 def stream_alerts_by_rule(w):
-    return live.run_append(live.alerts(T.live_orders(_events(w)), _rule_scores(w)), "alerts-rule")
+    return live.run_alerts(T.live_orders(_events(w)), stash(_rule_scores(w), "rule-scores"), "alerts-rule")
 
 
 @_query
 def stream_messages(w):
-    return live.run_append(live.messages(T.live_orders(_events(w)), _rule_scores(w)), "messages")
+    return live.run_messages(T.live_orders(_events(w)), stash(_rule_scores(w), "rule-scores"), "messages")
 
 
 @_query

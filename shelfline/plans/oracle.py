@@ -517,6 +517,7 @@ _STATEMENTS = {
 
 _DRIFT_STATEMENTS = {
     "drift_confidence": "SELECT * FROM scores",
+    "drift_confidence_sketched": "SELECT table_name, column_name, data_type, null_ratio, confidence FROM scores",
     "drift_decision": "SELECT * FROM decisions",
     "drift_verdict": """SELECT table_name, CASE WHEN action = 'auto_approve' THEN 'approved' ELSE 'pending_approval' END AS status,
         CASE WHEN action = 'auto_approve' THEN 'process' ELSE 'hold' END AS action, reason FROM decisions
@@ -532,6 +533,11 @@ _DRIFT_STATEMENTS = {
         count(*) FILTER (status = 'auto_approve') AS auto_approved FROM log""",
 }
 
+_PER_WEEKDAY = """, per_weekday AS (
+  SELECT product_id, store_id, weekday, CAST(sum(units) AS BIGINT) AS s, CAST(sum(units * week) AS BIGINT) AS sw, CAST(sum(units * units) AS BIGINT) AS ss
+  FROM (SELECT product_id, store_id, units, dayofweek(date) AS weekday, 7 - date_diff('day', date, d) // 7 AS week
+        FROM pair_sales, last_day WHERE date <= d AND date > d - 56) GROUP BY 1, 2, 3) """
+
 _ITEMS = ", items AS (SELECT DISTINCT split_part(transaction_id, '-', 1) AS o, product_id AS p FROM cleaned) "
 
 
@@ -574,13 +580,26 @@ _STATEMENTS |= {
           FROM customers WHERE right(customer_id, 1) <> '0'))
         WHERE was IS NULL OR was <> coalesce(city, '')
         WINDOW w AS (PARTITION BY customer_id ORDER BY seen)""",
+    "frequent_product_pairs": f"SELECT * FROM ({_STATEMENTS['product_pairs']}) WHERE co_occurrence_count >= 2",
+    "demand_forecast_trend": f"""SELECT product_id, store_id, forecast_date, round(greatest(mean, 0.0::DOUBLE), 6) AS forecast,
+        round(greatest(mean - margin, 0.0::DOUBLE), 6) AS lower_bound, round(greatest(mean + margin, 0.0::DOUBLE), 6) AS upper_bound, round(coalesce(slope, 0), 6) AS slope
+        FROM (SELECT product_id, store_id, forecast_date, slope,
+                     CASE WHEN slope IS NULL THEN 0 ELSE CAST(coalesce(of_day, 0) AS DOUBLE) / 8 + slope * 4.5::DOUBLE END AS mean,
+                     2.02::DOUBLE * sqrt(coalesce(variance, 0) * {1 + 1 / 8 + 4.5 * 4.5 * 12 / (7 * 8 * 63)!r}::DOUBLE) AS margin
+              FROM (SELECT product_id, store_id, CAST(d + i AS DATE) AS forecast_date, dayofweek(CAST(d + i AS DATE)) AS weekday
+                    FROM features, last_day, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS i))
+              LEFT JOIN (SELECT product_id, store_id, CAST(c * 6 AS DOUBLE) / 3528 AS slope,
+                                greatest(CAST(8 * ss - sq AS DOUBLE) / 8 - CAST(c * c * 3 AS DOUBLE) / 3528, 0.0::DOUBLE) / 48.0::DOUBLE AS variance
+                         FROM (SELECT product_id, store_id, sum(2 * sw - 7 * s) AS c, sum(ss) AS ss, sum(s * s) AS sq FROM per_weekday GROUP BY 1, 2)) USING (product_id, store_id)
+              LEFT JOIN (SELECT product_id, store_id, weekday, s AS of_day FROM per_weekday) USING (product_id, store_id, weekday))""",
     "key_registry": """SELECT count(*) AS n_customers, count(DISTINCT customer_id) AS n_keys, CAST(0 AS BIGINT) AS n_changed,
         count(*) FILTER (balance < 0) AS n_late FROM customers""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: _BASE + (_ITEMS if name == "product_pairs" else "") + sql for name, sql in _STATEMENTS.items()}
+    more = {"product_pairs": _ITEMS, "frequent_product_pairs": _ITEMS, "demand_forecast_trend": _PER_WEEKDAY}
+    out = {name: _BASE + more.get(name, "") + sql for name, sql in _STATEMENTS.items()}
     drift_base = _BASE + _drift_cte()
     out.update({name: drift_base + sql for name, sql in _DRIFT_STATEMENTS.items()})
     return {name: re.sub("|".join(_LABELS), lambda m: _LABELS[m[0]], sql) for name, sql in out.items()}

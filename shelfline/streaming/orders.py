@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions import exprs as X
-from shelfline.operators.rows import keep_first, salted_join, top_k
+from shelfline.operators.rows import hot_join, keep_first, salted_join, top_k
 from shelfline.session import fresh_path
 from shelfline.sources import readers
 from shelfline.streaming.partials import disk_state, run_partials
@@ -232,24 +232,57 @@ def run_recent(stream: DataFrame, label: str, k: int = 50) -> DataFrame:
     return recent(versions.where(F.col("batch_id") == last).drop("batch_id"), k)
 
 
-def alerts(orders: DataFrame, scores: DataFrame, salts: int = 16) -> DataFrame:
-    """Orders of pairs whose score is High or Critical, as alerts.
-
-    scores: product_id, store_id, risk_level, ml_confidence, recommended_reorder.
-    Adaptive skew handling is off in streams, so a pair with most of the orders is
-    spread by a salt.
-    """
-    risky = scores.where(F.col("risk_level").isin("High", "Critical")).select(
+def _risky(scores: DataFrame) -> DataFrame:
+    return scores.where(F.col("risk_level").isin("High", "Critical")).select(
         "product_id",
         "store_id",
         "risk_level",
         F.col("ml_confidence").alias("confidence"),
         "recommended_reorder",
     )
-    joined = salted_join(orders.select("order_id", "timestamp", "product_id", "store_id"), risky, ["product_id", "store_id"], salts)
-    return joined.select(
-        "order_id", "timestamp", "product_id", "store_id", "risk_level", "confidence", "recommended_reorder"
-    )
+
+
+_ALERT = ["order_id", "timestamp", "product_id", "store_id", "risk_level", "confidence", "recommended_reorder"]
+
+
+def alerts(orders: DataFrame, scores: DataFrame, salts: int = 16) -> DataFrame:
+    """Orders of pairs whose score is High or Critical, as alerts.
+
+    scores: product_id, store_id, risk_level, ml_confidence, recommended_reorder.
+    Adaptive skew handling is off in streams, so a pair with most of the orders is
+    spread by a salt; ``run_alerts`` salts only the pairs that a batch shows to be hot.
+    """
+    return salted_join(orders.select(*_ALERT[:4]), _risky(scores), ["product_id", "store_id"], salts).select(*_ALERT)
+
+
+def batch_alerts(orders: DataFrame, scores: DataFrame, share: int = 100_000) -> DataFrame:
+    """The same of one batch; scores are repeated only for pairs with more than ``share`` of its orders."""
+    return hot_join(orders.select(*_ALERT[:4]), _risky(scores), ["product_id", "store_id"], share).select(*_ALERT)
+
+
+def _run_joined(stream: DataFrame, label: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made`` of every micro-batch, which may read the batch more than once, in one folder per batch."""
+
+    def add(rows: DataFrame, batch_id: int, folder: str) -> None:
+        rows = rows.persist()
+        try:
+            _write_batch(made(rows), batch_id, folder)
+        finally:
+            rows.unpersist()
+
+    folder = run_batches(stream, label, add)
+    schema = made(stream.sparkSession.createDataFrame([], stream.schema)).schema
+    return _written(stream.sparkSession, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]), folder).drop("batch_id")
+
+
+def run_alerts(stream: DataFrame, scores: DataFrame, label: str, share: int = 100_000) -> DataFrame:
+    """Alerts of everything available of a stream."""
+    return _run_joined(stream, label, lambda orders: batch_alerts(orders, scores, share))
+
+
+def run_messages(stream: DataFrame, scores: DataFrame, label: str, share: int = 100_000) -> DataFrame:
+    """Order and alert messages of everything available of a stream."""
+    return _run_joined(stream, label, lambda orders: order_messages(orders).unionByName(alert_messages(batch_alerts(orders, scores, share))))
 
 
 def order_messages(orders: DataFrame) -> DataFrame:

@@ -45,3 +45,26 @@ def test_limit_takes_the_strongest(spark, sales):
     df = spark.createDataFrame(sales, "o string, p string")
     top = basket.product_pairs(df, "o", "p", limit=3).collect()
     assert len(top) == 3 and top[0]["co_occurrence_count"] >= top[2]["co_occurrence_count"]
+
+
+def test_a_huge_basket_is_looked_up(spark):
+    """One basket of 20,000 items: only pairs that other baskets hold are counted in it."""
+    small = [(f"b{i}", f"p{(i * 7 + j * 13) % 400}") for i in range(300) for j in range(4)]
+    sales = small + [("huge", f"p{i}") for i in range(20_000)]
+    df = spark.createDataFrame(sales, "o string, p string")
+    items = basket.basket_items(df, "o", "p")
+    for support in (2, 3):
+        got = basket.frequent_pairs(items, support, share=100)
+        counts = {}
+        for b in {b for b, _ in small}:
+            for pair in combinations(sorted({p for o, p in small if o == b}), 2):
+                counts[pair] = counts.get(pair, 1) + 1  # and once in the huge basket
+        assert rows(got) == sorted(((a, b, c) for (a, b), c in counts.items() if c >= support), key=str)
+
+
+@pytest.mark.parametrize("support", [2, 3, 4, 9])
+def test_several_large_baskets(spark, support):
+    data = [(f"big{k}", f"p{i}") for k in range(5) for i in range(k, 30)] + [(f"b{i}", f"p{i % 9 + j}") for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(data, "o string, p string")
+    got = basket.product_pairs(df, "o", "p", support, share=10)
+    assert rows(got) == brute(data, support)

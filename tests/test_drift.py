@@ -102,3 +102,24 @@ def test_resolving_one_request_leaves_the_others(spark, wide):
     assert drift.history(new_log, 3).count() == 3
     with pytest.raises(ValueError):
         drift.resolve(queue, log, picked, "maybe", "admin", as_of)
+
+
+def test_sketches_give_the_exact_confidence(spark):
+    """Columns on both sides of both limits, some so near that they are counted, in one scan without an unpivot."""
+    n = 20_000
+    made = {
+        "few": F.col("id") % 3, "below": F.col("id") % 199, "at_low": F.col("id") % 200, "above": F.col("id") % 201, "half": F.col("id") % 10_000,
+        "near_top": F.when(F.col("id") < 19_795, F.col("id")).otherwise(0), "all": F.col("id"), "text": (F.col("id") % 500).cast("string"),
+        "empty": F.lit(None).cast("string"), "gaps": F.when(F.col("id") % 4 == 0, F.col("id")), "nan": F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id").cast("double")),
+    }
+    df = spark.range(n).select(F.col("id").alias("transaction_id"), *(c.alias(name) for name, c in made.items()))
+    exact = {r.column_name: r for r in drift.score_new_columns(df, T).collect()}
+    got = {r.column_name: r for r in drift.sketched_scores(df, T).collect()}
+    assert set(got) == set(made)
+    for name, r in got.items():
+        assert (r.confidence, r.null_ratio, r.data_type) == (exact[name].confidence, exact[name].null_ratio, exact[name].data_type), name
+    assert got["at_low"].counted and got["near_top"].counted
+    assert not any(got[c].counted for c in ("few", "half", "text", "empty"))
+    assert rows(drift.decide(drift.sketched_scores(df, T))) == rows(drift.decide(drift.score_new_columns(df, T)))
+    assert drift.sketched_scores(df.limit(0), T).where("confidence = 0").count() == len(made)
+    assert drift.sketched_scores(df.select("transaction_id"), T).count() == 0

@@ -114,3 +114,26 @@ def test_repeated_batch_writes_the_same(spark, table):
     live._write_batch(table, 0, folder)
     live._write_batch(table, 0, folder)
     assert spark.read.parquet(f"{folder}/batch_id=0").count() == table.count()
+
+
+def test_only_hot_pairs_repeat_the_scores(spark):
+    """Rows of the static side: one each, and one more per share of orders of a hot pair."""
+    from shelfline.operators import rows as R
+
+    keys = ["product_id", "store_id"]
+    orders = spark.createDataFrame([(i, "p1" if i < 700 else f"p{i % 50}", "s1") for i in range(1000)], "order_id long, product_id string, store_id string")
+    scores = spark.createDataFrame([(f"p{i}", "s1", i) for i in range(500)], "product_id string, store_id string, score int")
+    hot = R.hot_keys(orders, keys, 100)
+    assert rows(hot) == [("p1", "s1", 8)]
+    assert R.repeated(scores, hot, keys).count() == 500 + 7
+    assert rows(R.hot_join(orders, scores, keys, 100)) == rows(orders.join(scores, keys).select("product_id", "store_id", "order_id", "score"))
+    assert R.repeated(scores, R.hot_keys(orders, keys, 1000), keys).count() == 500
+
+
+def test_alerts_of_batches_equal_a_join(spark, folder, table):
+    scores = spark.createDataFrame([("p1", "s1", "High", 80.0, 3), ("p2", "s2", "Low", 10.0, 0), ("p3", "s2", "Critical", 95.0, 9)], "product_id string, store_id string, risk_level string, ml_confidence double, recommended_reorder int")
+    want = table.join(scores.where("risk_level <> 'Low'"), ["product_id", "store_id"]).select("order_id", "risk_level")
+    got = live.run_alerts(stream(spark, folder), scores, "t", share=10)
+    assert rows(got, "order_id", "risk_level") == rows(want)
+    assert rows(live.batch_alerts(table, scores, 10), "order_id", "risk_level") == rows(want)
+    assert live.run_messages(stream(spark, folder), scores, "t").count() == table.count() + want.count()
