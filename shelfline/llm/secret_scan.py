@@ -2,15 +2,22 @@ r"""Secret scans with a recursive decoding worklist.
 
 Every text is scanned for three kinds of secrets, and so is every layer that can be
 unwrapped from it: percent-encoding, backslash and HTML Unicode escapes, base64 (both
-alphabets) and gzip or zlib data. A layer keeps, for each of its characters, the span of
-the original text that it came from, so a match deep inside maps back to the original.
-Layers wait in a worklist until none is left; a layer seen before is not taken up again.
+alphabets, wrapped over lines, and behind a path or name, so that it starts anywhere in its run) and
+gzip, zlib or raw deflate data in base64, percent or ``\x`` escapes, with all members. Decoded bytes are layers as
+well: they are read as UTF-8, else byte by byte, without the NULs of UTF-16, and what they
+inflate to goes back to the worklist. A layer keeps, for each of its characters, the span of
+the original text that it came from, so a match deep inside maps back to the original; what comes out of
+compressed data maps to the whole of it. Layers wait in a worklist until none is left; a layer
+or byte string seen before at its place is not taken up again, so archives that hold each other end.
+
+Escapes are peeled one by one ``DEPTH`` deep, and all at once from there on: a text nested n deep takes time in proportion to n.
+Compressed data are inflated in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, each scanned to its
+end before the next is made, so no size is left out; only a secret or inner layer longer than the overlap can be cut at a
+window's edge.
 
 Kinds: ``assign`` (a named value of 12 or more characters), ``access`` (18 or more) and
 ``hex`` (16 or more). Base spans are those of the text itself, leftmost and not
 overlapping per kind; unwrapped layers only add spans. All positions are code points.
-A layer that inflates beyond ``max_layer_bytes`` is reported whole as kind ``oversize``
-instead of being held in memory.
 
 Null and empty texts have no spans. Rows are independent, so repeated rows give repeated
 results, and an empty table gives none. Columns other than ``doc_id`` and ``text`` are not read.
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import common
 
-KINDS = ("assign", "access", "hex", "oversize")
+KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -40,7 +47,19 @@ LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # the hex matches that do not fail; run
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER_BYTES = 64 << 20
+NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)")
+PACKED = re.compile(r"H4sI|(?<=[/_+-])e[AFJN]")  # how gzip and zlib data start in base64
+BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}){8,}|(?:\\x[0-9A-Fa-f]{2}){8,}")
+SPECIAL = re.compile(r"[%\\&]")
+_PEEL = {
+    "%": re.compile(r"([0-9A-Fa-f]{2})"),
+    "\\": re.compile(r"u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})"),
+    "&": re.compile(r"#x([0-9A-Fa-f]{1,6});|#(?=[0-9]{1,7};)"),
+}
+_NUMBER = re.compile(r"([0-9]{1,7});")
+DEPTH = 3
+WINDOW = 16 << 20
+OVERLAP = 1 << 20
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUNS = bytes(c if chr(c).isalnum() and c < 128 or c in b"+/_-" else 32 for c in range(256))
 
@@ -55,27 +74,67 @@ def find(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each character, where it came from: ``starts`` and ``ends`` in the original."""
+    """A text and, for each character, where it came from: ``starts`` and ``ends`` in the original, or one span for all."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.text = text
+    def __init__(self, text: str, starts: np.ndarray | int | None = None, ends: np.ndarray | int | None = None, depth: int = 0):
+        self.text, self.depth = text, depth
         self.starts = np.arange(len(text)) if starts is None else starts
         self.ends = np.arange(1, len(text) + 1) if ends is None else ends
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def picked(self, first: np.ndarray, last: np.ndarray) -> tuple:
+        """Starts and ends of characters that come from the characters ``first`` to ``last`` (included) of this layer."""
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (self.starts[first], self.ends[last])
+
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """This layer with the given spans replaced; new characters come from their whole span."""
         text, starts, ends, at = [], [], [], 0
+        flat = isinstance(self.starts, int)
         for a, b, new in parts:
             text += [self.text[at:a], new]
-            low, high = self.span(a, b)
-            starts += [self.starts[at:a], np.full(len(new), low)]
-            ends += [self.ends[at:a], np.full(len(new), high)]
+            if not flat:
+                low, high = self.span(a, b)
+                starts += [self.starts[at:a], np.full(len(new), low)]
+                ends += [self.ends[at:a], np.full(len(new), high)]
             at = b
         text.append(self.text[at:])
-        return Layer("".join(text), np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
+        if flat:
+            return Layer("".join(text), self.starts, self.ends, self.depth + 1)
+        return Layer("".join(text), np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]), self.depth + 1)
+
+
+class Data:
+    """Bytes of a layer, with the span of each byte or one for all."""
+
+    def __init__(self, raw: bytes, starts: np.ndarray | int, ends: np.ndarray | int, depth: int):
+        self.raw, self.starts, self.ends, self.depth = raw, starts, ends, depth
+
+    def whole(self) -> tuple[int, int]:
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (int(self.starts.min()), int(self.ends.max()))
+
+    def read(self) -> Layer | None:
+        """The text of these bytes: UTF-8, or else byte by byte; NULs, as UTF-16 has them, are left out. None if it can hold nothing."""
+        raw, starts, ends = self.raw, self.starts, self.ends
+        flat = isinstance(starts, int)
+        if b"\0" in raw:
+            if not flat:
+                kept = np.frombuffer(raw, np.uint8) != 0
+                starts, ends = starts[kept], ends[kept]
+            raw = raw.replace(b"\0", b"")
+        if not suspicious(raw):
+            return None
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            return Layer(raw.decode("latin-1"), starts, ends, self.depth)
+        if not flat:
+            first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            starts, ends = starts[first], ends[np.append(first[1:], len(raw)) - 1]
+        return Layer(text, starts, ends, self.depth)
 
 
 def unpercent(layer: Layer) -> Layer | None:
@@ -102,74 +161,142 @@ def unescape(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def inflate(raw: bytes, limit: int) -> tuple[bytes, bool]:
-    """Decompressed data if ``raw`` is gzip or zlib; whether it would pass the limit."""
-    while raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        engine = zlib.decompressobj(47)
+def peeled(layer: Layer) -> Layer | None:
+    """All escapes decoded to the last, also those that decoding makes, in one pass."""
+    text, parts, at = layer.text, [], 0
+    while m := SPECIAL.search(text, at):
+        char, start, at = m[0], m.start(), m.end()
+        while char in _PEEL and (m := _PEEL[char].match(text, at)):
+            code = next((g for g in m.groups() if g), None)
+            if code is None:  # a decimal HTML escape
+                m = _NUMBER.match(text, m.end())
+                code = int(m[1])
+            else:
+                code = int(code, 16)
+            if code >= 0x110000 or 0xD800 <= code < 0xE000:
+                break
+            char, at = chr(code), m.end()
+        if at > start + 1:
+            parts.append((start, at, char))
+    return layer.replaced(parts) if parts else None
+
+
+def compressed(raw: bytes) -> int | None:
+    """The window bits that zlib needs for these bytes; None if they are not compressed."""
+    if raw[:3] == b"\x1f\x8b\x08" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return 47
+    if raw and raw[0] & 7 in (2, 3, 4, 5) and not raw[:64].isascii():  # raw deflate has no header: its start must give text
         try:
-            out = engine.decompress(raw, limit + 1)
+            start = zlib.decompressobj(-15).decompress(raw[:512], 512)
         except zlib.error:
-            break
-        if len(out) > limit:
-            return b"", True
-        if not engine.eof and not out:
-            break
-        if out == raw:
-            break
-        raw = out
-    return raw, False
-
-
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) else None
-
-
-def unbase64(layer: Layer, limit: int) -> Iterator[Layer | Span]:
-    """A layer for each base64 run that holds text, or compressed text."""
+            return None
+        if len(start) >= 16 and sum(32 <= b < 127 or b in b"\t\n\r" for b in start) >= 0.95 * len(start):
+            return -15
+    return None
+
+
+def inflated(raw: bytes, bits: int, window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[bytes]:
+    """Windows over all members of compressed data, as far as they can be read."""
+    held, fresh = bytearray(), 0
+    while raw:
+        engine, wait = zlib.decompressobj(bits), raw
+        while not engine.eof:
+            try:
+                out = engine.decompress(wait, window)
+            except zlib.error:
+                break
+            wait = engine.unconsumed_tail
+            held += out
+            fresh += len(out)
+            if len(held) >= window:
+                yield bytes(held)
+                del held[: max(0, len(held) - min(overlap, window // 2))]
+                fresh = 0
+            if not out and not wait:
+                break
+        following = engine.unused_data if engine.eof else b""
+        raw = following if compressed(following) == bits else b""
+    if fresh:
+        yield bytes(held)
+
+
+def base64_runs(layer: Layer) -> Iterator[tuple[str, np.ndarray, int]]:
+    """(characters, their places, end with padding) of every base64 run, and of runs that go on over line breaks until a short line."""
+    end = 0
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.span(m.start(), m.end())
-        data, over = inflate(raw, limit)
-        if over:
-            yield ("oversize", *whole)
-            continue
-        text = readable(data)
-        if text is None:
-            continue
-        if data is raw:
-            byte = np.cumsum([0, *(len(c.encode()) for c in text)])
-            first, last = m.start() + byte[:-1] // 3 * 4, m.start() + (byte[1:] - 1) // 3 * 4 + 3
-            yield Layer(text, layer.starts[first], layer.ends[np.minimum(last, m.end() - 1)])
-        else:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-
-
-def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[Span], list[Span]]:
+        yield run, np.arange(m.start(), m.start() + len(run)), m.end()
+        lines, places, at = [run], [np.arange(m.start(), m.start() + len(run))], m.end()
+        while m.start() >= end and len(lines[-1]) >= 16 and (line := NEXT_LINE.match(layer.text, at)):
+            lines.append(line[1])
+            places.append(np.arange(line.start(1), line.end(1)))
+            at = line.end()
+        if len(lines) > 1:
+            yield "".join(lines), np.concatenate(places), at
+            end = at
+
+
+def unbase64(layer: Layer) -> Iterator[Data]:
+    """The bytes of each base64 run that may hold a secret or another layer, from wherever the data may start in it."""
+    for run, places, end in base64_runs(layer):
+        starts = [0, 1, 2, 3, *{m.start() for m in PACKED.finditer(run)} - {0, 1, 2, 3}]
+        for at in starts:
+            own = run[at : len(run) - ((len(run) - at) % 4 == 1)]
+            try:
+                raw = base64.b64decode(own.replace("-", "+").replace("_", "/") + "=" * (-len(own) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            if not compressed(raw) and not suspicious(raw.replace(b"\0", b"")):
+                continue
+            byte = np.arange(len(raw))
+            first = at + byte // 3 * 4 + byte % 3
+            last = places[first + 1]
+            last[-1] = end - 1
+            yield Data(raw, *layer.picked(places[first], last), layer.depth + 1)
+
+
+def unbytes(layer: Layer) -> Iterator[Data]:
+    """The bytes of runs of percent or backslash escapes that are compressed data."""
+    for m in BYTES.finditer(layer.text):
+        raw = bytes.fromhex(re.sub(r"%|\\x", "", m[0]))
+        if compressed(raw):
+            yield Data(raw, *layer.span(m.start(), m.end()), layer.depth + 1)
+
+
+def scan(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each ordered by start and kind."""
     base = find(text)
-    found = set(base)
-    work, seen = [Layer(text)], {hashlib.sha256(text.encode()).digest()}
+    found, seen = set(base), {hashlib.sha256(text.encode()).digest() + bytes(16)}
+    work: list[Layer | Data | Iterator[Data]] = [Layer(text)]
+
+    def new(content: bytes, low: int, high: int) -> bool:
+        key = hashlib.sha256(content).digest() + low.to_bytes(8, "big") + high.to_bytes(8, "big")
+        if key in seen:
+            return False
+        seen.add(key)
+        return True
+
     while work:
-        layer = work.pop()
-        if layer.text is not text:
-            found.update((kind, *layer.span(a, b)) for kind, a, b in find(layer.text))
-        inner: list[Layer | Span | None] = [unpercent(layer), unescape(layer), *unbase64(layer, max_layer_bytes)]
-        for x in inner:
-            if isinstance(x, tuple):
-                found.add(x)
-            elif x is not None and (key := hashlib.sha256(x.text.encode(errors="surrogatepass")).digest() + x.starts[:1].tobytes()) not in seen:
-                seen.add(key)
-                work.append(x)
+        item = work.pop()
+        if isinstance(item, Layer):
+            if item.depth:
+                found.update((kind, *item.span(a, b)) for kind, a, b in find(item.text))
+            escapes = [unpercent(item), unescape(item)] if item.depth < DEPTH else [peeled(item)]
+            for x in escapes:
+                if x is not None and x.text and new(x.text.encode(errors="surrogatepass"), *x.span(0, len(x.text))):
+                    work.append(x)
+            work += unbytes(item)
+            work += unbase64(item)
+        elif isinstance(item, Data):
+            bits = compressed(item.raw)
+            if bits and new(item.raw, *item.whole()):
+                low, high, depth = *item.whole(), item.depth + 1
+                work.append(Data(part, low, high, depth) for part in inflated(item.raw, bits, window, overlap))
+            layer = item.read()
+            if layer is not None and layer.text and new(layer.text.encode(errors="surrogatepass"), *layer.span(0, len(layer.text))):
+                work.append(layer)
+        elif (part := next(item, None)) is not None:  # the windows of compressed data, one after the other
+            work += [item, part]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order)
 

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -63,12 +64,76 @@ def test_spans_inside_base64_are_fine():
 
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(gzip.compress(b"a" * 2_000_000)).decode()
-    base, every = s.scan(f"x {bomb} y", max_layer_bytes=100_000)
-    assert base == [] and [k for k, _, _ in every] == ["oversize"]
+    base, every = s.scan(f"x {bomb} y", window=100_000, overlap=1_000)
+    assert base == [] and every == [("hex", 2, 2 + len(bomb))]
     assert s.scan("%25" * 500)[1] == []
     assert s.scan("\\u0025\\u0035\\u0063" * 50)[1] == []
 
 
+def raw_deflate(data):
+    engine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return engine.compress(data) + engine.flush()
+
+
+def wrapped(data, width=76):
+    whole = base64.b64encode(data).decode()
+    return "\n".join(whole[i : i + width] for i in range(0, len(whole), width))
+
+
+LONG = b"some words before it and " + SECRET.encode() + b" and then some other words"
+NOISE = bytes(range(200)) * 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "https://h.io/cb/" + base64.b64encode(LONG).decode(), "id_" + base64.b64encode(LONG).decode(), "x" + base64.b64encode(LONG).decode(), "ab/" + base64.b64encode(gzip.compress(LONG)).decode(),
+        "https://h.io/z/" + base64.b64encode(zlib.compress(LONG)).decode(), base64.b64encode(LONG.decode().encode("utf-16")).decode(), base64.b64encode(LONG.decode().encode("utf-16-be")).decode(),
+        base64.b64encode(gzip.compress(b"first member") + gzip.compress(LONG)).decode(), wrapped(gzip.compress(NOISE + LONG)), wrapped(LONG * 3), "\r\n".join(wrapped(zlib.compress(LONG * 2), 40).split("\n")),
+        base64.b64encode(raw_deflate(LONG * 2)).decode(), "".join(f"%{b:02X}" for b in gzip.compress(LONG)), "".join(f"\\x{b:02x}" for b in gzip.compress(LONG)), base64.b64encode(NOISE + LONG + NOISE).decode(),
+        base64.b64encode(gzip.compress(quote(base64.b64encode(gzip.compress(LONG)).decode(), safe="").encode())).decode(),
+    ],
+)
+def test_layers_that_start_or_end_anywhere(text):
+    """Each of these hides one secret: behind a path, in UTF-16, in a later member, over lines, without a header, in byte escapes."""
+    whole = f"pre {text} post"
+    assert s.scan(whole)[0] == s.find(whole) == [] or "assign" not in {k for k, _, _ in s.scan(whole)[0]}
+    spans = [(a, b) for k, a, b in s.scan(whole)[1] if k == "assign"]
+    assert spans and all(4 <= a < b <= 4 + len(text) for a, b in spans)
+
+
+def test_windows_of_large_archives():
+    """A secret at the far end of an archive, and one across the edge of two windows."""
+    for at in (0, 99_995, 150_000, 299_000):
+        data = bytearray(b"word " * 60_000)
+        data[at : at + len(SECRET) + 2] = b" " + SECRET.encode() + b" "
+        text = base64.b64encode(gzip.compress(bytes(data))).decode()
+        assert s.scan(text, window=100_000, overlap=1_000)[1] == [("assign", 0, len(text))]
+
+
+def test_archives_that_hold_each_other_end():
+    inner = base64.b64encode(gzip.compress(LONG)).decode()
+    for _ in range(12):
+        inner = base64.b64encode(gzip.compress(inner.encode())).decode()
+    assert [k for k, _, _ in s.scan(inner)[1]] == ["assign"]
+    seen = []
+    original, s.inflated = s.inflated, lambda raw, *rest: seen.append(raw) or iter([raw])  # data that inflate to themselves
+    try:
+        assert s.scan(inner)[0] == []
+    finally:
+        s.inflated = original
+    assert 0 < len(seen) < 10
+
+
+@pytest.mark.parametrize("unit, start, end", [("25", "%", "41"), ("#38;", "&", "#65;"), ("x5c", "\\", "x41"), ("5Cx25", "%", "41"), ("u005c", "\\", "u0041")])
+def test_deep_nesting_is_linear(unit, start, end):
+    text = start + unit * (100_000 if unit == "25" else 30_000) + end + " password" + start + unit * 20 + ("3D" if start == "%" else "#61;" if start == "&" else "x3d" if unit == "x5c" else "u003d") + "Hunter2Hunter2"
+    began = time.process_time()
+    found = s.scan(text)[1]
+    assert time.process_time() - began < 3
+    assert [k for k, _, _ in found if k == "assign"] == ["assign"]
+
+
 def test_report_and_redaction(spark):
     rows = [(1, f"a {SECRET} b", "l", 3, "row"), (2, None, None, None, None), (3, "", "l", 0, ""), (4, "clean", "l", 5, "x"), (4, "clean", "l", 5, "x"), (None, f"q {quote(SECRET, safe='')} r", None, 1, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long, row string")
