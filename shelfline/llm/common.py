@@ -174,20 +174,25 @@ def byte_classes(kind: str) -> np.ndarray:
 def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word, row offsets into them).
 
-    Works through blocks cut at separators, so memory is bounded whatever the length of a
-    text. Two different words share a hash with probability 2**-64.
+    Works through blocks cut at separators or row ends, so memory is bounded whatever the length of a
+    text; a word longer than a block is hashed piece by piece. Two different words share a hash with probability 2**-64.
     """
     hashes, starts_all = [], []
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + BLOCK)
         part = classes[data[at:end]]
-        while end < n and part[-1]:  # go on to the end of the last word
-            more = classes[data[end : min(n, end + 4096)]]
-            stop = np.flatnonzero(more == 0)
-            take = stop[0] + 1 if len(stop) else len(more)
-            part = np.concatenate([part, more[:take]])
-            end += take
+        if end < n:  # no word may go on beyond the block
+            row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
+            if row <= at and part.all():
+                size, value = _long_word(data, at, int(offsets[np.searchsorted(offsets, at, "right")]), classes)
+                hashes.append(np.array([value], np.uint64))
+                starts_all.append(np.array([at]))
+                at += size
+                continue
+            zeros = np.flatnonzero(part == 0)
+            end = max(row, at + int(zeros[-1]) + 1 if len(zeros) else 0)
+            part = part[: end - at]
         inside = part != 0
         edge = np.zeros(len(part) + 1, bool)
         rows = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
@@ -206,6 +211,22 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[n
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offsets)
 
 
+def _long_word(data: np.ndarray, at: int, limit: int, classes: np.ndarray) -> tuple[int, int]:
+    """(bytes, hash) of the word that starts at ``at`` and ends before ``limit`` or a separator; the hash that ``span_hashes`` gives."""
+    up, _, values = _powers(BLOCK)
+    total, size = 0, 0
+    while at + size < limit:
+        part = classes[data[at + size : min(limit, at + size + BLOCK)]]
+        stop = np.flatnonzero(part == 0)
+        own = part[: stop[0]] if len(stop) else part
+        own_sum = int((values[own] * up[: len(own)]).sum(dtype=np.uint64))
+        total = (total + own_sum * pow(_MULTIPLIER, size, 1 << 64)) % (1 << 64)
+        size += len(own)
+        if len(stop):
+            break
+    return size, int(mix(np.array([total], np.uint64))[0])
+
+
 # --- packed arrays -----------------------------------------------------------------------------------------------------
 
 

@@ -345,6 +345,6 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = classes(docs, threshold).where("keep").select(F.col("doc_id").alias("id"), "th", "node").distinct()
     rows = docs.select(common.whole_row(docs.columns), F.xxhash64("text").alias("text_hash"))
     joined = rows.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
-    # rows that repeat a kept one stand next to it after the join; one stays, but wordless ones are no class
-    turn = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
+    # rows that repeat a kept one stand next to it after the join; one stays, by its content, but wordless ones are no class
+    turn = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("row"), F.to_json(F.struct("row"))))
     return joined.withColumn("turn", turn).where((F.col("turn") == 1) | F.col("node").isNull()).select("row.*")

@@ -146,3 +146,12 @@ def test_blocks_of_a_large_key(spark, monkeypatch):
         rows.append((i, " ".join(near)))
     got = minhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)[0]
+
+
+def test_the_kept_row_does_not_depend_on_partitions(spark):
+    """Rows equal in id and text differ in other columns, null ids among them; any partitioning keeps the same."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, f"s{k}") for k in range(12)] + [(None, text + " x", f"n{k}") for k in range(12)] + [(2, None, "a"), (2, None, "b"), (3, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    found = {str(sorted(map(str, minhash.dedup(df.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(found) == 1

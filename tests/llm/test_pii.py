@@ -135,3 +135,13 @@ def test_term_counts(spark):
     got = {r.term: r.n for r in pii.term_counts(df, terms).collect()}
     every = [w for _, t in rows() for w in re.findall(r"[a-z0-9]+", (t or "").lower())]
     assert [got[int(h)] for h in hashes.view("int64")] == [every.count("lorem"), 3] and got[None] == len(every)
+
+
+def test_long_runs_of_digits_take_linear_time():
+    import time
+
+    began = time.process_time()
+    text = "7" * 1_000_000 + " 1.2.3.4.5.6.7.8 " + "1." * 100_000 + "x" + "9" * 300_000 + ".1.2"
+    found = [text[a:b] for kind, a, b in pii.find(text) if kind == "ip"]
+    assert time.process_time() - began < 3
+    assert found[:2] == ["1.2.3.4", "5.6.7.8"] and len(found) == 2 + 100_000 // 4

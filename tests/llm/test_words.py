@@ -32,13 +32,26 @@ def test_words_agree_with_the_pattern(kind, texts):
 
 def test_words_across_blocks(monkeypatch):
     monkeypatch.setattr(common, "BLOCK", 16)
-    texts = ["a" * 40, "", "one two three four five six", None, "x " * 50]
+    texts = ["a" * 40, "", "one two three four five six", None, "x " * 50, "b" * 16, "c" * 16 + " " + "a" * 40, "a" * 39, "d" * 33 + " e", "", "f" * 64]
     hashes, at = common.words(*common.flat(pa.array(texts)), common.byte_classes("space"))
     monkeypatch.undo()
     again, at_again = common.words(*common.flat(pa.array(texts)), common.byte_classes("space"))
     assert list(hashes) == list(again) and list(at) == list(at_again)
 
 
+def test_a_long_word_takes_linear_time():
+    import time
+
+    spent = []
+    for size in (8 << 20, 32 << 20):
+        data = np.concatenate([np.frombuffer(b"ab ", np.uint8), np.full(size, 97, np.uint8), np.frombuffer(b" ab", np.uint8)])
+        began = time.process_time()
+        hashes, at = common.words(data, np.array([0, len(data)]), common.byte_classes("space"))
+        spent.append(time.process_time() - began)
+        assert list(at) == [0, 3] and hashes[0] == hashes[2] != hashes[1]
+    assert spent[1] < 10 * spent[0] + 1
+
+
 def test_spans_and_sliced_columns():
     column = pa.array(["skip", "abcabc", None, "abc"]).slice(1)
     data, offsets = common.flat(column)
