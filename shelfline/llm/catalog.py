@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfline.llm import (
@@ -103,6 +104,24 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+# What SQL can express of results that it cannot express whole.
+@_query
+def base_of_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+@_query
+def base_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules, and the verdicts of the rules."""
+    judged = op10_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+@_query
+def base_of_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -153,13 +172,20 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM told
 """
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: per character one xor and eight shifts."""
+    steps = f"list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])"
+    step = "lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten({steps})), {step}))"
+
+
 _OP13 = """
 WITH turn AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
 conv AS (SELECT conv_id, conv_id - conv_id % 100 AS family,
-                xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
-                    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
-                    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 6 AS h
+                __CRC__ % 6 AS h
          FROM (SELECT DISTINCT conv_id FROM turn)),
 built AS (SELECT conv.conv_id, 0 AS own, p, role, text FROM conv JOIN turn ON turn.conv_id = family AND p < h
           UNION ALL SELECT conv_id, 1, p, role, text FROM conv JOIN turn USING (conv_id) WHERE p >= h),
@@ -179,5 +205,38 @@ FROM full_node JOIN below USING (d, k) LEFT JOIN parent USING (d, k)
 """
 
 
+_BASE3 = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN doc_id IS NULL THEN 0 ELSE __CRC__ % 5 END = 1 AS held_out,
+                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+token AS (SELECT r, held_out, unnest(list_append(w, NULL)) AS t FROM doc),
+known AS (SELECT DISTINCT t FROM token WHERE NOT held_out),
+total AS (SELECT count(*) AS n FROM token WHERE NOT held_out),
+own AS (SELECT r, count(*) AS n_known FROM token WHERE EXISTS (SELECT 1 FROM known WHERE known.t IS NOT DISTINCT FROM token.t) GROUP BY r)
+SELECT doc_id, held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, coalesce(n_known, 0) AS n_known, n AS train_tokens FROM doc LEFT JOIN own USING (r), total
+"""
+
+_BASE10 = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+part AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(action, h, p)),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS by_rule
+        FROM part, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, by_rule FROM part LEFT JOIN fit USING (page_id)
+"""
+
+_BASE11 = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+phrase AS (SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) AS t(words, label)),
+place AS (SELECT r, p - 1 AS spot, label FROM doc, phrase, range(1, len(w) - len(words) + 2) AS t(p) WHERE w[p] = words[1] AND list_slice(w, p, p + len(words) - 1) = words),
+own AS (SELECT r, count(*) AS n, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM doc LEFT JOIN own USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op12_filter_audit": _OP12, "op13_conversation_trie": _OP13}
+    crc = _crc32("CAST(conv_id AS VARCHAR)"), _crc32("CAST(doc_id AS VARCHAR)")
+    return {
+        "op4_decontamination": _OP4, "op12_filter_audit": _OP12, "op13_conversation_trie": _OP13.replace("__CRC__", crc[0]),
+        "base_of_op3": _BASE3.replace("__CRC__", crc[1]), "base_of_op10": _BASE10, "base_of_op11": _BASE11,
+    }
