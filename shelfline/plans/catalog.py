@@ -343,6 +343,13 @@ def partition_region_sum(w):
     return _sums(rows.groupBy(F.trunc("full_date", "month").alias("month")))
 
 
+@_query
+def curve_product_store_sum(w):
+    """Sales of some products in some stores by product, from the row groups of their box on the curve."""
+    rows = w.layout("curve").where(F.col("product_key").between(20, 60) & F.col("store_key").between(2, 4))
+    return _sums(rows.groupBy("product_key"))
+
+
 @_query
 def partition_full_sum(w):
     """Everything, read through the layout."""

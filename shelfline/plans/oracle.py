@@ -592,6 +592,8 @@ _STATEMENTS |= {
                                 greatest(CAST(8 * ss - sq AS DOUBLE) / 8 - CAST(c * c * 3 AS DOUBLE) / 3528, 0.0::DOUBLE) / 48.0::DOUBLE AS variance
                          FROM (SELECT product_id, store_id, sum(2 * sw - 7 * s) AS c, sum(ss) AS ss, sum(s * s) AS sq FROM per_weekday GROUP BY 1, 2)) USING (product_id, store_id)
               LEFT JOIN (SELECT product_id, store_id, weekday, s AS of_day FROM per_weekday) USING (product_id, store_id, weekday))""",
+    "curve_product_store_sum": """SELECT product_key, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(sale_id) AS transaction_count
+        FROM fact WHERE product_key BETWEEN 20 AND 60 AND store_key BETWEEN 2 AND 4 GROUP BY product_key""",
     "key_registry": """SELECT count(*) AS n_customers, count(DISTINCT customer_id) AS n_keys, CAST(0 AS BIGINT) AS n_changed,
         count(*) FILTER (balance < 0) AS n_late FROM customers""",
 }

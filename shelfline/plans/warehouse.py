@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
-from shelfline.operators import clean, dims, facts, features, forecast, increments, layout, ml
+from shelfline.operators import clean, curve, dims, facts, features, forecast, increments, layout, ml
 from shelfline.plans import batches
 from shelfline.session import ON_RELEASE, fresh_path, stash
 from shelfline.sources import tables as T
@@ -67,10 +67,12 @@ class Warehouse:
         return self._maintained, 3
 
     def layout(self, name: str) -> DataFrame:
-        """``sales`` by month or live ``orders`` by day, and region; written and listed once."""
+        """``sales`` by month or live ``orders`` by day, and region, or sales along the ``curve`` of product and store; written and listed once."""
         if name not in self._layouts:
             path = fresh_path(self.spark, f"layout-{name}", keep=True)
-            if name == "sales":  # a few rows a day: by day they would be more files than rows deserve
+            if name == "curve":
+                curve.write_along_curve(self["fact_sales"], path, ["product_key", "store_key"], 16)
+            elif name == "sales":  # a few rows a day: by day they would be more files than rows deserve
                 layout.write_partitioned(layout.dated_sales(self["fact_sales"], self["dim_date"], self["dim_store"]), path, "month")
             else:
                 orders = T.live_orders(self.source("events")).withColumn("full_date", F.to_date("timestamp"))
