@@ -18,6 +18,9 @@ COLUMNS = {
     "op8": ["query_id", "rank", "vec_id", "score"],
     "op9": ["doc_id", "class_id", "keep"],
     "op10": ["page_id", "host", "path", "rule", "verdict", "block_score"],
+    "op11": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
+    "op12": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op13": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
@@ -37,5 +40,12 @@ def test_statement(spark, sf_dir, name):
 def test_columns_and_rows(spark, sf_dir, name):
     got = catalog.queries()[name](spark, sf_dir)
     assert got.columns == COLUMNS[name.split("_")[0]]
+    if name.startswith("op13"):  # nodes, one of them the root over all conversations
+        convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+        assert [r.n_convs for r in got.where("depth = 0").collect()] == [convs]
+        return
+    if name.startswith("op12"):
+        assert got.count() == 600 * spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").distinct().count()
+        return
     rows = spark.read.parquet(f"{sf_dir}/{'pages' if name.startswith('op10') else 'embeddings' if name.startswith('op8') else 'documents'}.parquet").count()
     assert got.count() == (20 * (rows // 20) if name.startswith("op8") else rows)
