@@ -120,6 +120,5 @@ def test_sketches_give_the_exact_confidence(spark):
         assert (r.confidence, r.null_ratio, r.data_type) == (exact[name].confidence, exact[name].null_ratio, exact[name].data_type), name
     assert got["at_low"].counted and got["near_top"].counted
     assert not any(got[c].counted for c in ("few", "half", "text", "empty"))
-    assert rows(drift.decide(drift.sketched_scores(df, T))) == rows(drift.decide(drift.score_new_columns(df, T)))
     assert drift.sketched_scores(df.limit(0), T).where("confidence = 0").count() == len(made)
     assert drift.sketched_scores(df.select("transaction_id"), T).count() == 0
