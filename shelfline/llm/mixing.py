@@ -31,6 +31,7 @@ from shelfline.session import stash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 32
+RUN = 4_096  # copies that one row stands for at most when they are numbered
 _NEAR = 1e-9
 
 
@@ -126,6 +127,14 @@ def _settle(decided: DataFrame, roots: DataFrame) -> DataFrame:
     return everything.join(back, same, "left").select("id", "source", "size", "k", F.coalesce("back", "p").alias("p"))
 
 
+def _numbered(groups: DataFrame) -> DataFrame:
+    """One row per copy, numbered ``k`` from 1 within its group; a large group is cut into runs that different tasks number."""
+    last = F.floor((F.col("copies") - 1) / RUN).cast("long")
+    cut = groups.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("id", "source", "size", "run")
+    first = F.col("run") * RUN
+    return cut.withColumn("k", F.explode(F.sequence(first + 1, F.least(first + RUN, "copies")))).drop("run", "copies")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per document: ``size``, ``source_size``, ``target`` of its source, ``copies`` and ``taken`` words."""
     sized = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
@@ -135,10 +144,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(rate - F.floor(rate) > 1.0 - _NEAR, F.ceil(rate).cast("double")).otherwise(rate)
     here = by_source.select(F.col("source").alias("s"), "source_size", "n", "target", rate.alias("rate"))
-    rows = groups.join(here, groups["source"].eqNullSafe(here["s"])).select(
-        "id", "source", "size", "source_size", "target", "n", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("k"),
-    )
+    grouped = groups.join(here, groups["source"].eqNullSafe(here["s"])).select(
+        "id", "source", "size", "source_size", "target", "n", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), "copies"
+    )
+    rows = _numbered(grouped)
     undecided = (F.col("p") > _NEAR) & (F.col("size") > 0)
     units = rows.where(undecided).select("id", "source", "size", "k", "p", "n")
 

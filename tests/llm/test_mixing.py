@@ -82,3 +82,16 @@ def test_no_python_on_the_path(mixed):
     df, _ = mixed
     plan = mixing.mix(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
+
+
+def test_many_equal_rows_are_numbered_by_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    df = spark.createDataFrame([(None, "a", "x y z")] * 500 + [(1, "a", "v w")] * 17 + [(2, None, "u")], "doc_id long, source string, text string").repartition(4)
+    groups = df.selectExpr("doc_id AS id", "source", "3L AS size").groupBy("id", "source", "size").agg(F.count("*").alias("copies"))
+    numbered = mixing._numbered(groups)
+    assert sorted((r.id or 0, r.k) for r in numbered.collect()) == sorted([(0, k) for k in range(1, 501)] + [(1, k) for k in range(1, 18)] + [(2, 1)])
+    got = mixing.mix(df).collect()
+    assert len(got) == 518 and {r.copies for r in got if r.doc_id is None} <= {1, 2}
+    for source in ("a", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1.5
