@@ -254,7 +254,7 @@ def _windows(shared) -> object:
         ids, th, data, offsets, same = _texts(texts)
         blobs = [common.unpack(b.as_py()) for b in found["blob"]]
         doc, at, back, ahead = (np.concatenate([b[i] for b in blobs]).astype(np.int64) for i in range(4))
-        # a candidate is tried in every row of its id; a second copy of a row is settled at the end
+        # a candidate is tried in every row of its id in the chunk; a second copy of a row is settled at the end
         low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
         which, place = common.runs(high - low)
         row = low[which] + place
@@ -413,8 +413,10 @@ def _find(ids: np.ndarray, th: np.ndarray, doc: np.ndarray, hashed: np.ndarray)
 
 def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
     doc_id: Column = F.col("doc_id").cast("long")
-    chunk = F.pmod(F.xxhash64(F.lit(1), doc_id), F.lit(chunks)).cast("int")
-    return docs.select(doc_id.alias("doc_id"), chunk.alias("chunk"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    # with the text, so that null or repeated ids do not fill one chunk; rows equal in both stay together
+    chunk = F.pmod(F.xxhash64(F.lit(1), doc_id, text), F.lit(chunks)).cast("int")
+    return docs.select(doc_id.alias("doc_id"), chunk.alias("chunk"), text.alias("text"))
 
 
 def _run(docs: DataFrame, with_text: bool, schema: str) -> DataFrame:
