@@ -54,7 +54,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("match_item", "match_start", "longest_match")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @_query
@@ -134,17 +134,21 @@ _ALNUM_WORDS = (
 
 _OP4 = f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS w FROM documents),
-item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM_WORDS} AS w FROM benchmark),
-test AS (SELECT DISTINCT item, least(len(w), 10) AS size, list_slice(w, j, j + least(len(w), 10) - 1) AS win
+item AS (SELECT row_number() OVER () AS i, coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM_WORDS} AS w FROM benchmark),
+test AS (SELECT i, item, j, least(len(w), 10) AS size, list_slice(w, j, j + least(len(w), 10) - 1) AS win
          FROM item, range(1, len(w) - least(len(w), 10) + 2) AS t(j) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM test),
 place AS (SELECT r, p, size, list_slice(w, p, p + size - 1) AS win FROM doc, sizes, range(1, len(w) - size + 2) AS t(p)),
-found AS (SELECT r, p, place.size, item FROM place JOIN test ON place.size = test.size AND place.win = test.win),
+found AS (SELECT r, p, place.size, i, item, j FROM place JOIN test ON place.size = test.size AND place.win = test.win),
 hit AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM (SELECT DISTINCT r, p, size FROM found), range(0, size) AS t(o) GROUP BY r),
-own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r),
+run AS (SELECT r, item, min(p) AS p, max(p) - min(p) + size AS words
+        FROM (SELECT *, p - row_number() OVER (PARTITION BY r, i, p - j ORDER BY p) AS island FROM found) GROUP BY r, i, item, p - j, size, island),
+best AS (SELECT r, words, item, p FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, p, item) = 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(words AS INT) AS longest_match, item AS match_item, CAST(p - 1 AS INT) AS match_start
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r) LEFT JOIN best USING (r)
 """
 
 

@@ -137,9 +137,9 @@ def _scan(tests_of) -> object:
                 hits[r] = (covered if hits[r] is None else covered | np.frombuffer(hits[r], np.uint8)).tobytes()
                 pairs = [(p, w, i, j) for p, w in zip(position, window, strict=True) for i, j in tests["owners"][w]]
                 items[r] = sorted({*(items[r] or ()), *(tests["names"][i] for _, _, i, _ in pairs)})
-                length, item, start = longest(pairs, tests["sizes"])
-                if length > (best[0][r] or 0):
-                    best[0][r], best[1][r], best[2][r] = length, tests["names"][item], start
+                length, start, item = longest(pairs, tests["sizes"], tests["names"])
+                if best[0][r] is None or (length, start, item) < (-best[0][r], best[2][r], best[1][r]):
+                    best[0][r], best[1][r], best[2][r] = -length, item, start
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(best[0], pa.int32()), pa.array(best[1], pa.string()), pa.array(best[2], pa.int32())],
                 names=["doc_id", "text", "hits", "items", "longest_match", "match_item", "match_start"],
@@ -148,16 +148,18 @@ def _scan(tests_of) -> object:
     return scan
 
 
-def longest(pairs: list[tuple[int, int, int, int]], sizes: np.ndarray) -> tuple[int, int, int]:
-    """(words, item, document word) of the longest verbatim match: neighbouring windows on one diagonal join."""
-    best = (0, 0, 0)
+def longest(pairs: list[tuple[int, int, int, int]], sizes: np.ndarray, names: list[str]) -> tuple[int, int, str]:
+    """(-words, document word, item) of the longest verbatim match: neighbouring windows on one diagonal join.
+
+    Of equally long matches the one that starts first counts, then the smallest item.
+    """
+    best = (0, 0, "")
     ends: dict[tuple[int, int], tuple[int, int]] = {}
     for p, w, i, j in sorted(pairs):
         last, start = ends.get((i, p - j), (-2, p))
         start = start if last == p - 1 else p
         ends[(i, p - j)] = (p, start)
-        if (length := int(p - start + sizes[w])) > best[0]:
-            best = (length, i, int(start))
+        best = min(best, (int(start - p - sizes[w]), int(start), names[i]))
     return best
 
 

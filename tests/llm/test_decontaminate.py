@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from shelfline.llm import decontaminate
@@ -64,3 +65,10 @@ def test_windows_do_not_cross_documents(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string").coalesce(1)
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.report(docs, items).collect())
+
+
+def test_longest_match_ties_by_place_then_item():
+    sizes = np.array([3, 3])
+    names = ["b", "a", "c"]
+    pairs = [(5, 0, 0, 0), (5, 0, 1, 4), (6, 1, 0, 1), (6, 1, 1, 5), (1, 0, 2, 0), (2, 1, 2, 7)]
+    assert decontaminate.longest(pairs, sizes, names) == (-4, 5, "a")

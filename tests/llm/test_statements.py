@@ -11,7 +11,7 @@ COLUMNS = {
     "op1": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op2": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op3": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-    "op4": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op4": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_item", "match_start"],
     "op5": ["doc_id", "size", "source_size", "target", "taken"],
     "op6": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op7": ["doc_id", "held_out", "score", "predicted"],
