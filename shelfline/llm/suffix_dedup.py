@@ -18,6 +18,10 @@ Matches never cross documents and are judged on the input.
    of repeated suffixes are cut out and dealt by the same splitters; equal cuts within a
    chunk are sent once. In a bucket a multikey quicksort on (leading token, rest) groups
    the windows, whole bytes are compared, and all but the earliest of a group are reported.
+   A short passage that very many texts hold between different neighbours would fill one
+   bucket with distinct cuts. Such suffixes (``HOT_CONTEXTS`` contexts, counted while splitters
+   are sampled) have their windows dealt singly, by hashes of all 100 bytes, each distinct
+   window once per chunk, so that only equal windows meet.
 4. The covered bytes of a document are the union of its reported windows.
 
 Order of windows: (doc_id, 64-bit hash of the text, start); a null id comes before all
@@ -25,7 +29,7 @@ others. Rows equal in id and text are one document of which all further copies a
 repetitions in whole (if 100 bytes or longer). Null and empty texts, and texts shorter than 100
 bytes, lose nothing. An empty table gives an empty result. Other columns are not read.
 Candidates are found by 8 leading bytes and 32-bit hashes of the next 24; windows by 64-bit
-hashes; both only propose, bytes decide.
+hashes; both only propose, bytes decide. Windows dealt singly are compared by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -40,12 +44,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm import common
+from shelfline.session import stash
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # suffix starts that a window offers
 SAMPLE = 4_096  # sampled suffixes that set the splitters
 PER_TASK = 64
+HOT_CONTEXTS = 2_048  # contexts from which on the windows of a suffix are dealt singly
+HOT_GRAMS = 1 << 17  # such suffixes that are broadcast, those with the most contexts; all others go the usual way
 _NULL_ID = -(1 << 63)
 _SEGMENT = 1 << 20
 
@@ -161,31 +168,62 @@ def _by_chunk(buckets: int, kind: str, chunks: np.ndarray, *columns: np.ndarray)
     return [(int(chunks[order[i]]) % buckets, int(chunks[order[i]]), kind, common.pack(*(c[order[i:j]] for c in columns))) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _shared_grams(grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, its distinct contexts) of the grams with several contexts."""
+    if not grams:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram, context = np.concatenate(grams), np.concatenate(contexts)
+    order, group = multikey_sort([gram, context])
+    distinct = gram[order][common.group_bounds(group)[:-1]]
+    bounds = common.group_bounds(distinct)
+    count = np.diff(bounds)
+    return distinct[bounds[:-1]][count > 1], count[count > 1]
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leading tokens of the ``PER_TASK`` picked suffixes with the smallest hashes."""
+    """Leading tokens of the ``PER_TASK`` picked suffixes with the smallest hashes, and grams with several contexts.
+
+    Contexts are counted in batches of about two million suffixes, so memory is bounded.
+    """
+
+    def rows(token: np.ndarray, draw: np.ndarray, contexts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(draw.view(np.int64), pa.int64()), pa.array(contexts, pa.int64())], names=["token", "draw", "contexts"])
+
     kept: np.ndarray = np.zeros(0, np.uint64)
+    grams: list[np.ndarray] = []
+    contexts: list[np.ndarray] = []
     for batch in common.slices(batches, 0, 1 << 20):
         data, offsets = common.flat(batch.column(0))
-        if len(data) > 1 << 20:  # a very long text: splitters need no more of it
-            data, offsets = data[: 1 << 20], np.array([0, 1 << 20])
-        starts, _, _ = picks(data, offsets)
+        starts, firsts, lasts = picks(data, offsets)
         both = np.concatenate([kept, tokens(data, starts)[:, 0]])
         kept = both[np.argsort(common.mix(both + np.arange(len(both), dtype=np.uint64)), kind="stable")[:PER_TASK]]
-    yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64), pa.int64()), pa.array(common.mix(kept).view(np.int64), pa.int64())], names=["token", "draw"])
-
-
-def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Upper ends of the buckets' leading tokens, from a bounded sample."""
-    sample = docs.select("text").mapInArrow(_sample, "token long, draw long").orderBy("draw", "token").limit(SAMPLE).collect()
+        grams.append(common.span_hashes_blockwise(data, starts, starts + GRAM))
+        contexts.append(common.span_hashes_blockwise(data, firsts, lasts + LENGTH))
+        if sum(map(len, grams)) > 1 << 21:
+            gram, count = _shared_grams(grams, contexts)
+            yield rows(gram, np.zeros(len(gram), np.int64), count)
+            grams, contexts = [], []
+    gram, count = _shared_grams(grams, contexts)
+    yield rows(gram, np.zeros(len(gram), np.int64), count)
+    yield rows(kept, common.mix(kept), np.zeros(len(kept), np.int64))
+
+
+def splitters(docs: DataFrame, buckets: int, hot_contexts: int = HOT_CONTEXTS) -> tuple[np.ndarray, np.ndarray]:
+    """(upper ends of the buckets' leading tokens, from a bounded sample; hashes of the grams with very many contexts)."""
+    seen = stash(docs.select("text").mapInArrow(_sample, "token long, draw long, contexts long"), "suffix-sample")
+    sample = seen.where("contexts = 0").orderBy("draw", "token").limit(SAMPLE).collect()
+    shared = seen.where("contexts > 0").groupBy("token").agg(F.sum("contexts").alias("contexts")).where(F.col("contexts") >= hot_contexts)
+    hot = shared.orderBy(F.desc("contexts"), "token").limit(HOT_GRAMS).collect()
+    grams = np.sort(np.array([r.token for r in hot], np.int64).view(np.uint64))
     drawn = np.sort(np.array([r.token for r in sample], np.int64).view(np.uint64))
     if len(drawn) == 0 or buckets < 2:
-        return np.zeros(0, np.uint64)
-    return np.unique(drawn[np.linspace(0, len(drawn) - 1, min(buckets, len(drawn)) + 1).astype(int)[1:-1]])
+        return np.zeros(0, np.uint64), grams
+    return np.unique(drawn[np.linspace(0, len(drawn) - 1, min(buckets, len(drawn)) + 1).astype(int)[1:-1]]), grams
 
 
 def _suffixes(shared) -> object:
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value
+        cuts, _ = shared.value
         for batch in common.slices(batches, 2, 8 << 20):
             data, offsets = common.flat(batch.column(2))
             ids, chunks = common.ints(batch.column(0), _NULL_ID), common.ints(batch.column(1), 0)
@@ -248,7 +286,7 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _windows(shared) -> object:
     def windows(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         """Of one chunk: cuts out the windows of candidate suffixes and addresses them to buckets."""
-        cuts, chunk = shared.value, key[0].as_py()
+        (cuts, hot), chunk = shared.value, key[0].as_py()
         if texts.num_rows == 0 or found.num_rows == 0:
             return pa.Table.from_batches([_rows([])])
         ids, th, data, offsets, same = _texts(texts)
@@ -284,6 +322,10 @@ def _windows(shared) -> object:
             r = row[known]
             parts.append((int(chunk) % (len(cuts) + 1), int(chunk), "w", common.pack(ids[r], th[r], start[known] - offsets[r], last[known] - offsets[r])))
         s = np.flatnonzero(lead)
+        if len(hot):
+            single = np.isin(common.span_hashes_blockwise(data, start[s] + back[s], start[s] + back[s] + GRAM), hot)
+            parts += _singly(int(chunk), len(cuts) + 1, ids, th, data, offsets, start[s[single]], last[s[single]])
+            s = s[~single]
         bucket = np.searchsorted(cuts, tokens(data, start[s] + back[s])[:, 0], "right")
         order = np.argsort(bucket, kind="stable")
         s, bucket = s[order], bucket[order]
@@ -300,15 +342,73 @@ def _windows(shared) -> object:
     return windows
 
 
+def window_prints(data: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """A second hash of the windows at ascending ``spots``, chained from hashes of 32 bytes; a block of the text at a time."""
+    out = np.zeros(len(spots), np.uint64)
+    at = 0
+    while at < len(spots):
+        stop = int(np.searchsorted(spots, spots[at] + _SEGMENT, "left"))
+        own = spots[at:stop] - spots[at]
+        h = _gram_hashes(data[spots[at] : spots[stop - 1] + LENGTH])
+        for step in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
+            out[at:stop] = common.mix(out[at:stop] + h[own + step])
+        at = stop
+    return out
+
+
+def _singly(chunk: int, buckets: int, ids: np.ndarray, th: np.ndarray, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, last: np.ndarray) -> list[tuple[int, int, str, bytes]]:
+    """The distinct windows of some cuts of a chunk, dealt by hash; further copies in the chunk are known to be repetitions."""
+    piece, inside = common.runs(last - start + 1)
+    spot = np.unique(start[piece] + inside)
+    if len(spot) == 0:
+        return []
+    row = np.searchsorted(offsets, spot, "right") - 1
+    at = spot - offsets[row]
+    first, second = common.span_hashes_blockwise(data, spot, spot + LENGTH), window_prints(data, spot)
+    order, group = multikey_sort([first, second])
+    again = spot[order] != np.minimum.reduceat(spot[order], common.group_bounds(group)[:-1])[group]
+    parts = []
+    known = np.sort(order[again])
+    if len(known):
+        new = np.ones(len(known), bool)
+        new[1:] = (spot[known][1:] != spot[known][:-1] + 1) | (row[known][1:] != row[known][:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(known)) - 1
+        r = row[known[begin]]
+        parts.append((chunk % buckets, chunk, "w", common.pack(ids[r], th[r], at[known[begin]], at[known[end]])))
+    own = np.sort(order[~again])
+    bucket = (first[own] % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    own, bucket = own[by], bucket[by]
+    bounds = common.group_bounds(bucket)
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        x = own[i:j]
+        parts.append((int(bucket[i]), chunk, "h", common.pack(first[x], second[x], ids[row[x]], th[row[x]], at[x])))
+    return parts
+
+
+def _repeated_prints(columns: list[list[np.ndarray]]) -> list[tuple[int, int, str, bytes]]:
+    """Of windows dealt singly: all but the earliest of equal ones."""
+    first, second, ids, th, at, chunks = (np.concatenate([c[i] for c in columns]) for i in range(6))
+    place = np.empty(len(at), np.int64)
+    place[np.lexsort((at, th, ids))] = np.arange(len(at))
+    order, group = multikey_sort([first, second])
+    least = np.minimum.reduceat(place[order], common.group_bounds(group)[:-1])
+    again = np.sort(order[place[order] != least[group]])
+    return _by_chunk(1, "w", chunks[again], ids[again], th[again], at[again], at[again]) if len(again) else []
+
+
 def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket: the windows that also start earlier."""
-    out, columns = [], []
+    out, columns, single = [], [], []
     for chunk, kind, blob in zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["blob"], strict=True):
         if kind == "w":
             out.append((0, chunk, kind, blob.as_py()))
         else:
             got = common.unpack(blob.as_py())
-            columns.append([*got, np.full(len(got[0]), chunk, np.int64)])
+            (single if kind == "h" else columns).append([*got, np.full(len(got[0]), chunk, np.int64)])
+    if single:
+        out += _repeated_prints(single)
     if columns:
         ids, th, at, size, body, chunks = (np.concatenate([c[i] for c in columns]) for i in range(6))
         base = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -419,25 +519,30 @@ def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), chunk.alias("chunk"), text.alias("text"))
 
 
-def _run(docs: DataFrame, with_text: bool, schema: str) -> DataFrame:
+def _windows_of(docs: DataFrame, hot_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(texts by chunk, windows of repeated suffixes by bucket)."""
     spark = docs.sparkSession
     n_bytes = common.text_bytes(docs)
     chunks = common.chunk_count(spark, n_bytes, 12 << 20)
     buckets = max(4 * common.parallelism(spark), math.ceil(n_bytes / (6 << 20)))
-    shared = spark.sparkContext.broadcast(splitters(docs, buckets))
+    shared = spark.sparkContext.broadcast(splitters(docs, buckets, hot_contexts))
     rows = _chunked(docs, chunks)
-    texts = rows.select("chunk", "doc_id", F.xxhash64("text").alias("th"), "text").groupBy("chunk")
+    texts = rows.select("chunk", "doc_id", F.xxhash64("text").alias("th"), "text")
 
     suffixes = rows.select("doc_id", "chunk", "text").mapInArrow(_suffixes(shared), _KEYED)
     candidates = suffixes.groupBy("bucket").applyInArrow(_candidates, _KEYED).select("chunk", "blob")
-    windows = texts.cogroup(candidates.groupBy("chunk")).applyInArrow(_windows(shared), _KEYED)
+    return texts, texts.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(_windows(shared), _KEYED)
+
+
+def _run(docs: DataFrame, with_text: bool, schema: str, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+    texts, windows = _windows_of(docs, hot_contexts)
     repeated = windows.groupBy("bucket").applyInArrow(_repeated, _KEYED).select("chunk", "blob")
-    return texts.cogroup(repeated.groupBy("chunk")).applyInArrow(_apply(with_text), schema)
+    return texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_apply(with_text), schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row per document: its bytes, those removed, their maximal runs, and a digest of what is left."""
-    return _run(docs, False, _RESULT)
+    return _run(docs, False, _RESULT, hot_contexts)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -59,6 +59,36 @@ def test_repeated_rows_lose_their_copies(spark):
     assert all(r[2] == 0 for r in got if r[1] == 5)
 
 
+def lines_in_a_third(n):
+    """Texts of which a third hold one line of 62 bytes, and some a passage of 130, between other words."""
+    draw = random.Random(9)
+    line, passage = "".join(draw.choices("abcdefgh ", k=62)), "".join(draw.choices("abcdefgh ", k=130))
+    word = lambda: "".join(draw.choices("ijklmnopq ", k=draw.randrange(40, 200)))
+    rows = [(i, word() + (line if i % 3 == 0 else word()) + word() + (passage if i % 10 == 1 else "")) for i in range(n)]
+    return rows + [(n + i, rows[3 * i][1]) for i in range(5)] + [(None, rows[3][1]), (0, "short"), (n, line)]
+
+
+def test_hot_line_dealt_by_windows(spark):
+    rows = lines_in_a_third(240)
+    df = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], SCHEMA).repartition(3)
+    _, hot = suffix_dedup.splitters(df, 8, 20)
+    assert len(hot) > 0
+    got = sorted((tuple(r) for r in suffix_dedup.report(df, hot_contexts=20).collect()), key=str)
+    assert got == run(spark, rows)
+    by_id = {r[:1] + r[1:4] for r in got if r[0] is not None and 0 < r[0] < 240}
+    assert by_id == {r[:4] for r in brute([(None, rows[3][1]), *[r for r in rows if r[0] is not None]]) if r[0] is not None and 0 < r[0] < 240}
+
+
+def test_hot_line_does_not_fill_a_bucket(spark):
+    df = spark.createDataFrame(lines_in_a_third(1500), "doc_id long, text string").repartition(3)
+
+    def share(contexts):
+        weight = [r.n for r in suffix_dedup._windows_of(df, contexts)[1].selectExpr("bucket", "length(blob) n").groupBy("bucket").sum("n").toDF("b", "n").collect()]
+        return max(weight) / sum(weight)
+
+    assert share(50) < share(10**9) / 2
+
+
 def test_long_text_over_several_segments(spark, monkeypatch):
     draw = random.Random(3)
     text = "".join(draw.choices("abcdefgh ", k=30_000))
