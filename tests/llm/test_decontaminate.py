@@ -40,15 +40,16 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
-def test_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("shard_bytes", "most_bits"), [(16 << 20, 1 << 28), (50, 1 << 28), (100, 1 << 6)])
+def test_matches_brute_force(spark, shard_bytes, most_bits):
+    """Small shards, and a bitmap so full that it marks nearly all documents, give the same result."""
     docs = spark.createDataFrame([(i, t, 1, "h") for i, t in DOCS], "doc_id long, text string, row int, hit string")
     items = spark.createDataFrame([(i, t, 9) for i, t in ITEMS], "item_id long, text string, doc_id int")
-    got = decontaminate.report(docs, items, block_bytes=block_bytes)
+    got = decontaminate.report(docs, items, shard_bytes=shard_bytes, most_bits=most_bits)
     found = {r.doc_id: r for r in got.collect()}
     assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == brute(DOCS, ITEMS)
     assert (found[1].longest_match, found[1].match_item, found[1].match_start) == (16, "1", 1)
-    kept = decontaminate.clean(docs, items, block_bytes=block_bytes)
+    kept = decontaminate.clean(docs, items, shard_bytes=shard_bytes, most_bits=most_bits)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7, 8]
 
@@ -72,3 +73,30 @@ def test_longest_match_ties_by_place_then_item():
     names = ["b", "a", "c"]
     pairs = [(5, 0, 0, 0), (5, 0, 1, 4), (6, 1, 0, 1), (6, 1, 1, 5), (1, 0, 2, 0), (2, 1, 2, 7)]
     assert decontaminate.longest(pairs, sizes, names) == (-4, 5, "a")
+
+
+def test_random_tables_equal_brute_force(spark):
+    draw = np.random.default_rng(6)
+    text = lambda n: " ".join(draw.choice(list("abc"), n))
+    items = [(int(draw.integers(12)), text(int(draw.integers(0, 25)))) for _ in range(30)]
+    docs = [(i, text(int(draw.integers(0, 60)))) for i in range(80)] + [(i, items[0][1]) for i in range(80, 120)]
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=300)
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == brute(docs, items)
+
+
+def test_plan_does_not_grow_with_the_benchmark(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    size = lambda n: decontaminate.report(docs, spark.createDataFrame([(i, f"item {i} " + "w" * 5000) for i in range(n)], "item_id long, text string"))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert size(1) == size(500) == 1
+
+
+def test_no_shard_holds_more_than_its_share(spark):
+    """A third of all rows equal, with a null id: shards are cut by size, whatever the keys."""
+    docs = spark.createDataFrame([(None, "so one two three")] * 300 + [(i, "one two three") for i in range(600)], "doc_id long, text string").coalesce(2)
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    rows = docs.selectExpr("struct(doc_id, text) row")
+    shared = spark.sparkContext.broadcast(decontaminate.bitmap(decontaminate.test_windows(items)))
+    marked = rows.mapInArrow(decontaminate._mark(shared, 160), "row struct<doc_id: long, text: string>, shard long, codes array<long>")
+    sizes = [r["count"] for r in marked.groupBy("shard").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 13
+    assert decontaminate.clean(docs, items).count() == 0
