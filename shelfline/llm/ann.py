@@ -4,13 +4,17 @@ r"""Approximate nearest neighbours by learned partitions of a neighbour graph.
    nearest neighbours is split into balanced parts: vertices move to the part where most
    of their neighbours are, none taking more than its share.
 2. A small softmax classifier learns to tell a vector's part, so that it can place any vector.
-   Held-out sample rows, which neither parts nor classifier were fitted on, searched in the sample by brute force, tell how many of a query's most
-   probable parts must be probed for ``RECALL`` of the true neighbours.
-3. Every row is placed in its most probable part. A query goes to its most probable parts, at least
-   so many that they hold enough rows. Parts are cut into blocks by hash, so a part (or a
+   Held-out sample rows, which neither parts nor classifier were fitted on, searched in the sample by
+   brute force, tell how many of a query's most probable parts must be probed for the share of true neighbours wanted.
+3. A part that gets more than ``SPLIT_ROWS`` rows is split again in the same way, from a bounded sample
+   of its own rows and in a task of its own, with the held-out rows that probe it as further test queries. So
+   the number of parts grows with the table, up to ``LEVELS`` levels; with d levels each aims at the d-th root of ``RECALL``.
+4. Every row is placed in its most probable part. A query goes to its most probable parts, at least
+   so many that they hold enough rows, and inside them likewise. Parts are cut into blocks by hash, so a part (or a
    third of all rows in one) is never one task, and so are the queries that probe a part; for each pair of blocks products of matrices in double
    precision give the best rows for each query, and a window merges the blocks' lists.
 
+The classifiers are what is broadcast: at most 32 ** ``LEVELS`` parts, that is 1,057 classifiers of 32 parts each.
 Nearness is the inner product in double precision, ties go to the smaller ``vec_id``, and a query
 never finds its own row. Vectors that are null, zero, of another length than most, or
 that hold nulls or numbers that are not finite take no part, neither do null ids. An id on
@@ -20,6 +24,7 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ PART_ROWS = 256  # sample rows in a part
 RECALL = 0.97  # aimed at on held-out rows
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 16_384  # queries in a block
+SPLIT_ROWS = 65_536  # rows from which on a part is split again
+LEVELS = 3
 
 
 # --- learning on the sample ------------------------------------------------------------------------------------------------
@@ -126,23 +133,85 @@ def held_out(n: int) -> np.ndarray:
     return np.arange(0, n, max(4, n // HELD_OUT))
 
 
-def learn(sample: np.ndarray, neighbours: int) -> tuple[dict, int]:
-    """(router, number of parts to probe) from sampled vectors."""
+def learn(sample: np.ndarray, neighbours: int, visitors: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+    """(router, share of true neighbours reached by so many probes) from sampled vectors.
+
+    ``visitors`` are further queries that are not in the sample.
+    """
     parts = max(1, len(sample) // PART_ROWS)
     queries = held_out(len(sample))
     x = unit(np.delete(sample, queries, axis=0)) if parts > 1 else unit(sample)
     router = fit_router(x, balanced_parts(x, neighbour_graph(x), parts), parts) if parts > 1 else {"w": np.zeros((x.shape[1], 1)), "b": np.zeros(1)}
     if parts == 1:
-        return router, 1
-    places = ranked(router, sample)
-    where = places[:, 0]
-    s = sample[queries] @ sample.T
+        return router, np.ones(1)
+    asked = sample[queries] if visitors is None else np.concatenate([sample[queries], visitors])
+    where = ranked(router, sample)[:, 0]
+    s = asked @ sample.T
     s[np.arange(len(queries)), queries] = -np.inf
     near = np.argpartition(-s, neighbours - 1, axis=1)[:, :neighbours]
-    position = np.argsort(places[queries], axis=1)  # rank of each part for each query
+    position = np.argsort(ranked(router, asked), axis=1)  # rank of each part for each query
     needed = np.take_along_axis(position, where[near], 1)
-    reached = np.array([(needed <= p).mean() for p in range(parts)])
-    return router, int(np.argmax(reached >= RECALL)) + 1
+    return router, np.array([(needed <= p).mean() for p in range(parts)])
+
+
+# --- the tree of parts: a list of routers, of which each part leads to a leaf (-1 - its number) or to a further router -------------
+
+
+def node(router: dict, reached: np.ndarray, level: int, leaves: np.ndarray) -> dict:
+    return {**router, "reached": reached, "level": level, "next": -1 - leaves}
+
+
+def leaf_count(tree: list[dict]) -> int:
+    return sum(int((n["next"] < 0).sum()) for n in tree)
+
+
+def split(tree: list[dict], leaf: int, router: dict, reached: np.ndarray) -> None:
+    """Puts a router in place of a leaf; its first part keeps the leaf's number, the others get new ones."""
+    parent = next(n for n in tree if (n["next"] == -1 - leaf).any())
+    total = leaf_count(tree)
+    parent["next"][parent["next"] == -1 - leaf] = len(tree)
+    tree.append(node(router, reached, parent["level"] + 1, np.concatenate([[leaf], np.arange(total, total + len(router["b"]) - 1)])))
+
+
+def leaves_of(tree: list[dict], x: np.ndarray) -> np.ndarray:
+    """The leaf where each vector is placed."""
+    at = np.zeros(len(x), np.int64)
+    while len(inner := np.unique(at[at >= 0])):
+        for k in inner:
+            own = np.flatnonzero(at == k)
+            at[own] = tree[k]["next"][ranked(tree[k], x[own])[:, 0]]
+    return -1 - at
+
+
+def rows_under(tree: list[dict], sizes: np.ndarray) -> list[np.ndarray]:
+    """For each router the rows that its parts hold."""
+    under: list[np.ndarray] = [np.zeros(0)] * len(tree)
+    for k in reversed(range(len(tree))):  # a router stands after the one that leads to it
+        under[k] = np.array([sizes[-1 - n] if n < 0 else under[n].sum() for n in tree[k]["next"]])
+    return under
+
+
+def probes_of(tree: list[dict], recall: float = RECALL) -> list[int]:
+    """Parts to probe in each router, so that all levels together reach ``recall`` of the true neighbours."""
+    target = recall ** (1 / (1 + max(n["level"] for n in tree)))
+    return [int(np.argmax(n["reached"] >= target)) + 1 for n in tree]
+
+
+def route(tree: list[dict], probes: list[int], under: list[np.ndarray], wanted: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``x``, leaf) of all leaves that each vector probes."""
+    rows_out, leaves_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        k, rows = todo.pop()
+        places = ranked(tree[k], x[rows])
+        held = np.cumsum(under[k][places], axis=1)
+        enough = (held < wanted).sum(1) + 1  # more parts where the likely ones are nearly empty
+        query, rank = common.runs(np.minimum(np.maximum(enough, probes[k]), places.shape[1]))
+        to = tree[k]["next"][places[query, rank]]
+        rows_out.append(rows[query[to < 0]])
+        leaves_out.append(-1 - to[to < 0])
+        todo += [(int(n), rows[query[to == n]]) for n in np.unique(to[to >= 0])]
+    return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
 # --- the index and the search ------------------------------------------------------------------------------------------------
@@ -167,29 +236,37 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _place_rows(shared) -> object:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = shared.value[0]
+        tree = shared.value
         for batch in batches:
-            part = ranked(router, _matrix(batch.column(1)))[:, 0] if batch.num_rows else np.zeros(0)
+            part = leaves_of(tree, _matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=["vec_id", "v", "part"])
 
     return place
 
 
 def _route(shared) -> object:
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, probes, sizes, wanted = shared.value
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, probes, under, wanted = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = ranked(router, _matrix(batch.column(1)))
-            held = np.cumsum(sizes[places], axis=1)
-            enough = (held < wanted).sum(1) + 1  # more parts where the likely ones are nearly empty
-            count = np.minimum(np.maximum(enough, probes), places.shape[1])
-            query, rank = common.runs(count)
-            take = pa.array(query)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places[query, rank], pa.int32())], names=["query_id", "q", "part"])
+            if batch.num_rows:
+                query, leaf = route(tree, probes, under, wanted, _matrix(batch.column(1)))
+                take = pa.array(query)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(leaf, pa.int32())], names=["query_id", "q", "part"])
 
-    return route
+    return to_parts
+
+
+def _fit(shared, neighbours: int) -> object:
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one part: a router from its sampled rows."""
+        visitors, leaves = shared.value
+        table = table.sort_by("r")
+        x = _matrix(table["v"])
+        router, reached = learn(x, min(neighbours, len(x) - 1), visitors[leaves == key[0].as_py()])
+        blob = pickle.dumps((router, reached))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+
+    return fit
 
 
 def _search(k: int) -> object:
@@ -228,30 +305,57 @@ def _search(k: int) -> object:
     return search
 
 
-def _block_count(sizes: np.ndarray, rows: int) -> Column:
-    """The number of blocks of about ``rows`` rows that a part is cut into."""
-    return F.element_at(F.array(*(F.lit(int(max(1, -(-n // rows)))) for n in sizes)), F.col("part") + 1)
+def _counts(placed: DataFrame, parts: int) -> np.ndarray:
+    """Rows of each part; one row per part comes to the driver."""
+    out = np.zeros(parts, np.int64)
+    for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect():
+        out[r.part] = r.n
+    return out
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, query_rows: int = QUERY_ROWS) -> DataFrame:
+def index(rows: DataFrame, k: int, sample: int = SAMPLE, split_rows: int = SPLIT_ROWS) -> tuple[list[dict], DataFrame, np.ndarray]:
+    """(tree of routers, rows with their part, rows of each part)."""
+    context = rows.sparkSession.sparkContext
+    order = [F.xxhash64("vec_id"), F.col("vec_id")]
+    chosen = rows.orderBy(*order).limit(sample).collect()
+    x = np.array([r.v for r in chosen], np.float64) if chosen else np.zeros((0, 1))
+    router, reached = learn(x, min(k, max(len(chosen) - 1, 1))) if len(chosen) else ({"w": np.zeros((1, 1)), "b": np.zeros(1)}, np.ones(1))
+    tree = [node(router, reached, 0, np.arange(len(router["b"])))]
+    visitors = x[held_out(len(x))] if len(x) else x
+    while True:
+        placed = rows.mapInArrow(_place_rows(context.broadcast(tree)), "vec_id long, v array<double>, part int")
+        sizes = _counts(placed, leaf_count(tree))
+        level = {-1 - int(n): t["level"] for t in tree for n in t["next"] if n < 0}
+        large = [p for p, n in enumerate(sizes) if n > split_rows and level[p] + 1 < LEVELS]
+        if not large:
+            return tree, placed, sizes
+        query, leaves = route(tree, probes_of(tree), rows_under(tree, sizes), k + 1, visitors)
+        drawn = placed.where(F.col("part").isin(large)).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("r") <= sample)
+        fits = drawn.groupBy("part").applyInArrow(_fit(context.broadcast((visitors[query], leaves)), k), "part int, blob binary")
+        fitted = [(r.part, *pickle.loads(r.blob)) for r in fits.orderBy("part").collect()]  # a router for each part that is split
+        for part, router, reached in fitted:
+            if len(router["b"]) > 1:
+                split(tree, part, router, reached)
+        if all(len(router["b"]) == 1 for _, router, _ in fitted):
+            return tree, placed, sizes
+
+
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, query_rows: int = QUERY_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for every row that ``is_query`` (of vec_id) picks."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r.v for r in chosen], np.float64) if chosen else np.zeros((0, 1))
-    router, probes = learn(x, min(k, max(len(chosen) - 1, 1))) if len(chosen) else ({"w": np.zeros((1, 1)), "b": np.zeros(1)}, 1)
-    placed = rows.mapInArrow(_place_rows(spark.sparkContext.broadcast((router,))), "vec_id long, v array<double>, part int")
-    counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part
-    sizes = np.array([counts.get(p, 0) for p in range(len(router["b"]))], np.int64)
-    shared = spark.sparkContext.broadcast((router, probes, sizes, k + 1))
+    tree, placed, sizes = index(rows, k, sample, split_rows)
+    shared = spark.sparkContext.broadcast((tree, probes_of(tree), rows_under(tree, sizes), k + 1))
     asked = rows.where(is_query).mapInArrow(_route(shared), "query_id long, q array<double>, part int")
 
-    probing = {r.part: r.n for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part
-    of_rows = _block_count(sizes, BLOCK_ROWS)
-    of_queries = _block_count(np.array([probing.get(p, 0) for p in range(len(sizes))], np.int64), query_rows)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int")).withColumn("asking", F.explode(F.sequence(F.lit(0), of_queries - 1)))
-    asked = asked.withColumn("asking", F.pmod(F.xxhash64("query_id", "q"), of_queries).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of_rows - 1)))
+    probing = _counts(asked, len(sizes))
+    blocks = [(p, int(max(1, -(-n // BLOCK_ROWS))), int(max(1, -(-m // query_rows)))) for p, (n, m) in enumerate(zip(sizes, probing, strict=True))]
+    cut = F.broadcast(spark.createDataFrame(blocks, "part int, of_rows int, of_queries int"))  # one row per part, 32 ** LEVELS at most
+    placed, asked = placed.join(cut, "part"), asked.join(cut, "part")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of_rows")).cast("int")).withColumn("asking", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
+    asked = asked.withColumn("asking", F.pmod(F.xxhash64("query_id", "q"), F.col("of_queries")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
     pair = ["part", "block", "asking"]
+    placed, asked = placed.select(*pair, "vec_id", "v"), asked.select(*pair, "query_id", "q")
     found = placed.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

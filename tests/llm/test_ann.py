@@ -44,6 +44,40 @@ def test_recall_and_exact_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_large_parts_are_split_again(spark):
+    """Two levels: more and smaller parts, recall kept, and a query meets few of the rows."""
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.2 * draw.normal(size=16)]) for i in range(6000)]
+    df = frame(spark, rows)
+    tree, placed, sizes = ann.index(ann.usable(df), 10, sample=1024, split_rows=600)
+    one, _, plain = ann.index(ann.usable(df), 10, sample=1024)
+    assert len(one) == 1 and len(plain) == 4 and len(tree) > 2 and len(sizes) == ann.leaf_count(tree) > 10
+    assert sum(sizes) == 6000 and placed.where("part is null or part < 0").count() == 0
+    assert sizes.max() < plain.max()
+    got = listed(ann.nearest(df, F.col("vec_id") % 100 == 0, 10, sample=1024, split_rows=600))
+    hits = sum(len(set(brute(rows, q, 10)) & {r.vec_id for r in found}) for q, found in got.items())
+    assert hits / (10 * len(got)) >= 0.9 and len(got) == 60
+    x = np.array([v for _, v in rows])
+    query, leaf = ann.route(tree, ann.probes_of(tree), ann.rows_under(tree, sizes), 11, x[::100])
+    assert sizes[leaf].sum() / 60 < 0.7 * 6000
+    assert len(set(zip(query, leaf, strict=True))) == len(leaf)
+
+
+def test_tree_of_parts():
+    leaf = {"w": np.eye(2), "b": np.zeros(2)}
+    tree = [ann.node(leaf, np.array([0.5, 1.0]), 0, np.arange(2))]
+    ann.split(tree, 0, {"w": -np.eye(2), "b": np.zeros(2)}, np.array([1.0, 1.0]))
+    x = np.array([[2.0, 1.0], [1.0, 2.0], [1.0, -1.0]])
+    assert ann.leaf_count(tree) == 3
+    assert list(ann.leaves_of(tree, x)) == [2, 1, 2]
+    under = ann.rows_under(tree, np.array([5, 7, 9]))
+    assert [list(u) for u in under] == [[14, 7], [5, 9]]
+    query, leaves = ann.route(tree, [1, 1], under, 10, x[:1])
+    assert sorted(leaves) == [0, 2]  # nine rows are not enough
+    assert ann.probes_of(tree) == [2, 1]
+
+
 def test_small_tables_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(20, [1.0, 0.0]), (3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (40, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (4, [0.0, 3.0])]
