@@ -171,8 +171,8 @@ def byte_classes(kind: str) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, row offsets into them).
+def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, row offsets into them); with ``first``, of the word's first bytes only.
 
     Works through blocks cut at separators or row ends, so memory is bounded whatever the length of a
     text; a word longer than a block is hashed piece by piece. Two different words share a hash with probability 2**-64.
@@ -186,6 +186,8 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[n
             row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
             if row <= at and part.all():
                 size, value = _long_word(data, at, int(offsets[np.searchsorted(offsets, at, "right")]), classes)
+                if first is not None:
+                    value = int(span_hashes(prefix_sums(part[:first]), np.array([0]), np.array([first]))[0])
                 hashes.append(np.array([value], np.uint64))
                 starts_all.append(np.array([at]))
                 at += size
@@ -197,11 +199,13 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[n
         edge = np.zeros(len(part) + 1, bool)
         rows = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
         edge[rows] = True
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1]
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1] | edge[1:-1]
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:-1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(last) + 1
+        if first is not None:
+            ends = np.minimum(ends, starts + first)
         if len(starts):
             hashes.append(span_hashes(prefix_sums(part), starts, ends))
             starts_all.append(starts + at)

@@ -9,8 +9,10 @@ around a mention are then judged by how much they reveal of it, estimated on the
 with p(term) from all words of all texts and joint counts from the mentions' contexts (``AROUND``
 words to either side). All counts are of occurrences, copies included: a joint one is a word that stands
 near some mention of the entity. Disclosure is PMI / IC: 1 if a term occurs with the entity only, so that
-reading it is reading the entity. Terms at or above ``GENERALISE`` are replaced by their kind of word,
-those at or above ``REMOVE`` taken out. At least ``SUPPORT`` different contexts must support a pair;
+reading it is reading the entity. Terms at or above ``THRESHOLD`` are generalised or removed: a word's classes are the words
+that share its first ``PREFIXES`` bytes (a full date to its year, a name to its beginning), whose own disclosure is
+estimated in the same way, over all words of the class. The narrowest class below the threshold replaces the
+term, and a term without one is taken out. At least ``SUPPORT`` different contexts must support a pair;
 there, and only there, equal contexts (copies) count as one. Where nothing is protected, nothing is touched.
 
 Pairs come from the contexts of mentions, but a term that reveals an entity does so wherever it stands:
@@ -40,8 +42,8 @@ from shelfline.session import stash
 KINDS = ("email", "ip", "card", "phone", "term")
 AROUND = 8
 SUPPORT = 2
-GENERALISE = 0.9
-REMOVE = 0.98
+THRESHOLD = 0.9
+PREFIXES = (4, 2)  # bytes of a word that its classes keep, the narrowest first
 FILTER_BITS = 1 << 23  # of the fixed-size filter that thins word counts before their shuffle
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -154,8 +156,8 @@ def _after(text: str, b: int, free: Callable[[int, int], bool]) -> list[re.Match
         size *= 2
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int, int, int, int]]:
-    """(entity, context, term, start, end, digits only, new, first) of the words around each mention; the first three are hashes.
+def contexts(text: str, spans: list[Span]) -> list[tuple[int, ...]]:
+    """(entity, context, term, start, end, digits only, new, first, class for each of ``PREFIXES``) of the words around each mention; the first three are hashes.
 
     ``new`` is 1 once for a word however many mentions of the entity are near, ``first`` is 1 once for a mention.
     """
@@ -169,21 +171,23 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int
         words = [m[0].translate(_LOWER) for m in near]
         column = pa.array([w.encode() for w in words], pa.large_binary())
         hashes, _ = common.words(*common.flat(column), common.byte_classes("alnum"))
+        classed = [common.words(*common.flat(column), common.byte_classes("alnum"), p)[0].view(np.int64).tolist() for p in PREFIXES]
         name, context = (int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in (entity(text, span), " ".join(words)))
         new = [int((name, m.start()) not in known) for m in near]
         known.update((name, m.start()) for m in near)
-        out += [(name, context, int(h), m.start(), m.end(), int(w.isdecimal()), n, int(m is near[0])) for h, m, w, n in zip(hashes.view(np.int64), near, words, new, strict=True)]
+        out += [(name, context, int(h), m.start(), m.end(), int(w.isdecimal()), n, int(m is near[0]), *c) for h, m, w, n, *c in zip(hashes.view(np.int64), near, words, new, *classed, strict=True)]
     return out
 
 
 _SPAN = "struct<start:int,kind:int,finish:int>"
-_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,new:int,first:int>>"
+_FOUND = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,context:long,term:long,new:int,first:int," + ",".join(f"p{p}:long" for p in PREFIXES) + ">>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("finish", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("new", pa.int32()), ("first", pa.int32())]))
+    kinds = [("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("new", pa.int32()), ("first", pa.int32()), *((f"p{p}", pa.int64()) for p in PREFIXES)]
+    near = pa.list_(pa.struct(kinds))
     for batch in common.slices(batches, 2):
         counts, hashes, bases, around = [[], [], [], []], [], [], []
         for data in batch.column(2).cast(pa.binary()).to_pylist():
@@ -193,7 +197,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(sum(k == kind for k, _, _ in base))
             hashes.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())
             bases.append([{"start": a, "kind": KINDS.index(k), "finish": b} for k, a, b in base])
-            around.append([dict(zip(("entity", "context", "term", "new", "first"), (*x[:3], *x[6:]), strict=True)) for x in contexts(text, base)] if base else [])
+            around.append([dict(zip([k for k, _ in kinds], (*x[:3], *x[6:]), strict=True)) for x in contexts(text, base)] if base else [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(bases, span), pa.array(around, near)], names=names)
 
 
@@ -202,11 +206,11 @@ def _inside(allowed: np.ndarray, signed: np.ndarray) -> np.ndarray:
     return (allowed[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _counter(shared) -> object:
+def _counter(shared, first: int | None) -> object:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed, classes, total = shared.value, common.byte_classes("alnum"), 0
         for batch in common.slices(batches, 0, 8 << 20):
-            hashes, _ = common.words(*common.flat(batch.column(0)), classes)
+            hashes, _ = common.words(*common.flat(batch.column(0)), classes, first)
             total += len(hashes)
             signed = hashes.view(np.int64)
             terms, n = np.unique(signed[_inside(allowed, signed)], return_counts=True)
@@ -227,13 +231,13 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences ``n`` of each of ``terms`` among all words; the row of a null term counts all words.
+def term_counts(docs: DataFrame, terms: DataFrame, first: int | None = None) -> DataFrame:
+    """Occurrences ``n`` of each of ``terms`` among all words; the row of a null term counts all words. With ``first``, terms are classes of words.
 
     Tasks count only words that pass a bitmap of the wanted terms.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
-    return docs.select("text").mapInArrow(_counter(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_counter(shared, first), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _spotter(shared) -> object:
@@ -266,7 +270,7 @@ def _spotter(shared) -> object:
 
 
 def occurrences(rows: DataFrame, strong: DataFrame) -> DataFrame:
-    """(doc_id, th, start, finish, digits, disclosure) of every word of the texts that is a strong term."""
+    """(doc_id, th, start, finish, digits, disclosure, keep) of every word of the texts that is a strong term."""
     shared = rows.sparkSession.sparkContext.broadcast(_bitmap(strong))
     words = rows.select("doc_id", "th", "text").mapInArrow(_spotter(shared), "doc_id long, th long, term long, start int, finish int, digits int")
     return words.join(strong, "term").drop("term")
@@ -290,8 +294,25 @@ def disclosures(joint: DataFrame, near: DataFrame, counts: DataFrame) -> DataFra
     return pairs.select("entity", "term", (pmi / content).alias("disclosure"))
 
 
-def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """One row per document row: counts, base spans, and ``terms``, the spans that reveal an entity with their disclosure."""
+def generalised(docs: DataFrame, near: DataFrame, strong: DataFrame, support: int, threshold: float) -> DataFrame:
+    """``strong`` with ``keep``: the first bytes of the term that may stay, those of its narrowest class below the threshold; 0 if none is."""
+    out = strong.join(near.select("term", *(f"p{p}" for p in PREFIXES)).distinct(), "term")
+    keep = F.lit(0)
+    for p in reversed(PREFIXES):
+        own = near.select("entity", "context", F.col(f"p{p}").alias("term"), "new", "first")
+        joint = stash(supported(own, support), "pii-class-joint")
+        counts = stash(term_counts(docs, joint.select("term").distinct(), p), "pii-class-counts")
+        telling = disclosures(joint, own, counts).where(F.col("disclosure") >= threshold).select(F.col("term").alias(f"p{p}"), F.lit(True).alias(f"tells{p}")).distinct()
+        out = out.join(telling, f"p{p}", "left")
+        keep = F.when(F.col(f"tells{p}").isNull(), F.lit(p)).otherwise(keep)
+    return out.select("term", "disclosure", keep.alias("keep"))
+
+
+def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, levels: bool = False) -> DataFrame:
+    """One row per document row: counts, base spans, and ``terms``, the spans that reveal an entity with their disclosure.
+
+    With ``levels``, ``keep`` tells how much of each term may stay.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = stash(rows.mapInArrow(_scan, _FOUND), "pii-found")
     near = found.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
@@ -299,8 +320,9 @@ def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALIS
     counts = stash(term_counts(docs, joint.select("term").distinct()), "pii-counts")
     strong = disclosures(joint, near, counts).where(F.col("disclosure") >= threshold)
     strong = stash(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-strong")
+    strong = stash(generalised(docs, near, strong, support, threshold), "pii-levels") if levels else strong.withColumn("keep", F.lit(0))
     own = occurrences(rows, strong).distinct()  # equal rows have equal words
-    own = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "finish", "digits", "disclosure"))).alias("terms"))
+    own = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "finish", "digits", "disclosure", "keep"))).alias("terms"))
     own = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("th", "own_th")
     same = found["doc_id"].eqNullSafe(own["own_id"]) & (found["th"] == own["own_th"])
     return found.drop("near").join(own, same, "left").drop("own_id", "own_th")
@@ -309,17 +331,17 @@ def judged(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALIS
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: counts and digest of direct identifiers, and all spans as ``kind:start:end``."""
     rows = judged(docs)
-    term = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,finish:int,digits:int,disclosure:double>>")), lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["finish"].alias("finish")))
+    term = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,finish:int,digits:int,disclosure:double,keep:int>>")), lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["finish"].alias("finish")))
     every = F.array_sort(F.concat("base", term))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["finish"].cast("string")))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(text, ",").alias("spans"))
 
 
-def replaced(text: str, base: list[Span], terms: list[tuple[int, int, int, float]]) -> str:
-    """The text with identifiers masked and revealing terms generalised or removed."""
+def replaced(text: str, base: list[Span], terms: list[tuple[int, int, int, float, int]]) -> str:
+    """The text with identifiers masked and revealing terms generalised (to their first letters and a star) or removed."""
     marks = [(a, b, f"[{k.upper()}]") for k, a, b in base]
-    marks += [(a, b, "" if d >= REMOVE else "[NUMBER]" if digits else "[WORD]") for a, b, digits, d in terms]
+    marks += [(a, b, text[a:b].encode()[:keep].decode(errors="ignore") + "*" if keep else "") for a, b, _, _, keep in terms]
     out, at = [], 0
     for a, b, new in sorted(marks, key=lambda m: (m[0], -m[1])):
         if a >= at:
@@ -339,7 +361,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with all their columns and sanitised ``text``."""
-    spans = judged(docs).select(F.col("doc_id").alias("j_id"), F.col("th").alias("j_th"), "base", "terms").where((F.size("base") > 0) | F.col("terms").isNotNull()).distinct()
+    spans = judged(docs, levels=True).select(F.col("doc_id").alias("j_id"), F.col("th").alias("j_th"), "base", "terms").where((F.size("base") > 0) | F.col("terms").isNotNull()).distinct()
     state = docs.select(common.whole_row([c for c in docs.columns if c != "text"]), "text", F.xxhash64("text").alias("th"))
     joined = state.join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("j_id")) & (F.col("th") == F.col("j_th")), "left").select("row", "text", "base", "terms")
     done = joined.mapInArrow(_apply, common.schema_of(joined, "row", "text"))

@@ -145,3 +145,53 @@ def test_long_runs_of_digits_take_linear_time():
     found = [text[a:b] for kind, a, b in pii.find(text) if kind == "ip"]
     assert time.process_time() - began < 3
     assert found[:2] == ["1.2.3.4", "5.6.7.8"] and len(found) == 2 + 100_000 // 4
+
+
+def test_terms_become_their_narrowest_safe_class(spark):
+    """Zanz is a common beginning, xylo is not but xy is, and no class of qwerty is."""
+    plain = [" ".join(FILL[(i + j) % len(FILL)] for j in range(12)) + " zanzibar zanzig xyster xyz" for i in range(200)]
+    telling = [f"{FILL[i]} Zanzibarian qwerty xylophone jane.roe@mail.example.com {FILL[i + 5]}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(plain + telling)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert [got[i] for i in range(200)] == plain
+    assert [got[200 + i] for i in range(3)] == [f"{FILL[i]} Zanz*  xy* [EMAIL] {FILL[i + 5]}" for i in range(3)]
+
+
+def test_disclosures_equal_brute_force(spark):
+    import random
+    from math import log2
+
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    mails = [f"m{i}@a.example.com" for i in range(4)]
+    texts = [" ".join(mails[draw.randrange(4)] if draw.random() < 0.04 else draw.choice(vocabulary) for _ in range(draw.randrange(5, 60))) for _ in range(120)]
+    texts += texts[:10]
+    total, counts, mentions, both, seen = 0, {}, {}, {}, {}
+    for text in texts:
+        tokens = text.split()
+        for w in tokens:
+            for part in re.findall(r"[a-z0-9]+", w):
+                total += 1
+                counts[part] = counts.get(part, 0) + 1
+        known = set()
+        for at, token in enumerate(tokens):
+            if "@" not in token:
+                continue
+            side = [k for k in range(len(tokens)) if "@" not in tokens[k]]
+            near = [k for k in side if k < at][-pii.AROUND :] + [k for k in side if k > at][: pii.AROUND]
+            if not near:
+                continue
+            mentions[token] = mentions.get(token, 0) + 1
+            for k in near:
+                seen.setdefault((token, tokens[k]), set()).add(" ".join(tokens[n] for n in near))
+                both[token, tokens[k]] = both.get((token, tokens[k]), 0) + ((token, k) not in known)
+                known.add((token, k))
+    wanted = sorted(log2(n / counts[w] * total / mentions[e]) / log2(total / mentions[e]) for (e, w), n in both.items() if len(seen[e, w]) >= 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    near = rows.mapInArrow(pii._scan, pii._FOUND).select(F.explode("near").alias("x")).select("x.*")
+    joint = pii.supported(near)
+    got = sorted(r.disclosure for r in pii.disclosures(joint, near, pii.term_counts(df, joint.select("term").distinct())).collect())
+    assert len(got) == len(wanted) > 100 and all(abs(a - b) < 1e-9 for a, b in zip(got, wanted, strict=True))
