@@ -114,6 +114,12 @@ def kpi_customer_value(w):
     return kpi.customer_value(w["fact_sales"], w["dim_customer"], FREQUENCY_STEPS, VALUE_STEPS)
 
 
+@_query
+def kpi_customer_value_default(w):
+    """With the usual ladders."""
+    return kpi.customer_value(w["fact_sales"], w["dim_customer"])
+
+
 @_query
 def kpi_summary(w):
     return kpi.summary(w["fact_sales"])
@@ -472,6 +478,16 @@ def source_fallback(w):
     return readers.read_csv_or_parquet(w.spark, f"{folder}/transactions.csv", f"{folder}/transactions.parquet")
 
 
+@_query
+def source_fallback_csv(w):
+    """Both copies are there, the Parquet one empty: the CSV is read."""
+    folder = fresh_path(w.spark, "fallback")
+    rows = w.raw("transactions")
+    rows.write.option("header", True).option("nullValue", "NA").csv(f"{folder}/transactions.csv")
+    rows.limit(0).write.parquet(f"{folder}/transactions.parquet")
+    return readers.read_csv_or_parquet(w.spark, f"{folder}/transactions.csv", f"{folder}/transactions.parquet", rows.schema)
+
+
 @_query
 def records_json(w):
     return X.as_json(w["dim_store"].select("store_key", "store_id", "store_name", "city", "region"))
@@ -600,6 +616,12 @@ def approval_queue(w):
     return drift.pending(_governed(w)[2]).drop("decision_json")
 
 
+@_query
+def approval_requests(w):
+    """The changes that each request holds, as JSON text."""
+    return drift.pending(_governed(w)[2]).select("queue_id", "table_name", "decision_json")
+
+
 @_query
 def approval_changes(w):
     return drift.expand_changes(_governed(w)[2])

@@ -524,6 +524,9 @@ _DRIFT_STATEMENTS = {
         UNION ALL SELECT 'known', 'approved', 'process', '' UNION ALL SELECT 'broken', 'rejected', 'quarantine', 'Missing required columns: price, store_id'""",
     "drift_log": "SELECT * FROM log",
     "approval_queue": "SELECT * FROM requests",
+    "approval_requests": """SELECT queue_id, table_name, '[' || string_agg(to_json({'column_name': column_name, 'confidence': confidence, 'data_type': scores.data_type,
+          'sample_values': coalesce(samples, [])})::VARCHAR, ',' ORDER BY column_name) || ']' AS decision_json
+        FROM scores JOIN counted USING (table_name, column_name) JOIN requests USING (table_name) GROUP BY queue_id, table_name""",
     "approval_changes": "SELECT queue_id, table_name, column_name, confidence, data_type FROM scores JOIN requests USING (table_name)",
     "approval_apply": "SELECT * REPLACE (CASE WHEN table_name = 'many' THEN 'approved' ELSE status END AS status) FROM requests",
     "approval_log": f"""SELECT * REPLACE (CASE WHEN table_name = 'noisy' THEN 'rejected' ELSE status END AS status,
@@ -569,6 +572,8 @@ _LABELS = {
 
 
 _STATEMENTS |= {
+    "kpi_customer_value_default": _STATEMENTS["kpi_customer_value"].replace("_WIDE__", "__"),
+    "source_fallback_csv": _STATEMENTS["source_fallback"],
     # Sums that are kept up to date give the reports of a full scan.
     **{f"maintained_{name}": _STATEMENTS[f"kpi_{name}"] for name in ("daily_revenue", "monthly_revenue", "seasonal", "city_sales", "top_products", "summary")},
     "scd2_any_order": f"""SELECT customer_id, name, email, phone, city, seen AS valid_from, lead(seen) OVER w AS valid_to, lead(seen) OVER w IS NULL AS is_current,
