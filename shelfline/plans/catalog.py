@@ -483,7 +483,7 @@ def source_fallback_csv(w):
     """Both copies are there, the Parquet one empty: the CSV is read."""
     folder = fresh_path(w.spark, "fallback")
     rows = w.raw("transactions")
-    rows.write.option("header", True).option("nullValue", "NA").csv(f"{folder}/transactions.csv")
+    rows.write.option("header", True).csv(f"{folder}/transactions.csv")
     rows.limit(0).write.parquet(f"{folder}/transactions.parquet")
     return readers.read_csv_or_parquet(w.spark, f"{folder}/transactions.csv", f"{folder}/transactions.parquet", rows.schema)
 
