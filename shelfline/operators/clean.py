@@ -14,15 +14,17 @@ from shelfline.session import stash
 
 CRITICAL = ["transaction_id", "product_id", "store_id"]
 SIGMAS = 3
+KEY = ("transaction_id",)
 
 
-def _prepared(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
+def _prepared(df: DataFrame, order_by: Sequence[Column], key: Sequence[str] = KEY) -> DataFrame:
     """Step 1 (one row per transaction) with discount, date and the step flags alongside.
 
     Each ``_bad_*`` flag is true for rows that its step removes; a row belongs to
-    the first step whose flag is set.
+    the first step whose flag is set. ``key`` may name columns that follow from the transaction id, too:
+    rows that are dealt by one of them already are not shuffled again. They are dropped.
     """
-    kept = keep_first(df, ["transaction_id"], order_by)
+    kept = keep_first(df, key, order_by).drop(*(c for c in key if c not in KEY))
     if "discount" not in kept.columns:
         kept = kept.withColumn("discount", F.lit(0).cast("double"))
         kept = kept.withColumn("_no_discount", F.lit(False))
@@ -44,9 +46,9 @@ def _late(as_of: Column) -> Column:
     return ~F.coalesce(F.col("date") <= as_of, F.lit(False))
 
 
-def clean_rows(df: DataFrame, as_of: Column, order_by: Sequence[Column]) -> DataFrame:
+def clean_rows(df: DataFrame, as_of: Column, order_by: Sequence[Column], key: Sequence[str] = KEY) -> DataFrame:
     """Steps 1 to 6: dedup, fill discounts, drop incomplete, fix prices, drop bad quantities and dates."""
-    rows = _prepared(df, order_by)
+    rows = _prepared(df, order_by, key)
     kept = rows.where(~F.col("_bad_critical") & ~F.col("_bad_quantity") & ~_late(as_of))
     return kept.withColumn("price", F.abs("price")).drop("_no_discount", "_bad_critical", "_bad_quantity")
 

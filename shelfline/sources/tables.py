@@ -82,12 +82,16 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order. The orders of a task are hashed: a sort of all lines would not pay, as cleaning sorts them anyway."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return li.join(o, li.l_orderkey == o.o_orderkey)
+    return li.join(o.hint("shuffle_hash"), li.l_orderkey == o.o_orderkey)
 
 
-def transactions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """Raw sales lines with defects; ``transaction_id`` repeats in the source itself."""
+def transactions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, with_order: bool = False) -> DataFrame:
+    """Raw sales lines with defects; ``transaction_id`` repeats in the source itself.
+
+    ``with_order`` adds ``order_key``, by which the join of order lines has dealt them.
+    """
     order = F.col("l_orderkey")
     price, discount = X.money("l_extendedprice"), F.col("l_discount")
     return (order_lines(spark, sf_dir) if lines is None else lines).select(
@@ -103,6 +107,7 @@ def transactions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = Non
         F.when(discount != 0, X.money(F.round(F.col("l_extendedprice").cast("decimal(18,2)") * discount.cast("decimal(4,2)"), 2)))
         .alias("discount"),
         F.col("o_orderpriority").alias("payment_method"),
+        *([order.alias("order_key")] if with_order else []),
     )
 
 

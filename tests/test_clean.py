@@ -5,6 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shelfline.operators import clean
+from shelfline.plans.warehouse import Warehouse
+from shelfline.sources import tables as T
 
 NOW = datetime(2024, 6, 1)
 SPEC = "transaction_id string, product_id string, store_id string, quantity int, price double, discount double, date timestamp_ntz"
@@ -74,3 +76,20 @@ def test_anomalies_are_flagged_not_removed(spark):
     mean = sum(prices) / 50
     std = (sum((p - mean) ** 2 for p in prices) / 49) ** 0.5
     assert t["threshold"] == pytest.approx(mean + 3 * std)
+
+
+def test_lines_are_shuffled_once_for_join_and_cleaning(spark, sf_dir):
+    raw = T.transactions(spark, sf_dir, with_order=True)
+    once = clean.clean_rows(raw, T.as_of(), T.transaction_order(), ["order_key", *clean.KEY])
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders
+    assert "hashpartitioning(transaction_id" not in plan
+    by_id = clean.clean_rows(raw.drop("order_key"), T.as_of(), T.transaction_order())
+    assert once.columns == by_id.columns
+    assert once.exceptAll(by_id).isEmpty() and by_id.exceptAll(once).isEmpty()
+
+
+def test_a_warehouse_cleans_without_a_wide_copy_of_all_lines(spark, sf_dir):
+    built = Warehouse(spark, sf_dir)
+    assert built["transactions_clean"].count() > 0
+    assert "order_lines" not in built._built and set(built._built) == {"transactions_clean"}
