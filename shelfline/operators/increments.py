@@ -13,6 +13,8 @@ repeated with its number replaces itself.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +28,13 @@ _SUMS = [T.StructField("_rev", T.DecimalType(38, 4)), *(T.StructField(c, T.LongT
 
 
 class Maintained:
-    """Sums below ``folder`` that follow the sales fact."""
+    """Sums below ``folder`` that follow the sales fact: all of them, or those ``names`` that reports read."""
 
-    def __init__(self, folder: str, fan: int = FAN) -> None:
+    def __init__(self, folder: str, fan: int = FAN, names: Sequence[str] = (*KEYS, "members")) -> None:
         self.parts = {name: Partials(f"{folder}/{name}", [key], T.StructType([T.StructField(key, T.LongType()), *_SUMS]), fan) for name, key in KEYS.items()}
         kinds = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.LongType()), *_SUMS])
         self.parts["members"] = Partials(f"{folder}/members", ["kind", "key"], kinds, fan)
+        self.parts = {name: self.parts[name] for name in names}
 
     def apply(self, load: int, came: DataFrame, went: DataFrame | None = None) -> None:
         """Take over one load: sales that came and, as they were loaded, sales that went."""
@@ -39,7 +42,8 @@ class Maintained:
         rows = came.select(*columns, F.lit(1).alias("_sign"))
         if went is not None:
             rows = rows.unionByName(went.select(*columns, F.lit(-1).alias("_sign")))
-        rows = stash(rows, "sales-changes")
+        if len(self.parts) > 1:  # read once for each of the sums
+            rows = stash(rows, "sales-changes")
         sign = F.col("_sign").cast("long")
 
         def counted(column: str):
@@ -51,8 +55,10 @@ class Maintained:
             (F.col("quantity") * sign).alias("_units"), sign.alias("_rows"),
         )
         sums = [f.name for f in _SUMS]
-        for name, key in KEYS.items():
-            self.parts[name].add(signed.select(key, *sums), load)
+        for name in KEYS.keys() & self.parts.keys():
+            self.parts[name].add(signed.select(KEYS[name], *sums), load)
+        if "members" not in self.parts:
+            return
         kinds = [F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_key").alias("key")) for kind in ("customer", "product", "store")]
         self.parts["members"].add(signed.select(F.explode(F.array(*kinds)).alias("k"), *sums).select("k.kind", "k.key", *sums), load)
 
