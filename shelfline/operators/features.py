@@ -16,11 +16,11 @@ FEATURES = ["current_stock", "avg_sales_7d", "stddev_sales_7d", "category_encode
 DAYS = 7
 
 
-def trailing_sales(daily: DataFrame, days: int = DAYS) -> DataFrame:
+def trailing_sales(daily: DataFrame, days: int = DAYS, keep: Sequence[str] = ()) -> DataFrame:
     """Mean and deviation of units over the last ``days`` days; days without a sale count as 0.
 
     ``daily`` has one row per pair and day, so a pair's window is at most as long
-    as the calendar however many sales it has.
+    as the calendar however many sales it has. Columns of ``keep`` stay.
     """
     w = Window.partitionBy(*PAIR).orderBy("day_number").rangeBetween(-(days - 1), 0)
     units = F.col("units").cast("long")
@@ -36,6 +36,7 @@ def trailing_sales(daily: DataFrame, days: int = DAYS) -> DataFrame:
         "date",
         (X.dbl("_sum") / days).alias("avg_sales_7d"),
         F.round(F.sqrt(variance), 6).alias("stddev_sales_7d"),
+        *keep,
     )
 
 
@@ -49,9 +50,13 @@ def trailing_at(daily: DataFrame, as_of: Column, days: int = DAYS) -> DataFrame:
 
 
 def daily_units(fact_sales: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame) -> DataFrame:
-    """Units per product, store and day of the fact, by business id."""
-    keyed = fact_sales.groupBy("product_key", "store_key", "date_key").agg(F.sum(F.col("quantity").cast("bigint")).alias("units"))
-    return _named(keyed, dim_product, dim_store, dim_date).groupBy(*PAIR, "date").agg(F.sum("units").alias("units"))
+    """Units per product, store and day of the fact, by business id.
+
+    Nearly every sale has a product, store and day of its own, so sums by key first would only be one more shuffle;
+    partial sums keep a hot pair small all the same.
+    """
+    rows = fact_sales.select("product_key", "store_key", "date_key", F.col("quantity").cast("bigint").alias("units"))
+    return _named(rows, dim_product, dim_store, dim_date).groupBy(*PAIR, "date").agg(F.sum("units").alias("units"))
 
 
 def stock_counts(fact_inventory: DataFrame, dim_product: DataFrame, dim_store: DataFrame, dim_date: DataFrame) -> DataFrame:
@@ -82,10 +87,8 @@ def category_codes(categories: DataFrame) -> DataFrame:
     return distinct.withColumn("category_encoded", (place - 1).cast("int"))
 
 
-def _described(pairs: DataFrame, trailing: DataFrame, categories: DataFrame, keys: Sequence[str]) -> DataFrame:
-    coded = categories.join(category_codes(categories), "category").select("product_id", "category_encoded")
-    sold = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_sales_7d", "stddev_sales_7d")]
-    return pairs.join(trailing, list(keys), "left").join(coded, "product_id").select(*keys, "current_stock", *sold, "category_encoded")
+def _coded(categories: DataFrame) -> DataFrame:
+    return categories.join(category_codes(categories), "category").select("product_id", "category_encoded")
 
 
 def stock_features(daily: DataFrame, stock: DataFrame, categories: DataFrame, as_of: Column, days: int = DAYS) -> DataFrame:
@@ -94,15 +97,26 @@ def stock_features(daily: DataFrame, stock: DataFrame, categories: DataFrame, as
     daily: product_id, store_id, date, units (one row per pair and day);
     stock: product_id, store_id, date, stock_level; categories: product_id, category.
     """
-    return _described(latest_stock(stock), trailing_at(daily, as_of, days), categories, PAIR)
+    sold = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_sales_7d", "stddev_sales_7d")]
+    described = latest_stock(stock).join(trailing_at(daily, as_of, days), PAIR, "left").join(_coded(categories), "product_id")
+    return described.select(*PAIR, "current_stock", *sold, "category_encoded")
 
 
 def history_features(daily: DataFrame, stock: DataFrame, categories: DataFrame, days: int = DAYS) -> DataFrame:
-    """The same features on every day with a stock count: what the models learn from."""
+    """The same features on every day with a stock count: what the models learn from.
+
+    Sales and counts are dealt by pair together, once: both meet per day, and the trailing days, where they are.
+    A counted day without sales has means of 0.
+    """
     key = [*PAIR, "date"]
-    counted = keep_first(stock, key, [F.desc_nulls_last("stock_level")])
-    counted = counted.select(*key, F.col("stock_level").cast("double").alias("current_stock"))
-    return _described(counted, trailing_sales(daily, days), categories, key)
+    sold = daily.select(*key, F.col("units").cast("long").alias("units"), F.lit(True).alias("_sold"), F.lit(None).cast("double").alias("current_stock"), F.lit(None).cast("boolean").alias("_counted"))
+    counted = stock.select(*key, F.lit(None).cast("long").alias("units"), F.lit(None).cast("boolean").alias("_sold"), F.col("stock_level").cast("double").alias("current_stock"), F.lit(True).alias("_counted"))
+    days_of = sold.unionByName(counted).repartition(*PAIR).groupBy(*key).agg(
+        F.sum("units").alias("units"), F.max("_sold").alias("_sold"), F.max("current_stock").alias("current_stock"), F.max("_counted").alias("_counted")
+    )
+    shown = trailing_sales(days_of, days, ["_sold", "current_stock", "_counted"]).where("_counted")
+    shown = shown.withColumns({c: F.when(F.col("_sold"), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0)) for c in ("avg_sales_7d", "stddev_sales_7d")})
+    return shown.join(_coded(categories), "product_id").select(*key, *FEATURES)
 
 
 def with_labels(features: DataFrame) -> DataFrame:

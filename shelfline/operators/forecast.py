@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def daily_forecast(daily: DataFrame, pairs: DataFrame, as_of: Column, weeks: int
     )
 
 
-def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z) -> DataFrame:
+def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z, keep: Sequence[str] = ()) -> DataFrame:
     """One row per stocked pair: units over the next seven days, bounds and days until the stock is gone.
 
-    stock: product_id, store_id, current_stock. An idle pair forecasts 0. Each weekday occurs once in seven
+    stock: product_id, store_id, current_stock; columns of ``keep`` stay beside the forecast. An idle pair forecasts 0. Each weekday occurs once in seven
     days, so the total is the sum of the weekday means.
     """
     # Exact six-digit decimals keep the sums independent of row order.
@@ -55,7 +57,7 @@ def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: in
         F.sum(F.col("mean").cast("decimal(24,6)")).cast("double").alias("_mean"),
         F.sum(F.col("variance").cast("decimal(28,6)")).cast("double").alias("_variance"),
     )
-    known = stock.select(*PAIR, "current_stock").join(total, PAIR, "left")
+    known = stock.select(*PAIR, "current_stock", *keep).join(total, PAIR, "left")
     known = known.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_mean", "_variance")})
     margin = z * F.sqrt("_variance")
     return known.select(
@@ -65,4 +67,5 @@ def weekly_forecast(daily: DataFrame, stock: DataFrame, as_of: Column, weeks: in
         F.round(F.greatest(F.col("_mean") - margin, F.lit(0.0)), 6).alias("lower_bound"),
         F.round(F.col("_mean") + margin, 6).alias("upper_bound"),
         F.round(X.ratio(F.col("current_stock") * HORIZON, "_mean"), 6).alias("days_remaining"),
+        *keep,
     )

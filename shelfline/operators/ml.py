@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
+from shelfline.operators import forecast
 from shelfline.operators.features import FEATURES, PAIR, with_labels
 from shelfline.operators.rows import keep_first, top_k
+from shelfline.session import stash
 
 # Trees and depth of the forest, rounds and depth of the boosting.
 N_TREES, DEPTH = 50, 12
@@ -43,9 +45,10 @@ def held_out(features: DataFrame) -> Column:
 
 
 def fit(rows: DataFrame, trees: int = N_TREES, depth: int = DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, seed: int = SEED) -> Models:
-    """Train both models on labelled rows (``training_rows``)."""
+    """Train both models on labelled rows (``training_rows``), which are written once: training reads them many times."""
     binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
-    rows = rows.select(*FEATURES, X.dbl("risk").alias("risk", metadata=binary), X.dbl("reorder_qty").alias("reorder_qty"))
+    rows = stash(rows.select(*FEATURES, X.dbl("risk").alias("risk"), X.dbl("reorder_qty").alias("reorder_qty")), "training-rows")
+    rows = rows.withColumn("risk", F.col("risk").alias("risk", metadata=binary))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(labelCol="risk", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     boosting = GBTRegressor(labelCol="reorder_qty", featuresCol="features", maxIter=rounds, maxDepth=round_depth, seed=seed)
@@ -57,26 +60,32 @@ def fit(rows: DataFrame, trees: int = N_TREES, depth: int = DEPTH, rounds: int =
 
 def quality(models: Models, features: DataFrame) -> DataFrame:
     """One row: accuracy of the classifier, R2 of the regressor and the rows they were measured on."""
-    rows = with_labels(features).dropna(subset=FEATURES)
-    risk = models.classifier.transform(rows).select("risk", F.col("prediction").alias("guess"), "reorder_qty", *FEATURES)
+    # Labels follow from the features, so equal features count by their number of rows.
+    rows = with_labels(features.dropna(subset=FEATURES).groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("_n")))
+    risk = models.classifier.transform(rows).select("risk", F.col("prediction").alias("guess"), "reorder_qty", "_n", *FEATURES)
     both = models.regressor.transform(risk)
-    error, value = F.col("reorder_qty") - F.col("prediction"), F.col("reorder_qty")
+    error, value, n = F.col("reorder_qty") - F.col("prediction"), F.col("reorder_qty"), F.col("_n")
     return both.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg((F.col("risk") == F.col("guess")).cast("int")).alias("accuracy"),
-        (1 - F.sum(error * error) / (F.sum(value * value) - F.sum(value) * F.sum(value) / F.count(F.lit(1)))).alias("r2"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"),
+        X.ratio(F.sum(F.when(F.col("risk") == F.col("guess"), n).otherwise(0)), F.sum(n)).alias("accuracy"),
+        (1 - F.sum(n * error * error) / (F.sum(n * value * value) - F.sum(n * value) * F.sum(n * value) / F.sum(n))).alias("r2"),
     )
 
 
 def score(models: Models, features: DataFrame) -> DataFrame:
-    """Probability, risk level, confidence in percent and whole reorder units for every pair."""
+    """Probability, risk level, confidence in percent and whole reorder units for every pair.
+
+    Equal features score equally, so the trees see each distinct row of them once: far fewer than pairs. Those are
+    written when called, so that the join back to all pairs is planned by their size.
+    """
     rows = features.dropna(subset=FEATURES)
     own = ["features", "rawPrediction", "probability", "prediction"]
-    with_risk = models.classifier.transform(rows).withColumn(
+    with_risk = models.classifier.transform(rows.select(*FEATURES).distinct()).withColumn(
         "risk_probability", vector_to_array("probability")[1]
     ).drop(*own)
-    scored = models.regressor.transform(with_risk).withColumn("recommended_reorder", F.col("prediction").cast("int"))
-    return scored.drop(*own).select(
+    guessed = models.regressor.transform(with_risk).withColumn("recommended_reorder", F.col("prediction").cast("int"))
+    scored = rows.join(stash(guessed.drop(*own), "distinct-scores"), FEATURES)
+    return scored.select(
         *PAIR,
         *FEATURES,
         "risk_probability",
@@ -97,16 +106,32 @@ def risk_ranking(scores: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def reasoning_log(scores: DataFrame, forecast: DataFrame, as_of: Column) -> DataFrame:
+_BOUNDS = {
+    "forecast_7d": "prophet_7d_forecast",
+    "upper_bound": "prophet_upper_bound",
+    "lower_bound": "prophet_lower_bound",
+    "days_remaining": "days_remaining_forecast",
+}
+
+
+def reasoning_log(scores: DataFrame, forecasts: DataFrame, as_of: Column) -> DataFrame:
     """One explained prediction per pair; risk level as 0 (Low) to 3 (Critical)."""
-    bounds = forecast.select(
-        *PAIR,
-        F.col("forecast_7d").alias("prophet_7d_forecast"),
-        F.col("upper_bound").alias("prophet_upper_bound"),
-        F.col("lower_bound").alias("prophet_lower_bound"),
-        F.col("days_remaining").alias("days_remaining_forecast"),
-    )
-    return scores.join(bounds, PAIR, "left").select(
+    bounds = forecasts.select(*PAIR, *_BOUNDS).withColumnsRenamed(_BOUNDS)
+    return _explained(scores.join(bounds, PAIR, "left"), as_of)
+
+
+def forecast_log(scores: DataFrame, daily: DataFrame, last_day: Column, as_of: Column) -> DataFrame:
+    """``reasoning_log`` over the weekly forecast of the scored pairs.
+
+    The forecast is made beside the scores, so only pairs with recent sales are joined and never all pairs with all.
+    """
+    keep = [c for c in scores.columns if c not in (*PAIR, "current_stock")]
+    both = forecast.weekly_forecast(daily, scores, last_day, keep=keep)
+    return _explained(both.withColumnsRenamed(_BOUNDS), as_of)
+
+
+def _explained(rows: DataFrame, as_of: Column) -> DataFrame:
+    return rows.select(
         as_of.alias("timestamp"),
         "store_id",
         "product_id",

@@ -127,7 +127,7 @@ def kpi_summary(w):
 
 # The same reports from sums that three loads kept up to date, one of them taking sales back.
 def _sums_by(w, name):
-    kept, loads = w.maintained()
+    kept, loads = w.maintained(name)
     return kept.sums(w.spark, name, loads)
 
 
@@ -158,7 +158,7 @@ def maintained_top_products(w):
 
 @_query
 def maintained_summary(w):
-    kept, loads = w.maintained()
+    kept, loads = w.maintained("members")
     return kpi.summary_of(kept.members(w.spark, loads))
 
 
@@ -804,7 +804,7 @@ def risk_ranking(w):
 
 @_query
 def reasoning_log(w):
-    return ml.reasoning_log(w["stock_scores"], w["demand_forecast"], w.as_of)
+    return ml.forecast_log(w["stock_scores"], w["pair_sales"], w.forecast_day(), w.as_of)
 
 
 @_query
@@ -846,7 +846,7 @@ def _rule_scores(w):
 
 
 def _rule_log(w):
-    return ml.reasoning_log(_rule_scores(w), w["demand_forecast"], w.as_of)
+    return ml.forecast_log(_rule_scores(w), w["pair_sales"], w.forecast_day(), w.as_of)
 
 
 @_query

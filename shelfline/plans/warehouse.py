@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
-from shelfline.operators import clean, curve, dims, facts, features, forecast, increments, layout, ml
+from shelfline.operators import clean, curve, dims, facts, features, increments, layout, ml
 from shelfline.plans import batches
 from shelfline.session import ON_RELEASE, fresh_path, stash
 from shelfline.sources import tables as T
@@ -30,7 +30,7 @@ class Warehouse:
         self._built: dict[str, DataFrame] = {}
         self._layouts: dict[str, DataFrame] = {}
         self._models: ml.Models | None = None
-        self._maintained: increments.Maintained | None = None
+        self._maintained: dict[str, increments.Maintained] = {}
 
     def raw(self, name: str) -> DataFrame:
         """One of the retail inputs of ``sources.tables``, not written.
@@ -54,19 +54,19 @@ class Warehouse:
         """Last day with sales, as a literal for plans that need one."""
         return self["pair_sales"].agg(F.max("date")).scalar()
 
-    def maintained(self) -> tuple[increments.Maintained, int]:
-        """Report sums after three loads: all but the last month and some wrong sales, the last month, the wrong sales taken back."""
-        if self._maintained is None:
+    def maintained(self, name: str) -> tuple[increments.Maintained, int]:
+        """The sums ``name`` after three loads: all but the last month and some wrong sales, the last month, the wrong sales taken back."""
+        if name not in self._maintained:
             fact = self["fact_sales"]
             first = X.date_key(F.date_sub(X.key_to_date(fact.agg(F.max("date_key")).scalar()), 30))
             unknown = {key: F.lit(-1).cast(fact.schema[key].dataType) for key in ("customer_key", "product_key", "store_key")}
             wrong = fact.where(F.col("product_key") % 7 == 3).withColumns({"sale_id": F.concat("sale_id", F.lit("-x")), **unknown})
-            kept = increments.Maintained(fresh_path(self.spark, "maintained", keep=True), fan=2)
+            kept = increments.Maintained(fresh_path(self.spark, "maintained", keep=True), fan=2, names=[name])
             kept.apply(0, fact.where(F.col("date_key") < first).unionByName(wrong))
             kept.apply(1, fact.where(F.col("date_key") >= first))
             kept.apply(2, fact.limit(0), wrong)
-            self._maintained = kept
-        return self._maintained, 3
+            self._maintained[name] = kept
+        return self._maintained[name], 3
 
     def layout(self, name: str) -> DataFrame:
         """``sales`` by month or live ``orders`` by day, and region, or sales along the ``curve`` of product and store; written and listed once."""
@@ -114,9 +114,8 @@ _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "pair_stock": lambda w: features.stock_counts(w["fact_inventory"], w["dim_product"], w["dim_store"], w["dim_date"]),
     "stock_features": lambda w: features.stock_features(w["pair_sales"], w["pair_stock"], w.categories(), w.forecast_day()),
     "history_features": lambda w: features.history_features(w["pair_sales"], w["pair_stock"], w.categories()),
-    "demand_forecast": lambda w: forecast.weekly_forecast(w["pair_sales"], w["stock_features"], w.forecast_day()),
     "stock_scores": lambda w: ml.score(w.models(), w["stock_features"]),
-    "reasoning_log": lambda w: ml.reasoning_log(w["stock_scores"], w["demand_forecast"], w.as_of),
+    "reasoning_log": lambda w: ml.forecast_log(w["stock_scores"], w["pair_sales"], w.forecast_day(), w.as_of),
 }
 
 

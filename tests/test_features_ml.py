@@ -114,3 +114,30 @@ def test_ranking_feed_and_high_risk(spark, scored):
     assert len(feed) == 20 and {r["age"] for r in feed} == {"5h ago"}
     assert all((r["status"] == "pending") == (r["impact"] in ("Risk Level: 2", "Risk Level: 3")) for r in feed)
     assert ml.recent_predictions(both, 5).count() == 5
+
+
+def test_trees_see_each_distinct_row_of_features_once(spark, scored):
+    f, scores = scored
+    more = f.withColumn("store_id", F.explode(F.array(*(F.lit(f"s{i}") for i in range(1, 6)))))
+    models = ml.fit(ml.training_rows(f), trees=3, rounds=3)
+    every = ml.score(models, more)
+    seen = [p for p in every.inputFiles() if "distinct-scores" in p]
+    assert seen and spark.read.parquet(*seen).count() == f.select(*features.FEATURES).distinct().count()
+    assert every.count() == 1000 and every.groupBy("product_id").agg(F.countDistinct("risk_probability").alias("n")).where("n > 1").isEmpty()
+
+
+def test_history_deals_sales_and_counts_once(spark):
+    stock = spark.createDataFrame([("p1", "s1", D0, 50), ("p1", "s1", D0, None), ("p1", "s1", D0 + timedelta(days=1), None)], "product_id string, store_id string, date date, stock_level int")
+    categories = spark.createDataFrame([("p1", "toys")], "product_id string, category string")
+    history = features.history_features(daily(spark, {0: 7}), stock, categories)
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(product_id" in line and "store_id" in line]) == 1
+    assert rows(history, "date", "current_stock", "avg_sales_7d") == [(D0, 50.0, 1.0), (D0 + timedelta(days=1), None, 0.0)]
+
+
+def test_log_over_scores_joins_only_pairs_with_sales(spark):
+    scores = spark.createDataFrame([("p1", "s1", 5.0, 2.0, 1.0, "High", 0.7, 4), ("p2", "s1", 9.0, 0.0, 0.0, "Low", 0.1, 0)], "product_id string, store_id string, current_stock double, avg_sales_7d double, stddev_sales_7d double, risk_level string, risk_probability double, recommended_reorder int")
+    d, last, now = daily(spark, {0: 8, 7: 8}), F.lit(D0 + timedelta(days=7)), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    joined = ml.reasoning_log(scores, forecast.weekly_forecast(d, scores, last), now)
+    beside = ml.forecast_log(scores, d, last, now)
+    assert beside.columns == joined.columns and rows(beside) == rows(joined)
