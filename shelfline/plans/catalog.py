@@ -86,7 +86,7 @@ def kpi_stockout_top20(w):
 
 @_query
 def kpi_delivery_monthly(w):
-    return kpi.delivery_by_month(w["fact_shipments"], w["dim_date"])
+    return kpi.delivery_by_month(w.planned("fact_shipments"), w["dim_date"])
 
 
 @_query
