@@ -127,6 +127,12 @@ def with_labels(features: DataFrame) -> DataFrame:
     )
 
 
+def known_pairs(inventory: DataFrame, dim_product: DataFrame, dim_store: DataFrame) -> DataFrame:
+    """Distinct pairs of raw stock counts whose ids both dimensions know; the counts themselves are not joined."""
+    pairs = inventory.select(*PAIR).distinct()
+    return pairs.join(dim_product.select("product_id"), "product_id", "left_semi").join(dim_store.select("store_id"), "store_id", "left_semi").select(*PAIR)
+
+
 def stocked_pairs(fact_inventory: DataFrame, dim_product: DataFrame, dim_store: DataFrame) -> DataFrame:
     """Distinct product and store ids that have a stock count."""
     keys = fact_inventory.select("product_key", "store_key").distinct()

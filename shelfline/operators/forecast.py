@@ -29,15 +29,22 @@ def weekday_profile(daily: DataFrame, as_of: Column, weeks: int = WEEKS) -> Data
     return sums.select(*PAIR, "weekday", (X.dbl("_sum") / weeks).alias("mean"), spread.alias("variance"))
 
 
+def with_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Each distinct pair with what is known of it, if anything. ``known``, few rows beside all pairs, is hashed, so that pairs need no sort."""
+    return pairs.select(*PAIR).distinct().join(known.hint("shuffle_hash"), PAIR, "left")
+
+
 def daily_forecast(daily: DataFrame, pairs: DataFrame, as_of: Column, weeks: int = WEEKS, z: float = Z) -> DataFrame:
     """One row for each of ``pairs`` and of the next seven days; a weekday or pair without history forecasts 0."""
     profile = weekday_profile(daily, as_of, weeks)
-    pairs = pairs.select(*PAIR).distinct()
+    # One row per pair with its seven weekdays: pairs meet it once and become days after that.
+    of_day = [F.max(F.when(F.col("weekday") == d, F.struct("mean", "variance"))).alias(f"d{d}") for d in range(1, 8)]
+    week = profile.groupBy(*PAIR).agg(*of_day).select(*PAIR, F.array(*(f"d{d}" for d in range(1, 8))).alias("week"))
+    joined = with_pairs(pairs, week)
     days = F.sequence(F.date_add(as_of, 1), F.date_add(as_of, HORIZON))
-    grid = pairs.withColumn("forecast_date", F.explode(days)).withColumn("weekday", F.dayofweek("forecast_date"))
-    joined = grid.join(profile, [*PAIR, "weekday"], "left")
-    mean, margin = F.coalesce("mean", F.lit(0.0)), z * F.sqrt(F.coalesce("variance", F.lit(0.0)))
-    return joined.select(
+    grid = joined.withColumn("forecast_date", F.explode(days)).withColumn("day", F.element_at("week", F.dayofweek("forecast_date")))
+    mean, margin = F.coalesce("day.mean", F.lit(0.0)), z * F.sqrt(F.coalesce("day.variance", F.lit(0.0)))
+    return grid.select(
         *PAIR,
         "forecast_date",
         F.round(mean, 6).alias("forecast"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
 from shelfline.operators.features import PAIR
+from shelfline.operators.forecast import with_pairs
 
 WEEKS = 8
 HORIZON = 7
@@ -54,7 +55,7 @@ def fit(daily: DataFrame, as_of: Column, weeks: int = WEEKS) -> DataFrame:
 
 def forecast(daily: DataFrame, pairs: DataFrame, as_of: Column, weeks: int = WEEKS, quantile: float = QUANTILE) -> DataFrame:
     """One row for each of ``pairs`` and of the next seven days; a pair without recent sales forecasts 0. Never below 0."""
-    fitted = pairs.select(*PAIR).distinct().join(fit(daily, as_of, weeks), PAIR, "left")
+    fitted = with_pairs(pairs, fit(daily, as_of, weeks))
     days = F.explode(F.sequence(F.date_add(as_of, 1), F.date_add(as_of, HORIZON)))
     grid = fitted.withColumn("forecast_date", days)
     total = F.element_at(F.array(*(F.col(f"d{d}") for d in range(1, 8))), F.dayofweek("forecast_date"))

@@ -741,7 +741,7 @@ def pair_sales(w):
 
 @_query
 def stock_features(w):
-    return features.stock_features(w["pair_sales"], w["pair_stock"], w.categories(), w.forecast_day())
+    return features.stock_features(w["recent_sales"], w["pair_stock"], w.categories(), w.forecast_day())
 
 
 @_query
@@ -762,18 +762,18 @@ def trailing_sales(w):
 
 @_query
 def demand_forecast_7d(w):
-    return forecast.weekly_forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
+    return forecast.weekly_forecast(w["recent_sales"], w["stock_features"], w.forecast_day())
 
 
 @_query
 def demand_forecast_daily(w):
-    return forecast.daily_forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
+    return forecast.daily_forecast(w["recent_sales"], w.stocked_pairs(), w.forecast_day())
 
 
 @_query
 def demand_forecast_trend(w):
     """Next seven days of every stocked pair by weekday levels and a trend."""
-    return trend.forecast(w["pair_sales"], w["stock_features"], w.forecast_day())
+    return trend.forecast(w["recent_sales"], w.stocked_pairs(), w.forecast_day())
 
 
 @_query

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
-from shelfline.operators import clean, curve, dims, facts, features, increments, layout, ml
+from shelfline.operators import clean, curve, dims, facts, features, forecast, increments, layout, ml, trend
 from shelfline.plans import batches
 from shelfline.session import ON_RELEASE, fresh_path, stash
 from shelfline.sources import tables as T
@@ -56,7 +56,15 @@ class Warehouse:
 
     def forecast_day(self):
         """Last day with sales, as a literal for plans that need one."""
-        return self["pair_sales"].agg(F.max("date")).scalar()
+        return X.key_to_date(self["fact_sales"].agg(F.max("date_key")).scalar())
+
+    def recent_fact(self) -> DataFrame:
+        """Sales of the weeks that forecasts look back on."""
+        return self["fact_sales"].where(F.col("date_key") > X.date_key(F.date_sub(self.forecast_day(), 7 * max(forecast.WEEKS, trend.WEEKS))))
+
+    def stocked_pairs(self) -> DataFrame:
+        """Pairs that ``stock_features`` describes: of the inventory, with known ids and a category."""
+        return features.known_pairs(self.raw("inventory"), self["dim_product"].where(F.col("category").isNotNull()), self["dim_store"])
 
     def maintained(self, name: str) -> tuple[increments.Maintained, int]:
         """The sums ``name`` after three loads: all but the last month and some wrong sales, the last month, the wrong sales taken back."""
@@ -115,8 +123,9 @@ _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "fact_inventory": lambda w: facts.fact_inventory(w.raw("inventory"), w["dim_product"], w["dim_store"]),
     "fact_shipments": lambda w: facts.fact_shipments(w.raw("shipments"), w.planned("fact_sales")),
     "pair_sales": lambda w: features.daily_units(w["fact_sales"], w["dim_product"], w["dim_store"], w["dim_date"]),
+    "recent_sales": lambda w: features.daily_units(w.recent_fact(), w["dim_product"], w["dim_store"], w["dim_date"]),
     "pair_stock": lambda w: features.stock_counts(w["fact_inventory"], w["dim_product"], w["dim_store"], w["dim_date"]),
-    "stock_features": lambda w: features.stock_features(w["pair_sales"], w["pair_stock"], w.categories(), w.forecast_day()),
+    "stock_features": lambda w: features.stock_features(w["recent_sales"], w["pair_stock"], w.categories(), w.forecast_day()),
     "history_features": lambda w: features.history_features(w["pair_sales"], w["pair_stock"], w.categories()),
     "stock_scores": lambda w: ml.score(w.models(), w["stock_features"]),
     "reasoning_log": lambda w: ml.forecast_log(w["stock_scores"], w["pair_sales"], w.forecast_day(), w.as_of),
