@@ -55,6 +55,7 @@ RATE = 0.05  # of the first pass, divided by the number of the pass
 _ROWS = 1_024  # of the model, in one block
 END = np.uint64(1)  # stands for the end among token hashes
 _CHUNK_BYTES = 24 << 20
+_SLICE = 4 << 20  # bytes of a chunk whose tokens are held at once
 _MESSAGE = "bucket int, chunk int, kind string, blob binary, n long, v long"
 
 
@@ -71,13 +72,23 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "kind", "blob", "n", "v"])
 
 
+def _pieces(texts: pa.Table) -> Iterator[pa.RecordBatch]:
+    return common.slices(texts.to_batches(), lambda batch: batch.column("text"), _SLICE)
+
+
 def _ask(buckets: int) -> object:
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
         """Of one chunk: its distinct tokens and their training counts, by bucket."""
-        hashes, at = tokens(texts["text"])
-        training = ~texts["held_out"].to_numpy(zero_copy_only=False).astype(bool) if texts.num_rows else np.zeros(0, bool)
-        distinct, place = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(place[np.repeat(training, np.diff(at))], minlength=len(distinct))
+        found, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for piece in _pieces(texts):
+            hashes, at = tokens(piece.column("text"))
+            training = ~piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            own, place = np.unique(hashes, return_inverse=True)
+            found.append(own)
+            seen.append(np.bincount(place[np.repeat(training, np.diff(at))], minlength=len(own)))
+        distinct, place = np.unique(np.concatenate(found), return_inverse=True)
+        counts = np.zeros(len(distinct), np.int64)
+        np.add.at(counts, place, np.concatenate(seen))
         bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         bounds = common.group_bounds(bucket)
         return _messages([(int(bucket[i]), key[0].as_py(), "ask", common.pack(np.diff(distinct[i:j], prepend=np.uint64(0)), counts[i:j].astype(np.uint32)), None, None) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j > i])
@@ -245,14 +256,19 @@ def train(texts: DataFrame, words: np.ndarray, order: np.ndarray, counts: np.nda
     return model
 
 
-def log_sums(model: dict[str, np.ndarray], first: int, last: int, rows: int = 256) -> np.ndarray:
-    """log of the sum over all tokens of exp s, for the contexts from ``first`` to before ``last``, a batch at a time."""
+def log_sums(model: dict[str, np.ndarray], first: int, last: int, rows: int = 256, columns: int = 1 << 14) -> np.ndarray:
+    """log of the sum over all tokens of exp s, for the contexts from ``first`` to before ``last``, a tile of contexts and tokens at a time."""
     context = model["R"][first:last] @ model["C"]
     out = np.empty(len(context))
     for a in range(0, len(context), rows):
-        s = context[a : a + rows] @ model["R"].T + (model["b"] + model["log_noise"])
-        most = s.max(1, keepdims=True)
-        out[a : a + rows] = np.log(np.exp(s - most).sum(1, dtype=np.float64)) + most[:, 0]
+        most, total = np.full(len(context[a : a + rows]), -np.inf, context.dtype), 0.0
+        for t in range(0, len(model["b"]), columns):
+            own = slice(t, t + columns)
+            s = context[a : a + rows] @ model["R"][own].T + (model["b"][own] + model["log_noise"][own])
+            before, most = most, np.maximum(most, s.max(1))
+            s -= most[:, None]
+            total = total * np.exp(before - most, dtype=np.float64) + np.exp(s, out=s).sum(1, dtype=np.float64)
+        out[a : a + rows] = np.log(total) + most
     return out
 
 
@@ -278,21 +294,25 @@ def log_probabilities(model: dict[str, np.ndarray], context: np.ndarray, token:
 
 def _score(shared) -> object:
     def score(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        """Of one chunk: scores of its texts."""
-        words, order, model, n, v, n_rare, v_rare = shared.value
-        hashes, at = tokens(texts["text"])
+        """Of one chunk: scores of its texts, a few of them at a time."""
         parts = [common.unpack(b.as_py()) for b in counts["blob"]]
         known = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
         total = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         by = np.argsort(known)
-        c = total[by][np.searchsorted(known[by], hashes)] if len(hashes) else np.zeros(0, np.int64)
+        known, total = known[by], total[by]
+        return pa.concat_tables([piece_of(piece, known, total) for piece in _pieces(texts)] or [piece_of(texts.slice(0, 0), known, total)])
+
+    def piece_of(texts: pa.RecordBatch | pa.Table, known: np.ndarray, total: np.ndarray) -> pa.Table:
+        words, order, model, n, v, n_rare, v_rare = shared.value
+        hashes, at = tokens(texts.column("text"))
+        c = total[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0, np.int64)
         ids = to_ids(hashes, words, order)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         own = log_probabilities(model, _before(ids, at), ids) + np.where(ids == 0, np.log10((c + 0.5) / (n_rare + 0.5 * (v_rare + 1))), 0.0)
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
         rows = len(at) - 1
         return pa.Table.from_arrays(
-            [texts["doc_id"], texts["held_out"], pa.array(np.diff(at), pa.int64()), pa.array(add((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(rows, n), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(own), pa.float64())],
+            [texts.column("doc_id"), texts.column("held_out"), pa.array(np.diff(at), pa.int64()), pa.array(add((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(rows, n), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(own), pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
