@@ -20,26 +20,34 @@ def basket_items(sales: DataFrame, basket: str, product: str) -> DataFrame:
     return named.where(F.col("basket").isNotNull() & F.col("product").isNotNull()).distinct()
 
 
-def frequent_items(items: DataFrame, min_support: int) -> DataFrame:
-    """Items of products that occur in enough baskets: a pair cannot be more frequent than its parts."""
-    support = items.groupBy("product").agg(F.count(F.lit(1)).alias("n_baskets"))
-    return items.join(support.where(F.col("n_baskets") >= min_support), "product")
+def frequent_items(items: DataFrame, min_support: int, support: DataFrame) -> DataFrame:
+    """Items of products that occur in enough baskets: a pair cannot be more frequent than its parts.
+
+    ``support`` has the baskets ``n`` of each product. The rare products are written when this is called: as a rule they are few, and items
+    are not shuffled to leave them out.
+    """
+    rare = stash(support.where(F.col("n") < min_support).select("product"), "rare-products")
+    return items.join(rare, "product", "left_anti").select("basket", "product")
 
 
 def pair_support(items: DataFrame, min_support: int = 1, share: int = SHARE) -> DataFrame:
     """Exact co-occurrence counts of pairs a < b with at least ``min_support`` baskets.
 
-    Every basket is dealt to one salt per ``share`` items: the left side of the
+    Items are dealt by basket once. A basket of up to ``share`` items is one row there, which gives its pairs. A larger one is
+    dealt to one salt per ``share`` items: the left side of a
     self-join goes to one of them by product, the right side to all, so no task
-    holds more than ``share`` left items of one basket, and an ordinary basket has
-    one salt. Pairs are counted map-side as they are produced.
+    holds more than ``share`` left items of one basket. Pairs are counted map-side as they are produced.
     """
     sizes = items.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("salts"))
-    dealt = items.join(sizes, "basket")
+    own = items.join(sizes.where("salts = 1"), "basket").groupBy("basket").agg(F.sort_array(F.collect_list("product")).alias("own"))
+    spots = own.select("own", F.posexplode("own").alias("spot", "product_a"))
+    after = F.expr("slice(own, spot + 2, size(own))")
+    small = spots.select("product_a", F.explode(after).alias("product_b"))
+    dealt = items.join(sizes.where("salts > 1"), "basket")
     left = dealt.select("basket", F.col("product").alias("product_a"), F.pmod(F.xxhash64("product"), F.col("salts")).cast("int").alias("salt"))
     right = dealt.select("basket", F.col("product").alias("product_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["basket", "salt"]).where("product_a < product_b")
-    counted = pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_occurrence_count"))
+    large = left.join(right, ["basket", "salt"]).where("product_a < product_b").select("product_a", "product_b")
+    counted = small.unionByName(large).groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_occurrence_count"))
     return counted.where(F.col("co_occurrence_count") >= min_support)
 
 
@@ -83,11 +91,11 @@ def product_pairs(
     """
     # Written once: support, basket sizes and the self-join all read it.
     items = stash(basket_items(sales, basket, product), "basket-items")
+    support = stash(items.groupBy("product").agg(F.count(F.lit(1)).alias("n")), "product-support")
     if min_support > 1:
-        pairs = frequent_pairs(stash(frequent_items(items, min_support).select("basket", "product"), "basket-frequent"), min_support, share)
+        pairs = frequent_pairs(frequent_items(items, min_support, support), min_support, share)
     else:
         pairs = pair_support(items, min_support, share)
-    support = items.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     baskets = items.agg(F.countDistinct("basket")).scalar()
     joined = pairs.join(support.select(F.col("product").alias("product_a"), F.col("n").alias("n_a")), "product_a").join(
         support.select(F.col("product").alias("product_b"), F.col("n").alias("n_b")), "product_b"

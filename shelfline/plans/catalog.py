@@ -184,7 +184,7 @@ def chart_customers(w):
 
 def _order_items(w):
     # order id of the sale = the part of the sale id before the line number
-    return w["transactions_clean"].select(F.split_part("transaction_id", F.lit("-"), F.lit(1)).alias("order_id"), "product_id")
+    return w.planned("transactions_clean").select(F.split_part("transaction_id", F.lit("-"), F.lit(1)).alias("order_id"), "product_id")
 
 
 @_query
