@@ -215,25 +215,24 @@ def top5_products(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
 
 
 def turnover(fact: DataFrame, dim_product: DataFrame, limit: int | None = None) -> DataFrame:
-    """Sales pace per product; ``limit`` gives the short stock-out list."""
+    """Sales pace per product; ``limit`` gives the short stock-out list. Writes the keys of equal products when called."""
     # One row per product and day first: distinct days become a count, and a hot
     # product shrinks to the length of the calendar.
-    per_day = _first_sums(fact, "product_key", "date_key")
-    per_key = per_day.join(
-        dim_product.select("product_key", "product_id", F.col("name").alias("product_name"), "category", "price"),
-        "product_key",
-    )
-    # Products that share all attributes share a row; their days may overlap.
-    merged = per_key.groupBy("product_id", "product_name", "category", "price", "date_key").agg(
-        F.sum("_units").alias("_units"), F.sum("_rev").alias("_rev")
-    )
-    rows = merged.groupBy("product_id", "product_name", "category", "price").agg(
+    group = ["product_id", "product_name", "category", "price"]
+    products = dim_product.select("product_key", "product_id", F.col("name").alias("product_name"), "category", "price")
+    # Products that share all attributes share a row; their days may overlap. The smallest key stands for
+    # them from the start, so that rows per day hold numbers only and attributes come to one row per product.
+    named = products.groupBy(*group).agg(F.min("product_key").alias("_of"), F.collect_list("product_key").alias("_keys"))
+    shown = named.select("_of", *group)
+    others = named.select("_of", F.explode("_keys").alias("product_key")).where("_of <> product_key")
+    known = fact.join(stash(others, "same-products"), "product_key", "left").withColumn("_of", F.coalesce("_of", "product_key"))
+    rows = _first_sums(known, "_of", "date_key").groupBy("_of").agg(
         _units().alias("total_sold"),
         _revenue().alias("total_revenue"),
         F.count("date_key").alias("days_sold"),
         F.min("date_key").alias("first_sale_date"),
         F.max("date_key").alias("last_sale_date"),
-    )
+    ).join(shown, "_of")
     pace = X.ratio("total_sold", "days_sold")
     out = rows.withColumn("avg_daily_sales", pace).select(
         "product_id",
