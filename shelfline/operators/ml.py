@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions import exprs as X
@@ -22,8 +22,15 @@ from shelfline.session import stash
 N_TREES, DEPTH = 50, 12
 ROUNDS, ROUND_DEPTH = 100, 3
 SEED = 42
-# Both models are fitted on at most so many labelled rows; scores cover all pairs.
-MAX_TRAINING_ROWS = 20_000
+# Trees tell at most so many bins of a feature apart, whose edges come from the values of all rows.
+BINS = 32
+BINNED = [f"{c}_bin" for c in FEATURES]
+# Equal rows in these bins are drawn in at most so many pieces of equal weight.
+PIECES = 8
+# With so many bins allowed, Spark's trees look at all rows for their splits: never more than 2 * PIECES * BINS ** 4.
+MAX_BINS = 4 * BINS * BINS
+# Weighted rows that one task of training holds.
+PART_ROWS = 20_000
 
 
 class Models(NamedTuple):
@@ -31,9 +38,11 @@ class Models(NamedTuple):
     regressor: PipelineModel
 
 
-def training_rows(features: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """Labelled rows for ``fit``: those with the smallest hashes, at most ``limit``."""
+def training_rows(features: DataFrame, limit: int | None = None) -> DataFrame:
+    """Labelled rows for ``fit``: all of them, or the ``limit`` with the smallest hashes if the caller names one."""
     rows = with_labels(features).dropna(subset=FEATURES)
+    if limit is None:
+        return rows
     key = [c for c in ("product_id", "store_id", "date") if c in features.columns]
     return rows.orderBy(F.xxhash64(*key), *key).limit(limit)
 
@@ -44,17 +53,66 @@ def held_out(features: DataFrame) -> Column:
     return F.pmod(F.xxhash64(F.lit("held out"), *key), F.lit(5)) == 0
 
 
+def _short(value: Column) -> Column:
+    """``value`` cut to 16 binary digits, which keeps the order and leaves few distinct values of any number of rows."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value))) - 15)
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.floor(value / step) * step)
+
+
+def bin_edges(rows: DataFrame, bins: int = BINS) -> list[list[float]]:
+    """At most ``bins - 1`` inner edges per feature, from the counts of its values in all rows.
+
+    Up to ``bins`` values get a bin each; of more, bins hold about equally many rows, where a value counts for one bin at most.
+    """
+    values = F.array(*(F.struct(F.lit(i).alias("feature"), _short(X.dbl(c)).alias("value")) for i, c in enumerate(FEATURES)))
+    counts = rows.select(F.inline(values)).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    # One row per short value reaches these windows.
+    every = Window.partitionBy("feature")
+    upward = every.orderBy("value")
+    placed = (
+        counts.withColumn("_values", F.count(F.lit(1)).over(every))
+        .withColumn("n", F.least("n", F.ceil(F.sum("n").over(every) / bins)))
+        .withColumn("_before", F.sum("n").over(upward) - F.col("n"))
+        .withColumn("_share", F.floor(F.col("_before") * bins / F.sum("n").over(every)))
+        .withColumn("_bin", F.when(F.col("_values") <= bins, F.row_number().over(upward)).otherwise(F.col("_share")))
+        .withColumn("_edge", F.when(F.lag("_bin").over(upward) != F.col("_bin"), (F.lag("value").over(upward) + F.col("value")) / 2))
+    )
+    found = placed.where(F.col("_edge").isNotNull()).select("feature", "_edge").collect()
+    return [sorted(r["_edge"] for r in found if r["feature"] == i) for i in range(len(FEATURES))]
+
+
+def binned_rows(rows: DataFrame, binner: Bucketizer) -> DataFrame:
+    """All labelled rows as bins of the features and class, their number and mean reorder.
+
+    Trees tell rows of equal bins apart by their class only, so these are at most 2 * BINS ** 4 rows for any number of them.
+    """
+    binned = binner.transform(rows.select(*(X.dbl(c).alias(c) for c in FEATURES), X.dbl("risk").alias("risk"), "reorder_qty"))
+    total = F.sum(F.col("reorder_qty").cast("decimal(28,9)"))  # sums do not depend on row order
+    return binned.groupBy(*BINNED, "risk").agg(F.count(F.lit(1)).alias("n"), (X.dbl(total) / F.count(F.lit(1))).alias("reorder_qty"))
+
+
 def fit(rows: DataFrame, trees: int = N_TREES, depth: int = DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, seed: int = SEED) -> Models:
-    """Train both models on labelled rows (``training_rows``), which are written once: training reads them many times."""
+    """Train both models on all labelled rows (``training_rows``).
+
+    The rows are read twice, for the edges of the bins and for the rows per bin. Training reads the latter many times,
+    so they are written once. Boosting fits means by number of rows, which gives the trees of all rows; the forest draws
+    each row by itself where less than ``PIECES`` are equal, more in that many pieces.
+    """
     binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
-    rows = stash(rows.select(*FEATURES, X.dbl("risk").alias("risk"), X.dbl("reorder_qty").alias("reorder_qty")), "training-rows")
-    rows = rows.withColumn("risk", F.col("risk").alias("risk", metadata=binary))
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(labelCol="risk", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    boosting = GBTRegressor(labelCol="reorder_qty", featuresCol="features", maxIter=rounds, maxDepth=round_depth, seed=seed)
+    ends = [[float("-inf"), *(edges or [0.0]), float("inf")] for edges in bin_edges(rows)]
+    binner = Bucketizer(splitsArray=ends, inputCols=FEATURES, outputCols=BINNED)
+    vector = VectorAssembler(inputCols=BINNED, outputCol="features")
+    seen = stash(binned_rows(rows, binner), "training-rows")
+    # The same rows in the same order on every cluster, since drawing goes by place.
+    dealt = seen.repartition(1 + seen.count() // PART_ROWS, *BINNED).sortWithinPartitions(*BINNED, "risk")
+    dealt = vector.transform(dealt.withColumn("risk", F.col("risk").alias("risk", metadata=binary)).withColumn("n", X.dbl("n")))
+    drawn = F.least(F.col("n"), F.lit(float(PIECES)))
+    pieces = dealt.withColumn("n", F.explode(F.array_repeat(F.col("n") / drawn, drawn.cast("int"))))
+    forest = RandomForestClassifier(labelCol="risk", featuresCol="features", weightCol="n", numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=seed)
+    boosting = GBTRegressor(labelCol="reorder_qty", featuresCol="features", weightCol="n", maxIter=rounds, maxDepth=round_depth, maxBins=MAX_BINS, seed=seed)
     return Models(
-        Pipeline(stages=[vector, forest]).fit(rows),
-        Pipeline(stages=[vector, boosting]).fit(rows),
+        PipelineModel([binner, vector, forest.fit(pieces.select("features", "risk", "n"))]),
+        PipelineModel([binner, vector, boosting.fit(dealt.select("features", "reorder_qty", "n"))]),
     )
 
 
@@ -79,7 +137,7 @@ def score(models: Models, features: DataFrame) -> DataFrame:
     written when called, so that the join back to all pairs is planned by their size.
     """
     rows = features.dropna(subset=FEATURES)
-    own = ["features", "rawPrediction", "probability", "prediction"]
+    own = [*BINNED, "features", "rawPrediction", "probability", "prediction"]
     with_risk = models.classifier.transform(rows.select(*FEATURES).distinct()).withColumn(
         "risk_probability", vector_to_array("probability")[1]
     ).drop(*own)
