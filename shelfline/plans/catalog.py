@@ -784,9 +784,12 @@ def stockout_scores(w):
 
 @_query
 def model_checks(w):
-    """What must hold of the scores, and whether both models do well on rows they were not fitted on."""
+    """What must hold of the scores, and whether both models do well on rows they were not fitted on.
+
+    Scores come from models of all rows; those that are measured learn from the rows that are not held out.
+    """
     scores, history = w["stock_scores"], w["history_features"]
-    measured = ml.quality(w.models(), history.where(ml.held_out(history)))
+    measured = ml.quality(w.models(measured=True), history.where(ml.held_out(history)))
     outside = ~F.col("risk_probability").between(0, 1) | ~F.col("ml_confidence").between(0, 100)
     checks = scores.agg(
         F.count(F.lit(1)).alias("n_pairs"),

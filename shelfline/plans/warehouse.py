@@ -29,7 +29,7 @@ class Warehouse:
         self.as_of = T.as_of()
         self._built: dict[str, DataFrame] = {}
         self._layouts: dict[str, DataFrame] = {}
-        self._models: ml.Models | None = None
+        self._models: dict[bool, ml.Models] = {}
         self._maintained: dict[str, increments.Maintained] = {}
 
     def raw(self, name: str) -> DataFrame:
@@ -97,12 +97,12 @@ class Warehouse:
     def categories(self) -> DataFrame:
         return self["dim_product"].select("product_id", "category")
 
-    def models(self) -> ml.Models:
-        """Both models, fitted once per warehouse on history rows that ``ml.held_out`` leaves."""
-        if self._models is None:
+    def models(self, measured: bool = False) -> ml.Models:
+        """Both models, fitted once per warehouse on all history rows; those to be ``measured`` on rows that ``ml.held_out`` keeps, on the others."""
+        if measured not in self._models:
             history = self["history_features"]
-            self._models = ml.fit(ml.training_rows(history.where(~ml.held_out(history))))
-        return self._models
+            self._models[measured] = ml.fit(ml.training_rows(history.where(~ml.held_out(history)) if measured else history))
+        return self._models[measured]
 
 
 _BUILD: dict[str, Callable[[Warehouse], DataFrame]] = {

@@ -6,6 +6,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from shelfline.operators import features, ml
+from shelfline.plans.warehouse import Warehouse
 
 
 def described(spark, n, stock, mean):
@@ -59,3 +60,13 @@ def test_bins_of_few_many_and_hot_values(spark):
     assert max(b - a for a, b in zip(ends, ends[1:])) < 1.2 * 20_000 / ml.BINS  # about equally many rows each
     assert len(mean) > ml.BINS // 2 and mean[0] > 0  # zero fills one bin, the tenth that is not zero has the others
     assert ml.bin_edges(described(spark, 10, F.lit(4), F.lit(0)))[:2] == [[], []]
+
+
+def test_scores_learn_from_all_rows_and_measured_models_from_those_not_held_out(spark, monkeypatch):
+    f = described(spark, 25_000, F.col("id") % 7, F.col("id") % 11)
+    w = Warehouse(spark, "/nowhere")
+    w._built["history_features"] = f
+    monkeypatch.setattr(ml, "fit", lambda rows: rows.count())
+    kept = f.where(ml.held_out(f)).count()
+    assert 0 < kept < 25_000
+    assert (w.models(), w.models(measured=True)) == (25_000, 25_000 - kept)
